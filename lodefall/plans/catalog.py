@@ -2,5 +2,388 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodefall.functions import text as tx
+from lodefall.operators import analytics, maintenance, paths, routing, search, sections
+from lodefall.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+
+TERMS = ["the", "threst", "and", "onthe"]
+PROBE = [round(((7 * k) % 13 - 6) / 6, 4) for k in range(64)]
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_BM25 = rf"""
+t AS (SELECT doc_id, lang, source, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BREAK}'), lambda x: x <> '') AS ts FROM documents),
+f AS (SELECT doc_id, lang, source, len(ts) AS dl, {", ".join(f"len(list_filter(ts, lambda x: x = '{w}')) AS f{k}" for k, w in enumerate(TERMS))} FROM t),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS n{k}" for k in range(len(TERMS)))} FROM f),
+b AS (SELECT doc_id, lang, source, round({" + ".join(f"greatest(ln((n - n{k} + 0.5) / (n{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(TERMS)))}, 9) AS bm25
+  FROM f, st WHERE {" OR ".join(f"f{k} > 0" for k in range(len(TERMS)))})"""
+_PROBE = "[" + ", ".join(map(str, PROBE)) + "]::DOUBLE[]"
+_KNN = f"v AS (SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], {_PROBE}), 4) AS distance FROM embeddings)"
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM b ORDER BY bm25 DESC, doc_id LIMIT 30")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS)
+    return found.orderBy(F.desc("bm25"), "doc_id").limit(30).withColumn("bm25", F.round("bm25", 6))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM b WHERE lang = 'en' AND source = 'src3' ORDER BY bm25 DESC, doc_id LIMIT 30")
+def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scope = docs.where("lang = 'en' AND source = 'src3'").select("doc_id")
+    found = search.bm25(docs, "doc_id", "text", TERMS).join(scope, "doc_id", "left_semi")
+    return found.orderBy(F.desc("bm25"), "doc_id").limit(30).withColumn("bm25", F.round("bm25", 6))
+
+
+@query(f"WITH {_KNN} SELECT vec_id, distance FROM v ORDER BY distance, vec_id LIMIT 20")
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", PROBE, 20)
+
+
+@query(f"WITH {_KNN} SELECT vec_id, distance FROM v WHERE label = 3 ORDER BY distance, vec_id LIMIT 20")
+def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", PROBE, 20, F.col("label") == 3)
+
+
+_HYBRID = f"""{_BM25}, {_KNN},
+b30 AS (SELECT doc_id, bm25 FROM b ORDER BY bm25 DESC, doc_id LIMIT 30), v20 AS (SELECT vec_id AS doc_id, greatest(1 - distance, 0) AS sim FROM (SELECT * FROM v ORDER BY distance, vec_id LIMIT 20)),
+bn AS (SELECT doc_id, CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 1.0 ELSE (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) END AS s FROM b30),
+vn AS (SELECT doc_id, CASE WHEN max(sim) OVER () = min(sim) OVER () THEN 1.0 ELSE (sim - min(sim) OVER ()) / (max(sim) OVER () - min(sim) OVER ()) END AS s FROM v20),
+hy AS (SELECT coalesce(bn.doc_id, vn.doc_id) AS doc_id, round(coalesce(bn.s, 0), 6) AS bm25_score, round(coalesce(vn.s, 0), 6) AS vector_score,
+  round(0.6 * coalesce(vn.s, 0) + 0.4 * coalesce(bn.s, 0), 6) AS final_score FROM bn FULL JOIN vn ON bn.doc_id = vn.doc_id)"""
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = search.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", PROBE, 20).withColumnRenamed("vec_id", "doc_id")
+    word = search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS).orderBy(F.desc("bm25"), "doc_id").limit(30)
+    return search.hybrid(word, near, "doc_id")
+
+
+@query(f"WITH {_HYBRID} SELECT * FROM hy")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir)
+
+
+@query(f"WITH {_HYBRID}, r AS (SELECT *, row_number() OVER (ORDER BY final_score DESC, doc_id)::INT AS rank FROM hy) SELECT r.* FROM r JOIN documents d USING (doc_id) WHERE rank > 5 AND d.n_chars > 200 ORDER BY rank LIMIT 10")
+def hybrid_paged_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = table(spark, sf_dir, "documents").where("n_chars > 200").select("doc_id")
+    return search.page(_hybrid(spark, sf_dir), [F.desc("final_score"), F.asc("doc_id")], valid, "doc_id", 5, 10)
+
+
+@query(f"""WITH {_HYBRID}, g AS (SELECT source, count(*) AS n, round(0.95 * max(final_score), 6) AS score, list_sort(list(hy.doc_id::VARCHAR)) AS ns FROM hy JOIN documents d USING (doc_id) GROUP BY source HAVING count(*) >= 2)
+SELECT source, n, score, array_to_string(ns[1:3], ', ') || CASE WHEN n > 3 THEN ' +' || (n - 3) || ' more' ELSE '' END AS names FROM g""")
+def directory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _hybrid(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").withColumn("name", F.col("doc_id").cast("string"))
+    return search.rollup(named, "source", "name", "final_score")
+
+
+# --- chunks, identity, snapshots -------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, sha256(doc_id::VARCHAR || '::p1') AS chunk_id FROM documents")
+def identity_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), sections.identity(F.col("doc_id").cast("string"), F.lit("p1")).alias("chunk_id"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+m AS (SELECT *, sum(CASE WHEN trim(line, ' ') = '' OR line LIKE '#%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM l),
+p AS (SELECT doc_id, part, string_agg(line, chr(10) ORDER BY pos) AS text FROM m WHERE trim(line, ' ') <> '' GROUP BY doc_id, part)
+SELECT doc_id, 'sec' || lpad(row_number() OVER (PARTITION BY doc_id ORDER BY part)::VARCHAR, 2, '0') AS ref, text FROM p""")
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.sections(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("p1").alias("ref"), "text")
+    return sections.with_suffixes(docs, "doc_id", "ref", sections.split_at(F.col("text"), 3000))
+
+
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> ''))::BIGINT AS words, (len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) * 4 // 3)::BIGINT AS estimate FROM documents")
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.word_count(F.col("text")).alias("words"), tx.token_estimate(F.col("text")).alias("estimate"))
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_key FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.duplicates(table(spark, sf_dir, "documents"), F.sha2("text", 256), "doc_id")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'removed' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS outcome FROM documents
+UNION ALL SELECT doc_id + 1000000000, 'new' FROM documents WHERE doc_id % 11 = 0""")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    new = old.where("doc_id % 7 <> 0").withColumn("n_chars", F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    new = new.unionByName(old.where("doc_id % 11 = 0").withColumn("doc_id", F.col("doc_id") + 1000000000))
+    return maintenance.diff(old, new, "doc_id", F.col("old.n_chars") == F.col("new.n_chars"))
+
+
+@query("""SELECT c_custkey, coalesce(CASE WHEN c_custkey % 6 = 0 THEN upper(c_mktsegment) END, c_mktsegment) AS c_mktsegment,
+CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal + 1 END ELSE c_acctbal END AS c_acctbal FROM customer""")
+def upsert_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    new = old.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 6 == 0, F.upper("c_mktsegment")).alias("c_mktsegment"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return maintenance.upsert(old, new, "c_custkey", ["c_mktsegment"], ["c_acctbal"])
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.orphans(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT l_orderkey, count(*) AS lines FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return maintenance.cascade(table(spark, sf_dir, "lineitem").select("l_orderkey"), gone, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+
+
+@query("""SELECT l_suppkey, l_returnflag, l_linestatus, l_orderkey, l_linenumber FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_returnflag, l_linestatus ORDER BY l_shipdate DESC, l_quantity DESC, l_orderkey, l_linenumber) = 1""")
+def latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
+    order = [F.desc("l_shipdate"), F.desc("l_quantity"), F.asc("l_orderkey"), F.asc("l_linenumber")]
+    return maintenance.latest(rows, ["l_suppkey", "l_returnflag", "l_linestatus"], order).drop("l_shipdate", "l_quantity")
+
+
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) <= 6")
+def session_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").withColumn("rn", rank).where("rn <= 6").drop("rn")
+
+
+# --- analytics -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\", count(*) AS total FROM orders GROUP BY 1")
+def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.status_pivot(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
+
+
+@query("SELECT source, count(*) AS files FROM documents GROUP BY source")
+def projects_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"))
+
+
+@query("""WITH f AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 END AS r FROM events),
+g AS (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE r = 1) AS pos, count(*) FILTER (WHERE r = -1) AS neg FROM f GROUP BY 1)
+SELECT user_id, total, pos, neg, round(CASE WHEN pos + neg > 0 THEN pos / (pos + neg) END, 3) AS ratio, neg / total > 0.5 AS flagged FROM g""")
+def feedback_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rating = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1)
+    return analytics.feedback(table(spark, sf_dir, "events"), "user_id", rating)
+
+
+@query("""SELECT count(*) FILTER (WHERE event_type = 'purchase') AS pos, count(*) FILTER (WHERE event_type = 'error') AS neg,
+round(count(*) FILTER (WHERE event_type = 'purchase') / nullif(count(*) FILTER (WHERE event_type IN ('purchase', 'error')), 0), 3) AS ratio, min(ts)::DATE::VARCHAR AS first_day, max(ts)::DATE::VARCHAR AS last_day FROM events""")
+def feedback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pos, neg = F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type") == "error")
+    return table(spark, sf_dir, "events").agg(pos.alias("pos"), neg.alias("neg"), F.round(F.try_divide(pos, pos + neg), 3).alias("ratio"), F.min("ts").cast("date").cast("string").alias("first_day"), F.max("ts").cast("date").cast("string").alias("last_day"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10")
+def feedback_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(10)
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type = 'purchase') = 0")
+def feedback_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("pos")).where("pos = 0").drop("pos")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100")
+def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).offset(100).limit(50).select("event_id", "event_type")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY 1")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.percentiles(table(spark, sf_dir, "events"), "value", ["event_type"])
+
+
+@query("""WITH l AS (SELECT user_id, datediff('day', max(ts)::DATE, DATE '2024-12-31')::INT AS days FROM events GROUP BY 1)
+SELECT user_id, days, CASE WHEN days <= 7 THEN 'fresh' WHEN days <= 30 THEN 'aging' ELSE 'stale' END AS bucket, round(greatest(1 - days / 90, 0), 4) AS score FROM l""")
+def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.staleness(table(spark, sf_dir, "events"), "user_id", F.col("ts").cast("date"), F.lit("2024-12-31").cast("date"))
+
+
+_PROFILE = """g AS (SELECT source, count(*) AS files, sum(n_chars)::BIGINT AS bytes, count(*) FILTER (WHERE lang = 'en') AS indexable FROM documents GROUP BY 1)"""
+
+
+@query(f"""WITH {_PROFILE} SELECT source, files, bytes, indexable, round(bytes / (SELECT sum(bytes) FROM g), 6) AS share,
+CASE WHEN files < 50 THEN 'small' WHEN files < 300 THEN 'medium' WHEN files < 2000 THEN 'large' ELSE 'huge' END AS size_label FROM g""")
+def scan_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.profile(table(spark, sf_dir, "documents"), "source", F.col("n_chars"), F.col("lang") == "en")
+
+
+@query(f"""WITH {_PROFILE}, r AS (SELECT source, files, (row_number() OVER (ORDER BY files DESC, source) - 1)::INT AS rank, count(*) OVER () AS n FROM g)
+SELECT source, files, rank FROM r WHERE list_contains(list_transform(range(5), lambda i: round_even(i * greatest((n - 1) / 4, 0), 0)::INT), rank)""")
+def phase_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folders = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"))
+    return analytics.spaced(folders, [F.desc("files"), F.asc("source")], 5)
+
+
+@query("""WITH g AS (SELECT user_id, min(value) AS lo, max(value) AS hi, avg(value) AS mean FROM events GROUP BY 1)
+SELECT user_id, round(CASE WHEN hi = lo THEN mean ELSE (mean - lo) / (hi - lo) END, 6) AS confidence FROM g""")
+def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.confidence(table(spark, sf_dir, "events"), "user_id", "value")
+
+
+@query("SELECT event_type, props, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 3")
+def corrections_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type", "props").agg(F.count("*").alias("n")).where("n >= 3")
+
+
+# --- record cards ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size >= 10 AND p_size <= 30 AND p_brand = 'Brand#13' AND p_type ILIKE '%steel%'")
+def card_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where("p_size >= 10 AND p_size <= 30 AND p_brand = 'Brand#13' AND p_type ILIKE '%steel%'").select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_name ILIKE '%an%' OR p_type ILIKE '%brass%' OR p_brand ILIKE '%11%'")
+def card_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where("p_name ILIKE '%an%' OR p_type ILIKE '%brass%' OR p_brand ILIKE '%11%'").select("p_partkey", "p_name", "p_type")
+
+
+@query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name IS NOT NULL AND n_name NOT ILIKE '%CHINA%'")
+def scope_overseas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").where("n_name IS NOT NULL AND n_name NOT ILIKE '%CHINA%'")
+    return table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
+
+
+@query("""SELECT s_suppkey AS code, CASE WHEN s_suppkey % 4 = 0 THEN s_name || ' (manual)' WHEN s_suppkey % 3 = 0 THEN s_name || ' (web)' ELSE s_name END AS name,
+CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS value FROM supplier""")
+def card_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("value"))
+    inferred = base.withColumns({"rank": F.lit(1), "seq": F.lit(1)})
+    web = base.where("code % 3 = 0").select("code", F.concat("name", F.lit(" (web)")).alias("name"), (F.col("value") + 1).alias("value"), F.lit(2).alias("rank"), F.lit(1).alias("seq"))
+    manual = base.where("code % 4 = 0").select("code", F.concat("name", F.lit(" (manual)")).alias("name"), F.lit(None).cast("double").alias("value"), F.lit(3).alias("rank"), F.lit(1).alias("seq"))
+    return maintenance.merged_by_source(inferred.unionByName(web).unionByName(manual), "code", ["name", "value"], "rank", "seq")
+
+
+# --- paths and classification ----------------------------------------------------------------------------------------
+
+_PATH = """'/archive/' || o_custkey || ' Project/0' || (o_orderkey % 5) || ' ' || CASE o_orderkey % 5 WHEN 0 THEN 'Tender Issued' WHEN 1 THEN 'Concept' WHEN 2 THEN 'Site' WHEN 3 THEN 'Old' ELSE 'Misc' END || '/A-' || o_orderkey || '_rev' || (o_orderkey % 7) || '_' || CASE WHEN o_orderkey % 3 = 0 THEN '20230230' ELSE '20240115' END || CASE o_orderkey % 4 WHEN 0 THEN '.dwg' WHEN 1 THEN '.PDF' WHEN 2 THEN '.xlsx' ELSE '' END"""
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_PATH.replace("o_custkey ||", "cast(o_custkey as string) ||")).alias("path"))
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, {_PATH} AS path FROM orders), e AS (SELECT *, regexp_extract(path, '[^/]+$') AS file_name, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext FROM p)
+SELECT o_orderkey, path, file_name, ext, CASE ext WHEN 'dwg' THEN 'drawing' WHEN 'pdf' THEN 'document' WHEN 'xlsx' THEN 'spreadsheet' ELSE 'other' END AS content_type,
+CASE WHEN ext IN ('pdf', 'xlsx') THEN 'TEXT_EXTRACTABLE' ELSE 'METADATA_ONLY' END AS lane, (o_orderkey % 7)::INT AS revision,
+CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE DATE '2024-01-15' END::VARCHAR AS file_date, (o_orderkey % 5 = 0)::INT AS is_issued, (o_orderkey % 5 = 3)::INT AS is_superseded, 0 AS is_received FROM e""")
+def path_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.parsed(_paths(spark, sf_dir), "path").withColumn("file_date", F.col("file_date").cast("string"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'tender' WHEN 1 THEN 'concept' WHEN 2 THEN 'construction' ELSE 'archive' END AS stage FROM orders WHERE o_orderkey % 5 <> 4")
+def stage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = F.element_at(F.split("path", "/"), -2)
+    return paths.stage_match(_paths(spark, sf_dir), "o_orderkey", folder, paths.taxonomy(spark, paths.STAGES))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence FROM orders")
+def project_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("o_orderkey", paths.infer(F.col("path"), [(r"/[0-9]+ Project/", 0.7)], [("tender", 0.4)]).alias("confidence"))
+
+
+@query("""WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM part)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN len(ws) >= 2 THEN [array_to_string(list_transform(ws, lambda x: x[1:1]), '')] ELSE []::VARCHAR[] END, list_filter(ws, lambda x: length(x) >= 3)))), ',') AS aliases FROM w""")
+def alias_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(paths.aliases(F.col("p_name")), ",").alias("aliases"))
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace('RE: ' || text, '^(?i:re|fwd?):\\s*', ''), ' ') AS subject, 'example.org' AS domain FROM conversations")
+def email_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subject = tx.strip_reply(F.concat(F.lit("RE: "), "text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", subject.alias("subject"), tx.email_domain(F.concat("role", F.lit("@Example.org "))).alias("domain"))
+
+
+# --- web pages -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT page_id, unnest(regexp_extract_all(coalesce(html, ''), 'href=\"(/[^\"]*)\"', 1)) AS link FROM pages")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("link")).distinct()
+
+
+@query("SELECT page_id, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS title, regexp_extract(coalesce(html, ''), '<html lang=\"([a-z]+)\"', 1) AS lang, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages")
+def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.coalesce("html", F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(html, '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("host"))
+
+
+@query("""SELECT page_id, upper(left(array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_extract(url, '^https?://([^/:?#]+)', 1), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: x[1:1]), ''), 6)) AS code FROM pages""")
+def url_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.array_remove(F.split(F.regexp_extract("url", "^https?://([^/:?#]+)", 1), "[^a-z0-9]+"), "")
+    return table(spark, sf_dir, "pages").select("page_id", F.upper(F.substring(F.array_join(F.transform(parts, lambda x: F.substring(x, 1, 1)), ""), 1, 6)).alias("code"))
+
+
+# --- routing and evaluation ------------------------------------------------------------------------------------------
+
+QUESTIONS = [
+    (1, "How many projects have GFA over 5000?", "structured"),
+    (2, "Find the latest drawing for 186", "structured"),
+    (3, "Explain the facade strategy", "structured"),
+    (4, "show me the file", "file_locator"),
+    (5, "why was it done", "semantic"),
+    (6, "hello", "semantic"),
+    (7, "where is the latest issue of 2024", "file_locator"),
+]
+_ROUTED = "(VALUES (1, 'structured', 1.0, '5000'), (2, 'file_locator', 1.0, '186'), (3, 'semantic', 0.7, NULL), (4, 'file_locator', 0.5, NULL), (5, 'semantic', 0.45, NULL), (6, 'semantic', 0.2, NULL), (7, 'file_locator', 0.75, '2024'))"
+
+
+@query(f"SELECT id, mode, confidence::DOUBLE AS confidence, code FROM {_ROUTED} t(id, mode, confidence, code)")
+def route_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.routed(spark.createDataFrame(QUESTIONS, "id int, q string, expected string"), "q").select("id", "mode", "confidence", "code")
+
+
+@query("SELECT * FROM (VALUES (1, 'area'), (2, 'drawing'), (3, 'facade'), (4, ''), (5, ''), (6, ''), (7, '')) t(id, tags)")
+def expand_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame(QUESTIONS, "id int, q string, expected string")
+    return asked.select("id", F.array_join(routing.concept_tags(F.col("q")), ",").alias("tags"))
+
+
+@query(f"""WITH {_BM25}, hits AS (SELECT b.doc_id, row_number() OVER (ORDER BY bm25 DESC, b.doc_id) AS r FROM b)
+SELECT d.lang, round(avg((coalesce(r, 1000000) <= 100)::INT), 6) AS recall FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY 1""")
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    top = search.bm25(docs, "doc_id", "text", TERMS).orderBy(F.desc("bm25"), "doc_id").limit(100).select("doc_id", F.lit(1).alias("hit"))
+    return docs.select("doc_id", "lang").join(F.broadcast(top), "doc_id", "left").groupBy("lang").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+
+
+@query()
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from lodefall.streaming import incremental
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    found = incremental.deduplicated(incremental.events(spark, f"{sf_dir}/events.parquet"), "event_id", late="3650 days")
+    return incremental.drained(found, f"{root}/out", f"{root}/state").select("event_id", "event_type")
