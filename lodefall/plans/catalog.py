@@ -28,7 +28,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
 
-TERMS = ["the", "threst", "and", "onthe"]
+TERMS = ["lyer", "threst", "anhe", "the"]
 PROBE = [round(((7 * k) % 13 - 6) / 6, 4) for k in range(64)]
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -42,13 +42,13 @@ _PROBE = "[" + ", ".join(map(str, PROBE)) + "]::DOUBLE[]"
 _KNN = f"v AS (SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], {_PROBE}), 4) AS distance FROM embeddings)"
 
 
-@query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM b ORDER BY bm25 DESC, doc_id LIMIT 30")
+@query(f"WITH {_BM25} SELECT doc_id, round(b.bm25, 6) AS bm25 FROM b ORDER BY b.bm25 DESC, doc_id LIMIT 30")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS)
     return found.orderBy(F.desc("bm25"), "doc_id").limit(30).withColumn("bm25", F.round("bm25", 6))
 
 
-@query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM b WHERE lang = 'en' AND source = 'src3' ORDER BY bm25 DESC, doc_id LIMIT 30")
+@query(f"WITH {_BM25} SELECT doc_id, round(b.bm25, 6) AS bm25 FROM b WHERE lang = 'en' AND source = 'src3' ORDER BY b.bm25 DESC, doc_id LIMIT 30")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scope = docs.where("lang = 'en' AND source = 'src3'").select("doc_id")
