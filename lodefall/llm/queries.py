@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefall.llm import bpe, decontaminate, langid, pii, rnnlm, rules, secrets, sharding, simhash, warc
-from lodefall.llm.common import scratch
+from lodefall.llm.common import cut, scratch
 from lodefall.llm.oracles import ORACLES
 from lodefall.session import table
 
@@ -29,7 +29,8 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_archives(spark, path, payloads=False))
+    # written out without payloads, since assembling reads the records several times
+    captures = warc.assemble(cut(warc.read_archives(spark, path, payloads=False)))
     page = F.regexp_extract(F.decode("metadata.block", "UTF-8"), r"page-id: (-?\d+)", 1)
     refers = F.regexp_extract("capture.refers_to", r"^<urn:lodefall:capture:(-?\d+):", 1)
     return captures.select(

@@ -1,7 +1,7 @@
 """WARC archives: writing them with Spark's text writer, reading them back, and assembling transactions.
 
 A transaction is a request, a response (or a revisit of an equal payload) and a metadata record, tied by
-WARC-Concurrent-To. The archives are plain WARC/1.1 files: each record is one string and the line separator is the
+WARC-Concurrent-To. The archives are WARC/1.1 files in gzip, a member per file: each record is one string and the line separator is the
 record separator, so Spark's commit protocol covers them and a retried task leaves no double records.
 
 Defined results: a null html is an empty payload; a null url is written as an empty target; control characters and blanks
@@ -85,7 +85,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         record("metadata", [("WARC-Record-ID", own("metadata")), ("WARC-Concurrent-To", own("request")), *common, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), page, F.lit(CRLF))),
     )
     lines = rows.select(F.explode(records).alias("value"))
-    lines.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def inflated(content: bytes) -> bytes:
