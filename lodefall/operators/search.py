@@ -10,23 +10,20 @@ from lodefall.functions.text import tokens
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, dl (tokens of the row) and its tokens as an array; the one pass over the texts that a query needs."""
-    return docs.select(F.col(key), tokens(F.col(text)).alias("ts")).select(key, F.size("ts").alias("dl"), "ts")
-
-
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """key and bm25 (larger is better) of the rows with a term. Document frequencies, lengths and the row count are of all
     rows whatever is filtered afterwards. Term frequencies are counted in place, so nothing is exploded or shuffled but
     one row of statistics."""
     uses = {t: terms.count(t) for t in dict.fromkeys(terms)}
-    rows = postings(docs, key, text)
 
-    def occurrences(term: str) -> Column:
-        return F.size(F.filter("ts", lambda x: x == term))
+    def occurrences(ts: Column, term: str) -> Column:
+        return F.size(F.filter(ts, lambda x: x == term))
 
-    freq = {t: occurrences(t) for t in uses}
-    counted = rows.select(key, "dl", *(f.alias(f"f{k}") for k, f in enumerate(freq.values())))
+    # the tokens are bound once per row: as a plain column each use would split the text again
+    measured = lambda ts: F.struct(F.size(ts).alias("dl"), *(occurrences(ts, t).alias(f"f{k}") for k, t in enumerate(uses)))
+    bound = F.get(F.transform(F.array(tokens(F.col(text))), measured), F.lit(0))
+    # a generator keeps the optimizer from copying the expression into each of its uses
+    counted = docs.select(key, F.inline(F.array(bound)))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(uses))))
     both = counted.where(F.greatest(*(F.col(f"f{k}") for k in range(len(uses))), F.lit(0)) > 0) if uses else counted.where(F.lit(False))
     both = both.crossJoin(F.broadcast(stats))  # one row
