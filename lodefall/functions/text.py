@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +63,41 @@ def snippet(text: Column, terms: list[str], width: int = 160) -> Column:
     places = [F.when(F.instr(folded, t) > 0, F.instr(folded, t)) for t in terms]
     first = F.coalesce(F.least(*places, F.lit(None)) if len(places) > 1 else (places or [F.lit(None)])[0], F.lit(1))
     return F.substring(text, first, F.lit(width))
+
+
+#: Words that questions have in common, with those that say little about an archive of buildings.
+STOP = frozenset(
+    """a an the and or but is are was were be been being have has had do does did will would could should may might shall can
+    for to of in on at by from with into through during before after above below between out up down about it its this that these
+    those what which who whom when where why how all each every both few more most other some such no not only same so than too very
+    just also any if as i me my you your he she they their them we our us architecture architectural building project find get""".split()
+)
+
+
+def boosted_terms(question: str, expansions: list[str], cap: int = 40) -> list[str]:
+    """The question's terms, repeats included, then the new words of its expansions (3 characters and more)."""
+    def split(x: str) -> list[str]:
+        return re.sub(r"[^\w\s]", " ", x).split()
+
+    base = [w for w in split(question) if w.lower() not in STOP and len(w) > 1]
+    seen, extra = {w.lower() for w in base}, []
+    for w in (w for e in expansions for w in split(e)):
+        if w.lower() not in seen and w.lower() not in STOP and len(w) > 2:
+            seen.add(w.lower())
+            extra.append(w)
+    return (base + extra)[:cap]
+
+
+def confidence_label(value: Column) -> Column:
+    return F.when(value >= 0.8, "High").when(value >= 0.55, "Medium").when(value > 0, "Low").otherwise("Not Found")
+
+
+def card_text(fields: dict[str, Column]) -> Column:
+    """Lines `label: value` of the fields that have a value, in order."""
+    lines = (F.when(F.coalesce(v.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in fields.items())
+    return F.concat_ws("\n", *lines)
+
+
+def day_mode(at: Column, first: int = 6, last: int = 22) -> Column:
+    """day from hour `first` to before `last`, else night."""
+    return F.when((F.hour(at) >= first) & (F.hour(at) < last), "day").otherwise("night")

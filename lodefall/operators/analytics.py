@@ -54,3 +54,54 @@ def confidence(df: DataFrame, by: str, score: str) -> DataFrame:
     out = df.groupBy(by).agg(F.min(score).alias("lo"), F.max(score).alias("hi"), F.avg(score).alias("mean"))
     value = F.when(F.col("hi") == F.col("lo"), F.col("mean")).otherwise((F.col("mean") - F.col("lo")) / (F.col("hi") - F.col("lo")))
     return out.select(by, F.round(value, 6).alias("confidence"))
+
+
+def extension_stats(df: DataFrame, ext: str, size: Column, top: int) -> DataFrame:
+    """Number, bytes and share of the `top` extensions by bytes, and a row `other` for the rest."""
+    per = df.groupBy(F.coalesce(F.nullif(F.col(ext), F.lit("")), F.lit("(none)")).alias("ext")).agg(F.count("*").alias("files"), F.sum(size).alias("bytes"))
+    rank = F.row_number().over(Window.orderBy(F.desc("bytes"), "ext"))  # a row per extension
+    named = per.withColumn("ext", F.when(rank <= top, F.col("ext")).otherwise("other"))
+    out = named.groupBy("ext").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+    total = out.agg(F.sum("bytes").alias("all_bytes"))
+    return out.crossJoin(F.broadcast(total)).select("ext", "files", "bytes", F.round(F.try_divide(F.col("bytes"), F.col("all_bytes")), 6).alias("share"))
+
+
+def checks(named: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """A row per check: its name, the number of rows that fail it, and whether none does."""
+    out = None
+    for name, (df, fails) in named.items():
+        row = df.agg(F.count_if(F.coalesce(fails, F.lit(False))).alias("failing")).select(F.lit(name).alias("check"), "failing", (F.col("failing") == 0).alias("passed"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def siblings(df: DataFrame, root: str, folder: str) -> DataFrame:
+    """root, folder and 0.15 where over half of a root's folders begin with the same token, else 0."""
+    token = F.lower(F.element_at(F.split(folder, r"[-_.\s]+"), 1))
+    rows = df.select(root, folder, token.alias("_token")).distinct()
+    per = rows.groupBy(root, "_token").agg(F.count("*").alias("_n"))
+    total = per.groupBy(root).agg(F.sum("_n").alias("_all"))
+    share = per.join(total, root).select(root, "_token", (F.col("_n") / F.col("_all")).alias("_share"))
+    score = F.when((F.col("_token") != "") & (F.col("_share") > 0.5), 0.15).otherwise(0.0)
+    return rows.join(share, [root, "_token"]).select(root, folder, score.alias("score"))
+
+
+def segment_audit(df: DataFrame, segments: Column, known: DataFrame, name: str, top: int) -> DataFrame:
+    """How often each path segment occurs, and whether the taxonomy knows it; the `top` most frequent of either kind."""
+    counts = df.select(F.explode(segments).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
+    marked = counts.join(known.select(name).distinct().withColumn("_known", F.lit(True)), name, "left").withColumn("matched", F.coalesce("_known", F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy("matched").orderBy(F.desc("n"), name))
+    return marked.withColumn("_rank", rank).where(F.col("_rank") <= top).select(name, "n", "matched")
+
+
+def missing_fields(df: DataFrame, key: str, required: list[str], confidence: dict[str, str], least: float = 0.5) -> DataFrame:
+    """key and the required fields that are null or inferred with less than `least` confidence."""
+    gone = (F.when(F.col(c).isNull() | (F.coalesce(F.col(confidence[c]), F.lit(1.0)) < least if c in confidence else F.lit(False)), c) for c in required)
+    return df.select(key, F.array_compact(F.array(*gone)).alias("missing")).where(F.size("missing") > 0)
+
+
+def card_confidence(sources: Column) -> Column:
+    """By where the fields of a record come from (array of source names)."""
+    manual = F.exists(sources, lambda s: s == "manual")
+    level = F.when(F.forall(sources, lambda s: s == "manual"), 1.0).when(manual, 0.85).when(F.exists(sources, lambda s: s == "web"), 0.75).otherwise(0.55)
+    return F.when(F.coalesce(F.size(sources), F.lit(0)) <= 0, 0.3).otherwise(level)

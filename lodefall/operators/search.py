@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodefall.functions.text import tokens
+from lodefall.functions import stem
+from lodefall.functions.text import BREAK, LOWER, UPPER, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+def bm25(docs: DataFrame, key: str, text: str, terms: list[str], stemmed: bool = False) -> DataFrame:
     """key and bm25 (larger is better) of the rows with a term. Document frequencies, lengths and the row count are of all
     rows whatever is filtered afterwards. Term frequencies are counted in place, so nothing is exploded or shuffled but
-    one row of statistics."""
-    uses = {t: terms.count(t) for t in dict.fromkeys(terms)}
-
-    def occurrences(ts: Column, term: str) -> Column:
-        return F.size(F.filter(ts, lambda x: x == term))
-
+    one row of statistics. A term of several tokens (a_b) is a phrase. With `stemmed`, tokens and terms are compared by
+    their Porter stems; only tokens that begin like a term's stem leave the JVM."""
+    phrases = [tuple(x for x in re.split(BREAK, t.translate(str.maketrans(UPPER, LOWER))) if x) for t in terms]
+    phrases = [tuple(map(stem.porter, p)) if stemmed else p for p in phrases if p]
+    uses = {p: phrases.count(p) for p in dict.fromkeys(phrases)}
+
+    def occurrences(ts: Column, phrase: tuple[str, ...]) -> Column:
+        if len(phrase) == 1:
+            return F.size(F.filter(ts, lambda x: x == phrase[0]))
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ts) - len(phrase) + 1, F.lit(1))), lambda i: F.slice(ts, i, len(phrase)) == F.array(*map(F.lit, phrase)))
+        return F.size(starts)
+
+    ts = tokens(F.col(text))
+    if stemmed:
+        # a stem keeps all but the last two characters of its word's beginning, so other tokens can't match and are blanked
+        heads = sorted({x[: max(1, len(x) - 2)] for p in uses for x in p}) or [" "]
+        near = "^(?:" + "|".join(map(re.escape, heads)) + ")"
+        docs = docs.select(key, F.transform(ts, lambda x: F.when(x.rlike(near), x).otherwise("")).alias("_ts"))
+        docs, ts = docs.select(key, stem.stems(F.col("_ts")).alias("_ts")), F.col("_ts")
     # the tokens are bound once per row: as a plain column each use would split the text again
     measured = lambda ts: F.struct(F.size(ts).alias("dl"), *(occurrences(ts, t).alias(f"f{k}") for k, t in enumerate(uses)))
-    bound = F.get(F.transform(F.array(tokens(F.col(text))), measured), F.lit(0))
+    bound = F.get(F.transform(F.array(ts), measured), F.lit(0))
     # a generator keeps the optimizer from copying the expression into each of its uses
     counted = docs.select(key, F.inline(F.array(bound)))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(uses))))
@@ -73,3 +91,48 @@ def rollup(results: DataFrame, parent: str, name: str, score: str) -> DataFrame:
     out = results.groupBy(parent).agg(F.count("*").alias("n"), F.round(0.95 * F.max(score), 6).alias("score"), names.alias("ns")).where("n >= 2")
     more = F.when(F.col("n") > 3, F.concat(F.lit(" +"), (F.col("n") - 3).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
     return out.select(parent, "n", "score", F.concat(F.array_join(F.slice("ns", 1, 3), ", "), more).alias("names"))
+
+
+def reranked(ranked: DataFrame, rank: str, question: str, text: str, top: int, scorer: Callable[[str, list[str]], list[float]] | None = None) -> DataFrame:
+    """Reorders the first `top` rows (by `rank`, from 1) by an injected scorer; the tail and, without one, all rows stay."""
+    if scorer is None:
+        return ranked.withColumn("new_rank", F.col(rank))
+    
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(scorer(question, texts.fillna("").tolist()), dtype="float64")
+
+    head = F.col(rank) <= top
+    scored = ranked.withColumn("_score", F.when(head, score(F.col(text))))
+    order = Window.orderBy(F.when(head, 0).otherwise(1), F.desc_nulls_last("_score"), rank)  # few rows: results are limited
+    return scored.withColumn("new_rank", F.row_number().over(order)).drop("_score")
+
+
+def embedded(chunks: DataFrame, key: str, text: str, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """key and embedding of the chunks with text, by an injected batch function, an Arrow batch at a time. If a batch
+    fails, its texts are tried one by one; those that fail again have null."""
+
+    def one(t: str) -> list[float] | None:
+        try:
+            return list(embed([t])[0])
+        except Exception:  # noqa: BLE001 - whatever the injected function raises
+            return None
+
+    def run(batches):
+        for batch in batches:
+            texts = batch["_text"].tolist()
+            try:
+                out = [list(v) for v in embed(texts)] if texts else []
+            except Exception:  # noqa: BLE001
+                out = [one(t) for t in texts]
+            yield pd.DataFrame({key: batch[key], "embedding": out})
+
+    rows = chunks.select(key, F.col(text).alias("_text")).where(F.trim(F.coalesce("_text", F.lit(""))) != "")
+    return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<float>")
+
+
+def evidence(ranked: DataFrame, by: str, rank: str, citation: str, text: str, top: int = 3) -> DataFrame:
+    """The first results of each question as one numbered text."""
+    few = ranked.where(F.col(rank) <= top)
+    line = F.concat(F.lit("["), F.col(rank).cast("string"), F.lit("] "), F.col(citation).cast("string"), F.lit("\n"), F.coalesce(text, F.lit("")))
+    return few.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), line.alias("l")))), lambda x: x["l"]), "\n\n").alias("context"))

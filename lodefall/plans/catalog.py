@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefall.functions import text as tx
 from lodefall.operators import analytics, maintenance, paths, routing, search, sections
+from lodefall.plans.registry import ORACLES, QUERIES, query
 from lodefall.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
 

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodefall.plans import catalog
+from lodefall.plans import archive, catalog  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
