@@ -58,7 +58,7 @@ def _past(s: str) -> str:
         return s
     if base.endswith(("at", "bl", "iz")):
         return base + "e"
-    if len(base) > 1 and base[-1] == base[-2] and _shape(base)[-1] == "c" and base[-1] not in "lsz":
+    if len(base) > 1 and base[-1] == base[-2] and base[-1] not in "aeioulsz":
         return base[:-1]
     return base + "e" if _measure(base) == 1 and _short_end(base) else base
 

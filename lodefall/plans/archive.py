@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefall.functions import text as tx
-from lodefall.operators import analytics, classify, paths, resolution, search
+from lodefall.operators import analytics, classify, paths, resolution, routing, search
 from lodefall.plans import catalog
 from lodefall.plans.registry import query
 from lodefall.session import table
@@ -230,3 +230,14 @@ def evidence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc(F.length("text")), "turn"))
     return search.evidence(table(spark, sf_dir, "conversations").withColumn("rank", rank), "conv_id", "rank", "turn", "text")
+
+
+_ASKED = ((1, "Which projects are residential?"), (2, "What is 261?"), (3, "Explain the facade of hotels in Bali"), (4, "Latest BIM of 186 in 2023"), (5, "GFA over 5,000 sqm, who is the client"), (6, None))
+
+
+@query("""SELECT * FROM (VALUES (1, 'cross_project', 0.85::DOUBLE, NULL, 'typology=residential'), (2, 'structured', 0.35, NULL, 'project_code=261'), (3, 'semantic', 1.0, NULL, 'content_type=CAD,location=Indonesia,typology=hospitality'),
+(4, 'file_locator', 0.95, NULL, 'canonical_category=bim,content_type=BIM,date_from=2023-01-01,date_to=2023-12-31,is_latest=1,project_code=186'), (5, 'structured', 1.0, NULL, 'gfa_min=5000.0'), (6, 'semantic', 0.2, NULL, '')) t(id, mode, confidence, secondary, filters)""")
+def classify_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = routing.classified(spark.createDataFrame(_ASKED, "id int, q string"), "q")
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("filters"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return asked.select("id", "mode", "confidence", "secondary", shown.alias("filters"))
