@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,10 +44,13 @@ def grams(text: Column, n: int = GRAM) -> Column:
 
 def by_alias(paths: DataFrame, key: str, path: str, aliases: DataFrame, alias: str, order: str, value: str) -> DataFrame:
     """key and value of the longest alias (3 characters at least; then by `order`) within the path, case ignored. Joined
-    on the alias's first three characters, then verified."""
-    a = aliases.select(F.lower(alias).alias("_alias"), F.col(order).alias("_order"), F.col(value).alias(value)).where(F.length("_alias") >= GRAM).withColumn("_gram", F.substring("_alias", 1, GRAM))
+    on the alias's run of three characters that fewest aliases have, then verified; so aliases that begin alike don't
+    all meet each path."""
+    a = aliases.select(F.lower(alias).alias("_alias"), F.col(order).alias("_order"), F.col(value).alias(value)).where(F.length("_alias") >= GRAM)
+    runs = a.select("_alias").distinct().select("_alias", F.explode(grams(F.col("_alias"))).alias("_gram"))
+    rare = runs.join(runs.groupBy("_gram").agg(F.count("*").alias("_n")), "_gram").groupBy("_alias").agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
     p = paths.select(key, F.lower(F.replace(path, F.lit("\\"), F.lit("/"))).alias("_path"))
-    hits = p.select(key, "_path", F.explode(grams(F.col("_path"))).alias("_gram")).join(a, "_gram").where(F.contains("_path", F.col("_alias")))
+    hits = p.select(key, "_path", F.explode(grams(F.col("_path"))).alias("_gram")).join(a.join(rare, "_alias"), "_gram").where(F.contains("_path", F.col("_alias")))
     return hits.groupBy(key).agg(F.max_by(value, F.struct(F.length("_alias"), -F.col("_order"))).alias(value))
 
 
@@ -57,15 +61,22 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similar(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float = 0.8) -> DataFrame:
-    """Distinct pairs of strings with a ratio over the threshold (0.8 or more), and the ratio. Such strings are equal or
-    share two adjacent characters, and their lengths bound the ratio; so candidates come from an equi-join."""
-    def keyed(df: DataFrame, c: str) -> DataFrame:
+    """Distinct pairs of strings with a ratio over the threshold (0.8 or more), and the ratio. With S characters in both,
+    fewer than u = (1 - threshold) S are unmatched, and with d characters more in the longer one fewer than 1.5 u - d / 2
+    pairs of adjacent characters of the shorter one are lost. So candidates are counted in an equi-join on such pairs, and
+    only those with enough in common are compared; no true pair is lost."""
+
+    def keyed(df: DataFrame, c: str, n: str) -> DataFrame:
         rows = df.select(F.col(c).alias(c)).where(F.coalesce(c, F.lit("")) != "").distinct()
-        return rows.select(c, F.explode(F.when(F.length(c) < 3, F.array(c)).otherwise(grams(F.col(c), 2))).alias("_gram"))
+        rows = rows.withColumn("_gs", F.when(F.length(c) < 3, F.array(c)).otherwise(grams(F.col(c), 2)))
+        return rows.select(c, F.size("_gs").alias(n), F.explode("_gs").alias("_gram"))
 
-    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    pairs = keyed(left, a).join(keyed(right, b), "_gram").where(2 * short > threshold * (short + long)).select(a, b).distinct()
-    return pairs.withColumn("ratio", similarity(F.col(a), F.col(b))).where(F.col("ratio") > threshold)
+    la, lb = F.length(a), F.length(b)
+    total, more = la + lb, F.abs(la - lb)
+    pairs = keyed(left, a, "_na").join(keyed(right, b, "_nb"), "_gram").where(2 * F.least(la, lb) > threshold * total)
+    counted = pairs.groupBy(a, b).agg(F.count("*").alias("_shared"), F.first(F.when(la < lb, F.col("_na")).when(la > lb, F.col("_nb")).otherwise(F.greatest("_na", "_nb"))).alias("_n"))
+    near = counted.where(F.col("_shared") > F.col("_n") - 1.5 * (1 - threshold) * total + more / 2 - 1e-9).select(a, b)
+    return near.withColumn("ratio", similarity(F.col(a), F.col(b))).where(F.col("ratio") > threshold)
 
 
 def by_name(paths: DataFrame, key: str, path: str, cards: DataFrame, name: str, order: str, value: str) -> DataFrame:
@@ -80,17 +91,20 @@ def resolved(paths: DataFrame, key: str, path: str, cards: DataFrame, aliases: D
     """key, project_code, confidence and method of every path (null where none is found). `cards` has project_code, name,
     root_path and ordinal; `aliases` has project_code, alias and ordinal. The first way that finds a project wins."""
     rows = paths.select(key, path)
-    found = by_prefix(rows, key, path, cards, "root_path", "ordinal", "project_code").withColumns({"confidence": F.lit(1.0), "method": F.lit("root_path")})
-    for level, method in ((0.95, "project_number"), (0.85, "alias_match"), (0.70, "fuzzy_name")):
-        rest = rows.join(found.select(key), key, "left_anti")
-        if method == "project_number":
-            more = by_code(rest, key, path, cards, "project_code")
-        elif method == "alias_match":
-            more = by_alias(rest, key, path, aliases, "alias", "ordinal", "project_code")
-        else:
-            more = by_name(rest, key, path, cards, "name", "ordinal", "project_code")
-        found = found.unionByName(more.withColumns({"confidence": F.lit(level), "method": F.lit(method)}))
-    return rows.select(key).join(found, key, "left")
+    ways = (
+        (1.0, "root_path", by_prefix(rows, key, path, cards, "root_path", "ordinal", "project_code")),
+        (0.95, "project_number", by_code(rows, key, path, cards, "project_code")),
+        (0.85, "alias_match", by_alias(rows, key, path, aliases, "alias", "ordinal", "project_code")),
+    )
+    named = lambda level, method, df: df.select(key, F.struct(F.col("project_code"), F.lit(level).alias("confidence"), F.lit(method).alias("method")).alias("_f"))
+    every = reduce(DataFrame.unionByName, (named(*way) for way in ways))
+    sure = every.groupBy(key).agg(F.max_by("_f", "_f.confidence").alias("_f"))
+    # the dear comparison of names is for the rest only
+    known = rows.join(sure, key, "left")
+    rest = known.where("_f IS NULL").select(key, path)
+    like = named(0.70, "fuzzy_name", by_name(rest, key, path, cards, "name", "ordinal", "project_code")).withColumnRenamed("_f", "_g")
+    out = known.select(key, "_f").join(like, key, "left").withColumn("_f", F.coalesce("_f", "_g"))
+    return out.select(key, "_f.project_code", "_f.confidence", "_f.method")
 
 
 def nearest_override(paths: DataFrame, key: str, path: str, overrides: DataFrame, folder: str, value: str, depth: int = 12) -> DataFrame:

@@ -95,19 +95,19 @@ def mail_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- resolution ------------------------------------------------------------------------------------------------------
 
 _JOB = """'/archive/' || CASE o_orderkey % 5 WHEN 0 THEN 'roots/' || o_custkey || '/x' WHEN 1 THEN 'job ' || (1000 + o_custkey) || ' plans/y' WHEN 2 THEN 'the CUSTOMER ' || lpad(o_custkey::VARCHAR, 6, '0') || 'b files/z'
-WHEN 3 THEN 'House number ' || lpad(o_custkey::VARCHAR, 6, '0') || ' k/w' ELSE 'misc/q' END || '/f.pdf'"""
+WHEN 3 THEN substr(md5(o_custkey::VARCHAR), 1, 6) || '_' || substr(md5(o_custkey::VARCHAR), 7, 6) || '/w' ELSE 'misc/q' END || '/f.pdf'"""
 
 
 def _cards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     six = F.lpad(F.col("c_custkey").cast("string"), 6, "0")
-    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000).cast("string").alias("project_code"), F.col("c_custkey").alias("ordinal"), F.concat(F.lit("/archive/roots/"), F.col("c_custkey").cast("string"), F.lit("/")).alias("root_path"), F.concat(F.lit("Customer "), six, F.lit("b")).alias("alias"), F.concat(F.lit("house number "), six, F.lit("/")).alias("name"))
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000).cast("string").alias("project_code"), F.col("c_custkey").alias("ordinal"), F.concat(F.lit("/archive/roots/"), F.col("c_custkey").cast("string"), F.lit("/")).alias("root_path"), F.concat(F.lit("Customer "), six, F.lit("b")).alias("alias"), F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 12).alias("name"))
     return c.drop("alias"), c.select("project_code", "alias", "ordinal")
 
 
 @query()
 def resolve_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards, aliases = _cards(spark, sf_dir)
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 3").select("o_orderkey", F.expr(_JOB.replace("::VARCHAR", "::STRING")).alias("path"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_JOB.replace("::VARCHAR", "::STRING")).alias("path"))
     return resolution.resolved(rows, "o_orderkey", "path", cards, aliases)
 
 
@@ -125,9 +125,9 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.similar(a, "name", b, "other")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'near' ELSE 'far' END AS project FROM orders WHERE o_orderkey % 5 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 AND o_orderkey % 5 = 0 THEN 'near' ELSE 'far' END AS project FROM orders")
 def nearest_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", F.expr(_JOB.replace("::VARCHAR", "::STRING")).alias("path"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_JOB.replace("::VARCHAR", "::STRING")).alias("path"))
     roots = table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").select(F.concat(F.lit("/archive/roots/"), F.col("o_custkey").cast("string")).alias("folder")).distinct().withColumn("project", F.lit("near"))
     base = spark.createDataFrame([("/archive", "far")], "folder string, project string")
     return resolution.nearest_override(rows, "o_orderkey", "path", roots.unionByName(base), "folder", "project")
@@ -163,7 +163,7 @@ _PHRASE = ("the_and", "of_the")
 @query(rf"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{catalog.BREAK}'), lambda x: x <> '') AS ts FROM documents),
 f AS (SELECT doc_id, len(ts) AS dl, {", ".join(f"len(list_filter(range(1, len(ts)), lambda i: ts[i] = '{p.split('_')[0]}' AND ts[i + 1] = '{p.split('_')[1]}')) AS f{k}" for k, p in enumerate(_PHRASE))} FROM t),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS n{k}" for k in range(len(_PHRASE)))} FROM f)
-SELECT doc_id, round({" + ".join(f"greatest(ln((n - n{k} + 0.5) / (n{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(_PHRASE)))}, 6) AS bm25
+SELECT doc_id, round(round({" + ".join(f"greatest(ln((n - n{k} + 0.5) / (n{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(_PHRASE)))}, 9), 6) AS bm25
 FROM f, st WHERE {" OR ".join(f"f{k} > 0" for k in range(len(_PHRASE)))}""")
 def bm25_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", list(_PHRASE)).withColumn("bm25", F.round("bm25", 6))
@@ -235,7 +235,7 @@ def evidence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ASKED = ((1, "Which projects are residential?"), (2, "What is 261?"), (3, "Explain the facade of hotels in Bali"), (4, "Latest BIM of 186 in 2023"), (5, "GFA over 5,000 sqm, who is the client"), (6, None))
 
 
-@query("""SELECT * FROM (VALUES (1, 'cross_project', 0.85::DOUBLE, NULL, 'typology=residential'), (2, 'structured', 0.35, NULL, 'project_code=261'), (3, 'semantic', 1.0, NULL, 'content_type=CAD,location=Indonesia,typology=hospitality'),
+@query("""SELECT * FROM (VALUES (1, 'cross_project', 0.85::DOUBLE, NULL::VARCHAR, 'typology=residential'), (2, 'structured', 0.35, NULL, 'project_code=261'), (3, 'semantic', 1.0, NULL, 'content_type=CAD,location=Indonesia,typology=hospitality'),
 (4, 'file_locator', 0.95, NULL, 'canonical_category=bim,content_type=BIM,date_from=2023-01-01,date_to=2023-12-31,is_latest=1,project_code=186'), (5, 'structured', 1.0, NULL, 'gfa_min=5000.0'), (6, 'semantic', 0.2, NULL, '')) t(id, mode, confidence, secondary, filters)""")
 def classify_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = routing.classified(spark.createDataFrame(_ASKED, "id int, q string"), "q")

@@ -244,9 +244,9 @@ def corrections_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- record cards ----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_size >= 10 AND p_size <= 30 AND p_brand = 'Brand#13' AND p_type ILIKE '%steel%'")
+@query("SELECT p_partkey, p_name FROM part WHERE p_size >= 10 AND p_size <= 30 AND p_brand = 'Brand#13' AND p_type ILIKE '%econ%'")
 def card_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_size >= 10 AND p_size <= 30 AND p_brand = 'Brand#13' AND p_type ILIKE '%steel%'").select("p_partkey", "p_name")
+    return table(spark, sf_dir, "part").where("p_size >= 10 AND p_size <= 30 AND p_brand = 'Brand#13' AND p_type ILIKE '%econ%'").select("p_partkey", "p_name")
 
 
 @query("SELECT p_partkey, p_name, p_type FROM part WHERE p_name ILIKE '%an%' OR p_type ILIKE '%brass%' OR p_brand ILIKE '%11%'")

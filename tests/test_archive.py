@@ -60,7 +60,7 @@ def test_bm25_agrees_with_fts5(spark, stemmed):
 
 def test_similar_pairs_agree_with_all_pairs(spark):
     rnd = random.Random(3)
-    base = ["".join(rnd.choices("abcde ", k=rnd.randint(1, 12))) for _ in range(60)] + ["", "ab", "a", "abc"]
+    base = ["".join(rnd.choices("abcde ", k=rnd.randint(1, 12))) for _ in range(400)] + ["", "ab", "a", "abc"]
     other = [x[: len(x) // 2] + rnd.choice(["", "x", "b"]) + x[len(x) // 2 :] for x in base] + ["ab", "abcd"]
     a, b = spark.createDataFrame([(x,) for x in base * 2] + [(None,)], "a string"), spark.createDataFrame([(x,) for x in other], "b string")
     got = {(r["a"], r["b"]): r["ratio"] for r in resolution.similar(a, "a", b, "b").collect()}

@@ -49,3 +49,41 @@ def test_path_and_text_functions(spark):
     t = spark.createDataFrame([("CafÉ a_b",), (None,)], "t string")
     assert [r[0] for r in t.select(tx.tokens(F.col("t"))).collect()] == [["cafÉ", "a", "b"], []]
     assert tx.query_terms("Find the a plan", frozenset(["the"])) == ["find", "plan"]
+
+
+def zipped(members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in members.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_office_formats():
+    p = lambda t, style="": f'<w:p><w:pPr>{style}</w:pPr><w:r><w:t xml:space="preserve">{t}</w:t></w:r></w:p>'
+    doc = zipped({"word/document.xml": p("pre") + p("One", '<w:pStyle w:val="Heading1"/>') + p("a &lt; b") + p(" ") + p("Two", '<w:pStyle w:val="Heading2"/>') + p("c") + p("d", '<w:pStyle w:val="Heading4"/>')})
+    assert files.chunks("x.docx", doc) == files.chunks("x.DOC", doc) == [("sec01", "pre"), ("sec02", "One\na < b"), ("sec03", "Two\nc\nd")]
+    slides = zipped({f"ppt/slides/slide{k}.xml": f"<a:p><a:r><a:t>s{k}</a:t></a:r></a:p><a:p/>" if k != 2 else "" for k in (10, 2, 1)})
+    assert files.chunks("x.pptx", slides) == [("s01", "s1"), ("s02", ""), ("s03", "s10")]
+    sheet = '<row r="1"><c r="A1" t="s"><v>1</v></c><c r="B1"/><c r="C1"><v>2.5</v></c></row><row r="2"/><row><c t="inlineStr"><is><t>in</t></is></c></row>'
+    book = zipped({"xl/sharedStrings.xml": "<sst><si><t>zero</t></si><si><t>one &amp; two</t></si></sst>", "xl/worksheets/sheet1.xml": "", "xl/worksheets/sheet2.xml": sheet})
+    assert files.chunks("x.xlsx", book) == [("sheet02", "one & two\t2.5\nin")]
+    assert files.chunks("x.ppt", slides) == files.chunks("x.doc", b"old") == files.chunks("x.docx", b"") == files.chunks("none", b"") == []
+
+
+def test_splitting():
+    assert files.split_text("  ", 5) == [""] and files.split_text("abc", 5) == ["abc"]
+    assert files.split_text("aaa bbb ccccccccc", 5) == ["aaa", "bbb", "ccccc", "cccc"]
+    found = files.chunks("x.txt", ("# H\n" + "word " * 1000 + "\n\nlast").encode())
+    assert [r for r, _ in found] == ["sec01a", "sec01b", "sec02"] and all(len(t) <= files.TEXT_MOST for _, t in found)
+    assert files.chunks("x.md", b"") == [("sec01", "")] and files.chunks("x.md", b" \n#a\n#b") == [("sec01", "#a"), ("sec02", "#b")]
+
+
+def test_mail_records(spark):
+    raw = b"""From: =?utf-8?q?J=C3=B6?= <jo@ura.gov.sg>\nTo: a@own.example, b@other.example\nCc: \nSubject: Re: Waiver\nDate: today\nMIME-Version: 1.0
+Content-Type: multipart/mixed; boundary=X\n\n--X\nContent-Type: text/plain\n\n body\n--X\nContent-Type: text/plain\nContent-Disposition: attachment; filename=f.txt\n\nno\n--X--\n"""
+    df = spark.createDataFrame([("/m.eml", bytearray(raw)), ("/e.eml", None)], "path string, content binary")
+    m, e = sorted(files.mails(df, ("own.example",)).collect(), key=lambda r: r["path"], reverse=True)
+    assert (m["sender"], m["sender_email"], m["recipients"], m["body"], m["attachments"]) == ("Jö", "jo@ura.gov.sg", ["a@own.example", "b@other.example"], "body", ["f.txt"])
+    assert (m["thread_subject"], m["direction"], m["parties"], m["tags"]) == ("Waiver", "inbound", ["other.example", "own.example", "ura.gov.sg"], ["waiver_correspondence", "authority_correspondence"])
+    assert (e["subject"], e["direction"], e["recipients"], e["body"]) == ("", "unknown", [], "")
