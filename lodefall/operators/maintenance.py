@@ -47,3 +47,39 @@ def merged_by_source(values: DataFrame, key: str, fields: list[str], rank: str,
     """One record per key: each field from the highest source rank that has it, the later one on ties."""
     best = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(rank), F.col(seq)))).alias(c)
     return values.groupBy(key).agg(*(best(c) for c in fields))
+
+
+def preferring(first: DataFrame, second: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The union of two maps by key; the first one's value wins."""
+    a, b = first.select(*keys, F.col(value).alias("_a")), second.select(*keys, F.col(value).alias("_b"))
+    return a.join(b, keys, "full").select(*keys, F.coalesce("_a", "_b").alias(value))
+
+
+def corrected(values: DataFrame, log: DataFrame, key: str, fields: list[str], rank: str, seq: str, manual: int = 3) -> DataFrame:
+    """One record per key after the log's pending corrections (key, field, correct, seq, applied) were applied as of the
+    manual rank. Fields that the log doesn't name are null there and so leave the others' values."""
+    pending = log.where(~F.col("applied") & F.col("field").isin(*fields))
+    as_values = [F.when(F.col("field") == c, F.col("correct")).cast(values.schema[c].dataType).alias(c) for c in fields]
+    rows = pending.select(key, *as_values, F.lit(manual).alias(rank), F.col(seq))
+    return merged_by_source(values.select(key, *fields, rank, seq).unionByName(rows), key, fields, rank, seq)
+
+
+def applied(log: DataFrame) -> DataFrame:
+    """The log after its pending corrections were applied."""
+    return log.withColumn("applied", F.lit(True))
+
+
+def reset(files: DataFrame, where: Column, status: str = "DISCOVERED") -> DataFrame:
+    """The snapshot with the status of some files set back, so that the next run handles them anew."""
+    return files.withColumn("status", F.when(where, status).otherwise(F.col("status")))
+
+
+def status_totals(files: DataFrame, *by: str) -> DataFrame:
+    """Files by each column, with subtotals and the total (null)."""
+    return files.rollup(*by).agg(F.count("*").alias("files"))
+
+
+def last_indexed(events: DataFrame, files: DataFrame, by: str, kind: str = "INDEXED") -> DataFrame:
+    """The last time that a file of each project was indexed; the events are combined per file before the join."""
+    last = events.where(F.col("event_type") == kind).groupBy("file_id").agg(F.max("ts").alias("ts"))
+    return files.select("file_id", by).join(last, "file_id").groupBy(by).agg(F.max("ts").alias("last_indexed"))

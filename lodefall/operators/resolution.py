@@ -61,22 +61,44 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similar(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float = 0.8) -> DataFrame:
-    """Distinct pairs of strings with a ratio over the threshold (0.8 or more), and the ratio. With S characters in both,
-    fewer than u = (1 - threshold) S are unmatched, and with d characters more in the longer one fewer than 1.5 u - d / 2
-    pairs of adjacent characters of the shorter one are lost. So candidates are counted in an equi-join on such pairs, and
-    only those with enough in common are compared; no true pair is lost."""
-
-    def keyed(df: DataFrame, c: str, n: str) -> DataFrame:
-        rows = df.select(F.col(c).alias(c)).where(F.coalesce(c, F.lit("")) != "").distinct()
-        rows = rows.withColumn("_gs", F.when(F.length(c) < 3, F.array(c)).otherwise(grams(F.col(c), 2)))
-        return rows.select(c, F.size("_gs").alias(n), F.explode("_gs").alias("_gram"))
-
-    la, lb = F.length(a), F.length(b)
-    total, more = la + lb, F.abs(la - lb)
-    pairs = keyed(left, a, "_na").join(keyed(right, b, "_nb"), "_gram").where(2 * F.least(la, lb) > threshold * total)
-    counted = pairs.groupBy(a, b).agg(F.count("*").alias("_shared"), F.first(F.when(la < lb, F.col("_na")).when(la > lb, F.col("_nb")).otherwise(F.greatest("_na", "_nb"))).alias("_n"))
-    near = counted.where(F.col("_shared") > F.col("_n") - 1.5 * (1 - threshold) * total + more / 2 - 1e-9).select(a, b)
-    return near.withColumn("ratio", similarity(F.col(a), F.col(b))).where(F.col("ratio") > threshold)
+    """Distinct pairs of strings with a ratio over the threshold (0.8 or more), and the ratio.
+
+    With S characters in both, such a pair is at most d = (1 - threshold) S insertions and deletions apart. So of d + 1
+    segments of the shorter string one at least lies in the longer one as it is, moved by at most its insertions or
+    deletions. Pairs meet in an equi-join on such segments, are tested by the edit distance, which is at most d too, and
+    only those left are compared in Python; no true pair is lost."""
+
+    def strings(df: DataFrame, c: str) -> DataFrame:
+        return df.select(F.col(c).alias("_s")).where(F.coalesce(c, F.lit("")) != "").distinct()
+
+    most, slack = (2 - threshold) / threshold, 1e-9
+    bound = F.floor((1 - threshold) * (F.col("_short") + F.col("_long")) + slack).cast("int")
+    cut = lambda i: F.floor(i * F.col("_short") / (F.col("_d") + 1)).cast("int")
+
+    def parted(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_d", bound).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_d"))))
+        return rows.withColumns({"_from": cut(F.col("_i")), "_size": cut(F.col("_i") + 1) - cut(F.col("_i"))})
+
+    def shorter(df: DataFrame, c: str) -> DataFrame:
+        rows = strings(df, c).withColumn("_short", F.length("_s"))
+        rows = parted(rows.withColumn("_long", F.explode(F.sequence(F.col("_short"), F.floor(F.col("_short") * most + slack).cast("int")))))
+        return rows.select(F.col("_s").alias(c), "_short", "_long", "_d", "_i", F.substring("_s", F.col("_from") + 1, F.col("_size")).alias("_seg"))
+
+    def longer(df: DataFrame, c: str) -> DataFrame:
+        rows = strings(df, c).withColumn("_long", F.length("_s"))
+        rows = parted(rows.withColumn("_short", F.explode(F.sequence(F.ceil(F.col("_long") / most - slack).cast("int"), F.col("_long")))))
+        more = F.col("_long") - F.col("_short")
+        back, on = F.greatest(F.floor((F.col("_d") - more) / 2), F.lit(0)), F.greatest(F.floor((F.col("_d") + more) / 2), F.lit(0))
+        first, last = F.greatest(F.col("_from") - back, F.lit(0)), F.least(F.col("_from") + on, F.col("_long") - F.col("_size"))
+        at = F.transform(F.sequence(first.cast("int"), F.greatest(first, last).cast("int")), lambda k: F.substring("_s", k + 1, F.col("_size")))
+        return rows.select(F.col("_s").alias(c), "_short", "_long", "_i", F.explode(F.array_distinct(at)).alias("_seg"))
+
+    def met(short: DataFrame, long: DataFrame) -> DataFrame:
+        both = short.join(long, ["_short", "_long", "_i", "_seg"]).withColumns({"_x": F.col(a), "_y": F.col(b)})
+        return both.where(F.expr("levenshtein(_x, _y, _d) >= 0")).select(a, b, "_short", "_long")
+
+    pairs = met(shorter(left, a), longer(right, b)).unionByName(met(shorter(right, b), longer(left, a))).select(a, b).distinct()
+    return pairs.withColumn("ratio", similarity(F.col(a), F.col(b))).where(F.col("ratio") > threshold)
 
 
 def by_name(paths: DataFrame, key: str, path: str, cards: DataFrame, name: str, order: str, value: str) -> DataFrame:
