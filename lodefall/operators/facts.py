@@ -51,15 +51,15 @@ DOC_TYPES = (
 )
 #: Revision numbers in a file's stem, in order.
 REVISIONS = (r"(?i)[_\-\s]Rev[_\-]?(\d+)", r"[_\-\s][Rr](\d+)(?=[_\-\s.]|$)", r"[_\-\s][Vv](\d+)(?=[_\-\s.]|$)", r"[_\-\s][Vv]\.?(\d+)(?=[_\-\s.]|$)", r"[_\-](\d+)$")
-#: Dates and the order of their groups that gives year, month, day.
+#: Dates, and how their digits are read.
 DATES = (
-    (r"(?<!\d)(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?!\d)", (1, 2, 3)),
-    (r"(?<!\d)(20\d{2})[-_](0[1-9]|1[0-2])[-_](0[1-9]|[12]\d|3[01])(?!\d)", (1, 2, 3)),
-    (r"(?<!\d)(0[1-9]|[12]\d|3[01])[-_](0[1-9]|1[0-2])[-_](20\d{2})(?!\d)", (3, 2, 1)),
+    (r"(?<!\d)(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?!\d)", "yyyyMMdd"),
+    (r"(?<!\d)(20\d{2})[-_](0[1-9]|1[0-2])[-_](0[1-9]|[12]\d|3[01])(?!\d)", "yyyyMMdd"),
+    (r"(?<!\d)(0[1-9]|[12]\d|3[01])[-_](0[1-9]|1[0-2])[-_](20\d{2})(?!\d)", "ddMMyyyy"),
 )
-FOLDER_DATE = (r"(?<!\d)(20[0-3]\d)(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?!\d)", (1, 2, 3))
+FOLDER_DATE = (r"(?<!\d)(20[0-3]\d)(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?!\d)", "yyyyMMdd")
 #: Looser dates in the names of milestone folders.
-LOOSE_DATES = ((r"(\d{4})[-_](\d{2})[-_](\d{2})", (1, 2, 3)), (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3)), (r"(\d{2})[-_](\d{2})[-_](\d{4})", (3, 2, 1)))
+LOOSE_DATES = ((r"(\d{4})[-_](\d{2})[-_](\d{2})", "yyyyMMdd"), (r"(\d{4})(\d{2})(\d{2})", "yyyyMMdd"), (r"(\d{2})[-_](\d{2})[-_](\d{4})", "ddMMyyyy"))
 #: What marks a folder as issued, received, superseded, or of site photographs; names that need OCR.
 ISSUED = ("issued", "outgoing", "to client", "transmittal", "transmittals", "for approval", "for review", "for construction", "approved", "released", "client issue", "final issue", "sent to", "drawing register")
 RECEIVED = ("received", "from client", "incoming", "from consultant")
@@ -113,9 +113,9 @@ def bounded_word(text: Column, word: str) -> Column:
 
 
 def date(text: Column, patterns: tuple = DATES) -> Column:
-    """The first pattern's first match that is a date of the calendar."""
-    ymd = lambda p, order: F.concat(*(F.regexp_extract(text, p, g) for g in order))
-    return F.coalesce(*(F.try_to_date(F.nullif(ymd(p, order), F.lit("")), "yyyyMMdd") for p, order in patterns))
+    """The first pattern's first match that is a date of the calendar; texts without two digits aren't searched."""
+    digits = lambda p: F.nullif(F.translate(F.regexp_extract(text, p, 0), "-_", ""), F.lit(""))
+    return F.when(text.rlike(r"\d\d"), F.coalesce(*(F.try_to_date(digits(p), form) for p, form in patterns)))
 
 
 def first_of(found: list[tuple[Column, Column]]) -> Column:
@@ -123,16 +123,16 @@ def first_of(found: list[tuple[Column, Column]]) -> Column:
     return F.coalesce(*(F.when(condition, value) for condition, value in found)) if found else F.lit(None).cast("string")
 
 
-def stage(folder: Column, terms: Terms) -> Column:
-    """The stage of the longest synonym in a folder's name, then the first declared; those of up to 4 characters need bounds."""
-    s = F.lower(F.trim(folder))
+def stage(s: Column, terms: Terms) -> Column:
+    """The stage of the longest synonym in a folder's name in lower case, then the first declared; those of up to 4
+    characters need bounds."""
     every = sorted(((x.lower(), kind) for kind, xs in terms.items() for x in xs), key=lambda x: -len(x[0]))
     return first_of([(bounded_word(s, x) if len(x) <= 4 else F.contains(s, F.lit(x)), F.lit(kind)) for x, kind in every])
 
 
-def named(folder: Column, names: tuple[str, ...]) -> Column:
-    """Whether a folder's name holds one of the names or lies in it; names of up to 3 characters need bounds."""
-    s, out = F.lower(folder), F.lit(False)
+def named(s: Column, names: tuple[str, ...]) -> Column:
+    """Whether a folder's name in lower case holds one of the names or lies in it; names of up to 3 characters need bounds."""
+    out = F.lit(False)
     for n in map(str.lower, names):
         out = out | (bounded_word(s, n) if len(n) <= 3 else F.contains(s, F.lit(n)) | F.contains(F.lit(n), s))
     return out
@@ -154,37 +154,40 @@ def facts(df: DataFrame, path: str, root: str | None = None, stages: Terms = STA
     parts = segments(F.col(path), F.col(root) if root else None)
     rows = df.withColumn("_ps", parts).withColumns({"_name": F.coalesce(F.try_element_at("_ps", F.lit(-1)), F.lit("")), "_folders": F.slice("_ps", F.lit(1), F.greatest(F.size("_ps") - 1, F.lit(0)))})
     rows = rows.withColumns({"_stem": F.regexp_replace("_name", r"(?<=.)\.[^.]*$", ""), "_ext": extension(F.col("_name"))})
-    name, folders, stem, ext = (F.col(c) for c in ("_name", "_folders", "_stem", "_ext"))
-    either = lambda test: F.coalesce(F.exists(folders, lambda f: test(f) | test(bare(f))), F.lit(False))
-    words = lambda ws: "(?i)" + "|".join(rf"(?<![a-z]){re.escape(w)}(?![a-z])" for w in ws)
-    typed = [(stem.rlike(f"(?iU){p}") | name.rlike(f"(?iU){p}"), kind, override) for p, kind, override in DOC_TYPES]
-    doc_type = first_of([(hit, F.lit(kind)) for hit, kind, _ in typed])
-    override = first_of([(hit, F.lit(o or "")) for hit, _, o in typed])
-    site = either(lambda f: f.rlike(SITE_PHOTOS))
+    # folders' names are cleaned once; flags are looked up in all of them at a time, which no pattern can cross
+    cleaned = F.transform("_folders", lambda f: F.struct(F.lower(F.trim(f)).alias("raw"), F.lower(bare(f)).alias("bare")))
+    rows = rows.withColumn("_seen", cleaned).withColumn("_all", F.array_join(F.concat(F.transform("_seen", lambda x: x["raw"]), F.transform("_seen", lambda x: x["bare"])), "/"))
+    rows = rows.withColumn("_doc_type", first_of([(F.col("_name").rlike(f"(?iU){p}"), F.lit(kind)) for p, kind, _ in DOC_TYPES]))
+    name, folders, seen, every, stem, ext = (F.col(c) for c in ("_name", "_folders", "_seen", "_all", "_stem", "_ext"))
+    flag = lambda pattern: F.coalesce(every.rlike(pattern), F.lit(False))
+    words = lambda ws: "|".join(rf"(?<![a-z]){re.escape(w)}(?![a-z])" for w in ws)
+    override = first_of([(F.col("_doc_type") == kind, F.lit(o)) for _, kind, o in DOC_TYPES if o])
+    site = flag(SITE_PHOTOS)
     content = first_of([(ext.isin(*xs), F.lit(kind)) for kind, xs in CONTENT.items()])
-    content = first_of([(site & ext.isin(*PHOTOS), F.lit("Construction Photo")), (site & ext.isin(*VIDEOS), F.lit("Construction Video")), (F.lit(True), content)])
+    content = first_of([(ext.isin(*PHOTOS) & site, F.lit("Construction Photo")), (ext.isin(*VIDEOS) & site, F.lit("Construction Video")), (F.lit(True), content)])
     by_prefix = first_of([(name.rlike(f"(?i)^{p}[-_]"), F.lit(d)) for p, d in PREFIXES])
-    by_folder = F.try_element_at(F.array_compact(F.transform(folders, lambda f: first_of([(named(f, ns) | named(bare(f), ns), F.lit(d)) for d, ns in disciplines.items()]))), F.lit(1))
-    staged = deepest(folders, lambda f: F.coalesce(stage(f, stages), stage(bare(f), stages)))
-    folder_date = deepest(folders, lambda f: date(f, (FOLDER_DATE,)))
-    direct = deepest(folders, lambda f: first_of([(named(f, ns) | named(bare(f), ns), F.lit(c)) for c, ns in reversed((categories or {}).items())]))
+    of = lambda terms: lambda x: first_of([(named(x["raw"], ns) | named(x["bare"], ns), F.lit(kind)) for kind, ns in terms])
+    by_folder = F.try_element_at(F.array_compact(F.transform(seen, of(list(disciplines.items())))), F.lit(1)) if disciplines else F.lit(None)
+    staged = deepest(seen, lambda x: F.coalesce(stage(x["raw"], stages), stage(x["bare"], stages)))
+    direct = deepest(seen, of(list(reversed(categories.items())))) if categories else F.lit(None)
+    folder_date = F.when(every.rlike(r"20[0-3]\d"), deepest(folders, lambda f: date(f, (FOLDER_DATE,))))
     revision = first_of([(stem.rlike(p), F.regexp_extract(stem, p, 1)) for p in REVISIONS]).try_cast("int")
     rows = rows.withColumns({"folder_stage": F.coalesce(staged, F.lit("unknown")), "folder_date": folder_date})
     out = rows.withColumns(
         {
-            "content_type": F.coalesce(F.nullif(override, F.lit("")), content, F.lit("unknown")),
+            "content_type": F.coalesce(override, content, F.lit("unknown")),
             "discipline": F.coalesce(by_prefix, by_folder, F.lit("unknown")),
-            "doc_type": F.coalesce(doc_type, F.lit("unknown")),
+            "doc_type": F.coalesce("_doc_type", F.lit("unknown")),
             "revision": revision,
             "file_date": F.coalesce(date(stem), date(F.try_element_at(folders, F.lit(-1))), F.col("folder_date")),
-            "is_issued": either(lambda f: f.rlike(words(ISSUED))).cast("int"),
-            "is_superseded": (either(lambda f: f.rlike(SUPERSEDED)) | (F.col("folder_stage") == "superseded")).cast("int"),
-            "is_received": either(lambda f: f.rlike(words(RECEIVED))).cast("int"),
+            "is_issued": flag(words(ISSUED)).cast("int"),
+            "is_superseded": (flag(SUPERSEDED) | (F.col("folder_stage") == "superseded")).cast("int"),
+            "is_received": flag(words(RECEIVED)).cast("int"),
             "needs_ocr": ext.isin(*OCR_IMAGES) & stem.rlike(NEEDS_OCR),
             "canonical_category": F.coalesce(direct, first_of([(F.col("folder_stage") == s, F.lit(c)) for s, c in STAGE_CATEGORY.items()])),
         }
     )
-    return out.drop("_ps", "_name", "_folders", "_stem", "_ext")
+    return out.drop("_ps", "_name", "_folders", "_stem", "_ext", "_seen", "_all", "_doc_type")
 
 
 def typology(path: Column, keywords: Terms) -> Column:
