@@ -218,11 +218,11 @@ def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.status_totals(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
 
 
-@query("SELECT o_orderpriority, max(ts)::VARCHAR AS last_indexed FROM events JOIN orders ON o_orderkey = user_id WHERE event_type = 'purchase' GROUP BY 1")
+@query("SELECT o_orderpriority, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_indexed FROM events JOIN orders ON o_orderkey = user_id WHERE event_type = 'purchase' GROUP BY 1")
 def last_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), "event_type", "ts")
     files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), "o_orderpriority")
-    return maintenance.last_indexed(seen, files, "o_orderpriority", "purchase").withColumn("last_indexed", F.date_format("last_indexed", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return maintenance.last_indexed(seen, files, "o_orderpriority", "purchase").withColumn("last_indexed", F.date_format("last_indexed", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("SELECT status, count(*) AS files FROM (SELECT CASE WHEN o_custkey % 10 = 0 OR o_orderstatus = 'O' THEN 'DISCOVERED' ELSE 'INDEXED' END AS status FROM orders) GROUP BY 1")
