@@ -6,9 +6,9 @@ rare token, whose probability the smoothed counts of the rare words share: P(w)
 word. So the model is a distribution over the same tokens as the add-one unigram model, which is also where its
 output biases begin.
 
-Training is truncated backpropagation through windows of SPAN tokens, the state carried from window to window, on whole
-training texts: one in SAMPLE of them (of small inputs more) by a hash of the text in each of ROUNDS rounds, so what is
-learned from grows with the input. In a round every shard of the sample trains from the same weights and the results are averaged.
+Training is truncated backpropagation through windows of SPAN tokens, the state carried from window to window, on every
+training text once, at every size: a hash of the row deals it to one of ROUNDS rounds and there to a shard. In a round
+every shard trains from the same weights and the results are averaged.
 
 Scoring carries each text's state over all its windows. Words beyond the frequent ones (the DICTIONARY most frequent go
 to the workers with their counts, at most; a bound, not a cap) are joined with the full counts as rows.
@@ -37,10 +37,10 @@ OUTPUTS = SIDE * SIDE
 #: Ids of the end of a text and of all rare words; frequent words have those from FIRST on, by frequency.
 END, RARE, FIRST = 0, 1, 2
 DICTIONARY = 65_536
-SPAN, LANES, LEARNING_RATE, CLIP = 16, 32, 0.01, 1.0
-#: A round samples one text in SAMPLE, or more where that would give under LEAST tokens; a shard has about SHARD tokens,
-#: more where there would be over MOST_SHARDS of them (0.3 MB of weights each).
-ROUNDS, SAMPLE, LEAST, SHARD, MOST_SHARDS, MERGED = 3, 64, 1 << 20, 1 << 17, 256, 8
+#: Texts are trained on in at most LANES lanes at once, fewer where a lane would get under LANE tokens.
+SPAN, LANES, LANE, LEARNING_RATE, CLIP = 16, 128, 8192, 0.01, 1.0
+#: A shard has about SHARD tokens, more where there would be over MOST_SHARDS of them in a round (0.3 MB of weights each).
+ROUNDS, SHARD, MOST_SHARDS, MERGED = 3, 1_500_000, 256, 8
 #: Tokens and lanes that are scored at once, and the window for that.
 SCORE_TOKENS, SCORE_LANES, SCORE_SPAN = 2_000_000, 256, 64
 #: Distinct tokens that a task counts before it passes them on.
@@ -126,31 +126,41 @@ class Network:
         """Gradients over a window (time by lane) from the carried state h, and the state after it."""
         steps, lanes = x.shape
         kept = []
+        gates = self.w["inp"][x] + self.w["bias"]
         for t in range(steps):
             before = h * ~fresh[t][:, None]
-            after, z, r, n, bn = self.step(before, x[t])
-            kept.append((before, z, r, n, bn))
-            h = np.where(real[t][:, None], after, before)
-        states = np.stack([k[3] + k[1] * (k[0] - k[3]) for k in kept])
+            a, b = gates[t], before @ self.w["rec"]
+            zr = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])))
+            n = np.tanh(a[:, 2 * HIDDEN :] + zr[:, HIDDEN:] * b[:, 2 * HIDDEN :])
+            after = n + zr[:, :HIDDEN] * (before - n)
+            kept.append((before, zr, n, b[:, 2 * HIDDEN :], after))
+            h = after if real[t].all() else np.where(real[t][:, None], after, before)
+        before, zr, n, bn, states = (np.stack(k) for k in zip(*kept, strict=True))
         at = np.flatnonzero(real.ravel())
         _, grads, d_out = self.outputs(states.reshape(-1, HIDDEN)[at], y.ravel()[at], learn=True)
-        d_states = np.zeros((steps * lanes, HIDDEN), np.float32)
+        d_states = np.zeros((steps * lanes, HIDDEN), d_out.dtype)
         d_states[at] = d_out
         d_states = d_states.reshape(steps, lanes, HIDDEN)
-        grads |= {"inp": np.zeros_like(self.w["inp"]), "rec": np.zeros_like(self.w["rec"]), "bias": np.zeros_like(self.w["bias"])}
-        dh = np.zeros((lanes, HIDDEN), np.float32)
+        z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
+        # what a state's gradient is multiplied by for those of the gates, for all steps at once
+        by_n = (1 - z) * (1 - n * n)
+        by = np.concatenate([(before - n) * z * (1 - z), by_n * bn * r * (1 - r), by_n * r], axis=2)
+        db = np.empty_like(by)
+        rec = self.w["rec"].T.copy()
+        on = (~fresh)[..., None]
+        dh = np.zeros((lanes, HIDDEN), d_states.dtype)
         for t in range(steps - 1, -1, -1):
-            before, z, r, n, bn = kept[t]
-            dh = np.where(real[t][:, None], dh + d_states[t], 0)
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * bn * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], axis=1)
-            db = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(grads["inp"], x[t], da)
-            grads["bias"] += da.sum(axis=0)
-            grads["rec"] += before.T @ db
-            dh = (dh * z + db @ self.w["rec"].T) * ~fresh[t][:, None]
+            dh = (dh + d_states[t]) * real[t][:, None]
+            np.multiply(np.concatenate([dh, dh, dh], axis=1), by[t], out=db[t])
+            d_states[t] = dh
+            dh = (dh * z[t] + db[t] @ rec) * on[t]
+        db = db.reshape(-1, 3 * HIDDEN)
+        da = db.copy()
+        da[:, 2 * HIDDEN :] = (d_states * by_n).reshape(-1, HIDDEN)
+        grads |= {"inp": np.zeros_like(self.w["inp"]), "rec": before.reshape(-1, HIDDEN).T @ db, "bias": da.sum(axis=0)}
+        order = np.argsort(x, axis=None, kind="stable")
+        ids, begin = np.unique(x.ravel()[order], return_index=True)
+        grads["inp"][ids] = np.add.reduceat(da[order], begin, axis=0)
         return {k: v / max(1, len(at)) for k, v in grads.items()}, h
 
 
@@ -183,21 +193,31 @@ def train(net: Network, docs: list[np.ndarray]) -> Network:
     net = Network({k: v.copy() for k, v in net.w.items()})
     if not docs:
         return net
-    _, x, y, fresh, begin, length = lanes_of(docs, LANES)
-    first = {k: np.zeros_like(v) for k, v in net.w.items()}
-    second = {k: np.zeros_like(v) for k, v in net.w.items()}
+    _, x, y, fresh, begin, length = lanes_of(docs, min(LANES, sum(map(len, docs)) // LANE))
+    # all weights as one vector, which the network's arrays are views of
+    flat = np.concatenate([v.ravel() for v in net.w.values()])
+    cuts = np.cumsum([v.size for v in net.w.values()])[:-1]
+    net.w = {k: x.reshape(v.shape) for (k, v), x in zip(net.w.items(), np.split(flat, cuts), strict=True)}
+    first, second, room = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
     h = np.zeros((len(begin), HIDDEN), np.float32)
     for step, t in enumerate(range(0, int(length[0]), SPAN), 1):
-        places = begin[None, :] + np.arange(t, t + SPAN)[:, None]
-        real = np.arange(t, t + SPAN)[:, None] < length[None, :]
+        active = int(np.searchsorted(-length, -t, side="left"))
+        places = begin[None, :active] + np.arange(t, t + SPAN)[:, None]
+        real = np.arange(t, t + SPAN)[:, None] < length[None, :active]
         places = np.where(real, places, 0)
-        grads, h = net.learn(x[places], y[places], fresh[places] & real, real, h)
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        for k, g in grads.items():
-            g *= min(1.0, CLIP / max(norm, 1e-12))
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            net.w[k] -= LEARNING_RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+        grads, h = net.learn(x[places], y[places], fresh[places] & real, real, h[:active])
+        # where most lanes have ended, the few texts left move the weights little
+        rate = np.float32(LEARNING_RATE * real.sum() / (SPAN * len(begin)) / (1 - 0.9**step))
+        g = np.concatenate([grads[k].ravel() for k in net.w])
+        g *= min(1.0, CLIP / max(math.sqrt(float(g @ g)), 1e-12))
+        first *= 0.9
+        first += np.multiply(g, 0.1, out=room)
+        second *= 0.99
+        second += np.multiply(np.multiply(g, g, out=g), 0.01, out=g)
+        np.sqrt(np.multiply(second, 1 / (1 - 0.99**step), out=room), out=room)
+        room += 1e-8
+        np.divide(first, room, out=room)
+        flat -= np.multiply(room, rate, out=room)
     return net
 
 
@@ -299,15 +319,15 @@ def coded(text: str | None, words: Vocabulary) -> tuple[np.ndarray, list[bytes]]
 
 
 def fit(docs: DataFrame, words: Vocabulary) -> Network:
-    """A network trained on the sample of `docs`, round by round."""
+    """A network trained on every text of `docs` once, round by round."""
     spark = docs.sparkSession
     net = Network.started(words.weights)
     if words.total == 0:
         return net
     ship(spark)
-    one_in = max(1, min(SAMPLE, words.total // LEAST))
-    shards = max(1, min(MOST_SHARDS, words.total // one_in // SHARD))
-    rows = docs.select("text").withColumn("h", F.pmod(F.xxhash64("text"), F.lit(one_in)))
+    shards = max(1, min(MOST_SHARDS, words.total // ROUNDS // SHARD))
+    # hashes of the row, so that copies of a text spread
+    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast((words, net.w))
 
@@ -324,7 +344,7 @@ def fit(docs: DataFrame, words: Vocabulary) -> Network:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([pickle.dumps(net.w)], pa.binary())], ["n", "w"])
 
-        part = rows.where(F.col("h") == k % one_in).repartition(shards, F.xxhash64("text", F.lit(k))).select("text")
+        part = rows.where(F.pmod("h", F.lit(ROUNDS)) == k).repartition(shards, F.xxhash64("h", F.lit(k))).select("text")
         # shards' weights are averaged by a few tasks, so that the driver gets MERGED rows however many shards there are
         found = part.mapInArrow(run, "n long, w binary").repartition(MERGED).mapInArrow(averaged, "n long, w binary").collect()
         if total := sum(x["n"] for x in found):

@@ -222,6 +222,15 @@ def test_lm_base_score_and_distribution(spark, docs):
     assert np.allclose(whole, rnnlm.score(net, [np.array([5, 6, 7, 0] * 50), np.array([3, 0])])[:1], rtol=1e-4)
 
 
+def test_lm_learns_from_every_text(spark):
+    own = [f"w{k}" for k in range(60)]
+    words = rnnlm.Vocabulary([(w, 2) for w in own], 60, 1 << 26, 61)
+    docs = spark.createDataFrame([(k, f"{w} {w}") for k, w in enumerate(own)], "doc_id long, text string")
+    before, after = rnnlm.Network.started(words.weights).w["inp"], rnnlm.fit(docs, words).w["inp"]
+    moved = (before != after).any(axis=1)
+    assert all(moved[words.ids[w.encode()]] for w in own)
+
+
 def test_lm_gradients():
     rng = np.random.default_rng(1)
     net = rnnlm.Network.started(np.ones(rnnlm.OUTPUTS))
