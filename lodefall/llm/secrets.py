@@ -3,7 +3,7 @@
 Base kinds: assign, access and hex as the contract states them (leftmost, non-overlapping per kind). The method adds
 `context`: a value in a credential context (`pwd: ...`, `Authorization: Bearer ...`, `user:value@host`) whose guess cost
 is at least BITS. The cost of a value is that of its cheapest segmentation, found by dynamic programming: listed words (in
-any case and with common substitutions) and plausible unlisted ones, dates, repeats, keyboard walks and sequences, and brute-force spans.
+any case and with common substitutions) and unlisted ones whose pairs of letters are those of words, dates, repeats, keyboard walks and sequences, and brute-force spans.
 
 Defined results: a null text is empty; repeated rows and ids, and null ids, get a row each; an empty table gives no rows.
 Places are code points.
@@ -54,6 +54,14 @@ DATE_BITS = {True: math.log2(100), False: math.log2(100 * 365)}
 #: A run of letters in one case (or capitalised) that nothing else adjoins may be a word of a large unlisted vocabulary.
 UNLISTED = re.compile(r"(?<![A-Za-z])(?:[A-Z]?[a-z]{3,20}|[A-Z]{3,20})(?![A-Za-z])")
 UNLISTED_BITS = 18.0
+#: Letters, each with those that often follow it in words. Any other pair costs such a word as much as two
+#: brute-forced letters, so that a word may have one odd pair, and random letters cost what brute force does.
+PAIRS = frozenset(x[0] + y for x in (
+    "abcdfgiklmnprstuvy baceilorsuy cacehiklortu dadeilosu eabcdefghilmnpqrstvwxy faefilortuy gaeghilnorsu haeiot "
+    "iabcdefglmnoprstvxz keis ladeilostuy mabeimopsu nacdefgilnostuv oabcdfgiklmnoprstuvw paehiloprstuy qu "
+    "racdefgiklmnoprstuvwy sacehiklopstuy tacehilorstuy uabcdegilmnprst vaeio waehior xceiptx ynpst zae"
+).split() for y in x[1:])
+ODD_BITS = 2 * math.log2(26)
 #: Of a segment besides its own cost, so that many small segments don't come cheap.
 SEGMENT_BITS = 1.0
 
@@ -95,7 +103,8 @@ def guess_bits(value: str) -> float:
         if (end := walk[i]) - i >= 3:
             best[end] = min(best[end], at + math.log2(len(ROWS) * 12) + math.log2(end - i))
         if m := UNLISTED.match(value, i):
-            best[m.end()] = min(best[m.end()], at + UNLISTED_BITS)
+            odd = sum(low[k : k + 2] not in PAIRS for k in range(i, m.end() - 1))
+            best[m.end()] = min(best[m.end()], at + UNLISTED_BITS + ODD_BITS * odd)
         if m := DATE.match(value, i):
             best[m.end()] = min(best[m.end()], at + DATE_BITS[m.end() - i == 4])
     return best[n]

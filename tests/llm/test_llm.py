@@ -305,6 +305,18 @@ def test_secrets():
     assert secrets.redact("a clean text about keys and passwords") == "a clean text about keys and passwords"
 
 
+def test_random_letters_are_secrets():
+    for value, cue in (("qwjhzkxvbnmtrplsgd", "pwd: "), ("QZJXKVWPLMNBTRHG", "access key: "), ("xkqjvzwphtgmbq2024", "pass: "), ("zqxjkvbnwpd42", "bearer ")):
+        assert secrets.redact(cue + value) == cue + "[SECRET]"
+    rng = random.Random(1)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for n in range(12, 21):
+            bits = [secrets.guess_bits("".join(rng.choices(letters, k=n))) for _ in range(300)]
+            assert sum(b >= secrets.BITS for b in bits) >= 297 and max(bits) <= 1 + n * math.log2(26) + 1e-9
+            assert sum(bits) / len(bits) > 4.2 * n
+    assert max(map(secrets.guess_bits, ("configuration", "documentation", "CORRESPONDENCE", "Mountains"))) < secrets.BITS
+
+
 def test_pipeline_against_its_parts(spark, docs):
     kept = {r["doc_id"] for r in rules.ledger(docs).where(rules.passes()).collect()}
     left = docs.where(F.col("doc_id").isin(list(kept)))
