@@ -9,7 +9,7 @@ length, and is then verified word by word at that place, over the window's own l
 
 Shingles are joined by 64-bit hashes; since every candidate is verified on words, a collision changes nothing. Benchmark-sized sides are
 broadcast only after their rows were counted; beyond that the same joins shuffle. Defined results: null and empty texts
-have no words; null item_ids count as no item's; repeated rows get a row each; empty tables give no hits.
+have no words; windows of null item_ids are hit, but count as no item's; repeated rows get a row each; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def shingles(found: Column, k: int) -> Column:
 
 def windows(benchmark: DataFrame) -> DataFrame:
     """item_id, wtext (the window's words, space-joined) and len, distinct."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", item_words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    items = benchmark.select("item_id", item_words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("ws") - WINDOW, F.lit(0)))
     cutouts = let(F.col("ws"), lambda ws: F.transform(starts, lambda s: F.slice(ws, s + 1, F.lit(WINDOW))))
     return items.select("item_id", F.explode(cutouts).alias("w")).select("item_id", F.array_join("w", " ").alias("wtext"), F.size("w").alias("len")).distinct()

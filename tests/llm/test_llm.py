@@ -116,6 +116,16 @@ def test_decontamination_of_short_items(spark, odd, bench):
     assert got[(1, 30)] == (30, 1) and got[(3, 12000)] == (6000, 1) and got[(2, 0)] == (0, 0)
 
 
+def test_windows_of_null_items_are_hit(spark):
+    passage = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(None, passage), (1, "other")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {passage} on"), (2, "clean")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (10, 0, True) and not got[2]["contaminated"]
+    assert got[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [2]
+
+
 def test_pii_equals_patterns():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
