@@ -5,7 +5,8 @@ deterministic parsers then expand each anchor to its boundaries and validate wha
 
 Kinds: email, ip, card and phone as the contract states them (leftmost, non-overlapping per kind, no retries), and two of
 this method's own: url (a scheme, a host with a dot, up to white space or a quote) and account (after a cue such as
-`IBAN` or `account`: an IBAN that passes mod 97, or after `SSN` a number of the form ddd-dd-dddd).
+`IBAN` or `account`, and words such as `number`: an IBAN of its country's length that passes mod 97; after `account` also
+6 to 17 digits; after `SSN` a number of the form ddd-dd-dddd).
 
 Defined results: a null text is empty; repeated rows and ids, and null ids, get a row each; an empty table gives no rows.
 """
@@ -32,6 +33,13 @@ SCHEMES = ("http://", "https://", "ftp://")
 CUES = ("iban", "account", "acct", "ssn")
 #: Characters between a cue and what it announces.
 CUE_GAP = " \t:=#.-"
+FILLERS = ("number", "num", "nr", "no", "is")
+#: The length of an IBAN by country.
+IBAN = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+    "GT28 HR21 HU28 IE22 IL23 IS26 IT27 JO30 KW30 KZ20 LB28 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 "
+    "QA29 RO24 RS22 SA24 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 
 _found: ahocorasick.Automaton | None = None
 
@@ -122,20 +130,36 @@ def url_at(text: str, start: int, end: int) -> tuple[int, int] | None:
 
 
 def account_at(text: str, cue: str, end: int) -> tuple[int, int] | None:
-    while end < len(text) and text[end] in CUE_GAP:
-        end += 1
+    while True:
+        while end < len(text) and text[end] in CUE_GAP:
+            end += 1
+        filler = next((x for x in FILLERS if text[end : end + len(x)].lower() == x and not text[end + len(x) : end + len(x) + 1].isalnum()), None)
+        if filler is None:
+            break
+        end += len(filler)
     start = end
     if cue == "ssn":
         part = text[start : start + 11]
         fits = len(part) == 11 and all(c == "-" if k in (3, 6) else c in DIGITS for k, c in enumerate(part))
         return (start, start + 11) if fits and text[start + 11 : start + 12] not in DIGITS else None
-    code = ""
+    if cue != "iban":
+        while end < len(text) and text[end] in DIGITS:
+            end += 1
+        if 6 <= end - start <= 17 and not text[end : end + 1].isalnum():
+            return start, end
+        end = start
+    code, ends = "", []
     while end < len(text) and len(code) < 34 and (text[end] in UPPER or text[end] == " " and text[end + 1 : end + 2] in UPPER):
         code += text[end].strip()
         end += 1
-    if not (15 <= len(code) <= 34 and code[:2].isalpha() and code[2:4].isdigit()):
+        if len(code) >= 15 and text[end - 1] != " " and not text[end : end + 1].isalnum():
+            ends.append((len(code), end))
+    if not (code[:2].isalpha() and code[2:4].isdigit()):
         return None
-    return (start, end) if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else None
+    for size, end in reversed(ends):  # of countries that aren't listed the longest that passes
+        if IBAN.get(code[:2], size) == size and int("".join(str(int(c, 36)) for c in code[4:size] + code[:4])) % 97 == 1:
+            return start, end
+    return None
 
 
 def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:

@@ -126,6 +126,18 @@ def test_windows_of_null_items_are_hit(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [2]
 
 
+def test_accounts():
+    for text, value in (
+        ("IBAN: DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000"),
+        ("IBAN GB82 WEST 1234 5698 7654 32 Please pay", "GB82 WEST 1234 5698 7654 32"),
+        ("account number: 123456789", "123456789"),
+        ("acct 00123456", "00123456"),
+        ("Account No. is 00123456.", "00123456"),
+    ):
+        assert [text[a:b] for a, b in pii.spans(text)["account"]] == [value]
+    assert not pii.spans("IBAN DE89370400440532013001 BIC; account 12 of 34; account nobody 123456")["account"]
+
+
 def test_pii_equals_patterns():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
