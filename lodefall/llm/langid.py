@@ -4,9 +4,11 @@ For each language a suffix automaton is built over a bounded sample of labelled
 longest phrases that occur in the sample (Ziv-Merhav parsing); the number of phrases times the logarithm of the sample's
 length estimates the cross entropy, and the language that needs the fewest such normalised phrases wins.
 
-The walk over an automaton (next state, or the end of a phrase and a new one from the root) is a table, and all texts
-and languages of a batch walk in lockstep in numpy. Whole texts are parsed, in stretches of STRETCH characters that each
-begin a new phrase for every language alike. Letters are compared in lower case; each run of other characters is one break.
+The transitions of all automata lie in one array, each state's at its own offset, so that a step is a look-up by offset and
+letter; all texts and languages of a batch walk in lockstep in numpy. Long texts walk in stretches of STRETCH characters side
+by side: a stretch begins with the state that WARM characters before it lead to, and is walked again from the state in
+which the one before it did end until all agree, so that the phrases are those of one parse of the whole text. Letters are
+compared in lower case, each letter of any sample is told apart, and each run of other characters is one break.
 
 Defined results: `und` with score 0 for a null text or one without a letter; ties go to the first language by name; with
 no labelled text every language is `und`. The score is second / (best + second) of the normalised phrases (1 with only
@@ -26,10 +28,10 @@ from lodefall.llm.common import map_batches
 
 #: The fitting sample's bound: languages (the most frequent), pieces per language and characters per piece.
 LANGUAGES, PIECES, PIECE = 256, 64, 256
-#: Letters that are told apart (the sample's most frequent), and characters of all samples together.
-LETTERS, SAMPLE = 126, 1 << 20
-STRETCH = 1024
-#: Classes of characters that aren't told apart.
+STRETCH, WARM = 1024, 96
+#: Bits of a transition's next state.
+NEXT = 31
+#: Classes of characters: letters of no sample, and runs of other characters; then each letter of a sample.
 UNSEEN, BREAK, FIRST = 0, 1, 2
 
 _letters: np.ndarray | None = None
@@ -92,46 +94,64 @@ def automaton(pieces: list[list[int]]) -> list[dict[int, int]]:
     return go
 
 
+def packed(go: list[dict[int, int]], width: int, at: int) -> tuple[np.ndarray, int]:
+    """The automaton's transitions as an array from offset `at` on, and the root's offset. A state is its offset; the cell at
+    offset + letter holds the offset (owner), the next state, and the phrases that end (by NEXT + 2, 2 and 0 bits). The root
+    has a cell for every letter; a letter whose cell another state owns has no transition."""
+    owner: set[int] = set()
+    place, taken, base, slot = [-1] * len(go), set(), 0, 0
+    for state in sorted(range(len(go)), key=lambda k: (k > 0, -len(go[k]))):
+        edges = list(go[state]) if state else range(width)
+        if not edges:
+            continue
+        if len(edges) > 1:  # on to where all its cells are free
+            while base in taken or any(base + c in owner for c in edges):
+                base += 1
+            place[state] = base
+        else:  # on to a free cell
+            while slot in owner or slot < edges[0] or slot - edges[0] in taken:
+                slot += 1
+            place[state] = slot - edges[0]
+        taken.add(place[state])
+        owner.update(place[state] + c for c in edges)
+    # states without transitions share an offset that owns no cell
+    size = max(taken) + 1
+    place = [size if x < 0 else x for x in place]
+    cells = np.full(size + width + 1, -1, np.int64)
+    for state, edges in enumerate(go):
+        for c, to in edges.items():
+            cells[place[state] + c] = (at + place[state]) << NEXT + 2 | (at + place[to]) << 2
+    root = place[0]
+    for c in set(range(width)) - set(go[0]):
+        cells[root + c] = (at + root) << NEXT + 2 | (at + root) << 2 | 1
+    return cells, at + root
+
+
 class Model:
-    """The automata of all languages as one table: entry = (next row's offset << 2) | phrases that end."""
+    """The automata of all languages in one array."""
 
     def __init__(self, pairs: list[tuple[str, str]]) -> None:
         self.langs = sorted({lang for lang, _ in pairs})
-        counts: dict[str, int] = {}
-        for _, piece in pairs:
-            for c in map(lowered, piece):
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-        known = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-        self.letters = "".join(known)
-        self.width = FIRST + len(known)
+        self.letters = "".join(sorted({c for _, piece in pairs for c in map(lowered, piece) if c.isalpha()}))
+        self.width = FIRST + len(self.letters)
         classes = self.classes()
-        room = SAMPLE // max(1, len(self.langs))
-        tables, self.roots, self.weights, at = [], [], [], 0
+        tables, roots, self.weights, at = [], [], [], 0
         for lang in self.langs:
-            coded, left = [], room
-            for _, piece in (x for x in pairs if x[0] == lang):
-                codes = squeezed(classes[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)])[:left]
-                left -= len(codes)
-                coded.append(codes.tolist())
-            go = automaton(coded)
-            table = np.zeros((len(go), self.width), np.int64)
-            root = np.array([go[0].get(c, 0) for c in range(self.width)])
-            table[:] = (at + root) * self.width << 2 | 1 + (root == 0)
-            table[0] = np.where(root > 0, (at + root) * self.width << 2, at * self.width << 2 | 1)
-            for state, edges in enumerate(go):
-                for c, to in edges.items():
-                    table[state, c] = (at + to) * self.width << 2
-            tables.append(table.ravel())
-            self.roots.append(at * self.width)
+            coded = [squeezed(coded_text(classes, piece)).tolist() for own, piece in pairs if own == lang]
+            cells, root = packed(automaton(coded), self.width, at)
+            tables.append(cells)
+            roots.append(root)
             self.weights.append(math.log2(max(2, sum(map(len, coded)))))
-            at += len(go)
-        flat = np.concatenate(tables) if tables else np.zeros(0, np.int64)
-        self.table = flat.astype(np.int32) if not len(flat) or flat.max() < 1 << 31 else flat
+            at += len(cells)
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
+        self.roots = np.array(roots, np.int64)[:, None]
+        # what a letter without a transition does: a phrase ends, and a new one begins at the root
+        self.anew = (self.table[self.roots + np.arange(self.width)] if tables else np.zeros((0, self.width), np.int64)) + 1
+        self.anew &= (1 << NEXT + 2) - 1
 
     def classes(self) -> np.ndarray:
         """The class of each code point."""
-        out = np.where(is_letter(), UNSEEN, BREAK).astype(np.uint8)
+        out = np.where(is_letter(), UNSEEN, BREAK).astype(np.int32)
         for k, c in enumerate(self.letters):
             out[ord(c)] = FIRST + k
         for c in self.letters:
@@ -140,6 +160,24 @@ class Model:
                     out[ord(other)] = out[ord(c)]
         return out
 
+    def walk(self, flat: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each stretch of `flat`, and the state after it, by language (rows) from the states given."""
+        order = np.argsort(-length, kind="stable")
+        begin, length, state = begin[order], length[order], state[:, order]
+        count = np.zeros(state.shape, np.int32)
+        steps = int(length[0]) if len(length) else 0
+        active = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")
+        for t in range(steps):
+            n = active[t]
+            now, letters = state[:, :n], flat[begin[:n] + t]
+            cell = self.table.take(now + letters)
+            entry = np.where(cell >> NEXT + 2 == now, cell, self.anew.take(letters, axis=1))
+            count[:, :n] += (entry & 3).astype(np.int32)
+            state[:, :n] = entry >> 2 & (1 << NEXT) - 1
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return count[:, back], state[:, back]
+
     def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) for each language (columns)."""
         owner = np.repeat(np.arange(len(codes)), [-(-len(x) // STRETCH) for x in codes])
@@ -150,23 +188,25 @@ class Model:
         first = np.concatenate([[0], np.cumsum([len(x) for x in codes])[:-1]])
         begin = np.concatenate([np.arange(0, len(x), STRETCH) + o for x, o in zip(codes, first, strict=True)])
         length = np.concatenate([np.minimum(STRETCH, len(x) - np.arange(0, len(x), STRETCH)) for x in codes])
-        order = np.argsort(-length, kind="stable")
-        owner, begin, length = owner[order], begin[order], length[order]
-        roots = np.array(self.roots, self.table.dtype)[:, None]
-        state = np.repeat(roots, len(owner), axis=1)
-        count = np.zeros(state.shape, np.int32)
-        active = np.searchsorted(-length, -np.arange(1, STRETCH + 1), side="right")
-        for t in range(int(length[0])):
-            n = active[t]
-            entry = self.table.take(state[:, :n] + flat[begin[:n] + t].astype(self.table.dtype))
-            count[:, :n] += entry & 3
-            state[:, :n] = entry >> 2
-        count += state != roots
+        later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        entry = np.repeat(self.roots, len(owner), axis=1)
+        entry[:, later] = self.walk(flat, begin[later] - WARM, np.full(len(later), WARM), entry[:, later])[1]
+        count, end = self.walk(flat, begin, length, entry.copy())
+        # a stretch whose entry was not the end of the one before it is walked again
+        while len(again := later[(entry[:, later] != end[:, later - 1]).any(axis=0)]):
+            entry[:, again] = end[:, again - 1]
+            count[:, again], end[:, again] = self.walk(flat, begin[again], length[again], entry[:, again])
+        last = np.append(owner[1:] != owner[:-1], True)
+        count += last & (end != self.roots)
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(owner, count[k], len(codes)).astype(np.int64)
         return out
 
 
+def coded_text(classes: np.ndarray, text: str) -> np.ndarray:
+    return classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
 def squeezed(classes: np.ndarray) -> np.ndarray:
     """Classes with each run of breaks as one, none at the ends."""
     keep = np.ones(len(classes), bool)
@@ -191,7 +231,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def body(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
         classes = held.setdefault("classes", model.classes()) if "classes" not in held else held["classes"]
-        codes = [squeezed(classes[np.frombuffer((x or "").encode("utf-32-le", "surrogatepass"), np.uint32)]) for x in batch.column("text").to_pylist()]
+        codes = [squeezed(coded_text(classes, x or "")) for x in batch.column("text").to_pylist()]
         codes = [x if (x != BREAK).any() else x[:0] for x in codes]
         langs, scores = ["und"] * len(codes), np.zeros(len(codes))
         if model.langs:
