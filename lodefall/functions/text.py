@@ -57,12 +57,25 @@ def breadcrumb(parts: Column, n: int = 4) -> Column:
     return F.array_join(F.slice(parts, F.greatest(F.size(parts) - (n - 1), F.lit(1)), F.lit(n)), " > ")
 
 
-def snippet(text: Column, terms: list[str], width: int = 160) -> Column:
-    """A window that begins at the first of the terms, cut to `width` characters; the beginning where none occurs."""
-    folded = F.translate(text, UPPER, LOWER)
-    places = [F.when(F.instr(folded, t) > 0, F.instr(folded, t)) for t in terms]
-    first = F.coalesce(F.least(*places, F.lit(None)) if len(places) > 1 else (places or [F.lit(None)])[0], F.lit(1))
-    return F.substring(text, first, F.lit(width))
+def snippet(text: Column, terms: list[str], size: int = 25, width: int = 160, gap: str = " ... ") -> Column:
+    """Of the windows of `size` words that begin at a word with one of the terms, the first with most distinct terms, with
+    `gap` where text was left out, cut to `width` characters; the text's beginning where no term occurs."""
+    wanted = F.array(*map(F.lit, sorted(set(terms)))) if terms else F.array().cast("array<string>")
+    marked = F.transform(words(text), lambda w: F.struct(w.alias("w"), F.array_intersect(tokens(w), wanted).alias("ts")))
+
+    def best(ms: Column) -> Column:
+        starts = F.filter(F.transform(ms, lambda m, i: F.struct((-i).alias("i"), F.size(m["ts"]).alias("n"))), lambda x: x["n"] > 0)
+        distinct = lambda i: F.size(F.array_distinct(F.flatten(F.transform(F.slice(ms, i + 1, size), lambda m: m["ts"]))))
+        top = F.array_max(F.transform(starts, lambda x: F.struct(distinct(-x["i"]).alias("n"), x["i"].alias("i"))))
+        return F.struct(ms.alias("ms"), (-top["i"]).alias("at"))
+
+    def shown(x: Column) -> Column:
+        part = F.array_join(F.transform(F.slice(x["ms"], x["at"] + 1, size), lambda m: m["w"]), " ")
+        before, after = F.when(x["at"] > 0, gap).otherwise(""), F.when(x["at"] + size < F.size(x["ms"]), gap).otherwise("")
+        return F.left(F.concat(before, part, after), F.lit(width))
+
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.coalesce(once(once(marked, best), shown), F.left(text, F.lit(width)))
 
 
 #: Words that questions have in common, with those that say little about an archive of buildings.

@@ -1,56 +1,72 @@
-"""Retrieval: BM25 over an inverted index, exact cosine neighbours, and their hybrid with paging and roll-up."""
+"""Retrieval: keyword search over the stored index, exact cosine neighbours, their hybrid, scopes, snippets and paging."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodefall.functions import stem
-from lodefall.functions.text import BREAK, LOWER, UPPER, tokens
-
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-
-
-def bm25(docs: DataFrame, key: str, text: str, terms: list[str], stemmed: bool = False) -> DataFrame:
-    """key and bm25 (larger is better) of the rows with a term. Document frequencies, lengths and the row count are of all
-    rows whatever is filtered afterwards. Term frequencies are counted in place, so nothing is exploded or shuffled but
-    one row of statistics. A term of several tokens (a_b) is a phrase. With `stemmed`, tokens and terms are compared by
-    their Porter stems; only tokens that begin like a term's stem leave the JVM."""
-    phrases = [tuple(x for x in re.split(BREAK, t.translate(str.maketrans(UPPER, LOWER))) if x) for t in terms]
-    phrases = [tuple(map(stem.porter, p)) if stemmed else p for p in phrases if p]
-    uses = {p: phrases.count(p) for p in dict.fromkeys(phrases)}
-
-    def occurrences(ts: Column, phrase: tuple[str, ...]) -> Column:
-        if len(phrase) == 1:
-            return F.size(F.filter(ts, lambda x: x == phrase[0]))
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ts) - len(phrase) + 1, F.lit(1))), lambda i: F.slice(ts, i, len(phrase)) == F.array(*map(F.lit, phrase)))
-        return F.size(starts)
-
-    ts = tokens(F.col(text))
-    if stemmed:
-        # a stem keeps all but the last two characters of its word's beginning, so other tokens can't match and are blanked
-        heads = sorted({x[: max(1, len(x) - 2)] for p in uses for x in p}) or [" "]
-        near = "^(?:" + "|".join(map(re.escape, heads)) + ")"
-        docs = docs.select(key, F.transform(ts, lambda x: F.when(x.rlike(near), x).otherwise("")).alias("_ts"))
-        docs, ts = docs.select(key, stem.stems(F.col("_ts")).alias("_ts")), F.col("_ts")
-    # the tokens are bound once per row: as a plain column each use would split the text again
-    measured = lambda ts: F.struct(F.size(ts).alias("dl"), *(occurrences(ts, t).alias(f"f{k}") for k, t in enumerate(uses)))
-    bound = F.get(F.transform(F.array(ts), measured), F.lit(0))
-    # a generator keeps the optimizer from copying the expression into each of its uses
-    counted = docs.select(key, F.inline(F.array(bound)))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(uses))))
-    both = counted.where(F.greatest(*(F.col(f"f{k}") for k in range(len(uses))), F.lit(0)) > 0) if uses else counted.where(F.lit(False))
-    both = both.crossJoin(F.broadcast(stats))  # one row
-    score: Column = F.lit(0.0)
-    for k, times in enumerate(uses.values()):
-        f, n = F.col(f"f{k}"), F.col(f"n{k}")
-        idf = F.greatest(F.log((F.col("n") - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * times
-    return both.select(key, F.round(score, 9).alias("bm25"))
+from lodefall.functions.text import boosted_terms, snippet
+from lodefall.operators.index import Index
+
+#: Results that a lane gives per result asked for, results by default, and the vector lane's weight.
+LANE, TOP, ALPHA = 3, 5, 0.6
+#: Filters that compare a file's attribute.
+EQUAL = ("project_id", "typology", "extension", "content_type", "folder_stage")
+
+
+def project_scope(cards: DataFrame, filters: dict, home: str = "") -> DataFrame | None:
+    """The project ids that a location and a typology (primary or secondary) leave, or None where neither is asked for: no
+    scope at all, which is not a scope that no project is in. The location `overseas` is any but `home`."""
+    location, typology = filters.get("location"), filters.get("typology")
+    if not location and not typology:
+        return None
+    if typology:
+        cards = cards.where(F.col("typology_primary").ilike(f"%{typology}%") | F.col("typology_secondary").ilike(f"%{typology}%"))
+    if location == "overseas":
+        cards = cards.where(F.col("location").isNotNull() & ~F.col("location").ilike(f"%{home}%"))
+    elif location:
+        cards = cards.where(F.col("location").ilike(f"%{location}%"))
+    return cards.where("project_code is not null").select(F.col("project_code").alias("project_id")).distinct()
+
+
+def scoped(files: DataFrame, filters: dict) -> DataFrame:
+    """The files that all filters let through: attributes by equality, `root` by the beginning of the path (in any case, and
+    with its % and _ as wildcards), `project_ids` by a list (an empty one lets nothing through) or a table of project_id."""
+    for c in EQUAL:
+        if filters.get(c) is not None:
+            files = files.where(F.col(c) == filters[c])
+    if filters.get("root") is not None:
+        files = files.where(F.col("file_path").ilike(filters["root"].rstrip("/").replace("\\", "\\\\") + "/%"))
+    among = filters.get("project_ids")
+    if isinstance(among, DataFrame):
+        files = files.join(among, "project_id", "left_semi")
+    elif among is not None:
+        files = files.where(F.col("project_id").isin(list(among)) if len(among) else F.lit(False))
+    return files
+
+
+def search(index: Index, chunks: DataFrame, files: DataFrame, question: str, filters: dict | None = None, expansions: list[str] = (), near: DataFrame | None = None, top: int = TOP, offset: int = 0) -> DataFrame:
+    """The `top` results after the first `offset`: rank, chunk_id, file_id, ref, file_path, final_score and snippet.
+
+    chunks: chunk_id, file_id, ref, text; files: file_id, file_path and the attributes of filters. `near` (chunk_id and
+    distance, from knn) is the vector lane; without it the keyword lane alone ranks. Files outside the filters don't take
+    places in either lane.
+    """
+    inside = scoped(files, filters or {})
+    keys = chunks.select("chunk_id", "file_id").join(inside.select("file_id"), "file_id", "left_semi").select("chunk_id")
+    word = index.bm25("chunk_id", boosted_terms(question, list(expansions))).join(keys, "chunk_id", "left_semi")
+    word = word.orderBy(F.desc("bm25"), "chunk_id").limit(LANE * (top + offset))
+    if near is None:
+        both = normalized(word, "bm25", "bm25_score").select("chunk_id", F.round("bm25_score", 6).alias("final_score"))
+    else:
+        both = hybrid(word, near.join(keys, "chunk_id", "left_semi"), "chunk_id").select("chunk_id", "final_score")
+    named = both.join(chunks, "chunk_id").join(files.select("file_id", "file_path"), "file_id")
+    ranked = named.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), "file_path", "chunk_id")))  # LANE * top rows
+    part = snippet(F.col("text"), [t for p in boosted_terms(question, list(expansions)) for t in [p.lower()]])
+    return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + top)).select("rank", "chunk_id", "file_id", "ref", "file_path", "final_score", part.alias("snippet"))
 
 
 def knn(vectors: DataFrame, key: str, vector: str, query: list[float], k: int, where: Column | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodefall.functions import text as tx
 from lodefall.operators import analytics, classify, paths, resolution, routing, search
-from lodefall.plans import catalog
+from lodefall.plans.indexes import BREAK, index_of
 from lodefall.plans.registry import query
 from lodefall.session import table
 
@@ -153,20 +153,20 @@ def card_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = tx.boosted_terms("the threading lyers of this project", ["thanking", "ended nations"])
-    found = search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", terms, stemmed=True)
+    found = index_of(spark, sf_dir, stemmed=True).bm25("doc_id", terms)
     return found.orderBy(F.desc("bm25"), "doc_id").limit(30)
 
 
 _PHRASE = ("the_and", "of_the")
 
 
-@query(rf"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{catalog.BREAK}'), lambda x: x <> '') AS ts FROM documents),
+@query(rf"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BREAK}'), lambda x: x <> '') AS ts FROM documents),
 f AS (SELECT doc_id, len(ts) AS dl, {", ".join(f"len(list_filter(range(1, len(ts)), lambda i: ts[i] = '{p.split('_')[0]}' AND ts[i + 1] = '{p.split('_')[1]}')) AS f{k}" for k, p in enumerate(_PHRASE))} FROM t),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS n{k}" for k in range(len(_PHRASE)))} FROM f)
 SELECT doc_id, round(round({" + ".join(f"greatest(ln((n - n{k} + 0.5) / (n{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(_PHRASE)))}, 9), 6) AS bm25
 FROM f, st WHERE {" OR ".join(f"f{k} > 0" for k in range(len(_PHRASE)))}""")
 def bm25_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", list(_PHRASE)).withColumn("bm25", F.round("bm25", 6))
+    return index_of(spark, sf_dir).bm25("doc_id", list(_PHRASE)).withColumn("bm25", F.round("bm25", 6))
 
 
 # --- audits and checks -----------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodefall.functions import text as tx
 from lodefall.operators import analytics, maintenance, paths, routing, search, sections
+from lodefall.plans.indexes import TERMS, index_of, sql_bm25
 from lodefall.plans.registry import ORACLES, QUERIES, query
 from lodefall.session import table
 
@@ -14,31 +15,23 @@ __all__ = ["ORACLES", "QUERIES"]
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
 
-TERMS = ["lyer", "threst", "anhe", "the"]
 PROBE = [round(((7 * k) % 13 - 6) / 6, 4) for k in range(64)]
-BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-_BM25 = rf"""
-t AS (SELECT doc_id, lang, source, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BREAK}'), lambda x: x <> '') AS ts FROM documents),
-f AS (SELECT doc_id, lang, source, len(ts) AS dl, {", ".join(f"len(list_filter(ts, lambda x: x = '{w}')) AS f{k}" for k, w in enumerate(TERMS))} FROM t),
-st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS n{k}" for k in range(len(TERMS)))} FROM f),
-b AS (SELECT doc_id, lang, source, round({" + ".join(f"greatest(ln((n - n{k} + 0.5) / (n{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(TERMS)))}, 9) AS bm25
-  FROM f, st WHERE {" OR ".join(f"f{k} > 0" for k in range(len(TERMS)))})"""
+
+_BM25 = sql_bm25("documents", TERMS, columns=", lang, source")
 _PROBE = "[" + ", ".join(map(str, PROBE)) + "]::DOUBLE[]"
 _KNN = f"v AS (SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], {_PROBE}), 4) AS distance FROM embeddings)"
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(b.bm25, 6) AS bm25 FROM b ORDER BY b.bm25 DESC, doc_id LIMIT 30")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS)
+    found = index_of(spark, sf_dir).bm25("doc_id", TERMS)
     return found.orderBy(F.desc("bm25"), "doc_id").limit(30).withColumn("bm25", F.round("bm25", 6))
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(b.bm25, 6) AS bm25 FROM b WHERE lang = 'en' AND source = 'src3' ORDER BY b.bm25 DESC, doc_id LIMIT 30")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scope = docs.where("lang = 'en' AND source = 'src3'").select("doc_id")
-    found = search.bm25(docs, "doc_id", "text", TERMS).join(scope, "doc_id", "left_semi")
+    scope = table(spark, sf_dir, "documents").where("lang = 'en' AND source = 'src3'").select("doc_id")
+    found = index_of(spark, sf_dir).bm25("doc_id", TERMS).join(scope, "doc_id", "left_semi")
     return found.orderBy(F.desc("bm25"), "doc_id").limit(30).withColumn("bm25", F.round("bm25", 6))
 
 
@@ -62,7 +55,7 @@ hy AS (SELECT coalesce(bn.doc_id, vn.doc_id) AS doc_id, round(coalesce(bn.s, 0),
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = search.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", PROBE, 20).withColumnRenamed("vec_id", "doc_id")
-    word = search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS).orderBy(F.desc("bm25"), "doc_id").limit(30)
+    word = index_of(spark, sf_dir).bm25("doc_id", TERMS).orderBy(F.desc("bm25"), "doc_id").limit(30)
     return search.hybrid(word, near, "doc_id")
 
 
@@ -359,7 +352,7 @@ def expand_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.lang, round(avg((coalesce(r, 1000000) <= 100)::INT), 6) AS recall FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY 1""")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    top = search.bm25(docs, "doc_id", "text", TERMS).orderBy(F.desc("bm25"), "doc_id").limit(100).select("doc_id", F.lit(1).alias("hit"))
+    top = index_of(spark, sf_dir).bm25("doc_id", TERMS).orderBy(F.desc("bm25"), "doc_id").limit(100).select("doc_id", F.lit(1).alias("hit"))
     return docs.select("doc_id", "lang").join(F.broadcast(top), "doc_id", "left").groupBy("lang").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution sizes partitions at run time; the rest keeps Python transfers in Arrow batches.
@@ -28,3 +30,9 @@ def session(name: str = "lodefall", master: str | None = None, **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; column pruning and pushed filters reach the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that all executors share: that of spark.checkpoint.dir, else the warehouse's."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/lodefall-{what}-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodefall.functions import stem
 from lodefall.functions import text as tx
 from lodefall.operators import analytics, classify, resolution, search
+from lodefall.operators.index import Index
 from lodefall.sources import sinks
 
 WORDS = """caresses ponies ties caress cats gas feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky
@@ -45,12 +46,13 @@ def test_stems_agree_with_fts5():
 
 
 @pytest.mark.parametrize("stemmed", [True, False])
-def test_bm25_agrees_with_fts5(spark, stemmed):
+def test_bm25_agrees_with_fts5(spark, tmp_path, stemmed):
     rnd = random.Random(2)
     rows = [(k, " ".join(rnd.choices(WORDS, k=rnd.randint(1, 60)))) for k in range(1, 120)] + [(120, ""), (121, "HOPPING Sky-ties")]
     df = spark.createDataFrame(rows + [(122, None)], "k int, t string")
     terms = ["hop", "ties", "sky"] if not stemmed else ["hoped", "tied", "sky", "sensible", "generalization", "sky_ties"]
-    got = {r["k"]: r["bm25"] for r in search.bm25(df, "k", "t", terms, stemmed).collect()}
+    index = Index(spark, str(tmp_path / "index"), stemmed, 4).build(df, "k", "t")
+    got = {r["k"]: r["bm25"] for r in index.bm25("k", terms).collect()}
     if stemmed:
         want = fts(rows + [(122, "")], " OR ".join(t if "_" not in t else f'"{t}"' for t in terms))
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
