@@ -14,6 +14,7 @@ Defined results: a null text is empty; repeated rows and ids, and null ids, get
 from __future__ import annotations
 
 import hashlib
+import re
 import string
 
 import ahocorasick
@@ -41,6 +42,9 @@ IBAN = {x[:2]: int(x[2:]) for x in (
     "QA29 RO24 RS22 SA24 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VA22 VG24 XK20"
 ).split()}
 
+FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+NOT_URL = re.compile(r"""[\s"'<>`]""")
+
 _found: ahocorasick.Automaton | None = None
 
 
@@ -54,11 +58,9 @@ def anchors() -> ahocorasick.Automaton:
         made.add_word("@", ("at", 1))
         made.add_word("+", ("plus", 1))
         for x in SCHEMES:
-            for form in (x, x.upper()):
-                made.add_word(form, ("scheme", len(x)))
+            made.add_word(x, ("scheme", len(x)))
         for x in CUES:
-            for form in (x, x.upper(), x.title()):
-                made.add_word(form, (x, len(x)))
+            made.add_word(x, (x, len(x)))
         made.make_automaton()
         _found = made
     return _found
@@ -120,13 +122,25 @@ def at_most_255(part: str) -> bool:
     return len(part) <= 3 and int(part or "0") <= 255
 
 
-def url_at(text: str, start: int, end: int) -> tuple[int, int] | None:
-    host = end
-    while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>`":
-        end += 1
-    while end > host and text[end - 1] in ".,;:!?)]}":
-        end -= 1
-    return (start, end) if "." in text[host:end].split("/")[0].strip(".") else None
+def folded(text: str) -> str:
+    """The text in lower case with every character at its place, for the automaton."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(FOLD)
+
+
+def run_end(text: str, end: int) -> int:
+    """Where the run of characters that a URL may hold ends, closing punctuation left out."""
+    m = NOT_URL.search(text, end)
+    last = m.start() if m else len(text)
+    while last > end and text[last - 1] in ".,;:!?)]}":
+        last -= 1
+    return last
+
+
+def is_url(text: str, host: int, end: int) -> bool:
+    """Whether a host with a dot inside begins at `host`."""
+    slash = text.find("/", host, end)
+    return "." in text[host : end if slash < 0 else slash].strip(".")
 
 
 def account_at(text: str, cue: str, end: int) -> tuple[int, int] | None:
@@ -169,13 +183,14 @@ def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
         return out
     runs: list[tuple[int, int]] = []
     ends = dict.fromkeys(KINDS, 0)
+    run = 0  # the end of the last scheme's run: schemes before it share it, so that a run is read once
 
     def add(kind: str, span: tuple[int, int] | None) -> None:
         if span and span[0] >= ends[kind]:
             out[kind].append(span)
             ends[kind] = span[1]
 
-    for last, (what, size) in anchors().iter(text):
+    for last, (what, size) in anchors().iter(folded(text)):
         start, end = last - size + 1, last + 1
         if what == "digit":
             if runs and runs[-1][1] == start:
@@ -187,7 +202,10 @@ def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
         elif what == "plus":
             add("phone", phone_at(text, start))
         elif what == "scheme":
-            add("url", url_at(text, start, end))
+            if start >= ends["url"]:
+                run = run if end <= run else run_end(text, end)
+                if end < run and is_url(text, end, run):
+                    add("url", (start, run))
         elif start == 0 or not text[start - 1].isalnum():
             add("account", account_at(text, what, end))
     for chain in chains(text, runs, "."):
