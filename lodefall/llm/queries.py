@@ -81,7 +81,7 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents")).drop("max_guess_bits")
+    return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
