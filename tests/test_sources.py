@@ -2,19 +2,24 @@
 
 import hashlib
 import io
+import time
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodefall.functions import text as tx
 from lodefall.operators import paths
-from lodefall.sources import files
+from lodefall.sources import files, sinks
+
+
+W, A = 'xmlns:w="urn:w"', 'xmlns:a="urn:a"'
 
 
 def docx(text):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:document>")
+        z.writestr("word/document.xml", f"<w:document {W}><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:document>")
     return out.getvalue()
 
 
@@ -61,16 +66,61 @@ def zipped(members):
 
 def test_office_formats():
     p = lambda t, style="": f'<w:p><w:pPr>{style}</w:pPr><w:r><w:t xml:space="preserve">{t}</w:t></w:r></w:p>'
-    doc = zipped({"word/document.xml": p("pre") + p("One", '<w:pStyle w:val="Heading1"/>') + p("a &lt; b") + p(" ") + p("Two", '<w:pStyle w:val="Heading2"/>') + p("c") + p("d", '<w:pStyle w:val="Heading4"/>')})
+    doc = zipped({"word/document.xml": f"<w:body {W}>" + p("pre") + p("One", '<w:pStyle w:val="Heading1"/>') + p("a &lt; b") + p(" ") + p("Two", '<w:pStyle w:val="Heading2"/>') + p("c") + p("d", '<w:pStyle w:val="Heading4"/>') + "</w:body>"})
     assert files.chunks("x.docx", doc) == files.chunks("x.DOC", doc) == [("sec01", "pre"), ("sec02", "One\na < b"), ("sec03", "Two\nc\nd")]
-    slides = zipped({f"ppt/slides/slide{k}.xml": f"<a:p><a:r><a:t>s{k}</a:t></a:r></a:p><a:p/>" if k != 2 else "" for k in (10, 2, 1)})
+    slides = zipped({f"ppt/slides/slide{k}.xml": f"<x {A}>" + (f"<a:p><a:r><a:t>s{k}</a:t></a:r></a:p><a:p/>" if k != 2 else "") + "</x>" for k in (10, 2, 1)})
     assert files.chunks("x.pptx", slides) == [("s01", "s1"), ("s02", ""), ("s03", "s10")]
-    sheet = '<row r="1"><c r="A1" t="s"><v>1</v></c><c r="B1"/><c r="C1"><v>2.5</v></c></row><row r="2"/><row><c t="inlineStr"><is><t>in</t></is></c></row>'
-    book = zipped({"xl/sharedStrings.xml": "<sst><si><t>zero</t></si><si><t>one &amp; two</t></si></sst>", "xl/worksheets/sheet1.xml": "", "xl/worksheets/sheet2.xml": sheet})
+    sheet = '<sheet><row r="1"><c r="A1" t="s"><v>1</v></c><c r="B1"/><c r="C1"><v>2.5</v></c></row><row r="2"/><row><c t="inlineStr"><is><t>in</t></is></c></row></sheet>'
+    book = zipped({"xl/sharedStrings.xml": "<sst><si><t>zero</t></si><si><t>one &amp; two</t></si></sst>", "xl/worksheets/sheet1.xml": "<sheet/>", "xl/worksheets/sheet2.xml": sheet})
     assert files.chunks("x.xlsx", book) == [("sheet02", "one & two\t2.5\nin")]
     assert files.chunks("x.ppt", slides) == files.chunks("x.doc", b"old") == files.chunks("x.docx", b"") == files.chunks("none", b"") == []
 
 
+def test_paragraphs_inside_others_and_entities():
+    inner = "<w:p><w:r><w:t>inner</w:t></w:r></w:p>"
+    body = f"<w:body {W}><w:p><w:r><w:t>a&#233;<![CDATA[<b>]]></w:t><w:tab/><w:t>c</w:t><w:br/><w:t>d</w:t></w:r><w:txbx>{inner}</w:txbx></w:p></w:body>"
+    assert files.chunks("x.docx", zipped({"word/document.xml": body})) == [("sec01", "aé<b>\tc\nd\ninner")]
+    assert files.chunks("x.docx", zipped({"word/document.xml": "<w:p>"})) == []
+
+
+def test_candidates_of_roots(spark, tmp_path):
+    for name in ("a/one.txt", "a/two.pdf", "a/cache/three.txt", "a/big.txt", "a/tmp.x/four.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x" * (100 if "big" in name else 3))
+    assert files.folder_names(["**/cache/**", "*.pdf", "a b/v1.0/[x]", "**/.git/**"]) == ("cache", "a b")
+    with pytest.warns(UserWarning, match="none"):
+        found = files.candidates(spark, [str(tmp_path / "none"), str(tmp_path / "a")], ["**/*.txt", "*.pdf"], ["**/cache/**", "four*"], 50).collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in found] == ["one.txt", "two.pdf"]
+    with pytest.warns(UserWarning):
+        assert files.candidates(spark, [str(tmp_path / "a/one.txt")]).count() == 0
+    chunks = spark.createDataFrame([(1, "p2", "b"), (1, "p1", "a"), (2, "p1", None)], "k int, ref string, text string")
+    assert {r["k"]: r["text"] for r in files.whole_texts(chunks, "k", "ref", "text").collect()} == {1: "a\nb", 2: ""}
+
+
+def test_files_of_settings(spark, tmp_path):
+    path = str(tmp_path / "x.json")
+    assert sinks.loaded(path, {}) == {} and sinks.directories(path, ["/a", "/b"])[1] == {"id": "1", "path": "/b", "enabled": True, "status": "active"}
+    sinks.put(path, '[{"query": "q", "expected_paths": ["http://x"]}, // a comment\n {"query": "r", "expected_paths": []}]')
+    assert sinks.loaded(path, {})[0]["expected_paths"] == ["http://x"]
+    assert sinks.fixture(spark, path, "query string, expected_paths array<string>").count() == 2
+    time.sleep(0.05)
+    sinks.put(path, '["plain"]')
+    assert sinks.fixture(spark, path, "query string, expected_paths array<string>").first()["query"] == "plain"
+    sinks.put(path, "{")
+    assert sinks.loaded(path, 5) == 5
+    sinks.put(path, "one")
+    first = sinks.snapshot(path, str(tmp_path / "h"))
+    sinks.put(path, "two!")
+    second = sinks.snapshot(path, str(tmp_path / "h"))
+    assert [x["version"] for x in sinks.versions(str(tmp_path / "h"))] == [second, first] and sinks.versions(str(tmp_path / "none")) == []
+    sinks.rolled_back(path, str(tmp_path / "h"), first)
+    assert (tmp_path / "x.json").read_text() == "one" and len(sinks.versions(str(tmp_path / "h"))) == 3
+    rows = spark.createDataFrame([(1, "q")], "k int, query string")
+    sinks.report_json(rows, {"recall": 0.5}, path)
+    assert sinks.loaded(path, {})["queries"] == [{"k": 1, "query": "q"}]
+    assert "1 of 3 rows" in sinks.report_html(spark.range(3).toDF("k"), "t", 1)
+
+
 def test_splitting():
     assert files.split_text("  ", 5) == [""] and files.split_text("abc", 5) == ["abc"]
     assert files.split_text("aaa bbb ccccccccc", 5) == ["aaa", "bbb", "ccccc", "cccc"]
