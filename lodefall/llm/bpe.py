@@ -7,6 +7,9 @@ sufficient lookahead; it is computed from the rules alone. A token that ends at
 been read is stable: it is emitted, and, because the tokens of a piece from a token boundary on are those of the rest
 alone, encoding goes on from there. So a piece of any length needs a window of the lookahead plus one token.
 
+A text is encoded block by block, each ending at a blank, and its ids are passed on as they come, so neither all its pieces
+nor all its ids are held. Every piece goes through the transducer; the ids of short pieces and words are remembered.
+
 Decoding is a state machine from ids to text that keeps nothing but an unfinished character.
 
 Defined results: a null text is empty and has no ids (the hashes are those of empty data); the strings of the special
@@ -22,6 +25,7 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,9 @@ CONTROLS = regex.compile("[\x1c-\x1f]")
 MARKS = tuple(".,;:!?")
 #: Pieces, and words between white space, whose ids a worker remembers; beyond that, new ones are encoded each time.
 REMEMBERED = 400_000
-#: Ids that are decoded at once.
-CHUNK = 1 << 16
+#: Characters after which a block of a text ends with the next blank, and tokens of a long piece that are passed on at once.
+BLOCK, CHUNK = 1 << 18, 1 << 14
+BLANK = regex.compile("[ \t\r\n]")
 
 
 def byte_alphabet() -> str:
@@ -57,8 +62,11 @@ class Tokenizer:
         pairs = [tuple(x.split(" ") if isinstance(x, str) else x) for x in model["merges"]]
         self.ranks: dict[tuple[str, str], int] = {pair: k for k, pair in reversed(list(enumerate(pairs)))}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.to_alphabet = dict(enumerate(byte_alphabet()))
+        self.of_alphabet = {c: b for b, c in self.to_alphabet.items()}
         named = {i: x for x, i in (self.vocab | self.special).items()}
         self.surface = [named.get(i, "") for i in range(max(named) + 1)]
+        self.bytes = [self.spelled(x) for x in self.surface]
         self.packed = {x: i.to_bytes(4, "little") for x, i in self.vocab.items()}
         steps = spec["normalizer"]["normalizers"]
         self.nfc, self.lower = ({"type": x} in steps for x in ("NFC", "Lowercase"))
@@ -66,7 +74,6 @@ class Tokenizer:
         # white space is normalised before the split, which drops it anyway
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.to_alphabet = {b: c for b, c in enumerate(byte_alphabet())}
         self.symbols_there, self.lower_there = self.unlike_here(path)
         self.longest = max(len(self.bare(x)) for x in self.vocab)
         self.lookahead = self.sufficient_lookahead(pairs)
@@ -84,6 +91,12 @@ class Tokenizer:
         lower = {ord(c): low for c in new if (low := library.normalizer.normalize_str(c)) != c}
         return frozenset(symbols), lower
 
+    def spelled(self, token: str) -> bytes:
+        """The bytes that a token stands for; an end of a word gives a blank."""
+        if token in self.special:
+            return token.encode()
+        return bytes(self.of_alphabet[c] for c in self.bare(token)) + b" " * (bool(self.end) and token.endswith(self.end))
+
     def bare(self, token: str) -> str:
         return token.removesuffix(self.end) if self.end else token
 
@@ -127,35 +140,36 @@ class Tokenizer:
         return parts
 
     def transduce(self, symbols: Iterable[str]) -> Iterator[str]:
-        """The tokens of one piece, given symbol by symbol; the last symbol carries the end-of-word suffix."""
+        """The tokens of one piece; its symbols are read a window at a time, and the last carries the end-of-word suffix."""
         window: list[str] = []
-        full = 2 * (self.lookahead + self.longest)
-        for symbol in symbols:
-            window.append(symbol)
-            if len(window) >= full:
-                done, stable = 0, []
-                for token in self.merged(window.copy()):
-                    if done + len(token) > len(window) - self.lookahead:
-                        break
-                    stable.append(token)
-                    done += len(token)
-                yield from stable
-                window = window[done:]
+        full, symbols = 2 * (self.lookahead + self.longest), iter(symbols)
+        while True:
+            window += islice(symbols, full - len(window))
+            if len(window) < full:
+                break
+            done, stable = 0, []
+            for token in self.merged(window.copy()):
+                if done + len(token) > len(window) - self.lookahead:
+                    break
+                stable.append(token)
+                done += len(token)
+            yield from stable
+            window = window[done:]
         yield from self.merged(window)
 
     def symbols(self, piece: str) -> Iterator[str]:
-        data = piece.encode("utf-8", "surrogatepass")
-        last = len(data) - 1
-        return (self.to_alphabet[b] + self.end * (k == last) for k, b in enumerate(data))
+        parts = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_alphabet)
+        yield from parts[:-1]
+        yield parts[-1] + self.end
+
+    def stream_piece(self, piece: str) -> Iterator[bytes]:
+        """The ids of a piece as they become stable."""
+        tokens = self.transduce(self.symbols(piece))
+        while some := [self.packed[x] for x in islice(tokens, CHUNK)]:
+            yield b"".join(some)
 
     def encode_piece(self, piece: str) -> bytes:
-        if len(piece) <= self.lookahead // 4:  # in bytes surely less than a window
-            parts = list(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_alphabet))
-            parts[-1] += self.end
-            found = self.merged(parts)
-        else:
-            found = self.transduce(self.symbols(piece))
-        return b"".join([self.packed[x] for x in found if x in self.packed])
+        return b"".join(self.stream_piece(piece))
 
     def encode_word(self, word: str) -> bytes:
         """The ids of what stands between white space; words of letters, and those with one mark after, are cut by sight."""
@@ -176,16 +190,18 @@ class Tokenizer:
         # by character: a final sigma is lowered like any other
         return text.replace("Σ", "σ").lower() if self.lower else text
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        out, at = [], 0
-        for m in self.specials.finditer(text) if self.specials else ():
-            out += self.plain(text[at : m.start()])
-            out.append(np.array([self.special[m[0]]], "<u4").tobytes())
+    def stream(self, text: str | None) -> Iterator[bytes]:
+        """The ids as little-endian unsigned 32-bit integers, in parts."""
+        at = 0
+        for m in self.specials.finditer(text) if text and self.specials else ():
+            yield from self.plain(text, at, m.start())
+            yield self.special[m[0]].to_bytes(4, "little")
             at = m.end()
-        return b"".join(out + self.plain(text[at:] if at else text))
+        if text:
+            yield from self.plain(text, at, len(text))
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(self.stream(text))
 
     def cut(self, text: str) -> list[str]:
         """The pieces of a normalised text."""
@@ -196,18 +212,25 @@ class Tokenizer:
         out = self.pieces.findall("".join(stand if c in self.symbols_there else c for c in text))
         return ["".join(next(held) if c == stand else c for c in x) for x in out]
 
-    def plain(self, text: str) -> list[bytes]:
-        """No piece reaches over white space, so what lies between is remembered as it is written."""
-        if CONTROLS.search(text):  # str.split() cuts at these too
-            return [self.known[x] for x in self.cut(self.normalize(text))]
-        return list(map(self.known_words.__getitem__, text.split()))
+    def plain(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """The ids of a part without special tokens. No piece reaches over white space, so what lies between is remembered
+        as it is written."""
+        while at < end:
+            m = BLANK.search(text, min(at + BLOCK, end), end)
+            stop = m.start() if m else end
+            block, at = text if stop - at == len(text) else text[at:stop], stop
+            if len(block) > 2 * BLOCK or CONTROLS.search(block):  # one long run, or str.split() would cut too often
+                for piece in self.cut(self.normalize(block)):
+                    yield from [self.known[piece]] if len(piece) < BLOCK else self.stream_piece(piece)
+            else:
+                yield b"".join(map(self.known_words.__getitem__, block.split()))
 
     def decode(self, ids: bytes, readable: bool = False) -> Iterator[str]:
         """The text of the ids in parts. The file names no decoder, so the library joins the tokens as they are written
         with blanks; `readable` turns bytes and word ends back into text instead."""
         machine = Decoder(self, readable)
         for at in range(0, len(ids), 4 * CHUNK):
-            yield machine.feed(np.frombuffer(ids[at : at + 4 * CHUNK], "<u4").tolist())
+            yield machine.feed(unpacked(ids[at : at + 4 * CHUNK]))
         yield machine.close()
 
 
@@ -225,34 +248,24 @@ class Remembered(dict):
         return out
 
 
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
+
+
 class Decoder:
-    """Ids to text, incrementally; the state is whether a token went before and an unfinished character's bytes."""
+    """Ids to text, incrementally. The state is whether a token went before or, of the byte-to-text machine (`readable`),
+    the bytes of an unfinished character."""
 
     def __init__(self, tokenizer: Tokenizer, readable: bool = False) -> None:
-        self.surface, self.readable, self.begun = tokenizer.surface, readable, False
-        self.end = tokenizer.end
+        self.surface, self.bytes, self.readable, self.begun = tokenizer.surface, tokenizer.bytes, readable, False
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
-        self.of_alphabet = {c: b for b, c in tokenizer.to_alphabet.items()}
-        self.special = set(tokenizer.special)
 
     def feed(self, ids: list[int]) -> str:
-        if not ids:
-            return ""
-        if not self.readable:
-            out = " " * self.begun + " ".join(map(self.surface.__getitem__, ids))
-            self.begun = True
-            return out
-        out = []
-        for i in ids:
-            token = self.surface[i]
-            if token in self.special:
-                out.append(self.utf8.decode(b"", True) + token)
-                self.utf8.reset()
-                continue
-            word_ends = bool(self.end) and token.endswith(self.end)
-            token = token.removesuffix(self.end) if word_ends else token
-            out.append(self.utf8.decode(bytes(self.of_alphabet[c] for c in token)) + " " * word_ends)
-        return "".join(out)
+        if self.readable:
+            return self.utf8.decode(b"".join(map(self.bytes.__getitem__, ids)))
+        out = " " * (self.begun and len(ids) > 0) + " ".join(map(self.surface.__getitem__, ids))
+        self.begun = self.begun or len(ids) > 0
+        return out
 
     def close(self) -> str:
         return self.utf8.decode(b"", True)
@@ -264,24 +277,30 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, readable_sha256 string"
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256, a row per row of `docs`; `path` is that of the tokenizer's file on
-    every executor."""
+    """doc_id, n_tokens, and the hashes of the ids, of the decoded text and of what the byte-to-text machine gives, a row per
+    row of `docs`; `path` is that of the tokenizer's file on every executor."""
+
+    def hashes(made: Tokenizer, text: str | None) -> tuple[int, str, str, str]:
+        n, ids_hash, machines = 0, hashlib.sha256(), [(Decoder(made, x), hashlib.sha256()) for x in (False, True)]
+        for part in made.stream(text):
+            ids_hash.update(part)
+            ids = unpacked(part)
+            n += len(ids)
+            for machine, seen in machines:
+                seen.update(machine.feed(ids).encode("utf-8", "surrogatepass"))
+        for machine, seen in machines:
+            seen.update(machine.close().encode())
+        return n, ids_hash.hexdigest(), *(seen.hexdigest() for _, seen in machines)
 
     def body(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = tokenizer(path)
-        counts, ids_hash, text_hash = [], [], []
-        for text in batch.column("text"):
-            ids = made.encode(text.as_py())
-            decoded = hashlib.sha256()
-            for part in made.decode(ids):
-                decoded.update(part.encode("utf-8", "surrogatepass"))
-            counts.append(len(ids) // 4)
-            ids_hash.append(hashlib.sha256(ids).hexdigest())
-            text_hash.append(decoded.hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], [x.split(" ")[0] for x in SCHEMA.split(", ")])
+        rows = zip(*(hashes(made, x.as_py()) for x in batch.column("text")), strict=True)
+        names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
+        columns = [pa.array(x, pa.int64() if k == 0 else pa.string()) for k, x in enumerate(rows)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
     return map_batches(docs.select("doc_id", "text"), body, SCHEMA)
