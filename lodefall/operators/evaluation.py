@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodefall.operators.analytics import percentiles
+
 #: Least accuracy of the routing, results looked at.
 GATE, TOP = 0.85, 5
 
@@ -17,14 +19,14 @@ def accuracy(answers: DataFrame, by: str, right: Column, gate: float = GATE) ->
 
 def summary(answers: DataFrame, by: str, right: Column, results: Column, ms: str) -> DataFrame:
     """accuracy() with the answers that have results and the mean, median and 95th percentile of the latency."""
-    return answers.groupBy(by).agg(
+    whole = answers.groupBy(by).agg(
         F.count("*").alias("questions"),
         F.count_if(right).alias("right"),
         F.count_if(results > 0).alias("with_results"),
         F.round(F.avg(ms), 1).alias("mean_ms"),
-        F.round(F.percentile(ms, F.lit(0.5)), 1).alias("p50_ms"),
-        F.round(F.percentile(ms, F.lit(0.95)), 1).alias("p95_ms"),
     )
+    ranks = percentiles(answers, ms, [by]).withColumnRenamed(by, "_by")
+    return whole.join(ranks, whole[by].eqNullSafe(ranks["_by"])).select(*whole.columns, *(F.round(c, 1).alias(f"{c}_ms") for c in ("p50", "p95")))
 
 
 def cited(citations: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:

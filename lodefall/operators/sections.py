@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,16 +11,21 @@ def identity(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("::", *parts), 256)
 
 
+#: What parts sections: blank lines, and the line end before a `#` line. Lines end at line feeds alone.
+PARTS = r"(?dm)^[ \t\x0B\f\r]*$|\n(?=#)"
+
+
+def numbered(kind: str, k: Column) -> Column:
+    """A reference such as sec01; numbers of over two digits are written out."""
+    return F.concat(F.lit(kind), F.when(k < 10, "0").otherwise(""), k.cast("string"))
+
+
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, ref (sec01, sec02 ...) and text: a `#` line begins a section, a blank line ends one; empty ones aren't numbered."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line"))
-    w = Window.partitionBy(key).orderBy("pos")
-    blank = F.trim("line") == ""
-    cut = F.when(blank | F.startswith("line", F.lit("#")), 1).otherwise(0)
-    marked = lines.withColumn("part", F.sum(cut).over(w)).where(~blank)
-    parts = marked.groupBy(key, "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    ref = F.concat(F.lit("sec"), F.lpad(F.row_number().over(Window.partitionBy(key).orderBy("part")).cast("string"), 2, "0"))
-    return parts.select(key, ref.alias("ref"), "text")
+    """key, ref (sec01, sec02 ...) and text: a `#` line begins a section, a blank line ends one; empty ones aren't numbered.
+    Each text is cut in its row; nothing is shuffled."""
+    pieces = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), PARTS), lambda x: F.regexp_replace(x, r"^\n+|\n+$", ""))
+    rows = docs.select(key, F.posexplode(F.filter(pieces, lambda x: x != "")).alias("_k", "_text"))
+    return rows.select(key, numbered("sec", F.col("_k") + 1).alias("ref"), F.col("_text").alias("text"))
 
 
 def split_at(text: Column, most: int) -> Column:

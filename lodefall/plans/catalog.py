@@ -86,9 +86,9 @@ def identity_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
-m AS (SELECT *, sum(CASE WHEN trim(line, ' ') = '' OR line LIKE '#%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM l),
-p AS (SELECT doc_id, part, string_agg(line, chr(10) ORDER BY pos) AS text FROM m WHERE trim(line, ' ') <> '' GROUP BY doc_id, part)
-SELECT doc_id, 'sec' || lpad(row_number() OVER (PARTITION BY doc_id ORDER BY part)::VARCHAR, 2, '0') AS ref, text FROM p""")
+m AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*$') OR line LIKE '#%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM l),
+p AS (SELECT doc_id, part, string_agg(line, chr(10) ORDER BY pos) AS text FROM m WHERE NOT regexp_matches(line, '^\\s*$') GROUP BY doc_id, part)
+SELECT doc_id, printf('sec%02d', row_number() OVER (PARTITION BY doc_id ORDER BY part)) AS ref, text FROM p""")
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.sections(table(spark, sf_dir, "documents"), "doc_id", "text")
 
