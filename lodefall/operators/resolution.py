@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import DoubleType
 
 #: Words that don't make an alias.
@@ -42,16 +45,48 @@ def grams(text: Column, n: int = GRAM) -> Column:
     return F.when(size > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
+#: Aliases up to which one automaton of them all goes to the workers (under 50 MB); beyond it paths and aliases are joined.
+ALIASES = 200_000
+
+
 def by_alias(paths: DataFrame, key: str, path: str, aliases: DataFrame, alias: str, order: str, value: str) -> DataFrame:
-    """key and value of the longest alias (3 characters at least; then by `order`) within the path, case ignored. Joined
-    on the alias's run of three characters that fewest aliases have, then verified; so aliases that begin alike don't
-    all meet each path."""
+    """key and value of the longest alias (3 characters at least; then by `order`) within the path, case ignored."""
     a = aliases.select(F.lower(alias).alias("_alias"), F.col(order).alias("_order"), F.col(value).alias(value)).where(F.length("_alias") >= GRAM)
+    a = a.groupBy("_alias").agg(F.min(F.struct("_order", value)).alias("_x")).select("_alias", F.col("_x._order").alias("_order"), F.col(f"_x.{value}").alias(value))
+    p = paths.select(key, F.lower(F.replace(path, F.lit("\\"), F.lit("/"))).alias("_path"))
+    few = a.limit(ALIASES + 1).collect()  # bounded
+    return found_aliases(p, key, few, value) if len(few) <= ALIASES else joined_aliases(p, key, a, value)
+
+
+def found_aliases(p: DataFrame, key: str, aliases: list, value: str) -> DataFrame:
+    """The longest alias of each path by one pass of an automaton over it."""
+    import ahocorasick
+
+    shared = p.sparkSession.sparkContext.broadcast([(x["_alias"], x["_order"], x[value]) for x in aliases])
+    kind = T.StructType([p.schema[key], T.StructField(value, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for text, order, found in shared.value:
+            automaton.add_word(text, (len(text), -order, found))
+        if not len(automaton):
+            return
+        automaton.make_automaton()
+        for batch in batches:
+            best = [max((x for _, x in automaton.iter(text or "")), default=None) for text in batch.column("_path").to_pylist()]
+            held = pa.array([x is not None for x in best])
+            yield pa.RecordBatch.from_arrays([batch.column(key).filter(held), pa.array([x[2] for x in best if x], pa.string())], [key, value])
+
+    return p.mapInArrow(run, kind)
+
+
+def joined_aliases(p: DataFrame, key: str, a: DataFrame, value: str) -> DataFrame:
+    """The same by a join on the alias's run of three characters that fewest aliases have, then verified; so aliases that
+    begin alike don't all meet each path."""
     runs = a.select("_alias").distinct().select("_alias", F.explode(grams(F.col("_alias"))).alias("_gram"))
     rare = runs.join(runs.groupBy("_gram").agg(F.count("*").alias("_n")), "_gram").groupBy("_alias").agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
-    p = paths.select(key, F.lower(F.replace(path, F.lit("\\"), F.lit("/"))).alias("_path"))
     hits = p.select(key, "_path", F.explode(grams(F.col("_path"))).alias("_gram")).join(a.join(rare, "_alias"), "_gram").where(F.contains("_path", F.col("_alias")))
-    return hits.groupBy(key).agg(F.max_by(value, F.struct(F.length("_alias"), -F.col("_order"))).alias(value))
+    return hits.groupBy(key).agg(F.max_by(value, F.struct(F.length("_alias"), -F.col("_order"), value)).alias(value))
 
 
 @F.pandas_udf(DoubleType())
@@ -109,9 +144,10 @@ def by_name(paths: DataFrame, key: str, path: str, cards: DataFrame, name: str,
     return segments.join(pairs, "_segment").join(named, "_name").groupBy(key).agg(F.min_by(value, F.struct("_pos", "_order")).alias(value))
 
 
-def resolved(paths: DataFrame, key: str, path: str, cards: DataFrame, aliases: DataFrame) -> DataFrame:
+def resolved(paths: DataFrame, key: str, path: str, cards: DataFrame, aliases: DataFrame, names: bool = True) -> DataFrame:
     """key, project_code, confidence and method of every path (null where none is found). `cards` has project_code, name,
-    root_path and ordinal; `aliases` has project_code, alias and ordinal. The first way that finds a project wins."""
+    root_path and ordinal; `aliases` has project_code, alias and ordinal. The first way that finds a project wins; without
+    `names`, similar names aren't looked for."""
     rows = paths.select(key, path)
     ways = (
         (1.0, "root_path", by_prefix(rows, key, path, cards, "root_path", "ordinal", "project_code")),
@@ -123,6 +159,8 @@ def resolved(paths: DataFrame, key: str, path: str, cards: DataFrame, aliases: D
     sure = every.groupBy(key).agg(F.max_by("_f", "_f.confidence").alias("_f"))
     # the dear comparison of names is for the rest only
     known = rows.join(sure, key, "left")
+    if not names:
+        return known.select(key, "_f.project_code", "_f.confidence", "_f.method")
     rest = known.where("_f IS NULL").select(key, path)
     like = named(0.70, "fuzzy_name", by_name(rest, key, path, cards, "name", "ordinal", "project_code")).withColumnRenamed("_f", "_g")
     out = known.select(key, "_f").join(like, key, "left").withColumn("_f", F.coalesce("_f", "_g"))

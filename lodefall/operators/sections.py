@@ -29,9 +29,11 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def split_at(text: Column, most: int) -> Column:
-    """Pieces of at most `most` characters, cut at the last blank of each where there is one (after the first character)."""
-    pattern = rf"(?s)\S.{{0,{most - 2}}}(?=\s|$)|\S.{{0,{most - 2}}}\S"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Pieces of at most `most` characters: what is left whole if it fits, else up to the last blank within them (after the
+    first character), else cut hard; white space at the cuts goes."""
+    pattern = rf"(?s)\S.{{0,{most - 1}}}\z|\S.{{0,{most - 2}}}(?= )|\S.{{{most - 1}}}"
+    pieces = F.regexp_extract_all(F.regexp_replace(text, r"^\s+|\s+\z", ""), F.lit(pattern), F.lit(0))
+    return F.transform(pieces, lambda x: F.regexp_replace(x, r"\s+\z", ""))
 
 
 def with_suffixes(df: DataFrame, key: str, ref: str, pieces: Column) -> DataFrame:

@@ -104,6 +104,19 @@ def _cards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return c.drop("alias"), c.select("project_code", "alias", "ordinal")
 
 
+@query(f"""WITH p AS (SELECT o_orderkey, {_JOB} AS path FROM orders), c AS (SELECT (c_custkey + 1000)::VARCHAR AS code, c_custkey AS ordinal, '/archive/roots/' || c_custkey || '/' AS root, lower('Customer ' || lpad(c_custkey::VARCHAR, 6, '0') || 'b') AS alias FROM customer),
+r AS (SELECT o_orderkey, arg_min(code, ordinal) AS code FROM p JOIN c ON starts_with(path, root) GROUP BY 1), ps AS (SELECT o_orderkey, unnest(string_split(path, '/')) AS part, generate_subscripts(string_split(path, '/'), 1) AS pos FROM p),
+n AS (SELECT o_orderkey, arg_min(regexp_extract(part, '\\b([0-9]{{3,4}})\\b', 1), pos) AS code FROM ps WHERE regexp_extract(part, '\\b([0-9]{{3,4}})\\b', 1) IN (SELECT code FROM c) GROUP BY 1),
+a AS (SELECT o_orderkey, arg_min(code, ordinal) AS code FROM p JOIN c ON contains(lower(path), alias) GROUP BY 1)
+SELECT p.o_orderkey, coalesce(r.code, n.code, a.code) AS project_code, CASE WHEN r.code IS NOT NULL THEN 1.0 WHEN n.code IS NOT NULL THEN 0.95 WHEN a.code IS NOT NULL THEN 0.85 END::DOUBLE AS confidence,
+CASE WHEN r.code IS NOT NULL THEN 'root_path' WHEN n.code IS NOT NULL THEN 'project_number' WHEN a.code IS NOT NULL THEN 'alias_match' END AS method FROM p LEFT JOIN r USING (o_orderkey) LEFT JOIN n USING (o_orderkey) LEFT JOIN a USING (o_orderkey)""")
+def resolve_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By root, number and alias alone."""
+    cards, aliases = _cards(spark, sf_dir)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_JOB.replace("::VARCHAR", "::STRING")).alias("path"))
+    return resolution.resolved(rows, "o_orderkey", "path", cards, aliases, names=False)
+
+
 @query()
 def resolve_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards, aliases = _cards(spark, sf_dir)

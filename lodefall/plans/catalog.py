@@ -93,7 +93,11 @@ def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.sections(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query(r"""WITH RECURSIVE s AS (SELECT doc_id, 0 AS i, '' AS piece, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS rest FROM documents UNION ALL
+SELECT doc_id, i + 1, regexp_replace(left(rest, n), '\s+$', ''), regexp_replace(substr(rest, n + 1), '^\s+', '') FROM (SELECT *, CASE WHEN length(rest) <= 3000 THEN length(rest)
+WHEN strpos(reverse(left(rest, 3000)), ' ') = 0 THEN 3000 ELSE 3000 - strpos(reverse(left(rest, 3000)), ' ') END AS n FROM s WHERE rest <> '')),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM s WHERE i > 0)
+SELECT doc_id, CASE WHEN n > 1 THEN 'p1' || chr(96 + i) ELSE 'p1' END AS ref, piece AS text FROM c""")
 def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("p1").alias("ref"), "text")
     return sections.with_suffixes(docs, "doc_id", "ref", sections.split_at(F.col("text"), 3000))
@@ -356,7 +360,7 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang").join(F.broadcast(top), "doc_id", "left").groupBy("lang").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
 
 
-@query()
+@query("SELECT event_id, min(event_type) AS event_type FROM events GROUP BY 1")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 

@@ -137,3 +137,22 @@ def test_audits_of_empty_tables(spark):
     assert analytics.siblings(none, "a", "b").count() == 0
     assert [tuple(r) for r in analytics.checks({"x": (none, F.lit(True))}).collect()] == [("x", 0, True)]
     assert classify.convention(none, "a", "b").count() == 0
+
+
+def test_both_ways_to_find_aliases_agree(spark):
+    rnd = random.Random(4)
+    aliases = spark.createDataFrame([("".join(rnd.choices("abcÉ ", k=rnd.randint(1, 6))), k % 50, f"P{k}") for k in range(300)], "alias string, o int, v string")
+    rows = spark.createDataFrame([(k, "".join(rnd.choices("abcé \\/", k=rnd.randint(0, 30)))) for k in range(500)] + [(None, None)], "k int, p string")
+    found = lambda: sorted((r["k"], r["v"]) for r in resolution.by_alias(rows, "k", "p", aliases, "alias", "o", "v").collect())
+    one, resolution.ALIASES = found(), 10
+    try:
+        assert found() == one and len(one) > 300
+    finally:
+        resolution.ALIASES = 200_000
+
+
+def test_percentiles_of_large_groups(spark):
+    df = spark.range(350_000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 != 0, F.round(F.rand(3) * 5000) / 7).alias("v"))
+    want = df.groupBy("g").agg(*(F.round(F.percentile("v", q), 6).alias(f"p{round(100 * q)}") for q in (0.5, 0.95)), F.count("*").alias("n"))
+    got = analytics.percentiles(df, "v", ["g"])
+    assert sorted(got.collect()) == sorted(want.collect())
