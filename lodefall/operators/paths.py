@@ -1,28 +1,12 @@
-"""Metadata out of paths: names, revisions, dates, disciplines, stages and the taxonomy that names them."""
+"""Names and extensions of paths, the lane of a file, taxonomies as rows, and how likely a folder is a project."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Extensions by content type.
-CONTENT_TYPES = {
-    "drawing": ("dwg", "dxf", "rvt", "skp", "3dm"),
-    "document": ("pdf", "doc", "docx", "txt", "md"),
-    "spreadsheet": ("xls", "xlsx", "csv"),
-    "presentation": ("ppt", "pptx"),
-    "image": ("jpg", "jpeg", "png", "tif", "tiff", "gif", "bmp"),
-    "email": ("eml", "msg"),
-}
-#: Our own taxonomy of folder names, by stage.
-STAGES = {
-    "concept": ("concept", "sketch", "feasibility"),
-    "schematic": ("schematic", "scheme design", "sd"),
-    "tender": ("tender", "bid", "procurement"),
-    "construction": ("construction", "site", "shop drawings"),
-    "archive": ("archive", "superseded", "old"),
-}
-TEXT_EXTENSIONS = CONTENT_TYPES["document"] + ("pptx", "ppt", "xlsx", "xls", "eml")
+#: Extensions whose text is read.
+TEXT_EXTENSIONS = ("pdf", "doc", "docx", "txt", "md", "pptx", "ppt", "xlsx", "xls", "eml")
 
 
 def file_name(path: Column) -> Column:
@@ -33,70 +17,16 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r"\.([^.]+)$", 1))
 
 
-def content_type(ext: Column) -> Column:
-    out = F.lit("other")
-    for kind, names in CONTENT_TYPES.items():
-        out = F.when(ext.isin(*names), kind).otherwise(out)
-    return out
-
-
 def lane(ext: Column) -> Column:
     return F.when(ext.isin(*TEXT_EXTENSIONS), "TEXT_EXTRACTABLE").otherwise("METADATA_ONLY")
 
 
-def revision(name: Column) -> Column:
-    """The number of the first pattern that matches: rev 3, r3, v3."""
-    found = [F.nullif(F.regexp_extract(F.lower(name), p, 1), F.lit("")) for p in (r"rev[ _.-]?([0-9]{1,3})", r"(?:^|[ _.-])r([0-9]{1,3})(?:[ _.-]|$)", r"(?:^|[ _.-])v([0-9]{1,3})(?:[ _.-]|$)")]
-    return F.coalesce(*found).try_cast("int")
-
-
-def file_date(name: Column) -> Column:
-    """A valid calendar date written yyyymmdd or yyyy-mm-dd, else null."""
-    digits = F.regexp_extract(name, r"((?:19|20)[0-9]{2})[-_.]?([0-9]{2})[-_.]?([0-9]{2})", 0)
-    return F.try_to_date(F.nullif(F.regexp_replace(digits, "[-_.]", ""), F.lit("")), "yyyyMMdd")
-
-
-def normalized(folder: Column) -> Column:
-    """Without up to three numeric prefixes, blanks collapsed, in lower case."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(folder, r"^(?:[0-9]{1,4}[ _.-]+){1,3}", ""), r"\s+", " ")))
-
-
-def flag(path: Column, pattern: str) -> Column:
-    return path.rlike(rf"(?i)(?:^|[/ _-])(?:{pattern})(?:[/ _-]|$)").cast("int")
-
-
-def parsed(df: DataFrame, path: str) -> DataFrame:
-    """All path facts as columns; one projection, no join."""
-    p, name = F.col(path), file_name(F.col(path))
-    return df.withColumns(
-        {
-            "file_name": name,
-            "ext": extension(p),
-            "content_type": content_type(extension(p)),
-            "lane": lane(extension(p)),
-            "revision": revision(name),
-            "file_date": file_date(name),
-            "is_issued": flag(p, "issued|issue"),
-            "is_superseded": flag(p, "superseded|old"),
-            "is_received": flag(p, "received|incoming"),
-        }
-    )
-
-
 def taxonomy(spark: SparkSession, terms: dict[str, tuple[str, ...]]) -> DataFrame:
     """kind, ordinal and synonym: a few rows from a constant."""
     rows = [(kind, k, x) for k, (kind, x) in enumerate((kind, x) for kind, xs in terms.items() for x in xs)]
     return spark.createDataFrame(rows, "kind string, ordinal int, synonym string")
 
 
-def stage_match(df: DataFrame, key: str, segment: Column, terms: DataFrame) -> DataFrame:
-    """key and stage: the longest synonym in the segment wins, then the first declared; short ones need word bounds."""
-    t = F.broadcast(terms)  # a constant's rows
-    folder = df.select(key, F.concat(F.lit(" "), normalized(segment), F.lit(" ")).alias("s"))
-    hit = F.when(F.length("synonym") <= 4, F.contains("s", F.concat(F.lit(" "), "synonym", F.lit(" ")))).otherwise(F.contains("s", F.col("synonym")))
-    return folder.join(t, hit).groupBy(key).agg(F.max_by("kind", F.struct(F.length("synonym"), -F.col("ordinal"))).alias("stage"))
-
-
 def infer(path: Column, patterns: list[tuple[str, float]], boosts: list[tuple[str, float]], threshold: float = 0.5) -> Column:
     """The confidence of a project folder: summed weights of patterns and keywords, 1 at most, 0 below the threshold."""
     total = F.lit(0.0)
@@ -106,10 +36,3 @@ def infer(path: Column, patterns: list[tuple[str, float]], boosts: list[tuple[st
         total = total + F.when(F.contains(F.lower(path), F.lit(word)), weight).otherwise(0.0)
     total = F.round(F.least(total, F.lit(1.0)), 4)
     return F.when(total >= threshold, total).otherwise(0.0)
-
-
-def aliases(title: Column) -> Column:
-    """The initialism and the longer words of a title, distinct."""
-    ws = F.filter(F.split(F.lower(title), r"[^a-z0-9]+"), lambda x: x != "")
-    initials = F.array_join(F.transform(ws, lambda x: F.substring(x, 1, 1)), "")
-    return F.array_sort(F.array_distinct(F.concat(F.when(F.size(ws) >= 2, F.array(initials)).otherwise(F.array().cast("array<string>")), F.filter(ws, lambda x: F.length(x) >= 3))))

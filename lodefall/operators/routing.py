@@ -8,48 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Our own concepts with their synonyms, and the words that speak for each mode.
-CONCEPTS = {"area": ("gfa", "floor area", "area"), "facade": ("facade", "cladding", "curtain wall"), "client": ("client", "owner"), "drawing": ("drawing", "plan", "elevation")}
-STRUCTURED = ("how many", "total", "list all", "which projects", "gfa", "client")
-LOCATOR = ("find", "where is", "latest", "drawing", "file", "show me")
-SEMANTIC = ("why", "how does", "explain", "strategy", "describe")
-
-
-def clean(question: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(question), r"[^a-z0-9]+", " "))
-
-
-def concept_tags(question: Column) -> Column:
-    """The concepts of which a synonym occurs, sorted."""
-    q = clean(question)
-    tags = [F.when(F.greatest(*(F.contains(q, F.lit(s)).cast("int") for s in (*synonyms, synonyms[0]))) == 1, concept) for concept, synonyms in CONCEPTS.items()]
-    return F.sort_array(F.array_compact(F.array(*tags)))
-
-
-def hits(question: Column, words: tuple[str, ...]) -> Column:
-    q, total = clean(question), F.lit(0)
-    for w in words:
-        total = total + F.contains(q, F.lit(w)).cast("int")
-    return total
-
-
-def project_code(question: Column) -> Column:
-    return F.nullif(F.regexp_extract(question, r"\b([1-9][0-9]{2,3})\b", 1), F.lit(""))
-
-
-def routed(df: DataFrame, question: str) -> DataFrame:
-    """mode, confidence and code; ties go to structured, then to the locator."""
-    q = F.col(question)
-    tags = F.size(concept_tags(q))
-    s = F.least(F.round(0.5 * tags + 0.35 * hits(q, STRUCTURED), 4), F.lit(1.0))
-    f = F.least(F.round(0.25 * hits(q, LOCATOR) + F.when(project_code(q).isNotNull(), 0.25).otherwise(0.0), 4), F.lit(1.0))
-    m = F.least(F.round(0.2 + 0.25 * hits(q, SEMANTIC), 4), F.lit(1.0))
-    scored = df.withColumns({"s": s, "f": f, "m": m, "code": project_code(q)})
-    best = F.greatest("s", "f", "m")
-    mode = F.when(F.col("s") == best, "structured").when(F.col("f") == best, "file_locator").otherwise("semantic")
-    return scored.withColumns({"mode": mode, "confidence": best}).drop("s", "f", "m")
-
-
 #: Concepts by the mode that they speak for; their synonyms are a parameter.
 STRUCTURED_CONCEPTS = ("project_overview", "typology", "client", "project_stage", "gfa", "storeys", "units", "plot_ratio", "project_architect", "pm", "consultants", "contractor")
 SEMANTIC_CONCEPTS = ("design_concept", "facade", "sustainability", "materials", "waivers", "action_items", "authority_comments")
@@ -114,6 +72,7 @@ STAGE_WORDS = {
     "schematic": "design", "concept design": "design", "renders": "renders", "render": "renders", "visualisation": "renders", "visualization": "renders",
     "presentation": "presentations",
 }
+#: Words that name a content type.
 TYPE_WORDS = {
     "bim": "BIM", "revit": "BIM", ".rvt": "BIM", "cad": "CAD", ".dwg": "CAD", "autocad": "CAD", "photoshop": "Photoshop", ".psd": "Photoshop",
     "illustrator": "Illustrator", ".ai": "Illustrator", "indesign": "InDesign", ".indd": "InDesign", "powerpoint": "Presentation", ".pptx": "Presentation",
@@ -122,6 +81,7 @@ TYPE_WORDS = {
     "png": "Image", "minutes": "Minutes", "transmittal": "Transmittal", "rfi": "RFI", "word": "Word", ".docx": "Word", ".doc": "Word", "pdf": "PDF",
     "video": "Video", "email": "Email", "msg": "Email", "eml": "Email",
 }
+#: Typologies and stages of structured questions, and the names of months.
 STRUCTURED_TYPOLOGIES = ("residential", "hospitality", "hotel", "commercial", "civic", "mixed-use", "education", "healthcare")
 STRUCTURED_STAGES = ("design", "tender", "construction", "completed")
 MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"

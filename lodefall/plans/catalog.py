@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefall.functions import text as tx
-from lodefall.operators import analytics, maintenance, paths, routing, search, sections
+from lodefall.operators import analytics, maintenance, search, sections
 from lodefall.plans.indexes import TERMS, index_of, sql_bm25
 from lodefall.plans.registry import ORACLES, QUERIES, query
 from lodefall.session import table
@@ -267,39 +267,7 @@ def card_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.merged_by_source(inferred.unionByName(web).unionByName(manual), "code", ["name", "value"], "rank", "seq")
 
 
-# --- paths and classification ----------------------------------------------------------------------------------------
-
-_PATH = """'/archive/' || o_custkey || ' Project/0' || (o_orderkey % 5) || ' ' || CASE o_orderkey % 5 WHEN 0 THEN 'Tender Issued' WHEN 1 THEN 'Concept' WHEN 2 THEN 'Site' WHEN 3 THEN 'Old' ELSE 'Misc' END || '/A-' || o_orderkey || '_rev' || (o_orderkey % 7) || '_' || CASE WHEN o_orderkey % 3 = 0 THEN '20230230' ELSE '20240115' END || CASE o_orderkey % 4 WHEN 0 THEN '.dwg' WHEN 1 THEN '.PDF' WHEN 2 THEN '.xlsx' ELSE '' END"""
-
-
-def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_PATH.replace("o_custkey ||", "cast(o_custkey as string) ||")).alias("path"))
-
-
-@query(f"""WITH p AS (SELECT o_orderkey, {_PATH} AS path FROM orders), e AS (SELECT *, regexp_extract(path, '[^/]+$') AS file_name, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext FROM p)
-SELECT o_orderkey, path, file_name, ext, CASE ext WHEN 'dwg' THEN 'drawing' WHEN 'pdf' THEN 'document' WHEN 'xlsx' THEN 'spreadsheet' ELSE 'other' END AS content_type,
-CASE WHEN ext IN ('pdf', 'xlsx') THEN 'TEXT_EXTRACTABLE' ELSE 'METADATA_ONLY' END AS lane, (o_orderkey % 7)::INT AS revision,
-CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE DATE '2024-01-15' END::VARCHAR AS file_date, (o_orderkey % 5 = 0)::INT AS is_issued, (o_orderkey % 5 = 3)::INT AS is_superseded, 0 AS is_received FROM e""")
-def path_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.parsed(_paths(spark, sf_dir), "path").withColumn("file_date", F.col("file_date").cast("string"))
-
-
-@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'tender' WHEN 1 THEN 'concept' WHEN 2 THEN 'construction' ELSE 'archive' END AS stage FROM orders WHERE o_orderkey % 5 <> 4")
-def stage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = F.element_at(F.split("path", "/"), -2)
-    return paths.stage_match(_paths(spark, sf_dir), "o_orderkey", folder, paths.taxonomy(spark, paths.STAGES))
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence FROM orders")
-def project_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(spark, sf_dir).select("o_orderkey", paths.infer(F.col("path"), [(r"/[0-9]+ Project/", 0.7)], [("tender", 0.4)]).alias("confidence"))
-
-
-@query("""WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM part)
-SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN len(ws) >= 2 THEN [array_to_string(list_transform(ws, lambda x: x[1:1]), '')] ELSE []::VARCHAR[] END, list_filter(ws, lambda x: length(x) >= 3)))), ',') AS aliases FROM w""")
-def alias_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(paths.aliases(F.col("p_name")), ",").alias("aliases"))
-
+# --- mail ----------------------------------------------------------------------------------------
 
 @query("SELECT conv_id, turn, trim(regexp_replace('RE: ' || text, '^(?i:re|fwd?):\\s*', ''), ' ') AS subject, 'example.org' AS domain FROM conversations")
 def email_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,30 +295,7 @@ def url_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.upper(F.substring(F.array_join(F.transform(parts, lambda x: F.substring(x, 1, 1)), ""), 1, 6)).alias("code"))
 
 
-# --- routing and evaluation ------------------------------------------------------------------------------------------
-
-QUESTIONS = [
-    (1, "How many projects have GFA over 5000?", "structured"),
-    (2, "Find the latest drawing for 186", "structured"),
-    (3, "Explain the facade strategy", "structured"),
-    (4, "show me the file", "file_locator"),
-    (5, "why was it done", "semantic"),
-    (6, "hello", "semantic"),
-    (7, "where is the latest issue of 2024", "file_locator"),
-]
-_ROUTED = "(VALUES (1, 'structured', 1.0, '5000'), (2, 'file_locator', 1.0, '186'), (3, 'semantic', 0.7, NULL), (4, 'file_locator', 0.5, NULL), (5, 'semantic', 0.45, NULL), (6, 'semantic', 0.2, NULL), (7, 'file_locator', 0.75, '2024'))"
-
-
-@query(f"SELECT id, mode, confidence::DOUBLE AS confidence, code FROM {_ROUTED} t(id, mode, confidence, code)")
-def route_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.routed(spark.createDataFrame(QUESTIONS, "id int, q string, expected string"), "q").select("id", "mode", "confidence", "code")
-
-
-@query("SELECT * FROM (VALUES (1, 'area'), (2, 'drawing'), (3, 'facade'), (4, ''), (5, ''), (6, ''), (7, '')) t(id, tags)")
-def expand_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame(QUESTIONS, "id int, q string, expected string")
-    return asked.select("id", F.array_join(routing.concept_tags(F.col("q")), ",").alias("tags"))
-
+# --- evaluation ------------------------------------------------------------------------------------------
 
 @query(f"""WITH {_BM25}, hits AS (SELECT b.doc_id, row_number() OVER (ORDER BY bm25 DESC, b.doc_id) AS r FROM b)
 SELECT d.lang, round(avg((coalesce(r, 1000000) <= 100)::INT), 6) AS recall FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY 1""")

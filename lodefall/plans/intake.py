@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefall.operators import intake
-from lodefall.plans import archive, service
+from lodefall.plans import archive, pathsql, service
 from lodefall.plans.registry import query
 from lodefall.session import table
 
@@ -131,18 +131,18 @@ def sessions_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- facts, images, types ------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH p AS (SELECT o_orderkey AS file_id, o_orderkey % 8 AS k, 'P' || (o_orderkey % 13) AS project_code, o_orderkey % 3 = 0 AS done FROM orders),
-f AS (SELECT p.file_id, project_code, CASE WHEN done THEN 'kept' ELSE folder_stage END AS folder_stage, CASE WHEN done THEN 'Kept' ELSE discipline END AS discipline, CASE WHEN done THEN 'Plan' ELSE doc_type END AS doc_type,
-CASE WHEN done THEN p.file_id % 5 ELSE revision END AS revision, CASE WHEN done THEN NULL ELSE file_date END AS file_date FROM p JOIN {service._FACTS} ON t.k = p.k),
+@query(f"""WITH p AS (SELECT o_orderkey, 'P' || (o_orderkey % 13) AS project_code, o_orderkey % 3 = 0 AS done FROM orders), t AS ({service._FACTS}),
+f AS (SELECT o_orderkey AS file_id, project_code, CASE WHEN done THEN 'kept' ELSE folder_stage END AS folder_stage, CASE WHEN done THEN 'Kept' ELSE discipline END AS discipline, CASE WHEN done THEN 'Plan' ELSE doc_type END AS doc_type,
+CASE WHEN done THEN o_orderkey % 5 ELSE revision END AS revision, CASE WHEN done THEN NULL ELSE file_date END AS file_date FROM p JOIN t USING (o_orderkey)),
 l AS (SELECT file_id FROM f WHERE discipline <> 'unknown' AND doc_type <> 'unknown' QUALIFY row_number() OVER (PARTITION BY project_code, discipline, doc_type ORDER BY coalesce(revision, -1) DESC, coalesce(file_date, '') DESC, file_id) = 1)
 SELECT file_id, folder_stage, discipline, doc_type, revision::INT AS revision, (file_id IN (SELECT file_id FROM l))::INT AS is_latest FROM f""")
 def parse_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = F.col("file_id") % 3 == 0
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.concat(F.lit("P"), (F.col("o_orderkey") % 13).cast("string")).alias("project_code"), F.get(F.array(*map(F.lit, service.PATHS)), (F.col("o_orderkey") % 8).cast("int")).alias("file_path"))
+    done = F.col("o_orderkey") % 3 == 0
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("P"), (F.col("o_orderkey") % 13).cast("string")).alias("project_code"), pathsql.path_of("o_orderkey").alias("file_path"))
     held = {"folder_stage": "kept", "discipline": "Kept", "doc_type": "Plan"}
-    rows = rows.withColumns({c: F.when(done, v) for c, v in held.items()} | {"revision": F.when(done, (F.col("file_id") % 5).cast("int"))})
+    rows = rows.withColumns({c: F.when(done, v) for c, v in held.items()} | {"revision": F.when(done, (F.col("o_orderkey") % 5).cast("int"))})
     rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("file_date", "string"), ("folder_date", "string"), ("content_type", "string"), ("is_issued", "int"), ("is_superseded", "int"), ("is_received", "int"), ("canonical_category", "string"))})
-    return intake.parsed(rows.withColumn("is_latest", F.lit(1))).select("file_id", "folder_stage", "discipline", "doc_type", "revision", "is_latest")
+    return intake.parsed(rows.withColumnRenamed("o_orderkey", "file_id").withColumn("is_latest", F.lit(1))).select("file_id", "folder_stage", "discipline", "doc_type", "revision", "is_latest")
 
 
 _IMAGE_PATH = "'/p/' || CASE p_partkey % 4 WHEN 0 THEN 'Renders' WHEN 1 THEN 'Scanned' WHEN 2 THEN 'images' ELSE 'misc' END || '/' || replace(p_name, ' ', '_') || '.' || CASE WHEN p_partkey % 5 = 0 THEN 'pdf' ELSE 'JPG' END"

@@ -78,7 +78,7 @@ _ASKED = ("C3", "C4", "C5", "C7", "none")
 'Typology: ' || typology_primary || coalesce(' / ' || typology_secondary, ''), 'Client: ' || client, 'GFA: ' || format('{{:,}}', gfa_sqm::BIGINT) || ' sqm',
 CASE WHEN storeys_above > 0 THEN 'Storeys: ' || storeys_above || coalesce(' above / ' || storeys_below || ' below grade', '') END) AS answer FROM cards)
 SELECT code, coalesce(answer, 'No project card found for ''' || code || '''.') AS answer, CASE WHEN answer IS NULL THEN 0.0 ELSE 0.75 END::DOUBLE AS confidence FROM a LEFT JOIN l ON code = project_code""")
-def card_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def card_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, out = _cards(spark, sf_dir), None
     for code in _ASKED:
         row = cards.answered(found, code, F.lit(0.75)).select(F.lit(code).alias("code"), "answer", "confidence")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefall.operators import evaluation, executors, facts, maintenance
+from lodefall.plans import pathsql
 from lodefall.plans.registry import query
 from lodefall.session import table
 
@@ -16,42 +17,21 @@ def _spark(sql: str) -> str:
 
 # --- path facts ------------------------------------------------------------------------------------------------------
 
-#: Ends of paths, by o_orderkey modulo their number, and the facts that each must have.
-PATHS = (
-    "Tender Issued/A-101_Floor Plan_rev3.pdf",
-    "07 Site Visit 20230115/IMG_2.jpg",
-    "Old/272 CAD/S_Section 4.dwg",
-    "Incoming/Structural/x 2024-02-30.rvt",
-    "270 04 Meetings/MIN 7 v2.docx",
-    "BIM/Superseded/RFI_12.xyz",
-    "Renders/ID-programme_31-12-2021.png",
-    "misc/readme",
-)
-_FACTS = """(VALUES
-(0, 'PDF', 'tender', 'Architecture', 'Floor Plan', 3, NULL, NULL, 1, 0, 0, false, 'issued'),
-(1, 'Construction Photo', 'unknown', 'unknown', 'unknown', 2, '2023-01-15', '2023-01-15', 0, 0, 0, false, NULL),
-(2, 'CAD', 'cad', 'Structural', 'unknown', NULL, NULL, NULL, 0, 1, 0, false, 'cad'),
-(3, 'BIM', 'unknown', 'Structural', 'unknown', 30, NULL, NULL, 0, 0, 1, false, NULL),
-(4, 'Minutes', 'meetings', 'unknown', 'Minutes', 2, NULL, NULL, 0, 0, 0, false, 'meetings'),
-(5, 'unknown', 'superseded', 'unknown', 'unknown', 12, NULL, NULL, 0, 1, 0, false, 'working'),
-(6, 'Image', 'renders', 'Interior', 'unknown', 2021, '2021-12-31', NULL, 0, 0, 0, false, 'renders_3d'),
-(7, 'unknown', 'unknown', 'unknown', 'unknown', NULL, NULL, NULL, 0, 0, 0, false, NULL)
-) t(k, content_type, folder_stage, discipline, doc_type, revision, file_date, folder_date, is_issued, is_superseded, is_received, needs_ocr, canonical_category)"""
-
-
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    end = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("o_orderkey") % len(PATHS) + 1).cast("int"))
     root = F.concat(F.lit("/jobs/old archive/"), F.col("o_custkey").cast("string"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", root.alias("root"), F.concat(root, F.lit("/"), end).alias("path"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", root.alias("root"), F.concat(root, F.lit("/"), pathsql.path_of("o_orderkey")).alias("path"))
+
+
+_FACTS = pathsql.sql_facts("orders", "o_orderkey", pathsql.sql_path("o_orderkey"))
 
 
-@query(f"SELECT o_orderkey, t.* EXCLUDE (k) FROM orders JOIN {_FACTS} ON o_orderkey % {len(PATHS)} = k")
+@query(_FACTS)
 def path_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = facts.facts(_paths(spark, sf_dir), "path", "root").drop("path", "root")
     return found.withColumns({c: F.col(c).cast("string") for c in ("file_date", "folder_date")})
 
 
-@query(f"SELECT o_orderkey, '/' || o_custkey AS project, o_orderkey % {len(PATHS)} IN (1, 3, 7) AS unmapped FROM orders WHERE o_orderkey % {len(PATHS)} IN (1, 3, 7) AND o_orderstatus <> 'O' ORDER BY o_orderkey LIMIT 500")
+@query(f"WITH f AS ({_FACTS}) SELECT o_orderkey, '/' || o_custkey AS project, true AS unmapped FROM orders JOIN f USING (o_orderkey) WHERE canonical_category IS NULL AND o_orderstatus <> 'O' ORDER BY o_orderkey LIMIT 500")
 def unmapped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = facts.facts(_paths(spark, sf_dir), "path", "root").where("canonical_category IS NULL")
     handled = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'").select("o_orderkey", F.concat(F.lit("/"), F.col("o_custkey").cast("string")).alias("project"))

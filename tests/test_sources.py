@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodefall.functions import text as tx
-from lodefall.operators import paths
+from lodefall.operators import facts, paths
 from lodefall.sources import files, sinks
 
 
@@ -49,8 +49,10 @@ def test_fingerprints(spark):
 
 def test_path_and_text_functions(spark):
     df = spark.createDataFrame([("/x/Issued/A_rev12_2024-02-30.pdf",), ("/x/b-v3 20240229.dwg",), ("noext",)], "p string")
-    rows = paths.parsed(df, "p").collect()
-    assert [(r["ext"], r["revision"], str(r["file_date"]), r["is_issued"]) for r in rows] == [("pdf", 12, "None", 1), ("dwg", 3, "2024-02-29", 0), ("", None, "None", 0)]
+    rows = df.select(paths.file_name(F.col("p")), paths.extension(F.col("p")), paths.lane(paths.extension(F.col("p")))).collect()
+    assert [tuple(r) for r in rows] == [("A_rev12_2024-02-30.pdf", "pdf", "TEXT_EXTRACTABLE"), ("b-v3 20240229.dwg", "dwg", "METADATA_ONLY"), ("noext", "", "METADATA_ONLY")]
+    rows = facts.facts(df, "p").collect()
+    assert [(r["revision"], r["file_date"] and str(r["file_date"]), r["is_issued"]) for r in rows] == [(12, None, 1), (3, "2024-02-29", 0), (None, None, 0)]
     t = spark.createDataFrame([("CafÉ a_b",), (None,)], "t string")
     assert [r[0] for r in t.select(tx.tokens(F.col("t"))).collect()] == [["cafÉ", "a", "b"], []]
     assert tx.query_terms("Find the a plan", frozenset(["the"])) == ["find", "plan"]
