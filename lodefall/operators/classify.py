@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Document types in order; per signal its weight and alternatives, each of (part of the text, pattern) that
-#: must all occur. The first type whose weights reach 2 is it.
+#: must all occur. The first type whose weights reach 2 is it. Of the signals of authorities only the first that holds counts.
 CONTENT_RULES = (
     ("minutes", (
         ("mom_header", 2, ((("first_50", "minutes of meeting"),), (("first_20", "mom"),))),
@@ -23,7 +23,7 @@ CONTENT_RULES = (
         ("transmitted_by", 1, ((("preview", "transmitted by"),), (("preview", "issued by"),))),
     )),
     ("authority_submission", (
-        ("authority", 2, ((("preview", "submission to (ura|bca|scdf|pub|lta|hdb)"),), (("first_50", "to the (ura|bca|scdf|pub|lta|hdb)"),))),
+        *((f"authority_{x}", 2, ((("preview", f"submission to {x}"),), (("first_50", f"to the {x}"),))) for x in ("ura", "bca", "scdf", "pub", "lta", "hdb")),
         ("building_plan", 1, ((("preview", "building plan"),), (("preview", "development application"),))),
         ("authority_ref", 2, ((("preview", "ura/dc/|bca/|scdf/"),),)),
     )),
@@ -45,7 +45,11 @@ CONTENT_RULES = (
     )),
 )
 
-#: Parts of folder names by category, the first that occurs wins.
+#: Signals of which only the first counts.
+AUTHORITY_SIGNALS = tuple(f"authority_{x}" for x in ("ura", "bca", "scdf", "pub", "lta", "hdb"))
+
+#: Parts of folder names by category, the first that occurs wins. `submissions_materials` has its own spelling here,
+#: unlike in path facts; results keep it.
 FOLDERS = (
     ("design presentation images", "renders_3d"), ("project images", "renders_3d"), ("model photos", "renders_3d"), ("construction photos", "construction_photos"),
     ("site visit", "construction_photos"), ("project documents", "documents"), ("project action list", "programme"), ("drawing register", "issued"),
@@ -89,6 +93,9 @@ def content(df: DataFrame, text: str) -> DataFrame:
         for name, _, alternatives in signals:
             hit[f"_{name}"] = reduce(Column.__or__, (reduce(Column.__and__, (F.col(part).rlike(p) for part, p in needed)) for needed in alternatives))
     marked = heads.withColumns(hit)
+    named = [name for _, signals in CONTENT_RULES for name, _, _ in signals if name in AUTHORITY_SIGNALS]
+    first = F.coalesce(*(F.when(F.col(f"_{name}"), name) for name in named))
+    marked = marked.withColumn("_first", first).withColumns({f"_{name}": F.col("_first").eqNullSafe(name) for name in named}).drop("_first")
     totals = {f"_t{k}": reduce(Column.__add__, (F.when(F.col(f"_{name}"), weight).otherwise(0) for name, weight, _ in signals)) for k, (_, signals) in enumerate(CONTENT_RULES)}
     marked = marked.withColumns(totals)
     kind, level, reached = F.lit("unknown"), F.lit(0.3), F.lit(len(CONTENT_RULES) - 1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefall.functions import text as tx
-from lodefall.operators import analytics, classify, paths, resolution, routing, search
+from lodefall.operators import analytics, classify, paths, resolution, search
 from lodefall.plans.indexes import BREAK, index_of
 from lodefall.plans.registry import query
 from lodefall.session import table
@@ -28,22 +28,32 @@ _HEAD_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{h} '" for k, h in en
 
 
 def _content_sql() -> str:
+    """The rules as SQL over the text; of the authorities only the first that is named counts."""
     hit = lambda alternatives: " OR ".join("(" + " AND ".join(f"regexp_matches({part}, '{p}')" for part, p in needed) + ")" for needed in alternatives)
-    sums = [" + ".join(f"CASE WHEN {hit(a)} THEN {w} ELSE 0 END" for _, w, a in signals) for _, signals in classify.CONTENT_RULES]
+    one = classify.AUTHORITY_SIGNALS
+
+    def holds(name: str) -> str:
+        return f"coalesce(authority = '{name}', false)" if name in one else f"({hit(rule[name][1])})"
+
+    rule = {name: (w, alternatives) for _, signals in classify.CONTENT_RULES for name, w, alternatives in signals}
+    sums = [" + ".join(f"CASE WHEN {holds(name)} THEN {w} ELSE 0 END" for name, w, _ in signals) for _, signals in classify.CONTENT_RULES]
     names = [name for name, _ in classify.CONTENT_RULES]
     kind = "CASE " + " ".join(f"WHEN t{k} >= 2 THEN '{n}'" for k, n in enumerate(names)) + " ELSE 'unknown' END"
     level = "CASE " + " ".join(f"WHEN t{k} >= 2 THEN least(0.5 + t{k} * 0.1, 1)" for k in range(len(names))) + " ELSE 0.3 END"
+    reached = "CASE " + " ".join(f"WHEN t{k} >= 2 THEN {k}" for k in range(len(names))) + f" ELSE {len(names)} END"
+    signals = ", ".join(f"CASE WHEN {holds(name)} AND {reached} >= {k} THEN '{name}' END" for k, (_, signals) in enumerate(classify.CONTENT_RULES) for name, _, _ in signals)
+    authority = "CASE " + " ".join(f"WHEN {hit(rule[x][1])} THEN '{x}'" for x in one) + " END"
     return f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array({_HEAD_SQL}, '\\s+'), lambda x: x <> '')[1:500] AS ws FROM documents),
 p AS (SELECT doc_id, lower(array_to_string(ws, ' ')) AS preview, lower(array_to_string(ws[1:50], ' ')) AS first_50, lower(array_to_string(ws[1:20], ' ')) AS first_20 FROM w),
-t AS (SELECT doc_id, {", ".join(f"{x} AS t{k}" for k, x in enumerate(sums))} FROM p)
-SELECT doc_id, {kind} AS doc_type, round({level}, 4)::DOUBLE AS confidence FROM t"""
+a AS (SELECT *, {authority} AS authority FROM p), t AS (SELECT *, {", ".join(f"{x} AS t{k}" for k, x in enumerate(sums))} FROM a)
+SELECT doc_id, {kind} AS doc_type, round({level}, 4)::DOUBLE AS confidence, array_to_string(list_filter([{signals}], lambda x: x IS NOT NULL), ',') AS signals FROM t"""
 
 
 @query(_content_sql())
 def content_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.element_at(F.array(*(F.lit(f"{h} ") for h in HEADS)), (F.col("doc_id") % 8 + 1).cast("int"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
-    return classify.content(docs, "text").select("doc_id", "doc_type", "confidence")
+    return classify.content(docs, "text").select("doc_id", "doc_type", "confidence", F.array_join("signals", ",").alias("signals"))
 
 
 _IMAGE = """CASE o_orderkey % 4 WHEN 0 THEN '/job/Renders/a-' WHEN 1 THEN '/job/SCAN/b_' WHEN 2 THEN '/job/images/c.' ELSE '/job/d ' END || o_orderkey || '.jpg'"""
@@ -243,14 +253,3 @@ def evidence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc(F.length("text")), "turn"))
     return search.evidence(table(spark, sf_dir, "conversations").withColumn("rank", rank), "conv_id", "rank", "turn", "text")
-
-
-_ASKED = ((1, "Which projects are residential?"), (2, "What is 261?"), (3, "Explain the facade of hotels in Bali"), (4, "Latest BIM of 186 in 2023"), (5, "GFA over 5,000 sqm, who is the client"), (6, None))
-
-
-@query("""SELECT * FROM (VALUES (1, 'cross_project', 0.85::DOUBLE, NULL::VARCHAR, 'typology=residential'), (2, 'structured', 0.35, NULL, 'project_code=261'), (3, 'semantic', 1.0, NULL, 'content_type=CAD,location=Indonesia,typology=hospitality'),
-(4, 'file_locator', 0.95, NULL, 'canonical_category=bim,content_type=BIM,date_from=2023-01-01,date_to=2023-12-31,is_latest=1,project_code=186'), (5, 'structured', 1.0, NULL, 'gfa_min=5000.0'), (6, 'semantic', 0.2, NULL, '')) t(id, mode, confidence, secondary, filters)""")
-def classify_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = routing.classified(spark.createDataFrame(_ASKED, "id int, q string"), "q")
-    shown = F.array_join(F.array_sort(F.transform(F.map_entries("filters"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
-    return asked.select("id", "mode", "confidence", "secondary", shown.alias("filters"))
