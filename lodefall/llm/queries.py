@@ -31,12 +31,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     # written out without payloads, since assembling reads the records several times
     captures = warc.assemble(cut(warc.read_archives(spark, path, payloads=False)))
-    page = F.regexp_extract(F.decode("metadata.block", "UTF-8"), r"page-id: (-?\d+)", 1)
+    page = F.regexp_extract(F.decode(F.get("metadata", F.lit(0))["block"], "UTF-8"), r"page-id: (-?\d+)", 1)
     refers = F.regexp_extract("capture.refers_to", r"^<urn:lodefall:capture:(-?\d+):", 1)
+    damaged = F.when(F.col("capture.digest_ok") == F.lit(False), F.raise_error(F.concat(F.lit("payload damaged: "), "capture.record_id")).cast("string"))
     return captures.select(
         page.try_cast("long").alias("page_id"),
         F.col("capture.payload_bytes").alias("payload_bytes"),
-        F.col("capture.payload_digest").alias("payload_digest"),
+        damaged.otherwise(F.col("capture.payload_digest")).alias("payload_digest"),
         F.col("capture.type").alias("record_type"),
         refers.try_cast("long").alias("refers_to"),
     )

@@ -2,11 +2,14 @@
 
 A transaction is a request, a response (or a revisit of an equal payload) and a metadata record, tied by
 WARC-Concurrent-To. The archives are WARC/1.1 files in gzip, a member per file: each record is one string and the line separator is the
-record separator, so Spark's commit protocol covers them and a retried task leaves no double records.
+record separator, so Spark's commit protocol covers them and a retried task leaves no double records. Pages are written in
+classes of their payload's size, with fewer to a file the larger they are, so that a file holds about FILE_BYTES or one page;
+reading inflates a file piece by piece and holds one record.
 
 Defined results: a null html is an empty payload; a null url is written as an empty target; control characters and blanks
 in a url are percent-encoded; of equal payloads the largest page_id is the response (repeated rows of that page all
-are), null page_ids are smaller than any other; an empty table writes no records and reads back as no rows.
+are), null page_ids are smaller than any other; an empty table writes no records and reads back as no rows. A record with a broken
+header is left out, and reading goes on at the next record; a block that the file's end cuts short is left out.
 """
 
 from __future__ import annotations
@@ -25,8 +28,12 @@ from lodefall.llm.common import bounded, cut, ship
 
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records in a file; with the sizes of pages this bounds what one reading task holds.
-RECORDS_PER_FILE = 6_000
+#: Bytes of a file and pages in it, at most about; the sizes that divide pages into classes.
+FILE_BYTES, FILE_PAGES, CLASSES = 32 << 20, 2_000, (16 << 10, 256 << 10, 4 << 20)
+#: Bytes that are inflated at once, and that a record's header has at most.
+PIECE, HEADER = 1 << 20, 1 << 20
+#: Records of a kind in a row of an assembled capture.
+NESTED = 100
 RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, refers_to string, payload_bytes long, payload_digest string, digest_ok boolean, block binary"
 
 
@@ -84,43 +91,84 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         ),
         record("metadata", [("WARC-Record-ID", own("metadata")), ("WARC-Concurrent-To", own("request")), *common, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), page, F.lit(CRLF))),
     )
-    lines = rows.select(F.explode(records).alias("value"))
-    lines.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    # the classes that there are, by one look at the sizes; each is a pass over its own pages
+    size = F.octet_length(html)
+    class_of = sum(((size > most).cast("int") for most in CLASSES), F.lit(0))
+    found = sorted(x["c"] for x in pages.select(class_of.alias("c")).distinct().collect())  # at most len(CLASSES) + 1
+    for c in found or [0]:
+        most = min(FILE_PAGES, FILE_BYTES // CLASSES[c]) if c < len(CLASSES) else 1
+        inside = rows.where((F.col("bytes") > (CLASSES[c - 1] if c else -1)) & (F.col("bytes") <= (CLASSES[c] if c < len(CLASSES) else 1 << 62)))
+        lines = inside.select(F.explode(records).alias("value"))
+        lines.write.mode("append").option("lineSep", CRLF * 2).option("maxRecordsPerFile", 3 * most).option("compression", "gzip").text(path)
 
 
-def inflated(content: bytes) -> bytes:
-    """The bytes of a file that may be one or more gzip members."""
-    if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(content) + member.flush())
-        content = member.unused_data
-    return b"".join(out)
+def inflated(content: bytes) -> Iterator[bytes]:
+    """The bytes of a file that may be one or more gzip members, in pieces; what follows a damaged place is left out."""
+    data = memoryview(content)
+    if data[:2] != b"\x1f\x8b":
+        yield from (bytes(data[at : at + PIECE]) for at in range(0, len(data), PIECE))
+        return
+    member, at = zlib.decompressobj(31), 0
+    try:
+        while at < len(data):
+            part = bytes(data[at : at + (PIECE >> 4)])
+            at += len(part)
+            while part:
+                yield member.decompress(part, PIECE)
+                part = member.unconsumed_tail
+                if member.eof:
+                    at -= len(member.unused_data)
+                    if data[at : at + 2] != b"\x1f\x8b":
+                        return
+                    member, part = zlib.decompressobj(31), b""
+        yield member.flush()
+    except zlib.error:
+        return
 
 
 def parse(content: bytes, payloads: bool) -> Iterator[dict]:
-    """The records of an archive's bytes; what follows a broken header or a truncated block is left out."""
-    content, at = inflated(content), 0
-    while (at := content.find(b"WARC/", at)) >= 0:
-        if (end := content.find(b"\r\n\r\n", at)) < 0:
-            return
+    """The records of an archive's bytes, one at a time."""
+    held, pieces = bytearray(), inflated(content)
+
+    def has(n: int) -> bool:
+        """Whether n bytes are at hand, after reading on."""
+        while len(held) < n:
+            if (piece := next(pieces, None)) is None:
+                return False
+            held.extend(piece)
+        return True
+
+    def found(what: bytes, at: int, most: int | None = None) -> int:
+        """Where `what` begins, after reading on; -1 at the file's end or after `most` bytes."""
+        while (place := held.find(what, at)) < 0 and (most is None or len(held) < most):
+            if most is None:  # nothing before the last bytes can belong to it
+                del held[: max(0, len(held) - len(what))]
+            if not has(len(held) + 1):
+                return -1
+        return place
+
+    while (at := found(b"WARC/", 0)) >= 0:
+        del held[:at]
+        end = found(b"\r\n\r\n", 0, HEADER)
         headers: dict[str, list[str]] = {}
-        for line in content[at:end].decode("utf-8", "replace").split(CRLF)[1:]:
+        for line in held[: max(end, 0)].decode("utf-8", "replace").split(CRLF)[1:]:
             name, _, value = line.partition(":")
             headers.setdefault(name.strip().lower(), []).append(value.strip())
-        one = lambda name, found=headers: found.get(name, [None])[0]
+        one = lambda name, headers=headers: headers.get(name, [None])[0]
         length = one("content-length") or ""
-        if not length.isdigit() or end + 4 + int(length) > len(content):
+        if not (length.isascii() and length.isdigit()):
+            del held[:5]
+            continue
+        if not has(end + 4 + int(length)):
             return
-        block = content[end + 4 : end + 4 + int(length)]
-        at = end + 4 + len(block)
-        digest = (one("warc-payload-digest") or "").removeprefix("sha1:") or None
+        block = bytes(held[end + 4 : end + 4 + int(length)])
+        del held[: end + 4 + len(block)]
+        stated = (one("warc-payload-digest") or "").removeprefix("sha1:") or None
         http, _, payload = block.partition(b"\r\n\r\n")
-        size, ok = None, None
+        size, digest, ok = None, stated, None
         if one("warc-type") == "response":
-            size, ok = len(payload), digest is None or digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            ok = stated is None or stated == digest
         elif one("warc-type") == "revisit" and (m := re.search(rb"(?mi)^content-length:\s*(\d+)", http)):
             size = int(m[1])
         yield {
@@ -137,8 +185,8 @@ def parse(content: bytes, payloads: bool) -> Iterator[dict]:
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of the WARC files under `path`, gzip members too; digests of responses are computed anew. Without
-    `payloads` only the blocks of metadata records are kept."""
+    """The records of the WARC files under `path`, gzip members too; the digests of responses are those of the payloads read,
+    and digest_ok tells whether the header states the same. Without `payloads` only the blocks of metadata records are kept."""
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,30 +207,56 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture (the response, revisit or resource record), request and metadata (the least
-    record_id of those tied to it, with their numbers n_requests and n_metadata).
+def tied(records: DataFrame) -> DataFrame:
+    """member and head: the captures that each request or metadata record is tied to, directly or through other such
+    records, followed until nothing new is reached. A concurrent-to header ties both ways; a capture is an end."""
+    heads = records.where(F.col("type").isin(*CAPTURES)).select(F.col("record_id").alias("head")).distinct()
+    named = records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
+    ties = named.unionByName(named.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    # ties of a record to a capture, and of records that aren't captures to each other
+    direct = ties.join(heads, ties["b"] == heads["head"]).select(F.col("a").alias("member"), "head")
+    front = cut(direct.join(heads.select(F.col("head").alias("member")), "member", "left_anti"))
+    among = ties.join(heads.select(F.col("head").alias("b")), "b", "left_anti").join(heads.select(F.col("head").alias("a")), "a", "left_anti")
+    among, reached = cut(among), front
+    while among.limit(1).count() and front.limit(1).count():
+        further = among.join(front, among["b"] == front["member"]).select(F.col("a").alias("member"), "head").distinct()
+        front = cut(further.join(reached, ["member", "head"], "left_anti"))
+        reached = reached.unionByName(front)
+    return reached
+
 
-    A concurrent-to header ties both ways, and a record may be tied through another one (metadata to a request to a
-    response). Of several records of a kind the least is nested and all are counted, so a capture's row stays small
-    however many records name it; a record tied to no capture isn't in the result.
+#: Types of records that are captures.
+CAPTURES = ("response", "revisit", "resource")
+
+
+def assemble(records: DataFrame, most: int = NESTED) -> DataFrame:
+    """A nested row per capture: capture, request and metadata (arrays by record_id), n_requests, n_metadata, part, n_parts.
+
+    A record that is tied to several captures is nested in each; one tied to none isn't in the result. A capture with over
+    `most` records of a kind has several rows of about that many, told apart by `part`, so that no row grows with them.
     """
-    captures = records.where(F.col("type").isin("response", "revisit", "resource"))
+    captures = records.where(F.col("type").isin(*CAPTURES))
     members = records.where(F.col("type").isin("request", "metadata"))
-    tie = records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
-    ties = tie.unionByName(tie.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    heads = captures.select(F.col("record_id").alias("head")).distinct()
-    near = cut(ties.join(heads, ties["b"] == heads["head"]).groupBy(F.col("a").alias("member")).agg(F.min("head").alias("head")))
-    far = ties.join(near, ties["b"] == near["member"]).join(heads, ties["a"] == heads["head"], "left_anti").groupBy("a").agg(F.min(near["head"]).alias("head"))
-    both = near.unionByName(far.select(F.col("a").alias("member"), "head").join(near.select("member"), "member", "left_anti"))
-    tied = members.join(both, members["record_id"] == both["member"])
-    nested = F.struct(*(x for x in ("record_id", "target_uri", "block")))
-    sides = tied.groupBy("head").agg(
-        F.min(F.when(F.col("type") == "request", nested)).alias("request"),
-        F.count(F.when(F.col("type") == "request", 1)).alias("n_requests"),
-        F.min(F.when(F.col("type") == "metadata", nested)).alias("metadata"),
-        F.count(F.when(F.col("type") == "metadata", 1)).alias("n_metadata"),
-    )
+    ends = tied(records)
+    joined = members.join(ends, members["record_id"] == ends["member"]).select("head", "type", "record_id", "target_uri", "block")
+    large = joined.groupBy("head", "type").count().groupBy("head").agg(F.max("count").alias("n")).where(F.col("n") > most)
+    large = bounded(cut(large.select(F.col("head").alias("large"), F.ceil(F.col("n") / most).alias("n_parts"))))
+    placed = joined.join(large, F.col("head") == F.col("large"), "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(1).cast("long")))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("record_id"), F.col("n_parts")))
+    nested = F.struct("record_id", "target_uri", "block")
+    of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("type") == kind, nested)))
+    sides = placed.groupBy("head", "part", "n_parts").agg(of("request").alias("request"), of("metadata").alias("metadata"))
+    totals = joined.groupBy("head").agg(F.count_if(F.col("type") == "request").alias("n_requests"), F.count_if(F.col("type") == "metadata").alias("n_metadata")).withColumnRenamed("head", "all_of")
     shaped = captures.select(F.struct("record_id", "type", "target_uri", "refers_to", "payload_bytes", "payload_digest", "digest_ok", "block").alias("capture"))
-    out = shaped.join(sides, shaped["capture.record_id"] == sides["head"], "left").drop("head")
-    return out.withColumns({k: F.coalesce(k, F.lit(0)) for k in ("n_requests", "n_metadata")})
+    out = shaped.join(sides, shaped["capture.record_id"] == sides["head"], "left")
+    small_rows = F.when(F.col("n_parts") == 1, F.size(F.col("request"))).cast("long"), F.when(F.col("n_parts") == 1, F.size(F.col("metadata"))).cast("long")
+    # only captures with several rows need their totals from elsewhere
+    several = totals.join(large, F.col("all_of") == F.col("large"), "left_semi")
+    out = out.join(several, F.col("head") == F.col("all_of"), "left")
+    return out.select(
+        "capture",
+        *(F.coalesce(c, F.array().cast(sides.schema[c].dataType)).alias(c) for c in ("request", "metadata")),
+        *(F.coalesce(c, n, F.lit(0)).alias(c) for c, n in zip(("n_requests", "n_metadata"), small_rows, strict=True)),
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce("n_parts", F.lit(1)).alias("n_parts"),
+    )
