@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lodefall.functions import stem
 from lodefall.functions.text import BREAK, LOWER, UPPER, tokens
+from lodefall.session import ship
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BUCKETS = 64
@@ -53,6 +54,8 @@ class Index:
 
     def add(self, docs: DataFrame, key: str, text: str, segment: int, mode: str) -> None:
         """Writes the texts as a segment."""
+        if self.stemmed:
+            ship(self.spark)
         ts = tokens(F.col(text))
         rows = docs.select(F.col(key).alias("key"), (stem.stems(ts) if self.stemmed else ts).alias("ts"))
         placed = rows.select("key", F.size("ts").alias("dl"), F.posexplode("ts").alias("place", "term"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import DoubleType
 
+from lodefall.session import ship
+
 #: Words that don't make an alias.
 COMMON = ("the", "at", "of", "and", "&", "a", "an", "in", "on", "by", "for", "project", "building", "tower", "centre", "center", "complex")
 GRAM = 3
@@ -132,6 +134,7 @@ def similar(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float
         both = short.join(long, ["_short", "_long", "_i", "_seg"]).withColumns({"_x": F.col(a), "_y": F.col(b)})
         return both.where(F.expr("levenshtein(_x, _y, _d) >= 0")).select(a, b, "_short", "_long")
 
+    ship(left.sparkSession)
     pairs = met(shorter(left, a), longer(right, b)).unionByName(met(shorter(right, b), longer(left, a))).select(a, b).distinct()
     return pairs.withColumn("ratio", similarity(F.col(a), F.col(b))).where(F.col("ratio") > threshold)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +39,16 @@ def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the folder that all executors share: that of spark.checkpoint.dir, else the warehouse's."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/lodefall-{what}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, once per context, so that they need no installed copy."""
+    context = spark.sparkContext
+    if not getattr(context, "_lodefall_shipped", False):
+        root = Path(__file__).resolve().parent
+        to = Path(tempfile.mkdtemp(prefix="lodefall-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(to, "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, file.relative_to(root.parent))
+        context.addPyFile(str(to))
+        context._lodefall_shipped = True
