@@ -129,3 +129,13 @@ def codes(cards: DataFrame, files: DataFrame) -> DataFrame:
     """All known project codes: those of cards, and the files' projects other than Unknown."""
     of_files = files.where("project_id is not null and project_id <> 'Unknown'").select(F.col("project_id").alias("project_code"))
     return cards.where("project_code is not null").select("project_code").unionByName(of_files).distinct()
+
+
+def run(listings: DataFrame, pages: DataFrame, cards: DataFrame, fields: list[str], rank: int, seq: Column) -> DataFrame:
+    """The cards after a run over listing pages (page_id, html, typology) and pages (link, html): each listed page gives a
+    card under the code of its link, with the listing's typology where the page tells none, and cards of a higher rank
+    keep their values. `cards` has project_code, the fields, rank and seq."""
+    found = listed_urls(listings, "page_id", "html", "typology", r'(/[^"]+)')
+    told = scraped(pages.join(found.select("link"), "link", "left_semi"), "link", "html").join(found, "link")
+    told = told.withColumns({"project_code": code_of(F.col("link")), "typology_primary": F.coalesce("typology_primary", "typology"), "rank": F.lit(rank), "seq": seq})
+    return upserted(cards, told, "project_code", fields, "rank", "seq")

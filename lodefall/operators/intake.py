@@ -164,3 +164,15 @@ def typed(files: DataFrame, chunks: DataFrame, order: str = "ref", most: int = M
             "classification_confidence": F.coalesce("_sure", "classification_confidence"),
         }
     ).drop("_type", "_sure")
+
+
+def indexing(files: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: what embedding and indexing did, from the tables before them: chunks_embedded, chunks_skipped, files_embedded
+    and files_indexed."""
+    waiting = pending(chunks, files).select("chunk_id", "text").join(vectors.select("chunk_id", "embedding"), "chunk_id", "left")
+    has_text = F.trim(F.coalesce("text", F.lit(""))) != ""
+    of_chunks = waiting.agg(F.count_if(has_text & F.col("embedding").isNotNull()).alias("chunks_embedded"), F.count_if(has_text & F.col("embedding").isNull()).alias("chunks_skipped"))
+    after = advanced(files, marked(chunks, files, vectors))
+    became = files.select("file_id", F.col("status").alias("_before")).join(after.select("file_id", "status"), "file_id")
+    of_files = became.agg(F.count_if((F.col("status") == "EMBEDDED") & (F.col("_before") != "EMBEDDED")).alias("files_embedded"), F.count_if(F.col("status") == "EMBEDDED").alias("files_indexed"))
+    return of_chunks.crossJoin(F.broadcast(of_files))  # one row each

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodefall.operators import cards, classify, reports
+from lodefall.operators import cards, classify, intake, maintenance, reports, search
+from lodefall.plans.catalog import PROBE
+from lodefall.plans.intake import _MARKED, _STATE, _state
 from lodefall.plans.registry import query
 from lodefall.session import table
 
@@ -203,3 +205,70 @@ def convention_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("n_nationkey") % 3 == 0, F.lit("04 Renders")).otherwise(F.lit("qqq"))
     asked = nation.select("n_nationkey", F.col("n_name").alias("folder"), name.alias("name"))
     return asked.join(F.broadcast(own), "folder", "left").select("n_nationkey", F.coalesce("category", classify.folder_category(F.col("name"))).alias("category"))  # a row per nation
+
+
+# --- runs ------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT o_orderkey, '/archive/' || o_custkey || '/' || CASE WHEN o_orderkey % 3 = 0 THEN 'Deep/er/' ELSE '' END || 'f.' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '.dwg' ELSE '' END AS path FROM orders),
+s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS ps FROM p)
+SELECT o_orderkey, regexp_replace(ps[-1], '^(.+)\\.[^.]*$', '\\1') || ' | ' || regexp_extract(ps[-1], '^.+\\.([^.]*)$', 1) || ' | metadata only | ' || array_to_string(ps[greatest(len(ps) - 3, 1):], ' > ') AS text FROM s""")
+def path_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands for files whose text isn't read."""
+    key = F.col("o_orderkey")
+    name = F.concat(F.lit("f."), key.cast("string"), F.when(key % 2 == 0, ".dwg").otherwise(""))
+    path = F.concat(F.lit("/archive/"), F.col("o_custkey").cast("string"), F.lit("/"), F.when(key % 3 == 0, "Deep/er/").otherwise(""), name)
+    return table(spark, sf_dir, "orders").select("o_orderkey", intake.surrogate(path, "metadata only").alias("text"))
+
+
+@query(f"""WITH {_STATE}, {_MARKED}, w AS (SELECT file_id, count(*) FILTER (WHERE embedded = 0) AS waits FROM marked GROUP BY 1),
+c AS (SELECT count(*) FILTER (WHERE works AND trim(text) <> '') AS chunks_embedded, count(*) FILTER (WHERE NOT works) AS chunks_skipped FROM chunks JOIN files USING (file_id) WHERE embedded = 0 AND status = 'EXTRACTED'),
+f AS (SELECT count(*) FILTER (WHERE status = 'EXTRACTED' AND waits = 0) AS files_embedded, count(*) FILTER (WHERE status = 'EMBEDDED' OR status = 'EXTRACTED' AND waits = 0) AS files_indexed FROM files JOIN w USING (file_id)) SELECT * FROM c, f""")
+def indexing_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.indexing(*_state(spark, sf_dir))
+
+
+@query("""WITH n AS (SELECT 'C' || s_suppkey AS project_id, s_suppkey % 3 = 0 AS comes FROM supplier)
+SELECT project_id, CASE WHEN comes AND substr(project_id, 2)::INT % 2 = 0 THEN 'tower' ELSE 'villa' END AS typology_guess, CASE WHEN comes THEN 9 ELSE 1 END::BIGINT AS file_count FROM n""")
+def projects_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects after new guesses: a missing guess keeps the old one, the count is replaced."""
+    key = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(key, F.concat(F.lit("C"), key.cast("string")).alias("project_id"))
+    old = rows.select("project_id", F.lit("villa").alias("typology_guess"), F.lit(1).cast("long").alias("file_count"))
+    new = rows.where(key % 3 == 0).select("project_id", F.when(key % 2 == 0, "tower").alias("typology_guess"), F.lit(9).cast("long").alias("file_count"))
+    return maintenance.upsert(old, new, "project_id", ["typology_guess"], ["file_count"])
+
+
+_PROBE = "[" + ", ".join(map(str, PROBE)) + "]::DOUBLE[]"
+
+
+@query(f"SELECT vec_id, round(greatest(1 - round(1 - list_cosine_similarity(embedding::DOUBLE[], {_PROBE}), 4), 0), 4) AS score FROM embeddings ORDER BY round(1 - list_cosine_similarity(embedding::DOUBLE[], {_PROBE}), 4), vec_id LIMIT 16")
+def documents_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents by the cosine of their vectors: twice as many as asked for, with a score that is never negative."""
+    found = search.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", PROBE, 2 * 8)
+    return found.select("vec_id", F.round(F.greatest(1 - F.col("distance"), F.lit(0.0)), 4).alias("score"))
+
+
+@query(f"WITH {_FILES} SELECT file_id, file_path, status FROM files WHERE status = 'FAILED' OR file_path = '/root1/src1/f1'")
+def point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by a status and by a path."""
+    files = _files(spark, sf_dir)
+    return files.where((F.col("status") == "FAILED") | (F.col("file_path") == "/root1/src1/f1")).select("file_id", "file_path", "status")
+
+
+@query(f"""WITH h AS (SELECT page_id, {_HTML} AS html, regexp_extract(url, '/([a-z][a-z])/', 1) AS typology FROM pages), l AS (SELECT page_id, typology, unnest(regexp_extract_all(html, 'href="(/[^"]+)"', 1)) AS link FROM h),
+f AS (SELECT link, arg_min(typology, page_id) AS typology FROM l GROUP BY 1),
+p AS (SELECT '/p ' || page_id || '-' || page_id % 7 AS link, page_id, lower({_plain("html")}) AS body FROM h),
+t AS (SELECT 'P' || left(page_id::VARCHAR, 1) || (page_id % 7) AS project_code, coalesce({_KINDS}, 'es') AS typology_primary, page_id FROM p),
+b AS (SELECT project_code, typology_primary, 1 AS rank, page_id AS seq FROM t UNION ALL SELECT 'P10', 'manual', 3, 0)
+SELECT project_code, arg_max(typology_primary, rank * 1000000000::BIGINT + seq) AS typology_primary FROM b GROUP BY 1""")
+def scrape_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over pages that one listing names, with a card that was entered by hand."""
+    end = F.get(F.array(*map(F.lit, _ENDS)), (F.col("page_id") % 5).cast("int"))
+    html = F.replace(F.coalesce("html", F.lit("")), F.lit("</article>"), F.concat(end, F.lit("</article>")))
+    link = F.concat(F.lit("/p "), F.col("page_id").cast("string"), F.lit("-"), (F.col("page_id") % 7).cast("string"))
+    pages = table(spark, sf_dir, "pages").select(link.alias("link"), html.alias("html"))
+    listing = pages.select(F.abs(F.xxhash64("link")).alias("page_id"), F.concat(F.lit('<a href="'), F.col("link"), F.lit('">')).alias("html"), F.lit("es").alias("typology"))
+    by_hand = spark.createDataFrame([("P10", "manual", 3, 0)], "project_code string, typology_primary string, rank int, seq long")
+    seq = F.regexp_extract("link", "([0-9]+)-", 1).cast("long")
+    return cards.run(listing, pages, by_hand, ["typology_primary"], 1, seq)
