@@ -56,20 +56,6 @@ def content_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.content(docs, "text").select("doc_id", "doc_type", "confidence", F.array_join("signals", ",").alias("signals"))
 
 
-_IMAGE = """CASE o_orderkey % 4 WHEN 0 THEN '/job/Renders/a-' WHEN 1 THEN '/job/SCAN/b_' WHEN 2 THEN '/job/images/c.' ELSE '/job/d ' END || o_orderkey || '.jpg'"""
-
-
-@query(f"""WITH p AS (SELECT o_orderkey, {_IMAGE} AS path, o_totalprice * 100 AS size FROM orders),
-c AS (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN 'render' WHEN o_orderkey % 4 = 1 THEN 'scanned_document' WHEN o_orderkey % 4 = 2 AND size > 5242880 THEN 'render' ELSE 'unknown' END AS image_type FROM p)
-SELECT o_orderkey, image_type, o_orderkey % 4 = 1 AS needs_ocr, (CASE WHEN o_orderkey % 4 = 0 THEN 0.9 WHEN o_orderkey % 4 = 1 THEN 0.85 WHEN image_type = 'render' THEN 0.75 ELSE 0.5 END)::DOUBLE AS confidence,
-'Project image ' || CASE image_type WHEN 'render' THEN 'render visualisation image' WHEN 'unknown' THEN 'image' ELSE 'scanned document' END || ' — / job '
-|| CASE o_orderkey % 4 WHEN 0 THEN 'Renders a ' WHEN 1 THEN 'SCAN b ' WHEN 2 THEN 'images c ' ELSE 'd ' END || o_orderkey || ' jpg' AS description FROM c""")
-def image_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_IMAGE).alias("path"), (F.col("o_totalprice") * 100).alias("size"))
-    found = rows.withColumn("c", classify.image(F.col("path"), F.col("size")))
-    return found.select("o_orderkey", "c.*", classify.image_description(F.col("path"), F.col("c.image_type")).alias("description"))
-
-
 _FOLDER = """CASE (o_custkey + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END) % 4 WHEN 0 THEN '2' || (10 + o_custkey % 80) || ' ' WHEN 1 THEN '0' || (o_orderkey % 9) || ' ' WHEN 2 THEN '2' || (10 + o_custkey % 80) || ' 0' || (o_orderkey % 9) || ' ' ELSE '' END
 || CASE o_orderkey % 6 WHEN 0 THEN 'CAD' WHEN 1 THEN 'Site Visit' WHEN 2 THEN 'Project Images' WHEN 3 THEN 'Old stuff' WHEN 4 THEN 'Client brief' ELSE 'PPT' END"""
 
@@ -85,23 +71,6 @@ def folder_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.convention(folders, "o_custkey", "folder")
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'cad' WHEN 1 THEN 'construction_photos' WHEN 2 THEN 'renders_3d' WHEN 4 THEN 'brief' WHEN 5 THEN 'submission_materials' END AS category FROM orders")
-def folder_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", classify.folder_category(F.expr(_FOLDER)).alias("category"))
-
-
-@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'internal' WHEN turn % 3 = 1 THEN 'outbound' ELSE 'inbound' END AS direction,
-array_to_string(list_filter([CASE WHEN turn % 2 = 0 THEN 'waiver_correspondence' END, CASE WHEN turn % 3 <> 0 THEN 'authority_correspondence' END, CASE WHEN turn % 2 = 1 THEN 'submission_correspondence' END,
-CASE WHEN contains(lower(left(text, 2000)), 'mom') OR contains(lower(left(text, 2000)), 'minutes') THEN 'meeting_correspondence' END], lambda x: x IS NOT NULL), ',') AS tags FROM conversations""")
-def mail_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("turn") % 3
-    sender = F.when(t == 2, "ura.gov.sg").otherwise("Own.example")
-    to = F.when(t == 0, F.array(F.lit("own.example"))).when(t == 1, F.array(F.lit("bca.gov.sg"), F.lit("own.example"))).otherwise(F.array(F.lit("own.example")))
-    subject = F.when(F.col("turn") % 2 == 0, "Re: Waiver").otherwise("Submitted plans")
-    tags = classify.mail_tags(subject, F.col("text"), F.array_union(F.array(F.lower(sender)), to))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.mail_direction(sender, to, ("own.example",)).alias("direction"), F.array_join(tags, ",").alias("tags"))
-
-
 # --- resolution ------------------------------------------------------------------------------------------------------
 
 _JOB = """'/archive/' || CASE o_orderkey % 5 WHEN 0 THEN 'roots/' || o_custkey || '/x' WHEN 1 THEN 'job ' || (1000 + o_custkey) || ' plans/y' WHEN 2 THEN 'the CUSTOMER ' || lpad(o_custkey::VARCHAR, 6, '0') || 'b files/z'
@@ -148,14 +117,6 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.similar(a, "name", b, "other")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 AND o_orderkey % 5 = 0 THEN 'near' ELSE 'far' END AS project FROM orders")
-def nearest_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_JOB.replace("::VARCHAR", "::STRING")).alias("path"))
-    roots = table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").select(F.concat(F.lit("/archive/roots/"), F.col("o_custkey").cast("string")).alias("folder")).distinct().withColumn("project", F.lit("near"))
-    base = spark.createDataFrame([("/archive", "far")], "folder string, project string")
-    return resolution.nearest_override(rows, "o_orderkey", "path", roots.unionByName(base), "folder", "project")
-
-
 @query(r"""SELECT p_partkey, trim(regexp_replace(regexp_replace('01_' || replace(p_name, ' ', '-'), '^\w{0,6}[-_.\s]+', ''), '[-_]+', ' ', 'g'), ' ') AS title, array_to_string(list_concat(['job', 'x'], string_split(p_name, ' ')), ' ') AS tokens FROM part""")
 def path_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("01_"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".pdf"))

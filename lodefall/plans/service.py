@@ -209,25 +209,3 @@ def last_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reset_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = F.col("file_path").rlike("^/jobs/[0-9]*0/")
     return maintenance.reset(_files(spark, sf_dir), again).groupBy("status").agg(F.count("*").alias("files"))
-
-
-@query("""SELECT o_orderkey AS path, CASE WHEN o_orderkey % 9 = 0 THEN 'skipped' WHEN o_orderkey % 4 = 0 THEN 'discovered' WHEN o_orderkey % 4 = 1 THEN 'changed' WHEN o_orderstatus = 'O' THEN 'changed' ELSE 'unchanged' END AS outcome,
-o_orderkey % 9 <> 0 AND (o_orderkey % 4 < 2 OR o_orderstatus = 'O') AS needs_fingerprint FROM orders""")
-def discover_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodefall.sources import files
-
-    orders = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    scan = orders.select(k.alias("path"), F.when(k % 9 == 0, 1000).otherwise(10).alias("size"), F.lit(5.0).alias("mtime"))
-    status = F.when(F.col("o_orderstatus") == "O", "DISCOVERED").otherwise("INDEXED")
-    known = orders.where("o_orderkey % 4 <> 0").select(k.alias("path"), F.when(k % 9 == 0, 1000).otherwise(10).alias("size"), F.when(k % 4 == 1, 6.0).otherwise(5.001).alias("mtime"), status.alias("status"))
-    return files.outcomes(scan, known, 100)
-
-
-@query("SELECT o_orderkey, o_orderkey % 4 IN (0, 1) AS excluded, o_orderkey % 4 IN (1, 2) AS included FROM orders")
-def exclude_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodefall.sources import files
-
-    ends = ("/a/x.tmp", "/cache/b.pdf", "/c/e.pdf", "/c/cached.txt")
-    path = F.concat(F.lit("/jobs"), F.element_at(F.array(*map(F.lit, ends)), (F.col("o_orderkey") % 4 + 1).cast("int")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", files.excluded(path, ["**/*.tmp", "**/cache/**/none"]).alias("excluded"), files.included(path, ["**/*.p?f"]).alias("included"))
