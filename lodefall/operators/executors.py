@@ -99,3 +99,15 @@ def mixed(files: DataFrame, folders: DataFrame, score: str, name: str) -> DataFr
     """Files and folders in one ranking."""
     both = files.select(F.lit("file").alias("kind"), name, score).unionByName(folders.select(F.lit("folder").alias("kind"), name, score))
     return both.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "kind", name)))  # results of one question
+
+
+def history(messages: DataFrame, session: str, order: list[Column], n: int = 6) -> DataFrame:
+    """The last n messages of each session, numbered from the oldest of them (place 1)."""
+    last = messages.withColumn("_r", F.row_number().over(Window.partitionBy(session).orderBy(*order))).where(F.col("_r") <= n)
+    return last.withColumn("place", F.max("_r").over(Window.partitionBy(session)) + 1 - F.col("_r")).drop("_r")
+
+
+def per_project(files: DataFrame, limit: int = 20) -> DataFrame:
+    """Indexed files by project code, the first `limit` codes."""
+    known = files.where("status = 'INDEXED' AND project_code IS NOT NULL")
+    return known.groupBy("project_code").agg(F.count("*").alias("files_indexed")).orderBy("project_code").limit(limit)

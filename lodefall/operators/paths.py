@@ -27,12 +27,14 @@ def taxonomy(spark: SparkSession, terms: dict[str, tuple[str, ...]]) -> DataFram
     return spark.createDataFrame(rows, "kind string, ordinal int, synonym string")
 
 
-def infer(path: Column, patterns: list[tuple[str, float]], boosts: list[tuple[str, float]], threshold: float = 0.5) -> Column:
-    """The confidence of a project folder: summed weights of patterns and keywords, 1 at most, 0 below the threshold."""
-    total = F.lit(0.0)
+def infer(path: Column, patterns: list[tuple[str, float]], boosts: list[tuple[str, float]], threshold: float = 0.5, sibling: Column | None = None, override: Column | None = None) -> Column:
+    """The confidence of a project folder: summed weights of patterns and keywords and its siblings' score, 1 at most, 0 below
+    the threshold; 1 where an override names the project."""
+    total = F.lit(0.0) if sibling is None else F.coalesce(sibling, F.lit(0.0))
     for pattern, weight in patterns:
         total = total + F.when(path.rlike(pattern), weight).otherwise(0.0)
     for word, weight in boosts:
         total = total + F.when(F.contains(F.lower(path), F.lit(word)), weight).otherwise(0.0)
     total = F.round(F.least(total, F.lit(1.0)), 4)
-    return F.when(total >= threshold, total).otherwise(0.0)
+    found = F.when(total >= threshold, total).otherwise(0.0)
+    return found if override is None else F.when(override.isNotNull(), 1.0).otherwise(found)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefall.functions import text as tx
-from lodefall.operators import analytics, maintenance, search, sections
+from lodefall.operators import analytics, executors, maintenance, search, sections
 from lodefall.plans.indexes import TERMS, index_of, sql_bm25
 from lodefall.plans.registry import ORACLES, QUERIES, query
 from lodefall.session import table
@@ -149,12 +149,10 @@ def latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.latest(rows, ["l_suppkey", "l_returnflag", "l_linestatus"], order).drop("l_shipdate", "l_quantity")
 
 
-@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) <= 6")
+@query("""WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS rn FROM conversations)
+SELECT conv_id, turn, role, (max(rn) OVER (PARTITION BY conv_id) + 1 - rn)::INT AS place FROM r WHERE rn <= 6""")
 def session_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").withColumn("rn", rank).where("rn <= 6").drop("rn")
+    return executors.history(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", [F.desc("turn"), F.desc("role")])
 
 
 # --- analytics -------------------------------------------------------------------------------------------------------

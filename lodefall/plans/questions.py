@@ -12,10 +12,13 @@ from lodefall.session import table
 
 
 @query(f"""WITH p AS (SELECT o_orderkey, lower({pathsql.sql_path("o_orderkey")}) AS path FROM orders), t AS (SELECT *, least((CASE WHEN regexp_matches(path, '/[a-z]-') THEN 0.4 ELSE 0 END) + (CASE WHEN regexp_matches(path, '[0-9][0-9]') THEN 0.3 ELSE 0 END)
-+ (CASE WHEN contains(path, 'tender') THEN 0.25 ELSE 0 END) + (CASE WHEN contains(path, 'plan') THEN 0.3 ELSE 0 END), 1.0) AS total FROM p) SELECT o_orderkey, CASE WHEN total >= 0.5 THEN round(total, 4) ELSE 0 END::DOUBLE AS confidence FROM t""")
++ (CASE WHEN contains(path, 'tender') THEN 0.25 ELSE 0 END) + (CASE WHEN contains(path, 'plan') THEN 0.3 ELSE 0 END) + (CASE WHEN starts_with(path, 'mom') THEN 0.15 ELSE 0 END), 1.0) AS total FROM p)
+SELECT o_orderkey, CASE WHEN contains(path, '/superseded/') THEN 1 WHEN total >= 0.5 THEN round(total, 4) ELSE 0 END::DOUBLE AS confidence FROM t""")
 def project_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", pathsql.path_of("o_orderkey").alias("path"))
-    return rows.select("o_orderkey", paths.infer(F.col("path"), [("(?i)/[a-z]-", 0.4), ("[0-9][0-9]", 0.3)], [("tender", 0.25), ("plan", 0.3)]).alias("confidence"))
+    sibling, override = F.when(F.lower("path").startswith("mom"), 0.15), F.when(F.contains("path", F.lit("/Superseded/")), "P1")
+    found = paths.infer(F.col("path"), [("(?i)/[a-z]-", 0.4), ("[0-9][0-9]", 0.3)], [("tender", 0.25), ("plan", 0.3)], sibling=sibling, override=override)
+    return rows.select("o_orderkey", found.alias("confidence"))
 
 
 #: Parts of questions; every question is one of each.

@@ -209,3 +209,8 @@ def last_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reset_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = F.col("file_path").rlike("^/jobs/[0-9]*0/")
     return maintenance.reset(_files(spark, sf_dir), again).groupBy("status").agg(F.count("*").alias("files"))
+
+
+@query(f"WITH f AS (SELECT {_FILES} FROM orders) SELECT project_code, count(*) AS files_indexed FROM f WHERE status = 'INDEXED' AND project_code IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 20")
+def indexed_per_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return executors.per_project(_files(spark, sf_dir))
