@@ -25,6 +25,12 @@ def index_of(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
     return _held[at]
 
 
+def answered(spark: SparkSession, sf_dir: str, texts: DataFrame, question: str, top: int) -> DataFrame:
+    """A question's results over all documents of a folder."""
+    chunks = texts.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("file_id"), F.lit("p1").alias("ref"), "text")
+    return search.search(index_of(spark, sf_dir), chunks, _files(spark, sf_dir), question, top=top)
+
+
 def sql_tokens(text: str) -> str:
     return f"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BREAK}'), lambda x: x <> '')"
 

@@ -139,3 +139,17 @@ Content-Type: multipart/mixed; boundary=X\n\n--X\nContent-Type: text/plain\n\n b
     assert (m["sender"], m["sender_email"], m["recipients"], m["body"], m["attachments"]) == ("Jö", "jo@ura.gov.sg", ["a@own.example", "b@other.example"], "body", ["f.txt"])
     assert (m["thread_subject"], m["direction"], m["parties"], m["tags"]) == ("Waiver", "inbound", ["other.example", "own.example", "ura.gov.sg"], ["waiver_correspondence", "authority_correspondence"])
     assert (e["subject"], e["direction"], e["recipients"], e["body"]) == ("", "unknown", [], "")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodefall.__main__ import main
+
+    assert main(["list"]) == 0 and "bm25_topk" in capsys.readouterr().out
+    data = "/root/testdata/sf0.001"
+    assert main(["run", "knn_topk", data, "--out", str(tmp_path / "out")]) == 0 and spark.read.parquet(str(tmp_path / "out")).count() == 20
+    assert main(["search", data, "What is the lyer of threst?", "--top", "2"]) == 0 and "snippet" in capsys.readouterr().out
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("x")
+    assert main(["candidates", str(tmp_path / "a")]) == 0 and "txt" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["run", "nothing", data])
