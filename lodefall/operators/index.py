@@ -46,7 +46,13 @@ class Index:
         self.spark, self.path, self.stemmed, self.buckets = spark, path.rstrip("/"), stemmed, buckets
 
     def read(self, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{part}")
+        found = self.spark.read.parquet(f"{self.path}/documents" if part == "postings" else f"{self.path}/{part}")
+        if part != "postings":
+            return found
+        # stated, since an index without a term has no file of postings
+        key = found.schema["key"].dataType.simpleString()
+        schema = f"term string, key {key}, dl int, tf int, places array<int>, segment int, bucket int"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
 
     def written(self, part: str, rows: DataFrame, mode: str, by: str | None = None) -> None:
         writer = rows.write.mode(mode)
