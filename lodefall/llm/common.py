@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodefall.session import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words of the contracts that split on ASCII white space.
@@ -38,10 +39,14 @@ def fold(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set where the session has none, as in tests."""
+    """The folder of spark.checkpoint.dir. Where the session has none, a temporary one is set if all runs on this machine, as
+    in tests; on a cluster a machine's own folder would be of no use, so that is an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodefall-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="lodefall-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
@@ -50,6 +55,12 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lodefall-{what}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes what was written to a scratch path and isn't read any more."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -67,6 +78,24 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+#: Bits of a sieve: 2^27, so 4096 pieces of 4 KB (16 MB) at most, whatever the input.
+SIEVE_BITS = 1 << 27
+
+
+def sieved(rows: DataFrame, place: Column, keys: DataFrame, key: Column, name: str) -> DataFrame:
+    """`rows` with the boolean `name`: whether the hash `place` may be among the hashes `key` of `keys`; if it is, this is
+    true. A bitmap of bounded size is broadcast, so nothing is shuffled, and what is false needs no join."""
+    at = lambda h: F.pmod(h, F.lit(SIEVE_BITS))
+    bits = keys.select(at(key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bits = F.broadcast(bits.select(F.col("piece").alias("__lodefall_piece"), F.col("bits").alias("__lodefall_bits")))
+    met = rows.withColumn("__lodefall_p", at(place))
+    met = met.join(bits, F.bitmap_bucket_number("__lodefall_p") == F.col("__lodefall_piece"), "left")
+    bit = F.bitmap_bit_position("__lodefall_p")
+    byte = F.conv(F.hex(F.substring("__lodefall_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return met.withColumn(name, held).select(*rows.columns, name)
+
+
 def text_hash(text: Column) -> Column:
     """With doc_id this names a row by content; null and empty texts differ."""
     return F.xxhash64(F.when(text.isNull(), F.lit(1)).otherwise(F.lit(0)), F.coalesce(text, F.lit("")))
@@ -79,19 +108,6 @@ def join_docs(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(right, match, how).drop("__lodefall_id", "__lodefall_right")
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives the executors' Python this package, once per context, so that they need no installed copy."""
-    context = spark.sparkContext
-    if not getattr(context, "_lodefall_shipped", False):
-        root = Path(__file__).resolve().parents[1]
-        to = Path(tempfile.mkdtemp(prefix="lodefall-")) / f"{root.name}.zip"
-        with zipfile.ZipFile(to, "w") as out:
-            for file in sorted(root.rglob("*.py")):
-                out.write(file, file.relative_to(root.parent))
-        context.addPyFile(str(to))
-        context._lodefall_shipped = True
-
-
 def map_batches(df: DataFrame, body: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """`body` over Arrow batches; it gets at most SLICE rows at a time, so that long texts bound memory."""
 

@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodefall.llm.common import bounded, cut, fold, join_docs, let, small, text_hash, words
+from lodefall.llm.common import BROADCAST_ROWS, bounded, cut, fold, join_docs, let, sieved, small, text_hash, words
 
 WINDOW, SHINGLE = 10, 3
+#: Shingles of windows up to which they are broadcast themselves; beyond it a bitmap of them is, and then they are joined.
+FEW = BROADCAST_ROWS
 #: What separates words, in texts whose A-Z is in lower case, and in texts as they are.
 BREAKS, BREAKS_RAW = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -63,8 +65,11 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = cut(windows(benchmark))
     marks = cut(window_shingles(found.select("wtext", "len").distinct()))
     sizes = [x["k"] for x in marks.select(F.least(F.lit(SHINGLE), F.col("len")).alias("k")).distinct().orderBy("k").collect()]  # 3 rows at most
-    wanted = bounded(cut(marks.select("h").distinct()))
-    matched = cut(postings(docs, sizes or [SHINGLE]).join(wanted, "h"))
+    wanted, rows = cut(marks.select("h").distinct()), postings(docs, sizes or [SHINGLE])
+    if small(wanted, FEW):
+        matched = cut(rows.join(F.broadcast(wanted), "h"))
+    else:  # a bitmap lets few postings but the wanted ones through to the shuffle
+        matched = cut(sieved(rows, F.col("h"), wanted, F.col("h"), "__lodefall_met").where("__lodefall_met").drop("__lodefall_met").join(wanted, "h"))
     # the rarest shingle of each window; one that no document has rules the window out
     counts = matched.groupBy("h").agg(F.count("*").alias("n"))
     rarity = marks.join(bounded(cut(counts)), "h", "left").groupBy("wtext", "len")
@@ -73,23 +78,27 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     start = F.col("pos") - F.col("off")
     candidates = matched.join(prefix, "h").select("doc_id", "th", "nw", start.alias("start"), "len", "wtext")
     candidates = candidates.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("nw")))
-    by_doc = cut(candidates.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "len", "wtext")).alias("cs")))
+    # each window's text once a document, with its places
+    by_window = candidates.groupBy("doc_id", "th", "wtext", "len").agg(F.collect_set("start").alias("starts"))
+    by_doc = cut(by_window.groupBy("doc_id", "th").agg(F.collect_list(F.struct("wtext", "len", "starts")).alias("cs")))
     # only documents with a candidate give their words; the side that names them is broadcast if it is small
     hashed = docs.select("doc_id", "text", text_hash(F.col("text")).alias("th"))
     named = by_doc.select("doc_id", "th")
     texts = join_docs(hashed, F.broadcast(named) if small(named) else named, "left_semi").dropDuplicates(["doc_id", "th"])
     texts = texts.select("doc_id", "th", item_words(F.col("text")).alias("ws"))
     both = join_docs(texts, by_doc, "inner")
-    true = let(F.col("ws"), lambda ws: F.filter("cs", lambda c: F.array_join(F.slice(ws, c["start"] + 1, c["len"]), " ") == c["wtext"]))
+    held = lambda ws, c: F.filter(c["starts"], lambda s: F.array_join(F.slice(ws, s + 1, c["len"]), " ") == c["wtext"])
+    true = let(F.col("ws"), lambda ws: F.filter(F.transform("cs", lambda c: F.struct(c["wtext"].alias("wtext"), c["len"].alias("len"), held(ws, c).alias("starts"))), lambda c: F.size(c["starts"]) > 0))
     verified = cut(both.select("doc_id", "th", true.alias("cs")).where(F.size("cs") > 0))
+    spans = F.flatten(F.transform("cs", lambda c: F.transform(c["starts"], lambda s: F.struct(s.alias("s"), (s + c["len"]).alias("e")))))
     reach = F.aggregate(
-        F.array_sort(F.transform("cs", lambda c: F.struct(c["start"].alias("s"), (c["start"] + c["len"]).alias("e")))),
+        F.array_sort(spans),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
         lambda a, x: F.struct((a["n"] + F.greatest(x["e"] - F.greatest(x["s"], a["to"]), F.lit(0))).cast("long").alias("n"), F.greatest(a["to"], x["e"]).alias("to")),
         lambda a: a["n"],
     )
     of_window = bounded(found.select("item_id", "wtext"))
-    owners = verified.select("doc_id", "th", F.explode(F.array_distinct(F.transform("cs", lambda c: c["wtext"]))).alias("wtext")).join(of_window, "wtext")
+    owners = verified.select("doc_id", "th", F.explode(F.transform("cs", lambda c: c["wtext"])).alias("wtext")).join(of_window, "wtext")
     names = F.sort_array(F.collect_set(F.col("item_id").cast("string")))
     items = owners.groupBy("doc_id", "th").agg(names.alias("names"))
     counted = verified.select("doc_id", "th", reach.alias("n_hit"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lodefall.llm.common import bounded, cut, map_batches, ship, text_hash
+from lodefall.llm.common import bounded, cut, map_batches, ship, sieved, text_hash
 from lodefall.llm.components import components
 
 SEED, SHINGLE, BITS, THRESHOLD = 42, 3, 64, 3
@@ -97,7 +97,7 @@ def replicas(classes: DataFrame) -> DataFrame:
 
 
 #: Homes above which an anchor is compared in tiles of at most about TILE fingerprints instead of by the join.
-HOT, TILE = 512, 16_384
+HOT, TILE = 64, 16_384
 #: Rows of a tile whose distances to the others are computed at once.
 STRIP = 256
 
@@ -185,10 +185,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-#: Bits of the filter of the rows to look at again: 2^27, so 4096 pieces of 4 KB (16 MB) at most, whatever the input.
-FILTER_BITS = 1 << 27
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that stay: one of each component; of several rows with its doc_id and text the one
     whose other columns come first as JSON (equal JSON: any of them).
@@ -200,22 +196,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     decided = near_duplicates(docs).groupBy("doc_id", "th").agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
     # keys whose rows don't all stay; `keep` tells whether one of them does
     again = cut(decided.where("not keep or n > 1").select("doc_id", "th", "keep"))
-    place = lambda th: F.pmod(F.xxhash64("doc_id", th), F.lit(FILTER_BITS))
-    bits = again.select(place("th").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    th = "__lodefall_th"
+    th, met_name = "__lodefall_th", "__lodefall_met"
     hashed = docs.withColumn(th, text_hash(F.col("text")))
-    placed = hashed.withColumn("__lodefall_p", place(th))
-    at = F.bitmap_bit_position("__lodefall_p")
-    byte = F.conv(F.hex(F.substring("__lodefall_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    held = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
-    filters = F.broadcast(bits.select(F.col("piece").alias("__lodefall_piece"), F.col("bits").alias("__lodefall_bits")))
-    met = placed.join(filters, F.bitmap_bucket_number("__lodefall_p") == F.col("__lodefall_piece"), "left").withColumn("__lodefall_met", held)
-    met = met.select(*docs.columns, th, "__lodefall_met")
+    met = sieved(hashed, F.xxhash64("doc_id", th), again, F.xxhash64("doc_id", "th"), met_name)
     # rows that the filter holds: without a key they stay, else one of a kept key does
     keys = bounded(again.select(F.col("doc_id").alias("__lodefall_id"), F.col("th").alias("__lodefall_right"), F.col("keep").alias("__lodefall_keep")))
     match = F.col("doc_id").eqNullSafe(F.col("__lodefall_id")) & (F.col(th) == F.col("__lodefall_right"))
-    looked = met.where("__lodefall_met").join(keys, match, "left")
+    looked = met.where(met_name).join(keys, match, "left")
     free = looked.where("__lodefall_keep is null").select(*docs.columns)
     order = F.to_json(F.struct(*own)) if own else F.lit("")
     one = looked.where("__lodefall_keep").groupBy("doc_id", th).agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
-    return met.where("not __lodefall_met").select(*docs.columns).unionByName(free).unionByName(one)
+    return met.where(~F.col(met_name)).select(*docs.columns).unionByName(free).unionByName(one)
