@@ -39,6 +39,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+_FAILS = {
+    "few_words": "n_words < 20",
+    "repeated_windows": "100 * n_repeat_words > 30 * n_words",
+    "symbol_heavy": "4 * n_symbols > n_words",
+    "long_words": "word_chars > 25 * n_words",
+    "short_words": "word_chars < 2 * n_words",
+    "duplicate_lines": "n_lines >= 4 AND 2 * n_dup_lines > n_lines",
+}
+#: What leaving out each rule of the current policy would change.
+ABLATIONS = (
+    OP3[: OP3.index("b AS (SELECT")].rstrip().rstrip(",")
+    + ", f AS (SELECT "
+    + ", ".join(f"({c})::INT AS {k}" for k, c in _FAILS.items())
+    + " FROM m) "
+    + " UNION ALL ".join(f"SELECT '{k}' AS rule, sum({k})::BIGINT AS fails, sum(({k} = 1 AND {' + '.join(_FAILS)} = 1)::INT)::BIGINT AS only_it_rejects FROM f" for k in _FAILS)
+)
+
 OP4 = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
@@ -56,4 +73,4 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 """
 
-ORACLES = {"op2_warc": OP2, "op3_quality": OP3, "op4_decontaminate": OP4}
+ORACLES = {"op2_warc": OP2, "op3_quality": OP3, "op4_decontaminate": OP4, "quality_ablations": ABLATIONS}

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefall.llm import bpe, decontaminate, langid, pii, rnnlm, rules, secrets, sharding, simhash, warc
-from lodefall.llm.common import cut, scratch
+from lodefall.llm.common import cut, discard, scratch
 from lodefall.llm.oracles import ORACLES
 from lodefall.session import table
 
@@ -30,7 +30,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     # written out without payloads, since assembling reads the records several times
-    captures = warc.assemble(cut(warc.read_archives(spark, path, payloads=False)))
+    records = cut(warc.read_archives(spark, path, payloads=False))
+    discard(spark, path)
+    captures = warc.assemble(records)
     page = F.regexp_extract(F.decode(F.get("metadata", F.lit(0))["block"], "UTF-8"), r"page-id: (-?\d+)", 1)
     refers = F.regexp_extract("capture.refers_to", r"^<urn:lodefall:capture:(-?\d+):", 1)
     damaged = F.when(F.col("capture.digest_ok") == F.lit(False), F.raise_error(F.concat(F.lit("payload damaged: "), "capture.record_id")).cast("string"))
@@ -57,6 +59,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3's policy would let through without each of its rules."""
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,7 +94,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language, op2_warc, op3_quality, op4_decontaminate, op5_pii, op6_simhash, op7_lm, op8_bpe, op9_shards, op10_secrets)
+    for f in (op1_language, op2_warc, op3_quality, op4_decontaminate, op5_pii, op6_simhash, op7_lm, op8_bpe, op9_shards, op10_secrets, quality_ablations)
 }
 
 __all__ = ["ORACLES", "QUERIES"]

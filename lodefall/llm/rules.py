@@ -11,6 +11,8 @@ more in the text; windows are compared by 64-bit hashes. Defined results: a null
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +22,16 @@ WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
-#: Rule names by bit; a rule is true where the text fails it. Integer arithmetic, so results don't depend on rounding.
-RULES: tuple[tuple[str, str], ...] = (
-    ("few_words", "n_words < 20"),
-    ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    ("symbol_heavy", "4 * n_symbols > n_words"),
-    ("long_words", "word_chars > 25 * n_words"),
-    ("short_words", "word_chars < 2 * n_words"),
-    ("duplicate_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
+#: Rule names by bit; a rule, of a function that gives a measure's column, is true where the text fails it. Integer
+#: arithmetic, so results don't depend on rounding.
+Measure = Callable[[str], Column]
+RULES: tuple[tuple[str, Callable[[Measure], Column]], ...] = (
+    ("few_words", lambda m: m("n_words") < 20),
+    ("repeated_windows", lambda m: 100 * m("n_repeat_words") > 30 * m("n_words")),
+    ("symbol_heavy", lambda m: 4 * m("n_symbols") > m("n_words")),
+    ("long_words", lambda m: m("word_chars") > 25 * m("n_words")),
+    ("short_words", lambda m: m("word_chars") < 2 * m("n_words")),
+    ("duplicate_lines", lambda m: (m("n_lines") >= 4) & (2 * m("n_dup_lines") > m("n_lines"))),
 )
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_windows"]
@@ -92,11 +96,11 @@ def measures(text: Column) -> Column:
     )
 
 
-def failures() -> Column:
-    """The failed rules' bits, from columns named as the measures."""
+def failures(measure: Measure = F.col) -> Column:
+    """The failed rules' bits."""
     bits = F.lit(0).cast("long")
     for name, rule in RULES:
-        bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long"))
+        bits = bits.bitwiseOR(F.when(rule(measure), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long"))
     return bits
 
 
@@ -125,15 +129,6 @@ def ablations(book: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def kept(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of `docs`, all columns, that the policy keeps."""
-    m = "__lodefall_m"
-    held = docs.withColumn(m, measures(F.col("text"))).withColumns({f"{m}_{k}": F.col(m)[k] for k in MEASURES})
-    bits = F.lit(0).cast("long")
-    for name, rule in RULES:
-        for k in sorted(MEASURES, key=len, reverse=True):
-            rule = _renamed(rule, k, f"{m}_{k}")
-        bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long"))
-    return held.where(bits.bitwiseAND(F.lit(POLICIES[policy])) == 0).drop(m, *(f"{m}_{k}" for k in MEASURES))
-
-
-def _renamed(rule: str, name: str, to: str) -> str:
-    return " ".join(to if x == name else x for x in rule.split(" "))
+    measured = "__lodefall_m"
+    held = docs.withColumn(measured, measures(F.col("text")))
+    return held.where(failures(lambda k: F.col(measured)[k]).bitwiseAND(F.lit(POLICIES[policy])) == 0).drop(measured)
