@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodefall.llm import bpe, decontaminate, rules, secrets, simhash
-from lodefall.llm.common import scratch
+from lodefall.llm.common import discard, scratch
 from lodefall.llm.queries import TOKENIZER
 from lodefall.session import table
 
@@ -53,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = scratch(spark, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)  # the stage after it is written whole
+        before = path
     return docs
