@@ -5,9 +5,8 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 #: Fixed values of the published algorithm: suffixes and what replaces them.
 STEP_2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"),
@@ -90,11 +89,7 @@ def porter(token: str) -> str:
     return s.encode("latin-1").decode("utf-8", "replace")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _stems(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: [porter(t) for t in ts])
-
-
-def stems(tokens: Column) -> Column:
-    """Each token's stem."""
-    return _stems(tokens)
+@F.pandas_udf(StringType())
+def stemmed(tokens: pd.Series) -> pd.Series:
+    """Each token's stem; meant for distinct tokens."""
+    return tokens.map(porter)

@@ -60,19 +60,38 @@ class Index:
 
     def add(self, docs: DataFrame, key: str, text: str, segment: int, mode: str) -> None:
         """Writes the texts as a segment."""
-        if self.stemmed:
-            ship(self.spark)
         ts = tokens(F.col(text))
-        rows = docs.select(F.col(key).alias("key"), (stem.stems(ts) if self.stemmed else ts).alias("ts"))
+        rows = docs.select(F.col(key).alias("key"), ts.alias("ts"))
         placed = rows.select("key", F.size("ts").alias("dl"), F.posexplode("ts").alias("place", "term"))
         # the lists of a document's term are combined before the shuffle; one row a term and document crosses it
         found = placed.groupBy("term", "key", "dl").agg(F.sort_array(F.collect_list("place")).alias("places"))
-        postings = found.select(F.pmod(F.crc32("term"), F.lit(self.buckets)).alias("bucket"), "term", "key", "dl", F.size("places").alias("tf"), "places", F.lit(segment).alias("segment"))
-        self.written("postings", postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "key"), mode, "bucket")
+        if self.stemmed:
+            found = self.by_stem(found)
+        self.write_postings(found, segment, mode)
         self.written("documents", rows.select("key", F.size("ts").alias("dl"), F.lit(segment).alias("segment")), mode)
         counted = self.read("documents").where(F.col("segment") == segment)
         self.written("statistics", counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).select(F.lit(segment).alias("segment"), "n", "tokens"), mode)
 
+    def by_stem(self, postings: DataFrame) -> DataFrame:
+        """Postings of stems out of those of terms; only distinct terms go through Python."""
+        ship(self.spark)
+        stems = postings.select("term").distinct().select(F.col("term").alias("_of"), stem.stemmed(F.col("term")).alias("_stem"))
+        named = postings.join(stems, F.col("term") == F.col("_of"))
+        return named.groupBy(F.col("_stem").alias("term"), "key", "dl").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+
+    def build_stems(self, plain: Index) -> Index:
+        """All texts of a plain index that count, indexed anew by stems; no text is read."""
+        whole = self.by_stem(plain.live(plain.read("postings")).select("term", "key", "dl", "places"))
+        self.write_postings(whole, 0, "overwrite")
+        self.written("documents", plain.live(plain.read("documents")).withColumn("segment", F.lit(0)), "overwrite")
+        self.written("statistics", self.read("documents").agg(F.lit(0).alias("segment"), F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")), "overwrite")
+        self.written("gone", plain.read("gone").limit(0), "overwrite")
+        return self
+
+    def write_postings(self, found: DataFrame, segment: int, mode: str) -> None:
+        postings = found.select(F.pmod(F.crc32("term"), F.lit(self.buckets)).alias("bucket"), "term", "key", "dl", F.size("places").alias("tf"), "places", F.lit(segment).alias("segment"))
+        self.written("postings", postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "key"), mode, "bucket")
+
     def build(self, docs: DataFrame, key: str, text: str) -> Index:
         """Indexes all texts anew."""
         self.add(docs, key, text, 0, "overwrite")

@@ -21,7 +21,8 @@ def index_of(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
     """The index over the documents of a folder; built when first asked for, then kept as long as the application runs."""
     at = (spark.sparkContext.applicationId, sf_dir, stemmed)
     if at not in _held:
-        _held[at] = Index(spark, scratch(spark, "index"), stemmed).build(table(spark, sf_dir, "documents"), "doc_id", "text")
+        made = Index(spark, scratch(spark, "index"), stemmed)
+        _held[at] = made.build_stems(index_of(spark, sf_dir)) if stemmed else made.build(table(spark, sf_dir, "documents"), "doc_id", "text")
     return _held[at]
 
 
@@ -53,6 +54,13 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_of(spark, sf_dir).terms()
 
 
+@query()
+def index_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds the index by stems that bm25_stemmed reads, out of the plain one."""
+    _held.pop((spark.sparkContext.applicationId, sf_dir, True), None)
+    return index_of(spark, sf_dir, stemmed=True).terms()
+
+
 _LATER = "SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'anhe the ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0"
 
 

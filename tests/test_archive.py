@@ -56,6 +56,9 @@ def test_bm25_agrees_with_fts5(spark, tmp_path, stemmed):
     if stemmed:
         want = fts(rows + [(122, "")], " OR ".join(t if "_" not in t else f'"{t}"' for t in terms))
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+        plain = Index(spark, str(tmp_path / "plain"), buckets=4).build(df, "k", "t")
+        again = Index(spark, str(tmp_path / "stems"), True, 4).build_stems(plain)
+        assert {r["k"]: r["bm25"] for r in again.bm25("k", terms).collect()} == got
     else:
         assert got.keys() == {k for k, t in rows if {"hop", "ties", "sky"} & set(t.lower().replace("-", " ").split())}
 
