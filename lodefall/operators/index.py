@@ -44,6 +44,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str, stemmed: bool = False, buckets: int = BUCKETS) -> None:
         self.spark, self.path, self.stemmed, self.buckets = spark, path.rstrip("/"), stemmed, buckets
+        self._seen: dict | None = None
 
     def read(self, part: str) -> DataFrame:
         found = self.spark.read.parquet(f"{self.path}/documents" if part == "postings" else f"{self.path}/{part}")
@@ -55,7 +56,7 @@ class Index:
         return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
 
     def written(self, part: str, rows: DataFrame, mode: str, by: str | None = None) -> None:
-        writer = rows.write.mode(mode)
+        self._seen, writer = None, rows.write.mode(mode)
         (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{part}")
 
     def add(self, docs: DataFrame, key: str, text: str, segment: int, mode: str) -> None:
@@ -121,15 +122,24 @@ class Index:
 
     def live(self, rows: DataFrame) -> DataFrame:
         """The rows of `rows` whose key no later segment replaced or deleted."""
+        if not self.seen()["gone"]:
+            return rows
         gone = self.read("gone").groupBy("key").agg(F.max("segment").alias("_last"))
         later = (rows["key"] == gone["key"]) & (rows["segment"] < gone["_last"])
         return rows.join(gone, later, "left_anti")
 
+    def seen(self) -> dict:
+        """The last segment, the number and tokens of the texts that count, and the rows of `gone`: sums, read once until this
+        object writes (open the index anew to see what others wrote)."""
+        if self._seen is None:
+            added = self.read("statistics").agg(F.max("segment").alias("segment"), F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).first()
+            gone = self.read("gone").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
+            self._seen = {"segment": added["segment"] or 0, "n": (added["n"] or 0) - gone["n"], "tokens": (added["tokens"] or 0) - gone["tokens"], "gone": gone["n"]}
+        return self._seen
+
     def statistics(self) -> dict:
-        """The last segment, and the number and tokens of the texts that count (two rows of sums reach the driver)."""
-        added = self.read("statistics").agg(F.max("segment").alias("segment"), F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).first()
-        gone = self.read("gone").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
-        return {"segment": added["segment"] or 0, "n": (added["n"] or 0) - gone["n"], "tokens": (added["tokens"] or 0) - gone["tokens"]}
+        """The last segment, and the number and tokens of the texts that count."""
+        return {k: self.seen()[k] for k in ("segment", "n", "tokens")}
 
     def postings(self, wanted: list[str]) -> DataFrame:
         """The postings of some terms, from their buckets alone."""
