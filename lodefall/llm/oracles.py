@@ -73,4 +73,22 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 """
 
-ORACLES = {"op2_warc": OP2, "op3_quality": OP3, "op4_decontaminate": OP4, "quality_ablations": ABLATIONS}
+_DIV = "(({0}) // ({1}) - CASE WHEN ({0}) % ({1}) <> 0 AND (({0}) < 0) <> (({1}) < 0) THEN 1 ELSE 0 END)"
+OP11 = f"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+l0 AS (SELECT sale_id, line_no, item_id, quantity::BIGINT AS q, floor(100 * amount + 0.5)::BIGINT AS a FROM sale_lines
+  WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity <> 0 AND amount IS NOT NULL),
+l AS (SELECT sale_id, line_no::BIGINT AS line_no, item_id AS line_item_id, {_DIV.format("2 * a + q", "2 * q")} AS u,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(concat_ws(',', sale_id::VARCHAR, coalesce(line_no::VARCHAR, ''), item_id::VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM l0, tab),
+i AS (SELECT row_number() OVER () AS rid, item_id, floor(100 * price + 0.5)::BIGINT AS p FROM items),
+m AS (SELECT rid, abs(u - p) AS gap, u, sale_id, line_no, line_item_id, crc FROM i JOIN l ON u BETWEEN p - greatest(10, p // 500) AND p + greatest(10, p // 500) AND line_item_id <> item_id
+  WHERE abs(u - p) <= 10 OR 1000 * abs(u - p) <= 2 * p),
+s AS (SELECT rid, count(*) AS n_pairs, sum(gap)::BIGINT AS gap_sum, sum(crc)::BIGINT AS lines_crc FROM m GROUP BY rid),
+f AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY gap, u, sale_id, line_no NULLS FIRST, line_item_id) AS rank FROM m QUALIFY rank <= 5)
+SELECT item_id, coalesce(rank, 0)::INT AS rank, gap, u, sale_id, line_no, line_item_id, coalesce(n_pairs, 0) AS n_pairs, coalesce(gap_sum, 0) AS gap_sum, coalesce(lines_crc, 0) AS lines_crc
+FROM i LEFT JOIN s USING (rid) LEFT JOIN f USING (rid)
+"""
+
+ORACLES = {"op11_bands": OP11, "op2_warc": OP2, "op3_quality": OP3, "op4_decontaminate": OP4, "quality_ablations": ABLATIONS}

@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodefall.llm import bpe, decontaminate, langid, pii, rnnlm, rules, secrets, sharding, simhash, warc
+from lodefall.llm import align, bands, bpe, decontaminate, langid, pii, rnnlm, rules, secrets, sharding, simhash, warc
 from lodefall.llm.common import cut, discard, scratch
 from lodefall.llm.oracles import ORACLES
 from lodefall.session import table
 
 TOKENIZER = "word_bpe_49k.json"
+BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def fold_of(n: int) -> Column:
@@ -92,9 +93,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bands.near_lines(table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "items"))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language, op2_warc, op3_quality, op4_decontaminate, op5_pii, op6_simhash, op7_lm, op8_bpe, op9_shards, op10_secrets, quality_ablations)
+    for f in (op1_language, op2_warc, op3_quality, op4_decontaminate, op5_pii, op6_simhash, op7_lm, op8_bpe, op9_shards, op10_secrets, op11_bands, op12_align, quality_ablations)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
