@@ -224,7 +224,7 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, limit: int = FREQUENT)
     the tokenizers' files on every executor."""
     counts = pair_counts(docs, a_path, b_path)
     known, least = frequent(counts, limit)
-    names = [x.strip().split(" ")[0] for x in PARTS.split(" array<")[0].split(",")]
+    names = [x.split(" ")[0] for x in PARTS.split(" array<")[0].split(", ")]
     given = docs.sparkSession.sparkContext.broadcast(tuple(known.column(x).to_numpy() for x in ("code", "n", "best")))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +257,7 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, limit: int = FREQUENT)
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
         kinds = [pa.int64()] * 8 + [pa.string(), pa.list_(pa.struct([("code", pa.int64()), ("times", pa.int64())]))]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], [*names, "rest"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
 
     found = cut(docs.select("doc_id", "text").mapInArrow(body, PARTS))
     rare = counts.where(F.col("n") < least)
