@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodefall.llm import align, bands, bpe, decontaminate, langid, pii, rnnlm, rules, secrets, sharding, simhash, warc
+from lodefall.llm import align, bands, bpe, decontaminate, langid, pii, repeats, rnnlm, rules, secrets, sharding, simhash, warc
 from lodefall.llm.common import cut, discard, scratch
 from lodefall.llm.oracles import ORACLES
 from lodefall.session import table
@@ -101,9 +101,14 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language, op2_warc, op3_quality, op4_decontaminate, op5_pii, op6_simhash, op7_lm, op8_bpe, op9_shards, op10_secrets, op11_bands, op12_align, quality_ablations)
+    for f in (op1_language, op2_warc, op3_quality, op4_decontaminate, op5_pii, op6_simhash, op7_lm, op8_bpe, op9_shards, op10_secrets, op11_bands, op12_align, op13_repeats, quality_ablations)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
