@@ -14,7 +14,7 @@ from lodefall.operators import classify, facts, maintenance, sections
 
 #: Extensions of images, the confidence from which a type is written, and files that a run classifies.
 IMAGES = ("bmp", "gif", "jpeg", "jpg", "png", "tif", "tiff")
-SURE, MOST = 0.75, 5000
+SURE = 0.75
 
 
 def surrogate(path: Column, note: str) -> Column:
@@ -149,12 +149,15 @@ def described(files: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame
     return marked_files, chunks.unionByName(rows.select(*chunks.columns).join(chunks.select("chunk_id"), "chunk_id", "left_anti"))
 
 
-def typed(files: DataFrame, chunks: DataFrame, order: str = "ref", most: int = MOST) -> DataFrame:
-    """The files after classification by content: of the indexed text files of unknown type, the first `most` by id that have
-    a text get doc_type (from SURE on) or the method `unknown`, and the confidence."""
+def typed(files: DataFrame, chunks: DataFrame, order: str = "ref", most: int | None = None) -> DataFrame:
+    """The files after classification by content: the indexed text files of unknown type that were not tried yet and whose first text
+    isn't blank get doc_type (from SURE on) or the method `unknown`, and the confidence. `most` makes a run take the first so many
+    by id; since tried files don't wait any more, the next run goes on behind them."""
     waits = (F.col("lane") == "TEXT_EXTRACTABLE") & (F.coalesce("doc_type", F.lit("unknown")) == "unknown") & (F.col("status") == "INDEXED")
-    few = files.where(waits).select("file_id").orderBy("file_id").limit(most)
-    first = chunks.join(few, "file_id", "left_semi").groupBy("file_id").agg(F.min_by("text", order).alias("_text")).where(F.trim(F.coalesce("_text", F.lit(""))) != "")
+    waiting = files.where(waits & F.col("classification_method").isNull()).select("file_id")
+    first = chunks.join(waiting, "file_id", "left_semi").groupBy("file_id").agg(F.min_by("text", order).alias("_text")).where(F.trim(F.coalesce("_text", F.lit(""))) != "")
+    if most is not None:
+        first = first.orderBy("file_id").limit(most)
     found = classify.content(first, "_text").select("file_id", F.col("doc_type").alias("_type"), F.col("confidence").alias("_sure"))
     sure = F.col("_sure") >= SURE
     return files.join(found, "file_id", "left").withColumns(

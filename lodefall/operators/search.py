@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodefall.functions.text import boosted_terms, snippet
 from lodefall.operators.index import Index
+from lodefall.session import ship
 
 #: Results that a lane gives per result asked for, results by default, and the vector lane's weight.
 LANE, TOP, ALPHA = 3, 5, 0.6
@@ -110,18 +111,20 @@ def rollup(results: DataFrame, parent: str, name: str, score: str) -> DataFrame:
 
 
 def reranked(ranked: DataFrame, rank: str, question: str, text: str, top: int, scorer: Callable[[str, list[str]], list[float]] | None = None) -> DataFrame:
-    """Reorders the first `top` rows (by `rank`, from 1) by an injected scorer; the tail and, without one, all rows stay."""
+    """Reorders the first `top` rows (by `rank`, from 1) by an injected scorer, which sees no other text; the tail and, without a scorer, all
+    rows stay where they are. Ties and texts without a score go by `rank`, these last."""
     if scorer is None:
         return ranked.withColumn("new_rank", F.col(rank))
-    
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(scorer(question, texts.fillna("").tolist()), dtype="float64")
 
-    head = F.col(rank) <= top
-    scored = ranked.withColumn("_score", F.when(head, score(F.col(text))))
-    order = Window.orderBy(F.when(head, 0).otherwise(1), F.desc_nulls_last("_score"), rank)  # few rows: results are limited
-    return scored.withColumn("new_rank", F.row_number().over(order)).drop("_score")
+    ship(ranked.sparkSession)
+    head = ranked.where(F.col(rank) <= top).withColumn("__lodefall_score", score(F.col(text)))
+    tail = ranked.where(F.coalesce(F.col(rank) > top, F.lit(True)))
+    order = Window.orderBy(F.desc_nulls_last("__lodefall_score"), rank)  # `top` rows
+    return head.withColumn("new_rank", F.row_number().over(order)).drop("__lodefall_score").unionByName(tail.withColumn("new_rank", F.col(rank).cast("int")))
 
 
 def embedded(chunks: DataFrame, key: str, text: str, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:

@@ -164,7 +164,7 @@ def image_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(chunks.select("file_id", "text"), "file_id", "left").select("file_id", "image_type", "text")
 
 
-@query(f"""WITH c AS ({archive._content_sql()}), w AS (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 ORDER BY doc_id LIMIT 400)
+@query(f"""WITH c AS ({archive._content_sql()}), w AS (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)
 SELECT doc_id AS file_id, CASE WHEN doc_id % 3 = 0 THEN 'given' WHEN doc_id IN (SELECT doc_id FROM w) AND confidence >= 0.75 THEN doc_type END AS doc_type,
 CASE WHEN doc_id NOT IN (SELECT doc_id FROM w) THEN NULL WHEN confidence >= 0.75 THEN 'content' ELSE 'unknown' END AS method FROM c""")
 def type_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,4 +173,4 @@ def type_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = docs.select(F.col("doc_id").alias("file_id"), F.lit("p1").alias("ref"), F.concat(head, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
     chunks = chunks.unionByName(chunks.select("file_id", F.lit("p2").alias("ref"), F.lit("minutes of meeting").alias("text")))
     files = docs.select(F.col("doc_id").alias("file_id"), F.lit("TEXT_EXTRACTABLE").alias("lane"), F.lit("INDEXED").alias("status"), F.when(F.col("doc_id") % 3 == 0, "given").alias("doc_type"), F.lit(None).cast("string").alias("classification_method"), F.lit(None).cast("double").alias("classification_confidence"))
-    return intake.typed(files, chunks, most=400).select("file_id", "doc_type", F.col("classification_method").alias("method"))
+    return intake.typed(files, chunks).select("file_id", "doc_type", F.col("classification_method").alias("method"))

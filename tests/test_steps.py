@@ -80,3 +80,30 @@ def test_cards_and_reports_of_odd_rows(spark):
     row = reports.stale(none, none.select("file_path"), events, F.current_date()).first()
     assert (row["files_indexed"], row["staleness_score"], row["recommendation"]) == (0, 0.5, "run rebuild")
     assert [tuple(r) for r in reports.by_root(none, ["/a"]).collect()] == [("/a", 0, 0, 0, 0)]
+
+
+def test_typing_goes_on_behind_tried_files(spark):
+    head = "Minutes of meeting. Attendees: all. Action items."
+    files = spark.createDataFrame([(k, "TEXT_EXTRACTABLE", "INDEXED", None, None, None) for k in range(9)], "file_id int, lane string, status string, doc_type string, classification_method string, classification_confidence double")
+    chunks = spark.createDataFrame([(k, ref, " " if k < 3 and ref == "p1" else "zzz" if k < 6 else head) for k in range(9) for ref in ("p1", "p2")], "file_id int, ref string, text string")
+    tried = lambda d: {r["file_id"]: r["classification_method"] for r in d.where("classification_method is not null").collect()}
+    one = intake.typed(files, chunks, most=2).cache()
+    assert tried(one) == {3: "unknown", 4: "unknown"}
+    two = intake.typed(one, chunks, most=2).cache()
+    assert set(tried(two)) == {3, 4, 5, 6}
+    rest = intake.typed(two, chunks).cache()
+    assert set(tried(rest)) == set(range(3, 9)) and sorted(intake.typed(rest, chunks).collect()) == sorted(rest.collect())
+
+
+def test_only_the_head_is_scored(spark, tmp_path):
+    seen = tmp_path / "seen"
+
+    def scorer(question, texts):
+        with seen.open("a") as out:
+            out.write("".join(f"{t}\n" for t in texts))
+        return [float(t[1:]) for t in texts]
+
+    rows = spark.createDataFrame([(k, f"t{k}") for k in range(1, 201)], "r int, t string").repartition(3)
+    got = {r["r"]: r["new_rank"] for r in search.reranked(rows, "r", "q", "t", 10, scorer).collect()}
+    assert got == {k: 11 - k if k <= 10 else k for k in range(1, 201)}
+    assert sorted(seen.read_text().split()) == sorted(f"t{k}" for k in range(1, 11))
