@@ -1,15 +1,17 @@
 """Alignment of the tokens of two tokenizers, A byte-level and B of pieces, over the bytes of blank + text.
 
-The tokens of B are a static index of disjoint intervals, sorted by their ends. Each token of A asks it by bisection which tokens of B it
-overlaps. A gap between two tokens of A is spanned if the last token that the left one overlaps is also the first that
-the right one overlaps; gaps that are never spanned are where both sides end, and so become the boundaries of groups.
+The tokens of B are a static index of disjoint intervals, sorted by their ends. Each token of A asks it by bisection which is the last
+token of B that it overlaps; the first is the last of the token before it, or the next. A gap between two tokens of A is spanned if a token of B
+overlaps both; gaps that are never spanned are where both sides end, and so become the boundaries of groups.
 
 Neither tokenizer has a token over a blank that stands between two characters of which the right one is no white space and the left one no
-blank, so a text is cut there, each different stretch is aligned once, and its result is remembered. A text with
-a stretch whose bytes don't come back from either side's tokens is compared as a whole, and has no tokens if it differs.
+blank, so a text is cut there. Stretches that a worker hasn't met are aligned many at once, behind each other, and each one's result is remembered
+(LEARNT of them, then anew). A text with a stretch whose bytes don't come back from either side's tokens is compared as a whole, and
+has no tokens if it differs.
 
-Counts of id pairs over documents are added up in tasks, then by pair. A text's links need these counts back: the most frequent
-pairs (at most FREQUENT, 5 MB) are given to every task, and only a text's other pairs, each with its number of links, are joined by pair.
+Each text's links are written out once, as pairs of ids with their number. Counts of pairs over documents are added up in tasks, then by pair.
+A text's links need these counts back: the most frequent pairs (at most FREQUENT, 5 MB) are given to every task, and only a text's other
+pairs, each with its number of links, are joined by pair.
 
 Defined results: null, empty and unlike texts have no tokens: zeros, and an empty groups_sha256; repeated rows and ids count and get
 a row each; the strings of special tokens are plain text.
@@ -18,11 +20,9 @@ a row each; the strings of special tokens are plain text.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
-from collections import Counter
+import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,65 +33,46 @@ from pyspark.sql import functions as F
 from lodefall.llm.bpe import byte_alphabet
 from lodefall.llm.common import cut, ship, slices
 
-#: Stretches that a worker remembers, and the longest of them in characters; pairs that a task counts before it passes them on.
-REMEMBERED, SHORT, COUNTED = 300_000, 48, 1 << 21
-#: Pairs whose counts every task gets.
-FREQUENT = 1 << 18
-#: A pair is A's id times this plus B's id.
-STEP = 1 << 20
+#: Stretches that a worker remembers, characters of texts that are aligned at once, links of a group above which equal ids are taken together.
+LEARNT, TOGETHER, WIDE = 400_000, 1 << 20, 4096
+#: Pairs that a task counts before it passes them on, and pairs whose counts every task gets.
+COUNTED, FREQUENT = 1 << 21, 1 << 18
+#: A pair is A's id times this plus B's id; ids of both sides are smaller.
+STEP = 1 << 16
 
+#: Characters up to which all versions of Unicode agree, and the longest stretch of them that the quicker encoder gets.
+LATIN, SHORT = "\u024f", 200
+#: How byte-level tokenizers of this kind cut a text before they merge.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
-class Intervals:
-    """Disjoint intervals from 0 on without holes, by their ends."""
+Links = tuple[np.ndarray, np.ndarray]
 
-    def __init__(self, sizes: list[int]) -> None:
-        self.ends = list(accumulate(sizes))
 
-    def overlaps(self, start: int, end: int) -> tuple[int, int]:
-        """The first and last interval that [start, end) overlaps."""
-        return bisect_right(self.ends, start), bisect_left(self.ends, end)
+def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last token of either side of each group, in order; both sides end at the same byte."""
+    last = np.searchsorted(b_ends, a_ends)  # the interval of B that holds the last byte of each token of A
+    free = b_ends[last] == a_ends  # it ends there too, so nothing spans the gap behind
+    return np.flatnonzero(free), last[free]
 
 
-def groups(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int, int, int]]:
-    """The groups as ranges of A tokens and of B tokens; both sides have the same number of bytes."""
-    index, out = Intervals(b_sizes), []
-    at = start_a = start_b = 0
-    for k, size in enumerate(a_sizes):
-        _, last = index.overlaps(at, at + size)
-        at += size
-        if index.ends[last] == at:  # the next token of A overlaps later tokens only: nothing spans this gap
-            out.append((start_a, k + 1, start_b, last + 1))
-            start_a, start_b = k + 1, last + 1
-    return out
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... sizes[0] of them, then those from starts[1] on, and so forth."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
-class Stretch:
-    """The tokens of a stretch aligned; `like` tells whether both sides give back its bytes."""
+class Grown:
+    """A numpy array that is added to at its end."""
 
-    __slots__ = ("like", "n_a", "n_b", "n_groups", "text", "codes", "times")
+    def __init__(self) -> None:
+        self.data, self.size = np.empty(1 << 16, np.int64), 0
 
-    def __init__(self, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes], own: bytes) -> None:
-        pa_, pb = [a_bytes[x] for x in a], [b_bytes[x] for x in b]
-        self.like = b"".join(pa_) == own and b"".join(pb) == own
-        self.n_a, self.n_b, self.n_groups, self.text = len(a), len(b), 0, ""
-        self.codes, self.times = np.empty(0, np.int64), np.empty(0, np.int64)
-        if not self.like:
-            return
-        found, parts, codes, times = groups(list(map(len, pa_)), list(map(len, pb))), [], [], []
-        for i, j, k, m in found:
-            parts.append(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}")
-            if j - i == 1 and m - k == 1:
-                codes.append(a[i] * STEP + b[k])
-                times.append(1)
-                continue
-            of_a, of_b = Counter(a[i:j]), Counter(b[k:m])
-            for x, n in of_a.items():
-                codes += [x * STEP + y for y in of_b]
-                times += [n * r for r in of_b.values()]
-        self.n_groups, self.text = len(found), ";".join(parts)
-        self.codes, place = np.unique(np.array(codes, np.int64), return_inverse=True)
-        self.times = np.zeros(len(self.codes), np.int64)
-        np.add.at(self.times, place, np.array(times, np.int64))
+    def add(self, more: np.ndarray) -> None:
+        need = self.size + len(more)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[: self.size], np.empty(max(need, len(self.data)), np.int64)])
+        self.data[self.size : need] = more
+        self.size = need
 
 
 class Pair:
@@ -110,26 +91,114 @@ class Pair:
         spelled = lambda x: bytes(map(of.__getitem__, x)) if all(c in of for c in x) else x.encode()
         self.a_bytes = [spelled(self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
         self.b_bytes = [self.piece(i) for i in range(self.b.get_piece_size())]
-        self.known: dict[str, Stretch] = {}
+        assert max(len(self.a_bytes), len(self.b_bytes)) <= STEP
+        self.quick = self.same_by_ranks(a_path)
+        self.sizes = [np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes)]
+        # ids as they are written inside a group and at the end of its side
+        self.written = [[np.array([f"{i}{mark}" for i in range(len(x))], object) for mark in marks] for x, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;"))]
+        self.forget()
+
+    def same_by_ranks(self, path: str):  # noqa: ANN201
+        """A's encoder by ranks, which is faster, where each rule's result has the next id, as ranks need it; else None."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        rules = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
+        letters = len(self.a_bytes) - len(rules) - len(spec["added_tokens"])
+        if any(spec["model"]["vocab"].get("".join(x)) != letters + k for k, x in enumerate(rules)) or spec["pre_tokenizer"] != BYTE_LEVEL or spec["normalizer"]:
+            return None
+        ranks = {x: k for k, x in enumerate(self.a_bytes[: letters + len(rules)])}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def a_ids(self, text: str, plain: bool) -> np.ndarray:
+        if plain and self.quick:
+            return np.array(self.quick.encode_ordinary(text), np.int64)
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.unlike: set[str] = set()
+        self.texts: list[str] = []
+        self.n_a, self.n_b, self.n_groups, self.begin, self.links, self.codes, self.times = (Grown() for _ in range(7))
 
     def piece(self, i: int) -> bytes:
         x = self.b.id_to_piece(i)
         return bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode()
 
-    def stretch(self, text: str) -> Stretch:
-        """A stretch without its leading blank."""
-        if (out := self.known.get(text)) is None:
-            a = self.a.encode(" " + text, add_special_tokens=False).ids
-            own = f" {text}".encode("utf-8", "surrogatepass")
-            out = Stretch(a, self.b.encode(text, num_threads=1), self.a_bytes, self.b_bytes, own)
-            if len(text) <= SHORT and len(self.known) < REMEMBERED:
-                self.known[text] = out
-        return out
+    def learn(self, words: list[str], plain: bool = False) -> None:
+        """Aligns stretches, each with a blank before it, at once; those that are unlike their tokens are found by halves. plain: short ones of
+        long-known letters, which both encoders of A cut alike, whatever their version of Unicode."""
+        if not words:
+            return
+        joined = " " + " ".join(words)
+        own = joined.encode("utf-8", "surrogatepass")
+        a = self.a_ids(joined, plain)
+        b = np.array(self.b.encode(joined[1:], num_threads=1), np.int64)
+        like = all(b"".join(map(table.__getitem__, ids.tolist())) == own for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+        a_ends, b_ends = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        stops = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in words])
+        if like:
+            a_last, b_last = groups(a_ends, b_ends)
+            closed = a_ends[a_last]
+            place = np.searchsorted(closed, stops)
+            like = bool((closed[np.minimum(place, len(closed) - 1)] == stops).all())
+        if like:
+            self.keep(words, a, b, a_last, b_last, place + 1)
+        elif len(words) > 1:
+            half = len(words) // 2
+            self.learn(words[:half], plain)
+            self.learn(words[half:], plain)
+        else:  # not like its bytes
+            self.known[words[0]] = -1
+            self.unlike.add(words[0])
+
+    def keep(self, words: list[str], a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, behind: np.ndarray) -> None:
+        """Remembers aligned stretches; the k-th has the groups up to behind[k]."""
+        a_first, b_first = np.r_[0, a_last[:-1] + 1], np.r_[0, b_last[:-1] + 1]
+        wide_a, wide_b = a_last - a_first + 1, b_last - b_first + 1
+        n = wide_a * wide_b
+        plain = np.where(n > WIDE, 0, n)
+        at = spread(np.zeros(len(n), np.int64), plain)
+        left, right = np.repeat(a_first, plain) + at // np.repeat(wide_b, plain), np.repeat(b_first, plain) + at % np.repeat(wide_b, plain)
+        codes, times = a[left] * STEP + b[right], np.ones(len(left), np.int64)
+        if (n > WIDE).any():
+            of, more, often = np.repeat(np.arange(len(n)), plain), [], []
+            for g in np.flatnonzero(n > WIDE).tolist():
+                of_a, of_b = (np.unique(x[i : j + 1], return_counts=True) for x, i, j in ((a, a_first[g], a_last[g]), (b, b_first[g], b_last[g])))
+                more.append((of_a[0][:, None] * STEP + of_b[0]).ravel())
+                often.append((of_a[1][:, None] * of_b[1]).ravel())
+                plain[g] = len(more[-1])
+            of = np.concatenate([of, np.repeat(np.flatnonzero(n > WIDE), list(map(len, more)))])
+            order = np.argsort(of, kind="stable")
+            codes, times = np.concatenate([codes, *more])[order], np.concatenate([times, *often])[order]
+        # each group as A's ids, a bar, B's ids, a semicolon
+        out = np.empty(len(a) + len(b), object)
+        for ids, first, last, own, shift, tables in ((a, a_first, a_last, wide_a, b_first, self.written[0]), (b, b_first, b_last, wide_b, a_last + 1, self.written[1])):
+            places = np.arange(len(ids)) + np.repeat(shift, own)
+            out[places] = tables[0][ids]
+            out[places[last]] = tables[1][ids[last]]
+        written = out.tolist()
+        before = np.r_[0, behind[:-1]]
+        ends = (a_last + b_last + 2)[behind - 1]
+        start = 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self.known[word] = len(self.texts)
+            self.texts.append("".join(written[start:end])[:-1])
+            start = end
+        self.n_a.add(np.diff(np.r_[0, a_last[behind - 1] + 1]))
+        self.n_b.add(np.diff(np.r_[0, b_last[behind - 1] + 1]))
+        self.n_groups.add(behind - before)
+        sums = np.r_[0, np.cumsum(plain)]
+        self.begin.add(self.codes.size + sums[before])
+        self.links.add(sums[behind] - sums[before])
+        self.codes.add(codes)
+        self.times.add(times)
 
     def stretches(self, text: str) -> list[str]:
         """The text cut at blanks that no token reaches over; a blank goes before each stretch."""
         words = text.split(" ")
-        if all(words) and not any(w[0].isspace() for w in set(words)):
+        if "" not in words and not any(map(str.isspace, {w[0] for w in words})):
             return words
         out = [words[0]]
         for last, word in zip(words, words[1:]):
@@ -139,23 +208,43 @@ class Pair:
                 out[-1] += " " + word
         return out
 
-    def aligned(self, text: str | None) -> tuple[list[Stretch], np.ndarray, np.ndarray] | None:
-        """The stretches in order, and the pairs of ids that are linked with the number of their links, by pair; None without tokens."""
-        if not text:
+    def meet(self, texts: list[str]) -> list[list[str]]:
+        """The stretches of some texts, all of them known afterwards."""
+        if len(self.texts) > LEARNT:
+            self.forget()
+        cuts = [self.stretches(x) for x in texts]
+        new = set().union(*cuts) - self.known.keys()
+        plain, other = [], []
+        for w in new:
+            if not w or w[0].isspace() or w[-1] == " ":
+                self.learn([w])
+            else:
+                (plain if len(w) <= SHORT and (w.isascii() or max(w) <= LATIN) else other).append(w)
+        self.learn(plain, True)
+        self.learn(other)
+        if self.unlike:
+            for k, x in enumerate(cuts):
+                if not self.unlike.isdisjoint(x):  # then the whole decides
+                    cuts[k] = [texts[k]]
+                    if texts[k] not in self.known:
+                        self.learn(cuts[k])
+        return cuts
+
+    def aligned(self, words: list[str]) -> tuple[int, int, int, str, Links] | None:
+        """Tokens of A and B, groups, all groups written out, and the linked pairs in order with their number of links; None for a text unlike its tokens."""
+        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if ids[0] < 0:
             return None
-        words = self.stretches(text)
-        counts = Counter(words)
-        made = {w: self.stretch(w) for w in counts}
-        if not all(x.like for x in made.values()):
-            made, words, counts = {text: (whole := self.stretch(text))}, [text], {text: 1}
-            if not whole.like:
-                return None
-        codes = np.concatenate([x.codes for x in made.values()])
-        times = np.concatenate([x.times * counts[w] if counts[w] > 1 else x.times for w, x in made.items()])
-        order = np.argsort(codes, kind="stable")
-        codes, times = codes[order], times[order]
+        at = spread(self.begin.data[ids], self.links.data[ids])
+        codes, times = self.codes.data[at], self.times.data[at]
+        if len(codes) and times.max() > 1:
+            order = np.argsort(codes, kind="stable")
+            codes, times = codes[order], times[order]
+        else:
+            codes = np.sort(codes)
         first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        return [made[w] for w in words], codes[first], np.add.reduceat(times, first)
+        text = ";".join(map(self.texts.__getitem__, ids.tolist()))
+        return *(int(x.data[ids].sum()) for x in (self.n_a, self.n_b, self.n_groups)), text, (codes[first], np.add.reduceat(times, first))
 
 
 @lru_cache(maxsize=2)
@@ -164,40 +253,86 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None]]:
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with texts of about TOGETHER bytes, or one row."""
     for batch in batches:
         for part in slices(batch):
-            yield from zip((x.as_py() for x in part.column("doc_id")), (x.as_py() for x in part.column("text")), strict=True)
+            step = max(1, part.num_rows * TOGETHER // max(part.nbytes, 1))
+            yield from (part.slice(k, step) for k in range(0, part.num_rows, step))
+
+
+def packed(links: Links) -> bytes:
+    """Pairs as differences, and their numbers, compressed."""
+    codes, times = links
+    wide = np.dtype("<u4") if times.max() < 1 << 32 else np.dtype("<u8")
+    raw = np.diff(codes, prepend=0).astype("<u4").tobytes() + times.astype(wide).tobytes()
+    return bytes([wide.itemsize]) + len(codes).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> Links:
+    wide, n = np.dtype(f"<u{data[0]}"), int.from_bytes(data[1:9], "little")
+    raw = pa.decompress(data[9:], decompressed_size=n * (4 + wide.itemsize), codec="zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64), np.frombuffer(raw, wide, n, 4 * n).astype(np.int64)
 
 
-def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    code, place = np.unique(np.concatenate(codes), return_inverse=True)
-    return code, np.bincount(place, np.concatenate(counts), len(code)).astype(np.int64)
+ALIGNED = "doc_key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary"
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def aligned_texts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """A row for each text, with its linked pairs; doc_key tells rows apart once they are written."""
+    names = [x.split(" ")[0] for x in ALIGNED.split(", ")]
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, key = pair(a_path, b_path), TaskContext.get().partitionId() << 40
+        for part in parts(batches):
+            texts = part.column("text").to_pylist()
+            cuts = iter(made.meet([x for x in texts if x]))
+            rows: list[tuple] = []
+            for text in texts:
+                key += 1
+                if not text or (found := made.aligned(next(cuts))) is None:
+                    rows.append((key, 0, 0, 0, 0, "", None))
+                else:
+                    n_a, n_b, n_groups, written, links = found
+                    rows.append((key, n_a, n_b, n_groups, int(links[1].sum()), hashlib.sha256(written.encode()).hexdigest(), packed(links)))
+            kinds = [pa.int64()] * 5 + [pa.string(), pa.binary()]
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([columns[0], part.column("doc_id"), *columns[1:]], names)
+
+    ship(docs.sparkSession)
+    return cut(docs.select("doc_id", "text").mapInArrow(body, ALIGNED))
+
+
+def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> Links:
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    return code[first], np.add.reduceat(n, first)
+
+
+def pair_counts(found: DataFrame) -> DataFrame:
     """code, n (documents that hold the pair linked) and best (whether that is its A id's highest), written out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, codes, counts, n = pair(a_path, b_path), [], [], 0
-        for _, text in texts(batches):
-            if found := made.aligned(text):
-                codes.append(found[1])
-                counts.append(np.ones(len(found[1]), np.int64))
-                n += len(found[1])
-            if n > COUNTED:
-                code, total = summed(codes, counts)
-                codes, counts, n = [code], [total], len(code)
-                if n > COUNTED // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total)], ["code", "n"])
-                    codes, counts, n = [], [], 0
+        codes, counts, n = [], [], 0
+        for batch in batches:
+            for data in batch.column("pairs"):
+                codes.append(unpacked(data.as_py())[0])
+                counts.append(np.ones(len(codes[-1]), np.int64))
+                n += len(codes[-1])
+                if n > COUNTED:
+                    code, total = summed(codes, counts)
+                    codes, counts, n = [code], [total], len(code)
+                    if n > COUNTED // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total)], ["code", "n"])
+                        codes, counts, n = [], [], 0
         if codes:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(codes, counts)], ["code", "n"])
 
-    ship(docs.sparkSession)
-    counted = cut(docs.select("doc_id", "text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    counted = cut(found.where("pairs is not null").select("pairs").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
     a = F.floor(F.col("code") / STEP)
-    # a row for each id of A's vocabulary at most
+    # a row for each id of A's vocabulary at most, so 65,536
     most = counted.groupBy(a.alias("a")).agg(F.max("n").alias("most"))
     return cut(counted.withColumn("a", a).join(F.broadcast(most), "a").select("code", "n", (F.col("n") == F.col("most")).alias("best")))
 
@@ -213,56 +348,42 @@ def frequent(counts: DataFrame, limit: int = FREQUENT) -> tuple[pa.Table, int]:
     return counts.where(F.col("n") >= least).orderBy("code").toArrow(), least
 
 
-PARTS = (
-    "doc_key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string,"
-    " rest array<struct<code:long,times:long>>"
-)
+SUMS = "doc_key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long, rest array<struct<code:long,times:long>>"
 
 
 def alignment(docs: DataFrame, a_path: str, b_path: str, limit: int = FREQUENT) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256, a row per row of `docs`; the paths are those of
     the tokenizers' files on every executor."""
-    counts = pair_counts(docs, a_path, b_path)
+    found = aligned_texts(docs, a_path, b_path)
+    counts = pair_counts(found)
     known, least = frequent(counts, limit)
-    names = [x.split(" ")[0] for x in PARTS.split(" array<")[0].split(", ")]
     given = docs.sparkSession.sparkContext.broadcast(tuple(known.column(x).to_numpy() for x in ("code", "n", "best")))
+    item = pa.struct([("code", pa.int64()), ("times", pa.int64())])
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, (code, n, best) = pair(a_path, b_path), given.value
-        key = TaskContext.get().partitionId() << 40
-        rows: list[tuple] = []
-        held = 0
-        for doc_id, text in texts(batches):
-            key += 1
-            if (found := made.aligned(text)) is None:
-                rows.append((key, doc_id, 0, 0, 0, 0, 0, 0, "", []))
-            else:
-                parts, codes, times = found
+        code, n, best = given.value
+        for batch in batches:
+            rows: list[tuple] = []
+            for data in batch.column("pairs"):
+                if not data.is_valid:
+                    rows.append((0, 0, []))
+                    continue
+                codes, times = unpacked(data.as_py())
                 at = np.searchsorted(code, codes)
                 there = at < len(code)
                 there[there] = code[at[there]] == codes[there]
                 at, often = at[there], times[there]
-                sums = [sum(getattr(x, c) for x in parts) for c in ("n_a", "n_b", "n_groups")]
-                links = (int(times.sum()), int(often[best[at]].sum()), int((often * n[at]).sum()))
-                digest = hashlib.sha256(";".join([x.text for x in parts]).encode()).hexdigest()
                 rest = [{"code": c, "times": t} for c, t in zip(codes[~there].tolist(), times[~there].tolist(), strict=True)]
-                rows.append((key, doc_id, *sums, *links, digest, rest))
-                held += len(rest)
-            if len(rows) >= 1024 or held > 1 << 16:
-                yield packed(rows)
-                rows, held = [], 0
-        if rows:
-            yield packed(rows)
-
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        kinds = [pa.int64()] * 8 + [pa.string(), pa.list_(pa.struct([("code", pa.int64()), ("times", pa.int64())]))]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
-
-    found = cut(docs.select("doc_id", "text").mapInArrow(body, PARTS))
-    rare = counts.where(F.col("n") < least)
-    rest = found.select("doc_key", F.inline("rest")).join(rare, "code")
-    more = rest.groupBy("doc_key").agg(F.sum(F.when(F.col("best"), F.col("times"))).alias("best_more"), F.sum(F.col("times") * F.col("n")).alias("sum_more"))
-    both = found.drop("rest").join(more, "doc_key", "left")
-    plus = lambda x, y: (F.col(x) + F.coalesce(y, F.lit(0).cast("long"))).alias(x)
-    return both.select("doc_id", "n_a", "n_b", "n_groups", "n_links", plus("n_best", "best_more"), plus("count_sum", "sum_more"), "groups_sha256")
+                rows.append((int(often[best[at]].sum()), int((often * n[at]).sum()), rest))
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(item)), strict=True)] if rows else []
+            if rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "n_best", "count_sum", "rest"])
+
+    told = found.mapInArrow(body, SUMS)
+    if counts.where(F.col("n") < least).limit(1).count():
+        told = cut(told)
+        rare = told.select("doc_key", F.inline("rest")).join(counts.where(F.col("n") < least), "code")
+        more = rare.groupBy("doc_key").agg(F.sum(F.when(F.col("best"), F.col("times"))).alias("best_more"), F.sum(F.col("times") * F.col("n")).alias("sum_more"))
+        plus = lambda x, y: (F.col(x) + F.coalesce(y, F.lit(0).cast("long"))).alias(x)
+        told = told.drop("rest").join(more, "doc_key", "left").withColumns({"n_best": plus("n_best", "best_more"), "count_sum": plus("count_sum", "sum_more")})
+    return told.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
