@@ -20,11 +20,15 @@ def numbered(kind: str, k: Column) -> Column:
     return F.concat(F.lit(kind), F.when(k < 10, "0").otherwise(""), k.cast("string"))
 
 
+def parts(text: Column) -> Column:
+    """The sections of a text: a `#` line begins one, a blank line ends one; empty ones are left out."""
+    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), PARTS), lambda x: F.regexp_replace(x, r"^\n+|\n+$", ""))
+    return F.filter(pieces, lambda x: x != "")
+
+
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, ref (sec01, sec02 ...) and text: a `#` line begins a section, a blank line ends one; empty ones aren't numbered.
-    Each text is cut in its row; nothing is shuffled."""
-    pieces = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), PARTS), lambda x: F.regexp_replace(x, r"^\n+|\n+$", ""))
-    rows = docs.select(key, F.posexplode(F.filter(pieces, lambda x: x != "")).alias("_k", "_text"))
+    """key, ref (sec01, sec02 ...) and text of each section; each text is cut in its row, and nothing is shuffled."""
+    rows = docs.select(key, F.posexplode(parts(F.col(text))).alias("_k", "_text"))
     return rows.select(key, numbered("sec", F.col("_k") + 1).alias("ref"), F.col("_text").alias("text"))
 
 

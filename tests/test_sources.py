@@ -69,20 +69,20 @@ def zipped(members):
 def test_office_formats():
     p = lambda t, style="": f'<w:p><w:pPr>{style}</w:pPr><w:r><w:t xml:space="preserve">{t}</w:t></w:r></w:p>'
     doc = zipped({"word/document.xml": f"<w:body {W}>" + p("pre") + p("One", '<w:pStyle w:val="Heading1"/>') + p("a &lt; b") + p(" ") + p("Two", '<w:pStyle w:val="Heading2"/>') + p("c") + p("d", '<w:pStyle w:val="Heading4"/>') + "</w:body>"})
-    assert files.chunks("x.docx", doc) == files.chunks("x.DOC", doc) == [("sec01", "pre"), ("sec02", "One\na < b"), ("sec03", "Two\nc\nd")]
+    assert files.whole_parts("x.docx", doc) == files.whole_parts("x.DOC", doc) == [("sec01", "pre"), ("sec02", "One\na < b"), ("sec03", "Two\nc\nd")]
     slides = zipped({f"ppt/slides/slide{k}.xml": f"<x {A}>" + (f"<a:p><a:r><a:t>s{k}</a:t></a:r></a:p><a:p/>" if k != 2 else "") + "</x>" for k in (10, 2, 1)})
-    assert files.chunks("x.pptx", slides) == [("s01", "s1"), ("s02", ""), ("s03", "s10")]
+    assert files.whole_parts("x.pptx", slides) == [("s01", "s1"), ("s02", ""), ("s03", "s10")]
     sheet = '<sheet><row r="1"><c r="A1" t="s"><v>1</v></c><c r="B1"/><c r="C1"><v>2.5</v></c></row><row r="2"/><row><c t="inlineStr"><is><t>in</t></is></c></row></sheet>'
     book = zipped({"xl/sharedStrings.xml": "<sst><si><t>zero</t></si><si><t>one &amp; two</t></si></sst>", "xl/worksheets/sheet1.xml": "<sheet/>", "xl/worksheets/sheet2.xml": sheet})
-    assert files.chunks("x.xlsx", book) == [("sheet02", "one & two\t2.5\nin")]
-    assert files.chunks("x.ppt", slides) == files.chunks("x.doc", b"old") == files.chunks("x.docx", b"") == files.chunks("none", b"") == []
+    assert files.whole_parts("x.xlsx", book) == [("sheet02", "one & two\t2.5\nin")]
+    assert files.whole_parts("x.ppt", slides) == files.whole_parts("x.doc", b"old") == files.whole_parts("x.docx", b"") == files.whole_parts("none", b"") == []
 
 
 def test_paragraphs_inside_others_and_entities():
     inner = "<w:p><w:r><w:t>inner</w:t></w:r></w:p>"
     body = f"<w:body {W}><w:p><w:r><w:t>a&#233;<![CDATA[<b>]]></w:t><w:tab/><w:t>c</w:t><w:br/><w:t>d</w:t></w:r><w:txbx>{inner}</w:txbx></w:p></w:body>"
-    assert files.chunks("x.docx", zipped({"word/document.xml": body})) == [("sec01", "aé<b>\tc\nd\ninner")]
-    assert files.chunks("x.docx", zipped({"word/document.xml": "<w:p>"})) == []
+    assert files.whole_parts("x.docx", zipped({"word/document.xml": body})) == [("sec01", "aé<b>\tc\nd\ninner")]
+    assert files.whole_parts("x.docx", zipped({"word/document.xml": "<w:p>"})) == []
 
 
 def test_candidates_of_roots(spark, tmp_path):
@@ -123,12 +123,17 @@ def test_files_of_settings(spark, tmp_path):
     assert "1 of 3 rows" in sinks.report_html(spark.range(3).toDF("k"), "t", 1)
 
 
-def test_splitting():
-    assert files.split_text("  ", 5) == [""] and files.split_text("abc", 5) == ["abc"]
-    assert files.split_text("aaa bbb ccccccccc", 5) == ["aaa", "bbb", "ccccc", "cccc"]
-    found = files.chunks("x.txt", ("# H\n" + "word " * 1000 + "\n\nlast").encode())
-    assert [r for r, _ in found] == ["sec01a", "sec01b", "sec02"] and all(len(t) <= files.TEXT_MOST for _, t in found)
-    assert files.chunks("x.md", b"") == [("sec01", "")] and files.chunks("x.md", b" \n#a\n#b") == [("sec01", "#a"), ("sec02", "#b")]
+def test_splitting(spark):
+    made = {"a.txt": "# H\n" + "word " * 1000 + "\n\nlast", "b.md": "", "c.md": " \n#a\n#b", "d.txt": "one\r\n \r\ntwo\x0cthree\u2028\u2028four", "e.txt": "x" * 7000, "f.txt": "a b " * 9000}
+    rows = spark.createDataFrame([(k, bytearray(v.encode())) for k, v in made.items()], "path string, content binary")
+    got = {}
+    for r in sorted(files.extracted(rows).collect()):
+        got.setdefault(r["path"], []).append((r["ref"], r["text"]))
+    assert [r for r, _ in got["a.txt"]] == ["sec01a", "sec01b", "sec02"] and all(len(t) <= files.TEXT_MOST for _, t in got["a.txt"])
+    assert got["b.md"] == [("sec01", "")] and got["c.md"] == [("sec01", "#a"), ("sec02", "#b")]
+    assert got["d.txt"] == [("sec01", "one"), ("sec02", "two\nthree"), ("sec03", "four")]
+    assert [(r, len(t)) for r, t in got["e.txt"]] == [("sec01a", 3000), ("sec01b", 3000), ("sec01c", 1000)]
+    assert " ".join(t for _, t in got["f.txt"]) == ("a b " * 9000).strip()
 
 
 def test_mail_records(spark):
