@@ -30,8 +30,8 @@ CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Bytes of a file and pages in it, at most about; the sizes that divide pages into classes.
 FILE_BYTES, FILE_PAGES, CLASSES = 32 << 20, 2_000, (16 << 10, 256 << 10, 4 << 20)
-#: Bytes that are inflated at once, and that a record's header has at most.
-PIECE, HEADER = 1 << 20, 1 << 20
+#: Bytes that are inflated at once.
+PIECE = 1 << 20
 #: Records of a kind in a row of an assembled capture.
 NESTED = 100
 RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, refers_to string, payload_bytes long, payload_digest string, digest_ok boolean, block binary"
@@ -138,18 +138,21 @@ def parse(content: bytes, payloads: bool) -> Iterator[dict]:
             held.extend(piece)
         return True
 
-    def found(what: bytes, at: int, most: int | None = None) -> int:
-        """Where `what` begins, after reading on; -1 at the file's end or after `most` bytes."""
-        while (place := held.find(what, at)) < 0 and (most is None or len(held) < most):
-            if most is None:  # nothing before the last bytes can belong to it
-                del held[: max(0, len(held) - len(what))]
+    def found(what: bytes, keep: bool) -> int:
+        """Where `what` begins, after reading on; -1 at the file's end. What goes before it need not be kept."""
+        at = 0
+        while (place := held.find(what, at)) < 0:
+            at = max(0, len(held) - len(what) + 1)  # nothing before the last bytes can belong to it
+            if not keep:
+                del held[:at]
+                at = 0
             if not has(len(held) + 1):
                 return -1
         return place
 
-    while (at := found(b"WARC/", 0)) >= 0:
+    while (at := found(b"WARC/", False)) >= 0:
         del held[:at]
-        end = found(b"\r\n\r\n", 0, HEADER)
+        end = found(b"\r\n\r\n", True)  # however long the header is: a url may be
         headers: dict[str, list[str]] = {}
         for line in held[: max(end, 0)].decode("utf-8", "replace").split(CRLF)[1:]:
             name, _, value = line.partition(":")
