@@ -10,7 +10,8 @@ by side: a stretch begins with the state that WARM characters before it lead to,
 which the one before it did end until all agree, so that the phrases are those of one parse of the whole text. Letters are
 compared in lower case, each letter of any sample is told apart, and each run of other characters is one break.
 
-Defined results: `und` with score 0 for a null text or one without a letter; ties go to the first language by name; with
+Every label is learnt, from a bounded number of texts each. Defined results: rows with a null doc_id are predicted like others; repeated
+rows get a row each, and copies of a labelled text give one piece; an empty table gives no rows; `und` with score 0 for a null text or one without a letter; ties go to the first language by name; with
 no labelled text every language is `und`. The score is second / (best + second) of the normalised phrases (1 with only
 one language).
 """
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodefall.llm.common import map_batches
+from lodefall.llm.common import bounded, cut, map_batches
 
-#: The fitting sample's bound: languages (the most frequent), pieces per language and characters per piece.
-LANGUAGES, PIECES, PIECE = 256, 64, 256
+#: The fitting sample's bound for each language, of which all are learnt: pieces, and characters of a piece.
+PIECES, PIECE = 64, 256
 STRETCH, WARM = 1024, 96
 #: Bits of a transition's next state.
 NEXT = 31
@@ -51,15 +52,14 @@ def lowered(c: str) -> str:
 
 
 def sample(labelled: DataFrame) -> list[tuple[str, str]]:
-    """(lang, piece) pairs for fitting, at most LANGUAGES * PIECES: of the texts of a language, dealt into PIECES buckets by
+    """(lang, piece) pairs for fitting, at most PIECES of each language: of its texts, dealt into PIECES buckets by
     a hash, each bucket's least hash gives a piece from a place that the hash picks."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    least = rows.join(F.broadcast(top), "lang").groupBy("lang", F.pmod("h", F.lit(PIECES)).alias("bucket")).agg(F.min("h").alias("h"))
+    least = cut(rows.groupBy("lang", F.pmod("h", F.lit(PIECES)).alias("bucket")).agg(F.min("h").alias("h")).select("lang", "h"))
     start = F.pmod(F.shiftrightunsigned("h", 8), F.greatest(F.length("text") - PIECE + 1, F.lit(1))) + 1
     piece = F.substring("text", start.cast("int"), F.lit(PIECE)).alias("piece")
-    # bounded: PIECES hashes of LANGUAGES languages; copies of one text give one piece
-    found = rows.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).select("lang", "h", piece).dropDuplicates(["lang", "h"])
+    # PIECES hashes of each language; copies of one text give one piece
+    found = rows.join(bounded(least), ["lang", "h"]).select("lang", "h", piece).dropDuplicates(["lang", "h"])
     return [(x["lang"], x["piece"]) for x in found.orderBy("lang", "h").collect()]
 
 

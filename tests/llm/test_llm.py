@@ -175,6 +175,47 @@ def test_warc_records_are_read_one_at_a_time(monkeypatch):
     assert [(x["digest_ok"], x["payload_digest"]) for x in warc.parse(stated, True)] == [(False, base64.b32encode(hashlib.sha1(b"x").digest()).decode())]
 
 
+def test_headers_of_any_length_are_read(spark, tmp_path, monkeypatch):
+    url = "http://a/" + "x" * 3_000_000
+    pages = spark.createDataFrame([(1, url, "one"), (2, "u", "two"), (3, url, "one")], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    found = {r["capture"]["record_id"].split(":")[3]: r["capture"] for r in warc.assemble(warc.read_archives(spark, str(tmp_path / "w"))).collect()}
+    assert {k: (x["type"], x["payload_bytes"], len(x["target_uri"])) for k, x in found.items()} == {"1": ("revisit", 3, len(url)), "2": ("response", 3, 1), "3": ("response", 3, len(url))}
+    monkeypatch.setattr(warc, "PIECE", 16)
+    two = a_record("response", "a", b"x", WARC_Target_URI="y" * 5000) + a_record("response", "b", b"x")
+    assert [x["record_id"] for x in warc.parse(two, True)] == ["a", "b"]
+
+
+def test_every_label_is_learnt(spark):
+    rng = random.Random(9)
+    alphabets = {f"l{k:03}": [chr(0x4E00 + 8 * k + j) for j in range(8)] for k in range(300)}
+    made = lambda lang: "".join(rng.choices(alphabets[lang], k=30))
+    docs = spark.createDataFrame([(k, made(lang), lang) for k, lang in enumerate(alphabets)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.langs) == 300
+    new = spark.createDataFrame([(k, made(lang), None) for k, lang in enumerate(alphabets)], docs.schema)
+    assert [r["lang_pred"] for r in langid.predict(new, model).orderBy("doc_id").collect()] == list(alphabets)
+
+
+def test_predictions_equal_a_plain_choice(spark, docs):
+    """The registered query's language, ties and score against greedy parses by substring search."""
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    pairs = langid.sample(docs.where(~held))
+    samples = collections.defaultdict(list)
+    for lang, piece in pairs:
+        samples[lang].append(re.sub(r"[\W\d_]+", " ", piece.lower()).strip())
+    some = docs.where("n_chars < 400").orderBy("doc_id").limit(25)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op1_language(spark, DATA).collect()}
+    sizes = {x: sum(len(s) + 1 for s in v) for x, v in samples.items()}
+    for r in some.collect():
+        plain = re.sub(r"[\W\d_]+", " ", (r["text"] or "").lower()).strip()
+        if not plain:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        n = {x: greedy_phrases(plain, v) for x, v in samples.items()}
+        assert n[got[r["doc_id"]][0]] <= 1.15 * min(n.values()) + 1 and 0.5 <= got[r["doc_id"]][1] <= 1 and sizes
+
+
 def test_ties_are_followed_to_their_end(spark):
     # a chain of five records, one tied to two captures, one tied to none, and a capture with very many
     given = [("c1", "response", []), ("c2", "revisit", []), ("c3", "resource", []), ("q", "request", ["c1"]), ("m1", "metadata", ["q"]), ("m2", "metadata", ["m1"]), ("m3", "metadata", ["m2"]), ("m4", "metadata", ["m3", "zz"])]
