@@ -11,9 +11,9 @@ that can have this anchor.
    into a suffix order: left side, a symbol that stands for the gram, right side. A suffix is sorted by its first SLACK + 1 symbols, which
    hold a string of LENGTH bytes. The previous and next smaller position in that order give the longest earlier match (previous
    factor), with its source; where it is at least SLACK + 1, the later string is a copy of the source.
-3. A gram with more than HOT contexts (a passage that very many documents share) is halved: strings that start in the nearer half of the
-   left side agree in half of the right side, all others in half of the left side, so these halves are part of two new grams.
-   In each round most contexts end up alone. So no group grows with the input, and no pair of one is left out.
+3. A gram with more than HOT contexts (a passage that very many documents share) is split by ranges of starts: all strings that start in a range
+   have a part of the left and of the right side, which becomes part of a new gram. In each round most contexts end up alone. So no
+   group grows with the input, and no pair of one is left out.
 
 Texts are shuffled only if they hold a context to compare or a byte to remove. Grams and contexts are compared by 64 bits each.
 
@@ -36,8 +36,9 @@ from lodefall.llm.common import bounded, cut, join_docs, ship, sieved, slices, t
 LENGTH, GRAM = 400, 250
 SLACK = LENGTH - GRAM
 WINDOW = SLACK + 1
-#: Bytes hashed at once; contexts of a gram above which it is halved; contexts sorted at once; parts by which contexts that can't match are left out.
-STRETCH, HOT, SORTED, PARTS = 1 << 19, 4096, 4096, 5
+#: Bytes hashed at once; contexts of a gram above which it is split; contexts sorted at once; ranges of starts by which contexts that can't match
+#: are left out, and those into which a gram is split.
+STRETCH, HOT, SORTED, PARTS, SPLIT = 1 << 19, 4096, 4096, 8, 6
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -145,30 +146,49 @@ def placed(merge: bool):  # noqa: ANN201
 # --- suffix order of contexts -----------------------------------------------------------------------------------------
 
 
+def ranked(x: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct ones, from 1."""
+    order = np.argsort(x)
+    by_value = x[order]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(np.r_[True, by_value[1:] != by_value[:-1]])
+    return out
+
+
 def suffix_order(symbols: np.ndarray, depth: int, some: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """`some` positions by their suffixes' first `depth` symbols (equals by position), and the ranks of all positions by their first 1, 4, 8, 16 ... symbols."""
+    """`some` positions by their suffixes' first `depth` symbols (equals by position), and the ranks of all positions by their first 1 and by ever
+    more symbols: each round puts as many ranks side by side as 63 bits hold, and ranks these."""
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
-    ranks, length = [(1, rank)], 1
-    shifted = lambda by: np.concatenate([rank[by:], np.zeros(min(by, n), np.int64)])[:n]
+    rank, length = symbols - symbols.min() + 1, 1
+    if int(rank.max()) > 1 << 20:
+        rank = ranked(rank)
+    ranks = [(1, rank)]
     while 2 * length <= depth:
-        top = int(rank.max()) + 1
-        if length == 1 and depth >= 4 and top < 1 << 15:
-            rank, length = ((rank * top + shifted(1)) * top + shifted(2)) * top + shifted(3), 4
-        else:
-            rank, length = rank * top + shifted(length), 2 * length
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64) + 1
+        bits = int(rank.max()).bit_length()
+        times = min(63 // bits, depth // length, 4)
+        wide = rank.copy()
+        for k in range(1, times):
+            wide <<= bits
+            wide[: max(0, n - k * length)] |= rank[k * length :]
+        rank, length = ranked(wide), times * length
         ranks.append((length, rank))
-    rest = np.minimum(some + depth - length, n)
     padded = np.append(rank, 0)
-    return some[np.lexsort((some, padded[rest], rank[some]))], ranks
+    rest = padded[np.minimum(some + depth - length, n)]
+    return some[np.lexsort((some, rest, rank[some]))], ranks
+
+
+def equal(ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Whether the suffixes at a and b share their first `depth` symbols; both have as many."""
+    length, rank = ranks[-1]
+    far = depth - length
+    return (rank[a] == rank[b]) & (rank[a + far] == rank[b + far])
 
 
 def common(ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """The length of the common prefix of the suffixes at a and b, `depth` at most."""
     out, n = np.zeros(len(a), np.int64), len(ranks[0][1])
     for length, rank in reversed(ranks):
-        for _ in range(4 if length == 1 else 2):
+        for _ in range(4):
             x, y = np.minimum(a + out, n - 1), np.minimum(b + out, n - 1)
             out += length * ((a + out < n) & (b + out < n) & (rank[x] == rank[y]))
     return np.minimum(out, depth)
@@ -185,15 +205,19 @@ def previous_smaller(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def smaller_neighbours(order: np.ndarray) -> list[np.ndarray]:
+    """For each place in suffix order that of the previous and that of the next smaller position, or -1."""
+    behind = len(order) - 1 - previous_smaller(order[::-1])[::-1]
+    behind[behind == len(order)] = -1
+    return [previous_smaller(order), behind]
+
+
 def longest_previous_factors(symbols: np.ndarray, depth: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """`some` positions in suffix order, the length (`depth` at most) of the longest factor that starts at each and at an earlier one of them,
     and that earlier one (-1: none). The earlier suffix that shares most stands, in suffix order, at the previous or at the next smaller position."""
     order, ranks = suffix_order(symbols, depth, some)
-    before = previous_smaller(order)
-    behind = len(order) - 1 - previous_smaller(order[::-1])[::-1]
-    behind[behind == len(order)] = -1
     length, source = np.zeros(len(order), np.int64), np.full(len(order), -1)
-    for near in (before, behind):
+    for near in smaller_neighbours(order):
         there = np.flatnonzero(near >= 0)
         shared = common(ranks, order[there], order[near[there]], depth)
         better = shared > length[there]
@@ -201,6 +225,18 @@ def longest_previous_factors(symbols: np.ndarray, depth: int, some: np.ndarray)
     return order, length, source
 
 
+def previous_copies(symbols: np.ndarray, depth: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions among `some` whose longest previous factor has `depth` symbols, and an earlier one of them for each; all have as many symbols."""
+    order, ranks = suffix_order(symbols, depth, some)
+    found, source = [], []
+    for near in smaller_neighbours(order):
+        there = np.flatnonzero(near >= 0)
+        there = there[equal(ranks, order[there], order[near[there]], depth)]
+        found.append(order[there])
+        source.append(order[near[there]])
+    return np.concatenate(found), np.concatenate(source)
+
+
 CONTEXT = "doc_id long, th long, at long, key long, once boolean, base long, slack long, left binary, right binary"
 COLUMNS = [x.split(" ")[0] for x in CONTEXT.split(", ")]
 
@@ -216,35 +252,41 @@ def matrix(sides: list[bytes], width: int, from_right: bool) -> tuple[np.ndarray
     return out, sizes
 
 
-def may_match(key: np.ndarray, left: np.ndarray, right: np.ndarray, slack: np.ndarray) -> np.ndarray:
-    """Which contexts agree with another of their key in what all strings of one of PARTS ranges of starts have."""
-    out = np.zeros(len(key), bool)
+def may_match(key: np.ndarray, left: np.ndarray, right: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and greatest distance from the gram at which a string of each context may start that another of its key has (the least is
+    greater where there is none): in each of PARTS ranges of starts, contexts must agree in what all its strings have."""
+    least, most = np.full(len(key), np.iinfo(np.int64).max), np.full(len(key), -1)
     width = left.shape[1]
     weight = powers(_BASE, 2 * width + 2)
     sums = [np.concatenate([np.zeros((len(key), 1), _U), np.cumsum((x.astype(_U) + _U(1)) * w, axis=1, dtype=_U)], axis=1) for x, w in ((left, weight[1 : width + 1]), (right, weight[width + 1 : -1]))]
-    rows = np.arange(len(key))
     for part in range(PARTS):
-        low, high = slack * part // PARTS, slack * (part + 1) // PARTS
-        fits = (low == 0) | (left[rows, np.maximum(low - 1, 0)] < 256)
-        fits &= (slack == high) | (right[rows, np.maximum(slack - high - 1, 0)] < 256)
-        h = mixed(sums[0][rows, low] + sums[1][rows, slack - high] + mixed(key.view(_U)))
+        low, high = (slack + 1) * part // PARTS, (slack + 1) * (part + 1) // PARTS - 1
+        if high < low:
+            continue
+        fits = np.ones(len(key), bool) if low == 0 else left[:, low - 1] < 256
+        if high < slack:
+            fits &= right[:, slack - high - 1] < 256
+        h = mixed(sums[0][:, low] + sums[1][:, slack - high] + mixed(key.view(_U)))
         some = np.flatnonzero(fits)
-        _, place, n = np.unique(h[some], return_inverse=True, return_counts=True)
-        out[some] |= n[place] > 1
-    return out
+        found = ranked(h[some]) if len(some) else some
+        some = some[np.bincount(found)[found] > 1]
+        least[some], most[some] = np.minimum(least[some], low), np.maximum(most[some], high)
+    return least, most
 
 
 def starts_of_copies(rows: dict[str, np.ndarray | list], keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context, and the first and last distance from the gram at which a string starts that another context of its key holds too.
-    Contexts come in order; with keep_first the first of equal strings isn't reported."""
-    key, slack = rows["key"], rows["slack"]
-    width = max(1, int(slack.max()))
+    Contexts come in order, all with one slack; with keep_first the first of equal strings isn't reported."""
+    key, slack = rows["key"], int(rows["slack"][0])
+    width = max(1, slack)
     (left, n_left), (right, n_right) = matrix(rows["left"], width, True), matrix(rows["right"], width, False)
-    some = np.flatnonzero(may_match(key, left, right, slack))
+    least, most = may_match(key, left, right, slack)
+    some = np.flatnonzero(most >= least)
     none = np.empty(0, np.int64)
     if not len(some):
         return none, none, none
-    left, right, slack, n_left, n_right = left[some], right[some], slack[some], n_left[some], n_right[some]
+    left, right, least, most = left[some], right[some], least[some], most[some]
+    n_left, n_right = np.minimum(n_left[some], most), np.minimum(n_right[some], slack - least)
     # each context as left side, gram, right side, and an end that no other context has
     stands = 256 + np.unique(key[some], return_inverse=True)[1]
     ends = int(stands.max()) + 1 + np.arange(len(some))
@@ -255,13 +297,12 @@ def starts_of_copies(rows: dict[str, np.ndarray | list], keep_first: bool) -> tu
     of, at = np.nonzero(used)
     away = width - at
     # starts whose string ends inside the context
-    may = (away >= 0) & (away <= slack[of]) & (slack[of] - away <= n_right[of])
-    order, length, source = longest_previous_factors(symbols, width + 1, np.flatnonzero(may))
-    copy = length > slack[of[order]]
+    may = (away >= 0) & (away <= slack) & (slack - away <= n_right[of])
+    copy, source = previous_copies(symbols, slack + 1, np.flatnonzero(may))
     hit = np.zeros(len(symbols), bool)
-    hit[order[copy]] = True
+    hit[copy] = True
     if not keep_first:
-        hit[source[copy]] = True
+        hit[source] = True
     place = np.flatnonzero(hit)
     new = np.r_[True, (np.diff(place) != 1) | (of[place[1:]] != of[place[:-1]])] if len(place) else np.empty(0, bool)
     begin = np.flatnonzero(new)
@@ -287,7 +328,14 @@ def compared(keep_first: bool):  # noqa: ANN201
             rows = rows.take(pa.array(np.flatnonzero(np.r_[True, new])))
             get = lambda x: rows.column(x).to_numpy()
             data = {x: get(x) for x in ("th", "at", "key", "once", "base", "slack")} | {x: rows.column(x).to_pylist() for x in ("left", "right")}
-            of, near, far = starts_of_copies(data, keep_first)
+            # contexts of one slack are ordered together; there is one, or a few of neighbouring size
+            found = []
+            for slack in np.unique(data["slack"]).tolist():
+                mine = np.flatnonzero(data["slack"] == slack)
+                part = {x: v[mine] if isinstance(v, np.ndarray) else [v[k] for k in mine] for x, v in data.items()} if len(mine) < len(data["slack"]) else data
+                of, near, far = starts_of_copies(part, keep_first)
+                found.append((mine[of], near, far))
+            of, near, far = (np.concatenate(x) for x in zip(*found, strict=True))
             if not keep_first:  # contexts met more than once are removed as a whole anyway
                 mine = data["once"][of].astype(bool)
                 of, near, far = of[mine], near[mine], far[mine]
@@ -330,48 +378,48 @@ def rows_of(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], COLUMNS)
 
 
-def halved(rows: DataFrame) -> DataFrame:
-    """The contexts of a key once for starts in the nearer half, with what these share of the right side as part of the key, and once for all others."""
-    near = F.floor(F.col("slack") / 2)
-    side = lambda x, a, n: F.substring(x, a.cast("int"), n.cast("int"))
-    one, zero = F.lit(1), F.lit(0)
-    right = F.col("slack") - near
-    first = rows.where(F.octet_length("right") >= right).select(
-        "doc_id", "th", "at", F.xxhash64("key", F.lit(0), side("right", one, right)).alias("key"), "once", "base", near.alias("slack"),
-        F.when(near > 0, side("left", F.greatest(F.octet_length("left") - near + 1, one), near)).otherwise(F.lit(b"")).alias("left"),
-        F.when(near > 0, side("right", right + 1, near)).otherwise(F.lit(b"")).alias("right"),
-    )
-    far = near + 1
-    rest = F.greatest(F.col("slack") - far, zero)
-    size = F.octet_length("left")
-    other = rows.where((F.col("slack") >= far) & (size >= far)).select(
-        "doc_id", "th", "at", F.xxhash64("key", F.lit(1), side("left", size - far + 1, far)).alias("key"), "once", (F.col("base") + far).alias("base"), rest.alias("slack"),
-        F.when(rest > 0, side("left", F.greatest(size - far - rest + 1, one), F.least(rest, size - far))).otherwise(F.lit(b"")).alias("left"),
-        F.when(rest > 0, side("right", one, rest)).otherwise(F.lit(b"")).alias("right"),
-    )
-    return first.unionByName(other)
+def split(rows: DataFrame) -> DataFrame:
+    """Each context once for each of SPLIT ranges of starts, with what all strings of the range have as part of its key and the rest as sides."""
+    side = lambda x, a, n: F.when(n > 0, F.substring(x, F.greatest(a, F.lit(1)).cast("int"), n.cast("int"))).otherwise(F.lit(b""))
+    size, parts = F.octet_length("left"), []
+    for k in range(SPLIT):
+        low = F.floor((F.col("slack") + 1) * k / SPLIT)
+        high = F.floor((F.col("slack") + 1) * (k + 1) / SPLIT) - 1
+        shared, rest = F.col("slack") - high, high - low
+        outer = F.least(rest, size - low)
+        fits = (high >= low) & (size >= low) & (F.octet_length("right") >= shared)
+        new = F.struct(
+            F.xxhash64("key", low, side("left", size - low + 1, low), side("right", F.lit(1), shared)).alias("key"),
+            (F.col("base") + low).alias("base"),
+            rest.alias("slack"),
+            side("left", size - low - outer + 1, outer).alias("left"),
+            side("right", shared + 1, rest).alias("right"),
+        )
+        parts.append(F.when(fits, new))
+    kept = rows.select("doc_id", "th", "at", "once", F.explode(F.array_compact(F.array(*parts))).alias("x"))
+    return kept.select("doc_id", "th", "at", "x.key", "once", "x.base", "x.slack", "x.left", "x.right")
 
 
 def copies(found: DataFrame, keep_first: bool, hot: int) -> DataFrame:
-    """Spans of contexts that others of their key repeat in part, in rounds of halving; `found` are those of hot grams."""
+    """Spans of contexts that others of their key repeat in part, in rounds of splitting; `found` are those of hot grams. Contexts that a round leaves
+    alone with their key, which are most, are not written."""
     out = found.sparkSession.createDataFrame([], SPANS)
     for _ in range(SLACK.bit_length() + 1):
-        sizes = cut(found.groupBy("key").agg(F.count("*").alias("n"), F.max("slack").alias("most")))
-        few = found.join(bounded(sizes.where((F.col("n") > 1) & (F.col("n") <= hot)).select("key")), "key", "left_semi")
-        out = out.unionByName(ordered(few, keep_first))
+        found = split(found)
+        sizes = cut(found.groupBy("key").agg(F.count("*").alias("n"), F.max("slack").alias("most")).where("n > 1"))
+        met = lambda where: bounded(sizes.where(where).select("key"))  # noqa: B023, E731
+        out = out.unionByName(ordered(cut(found.join(met(F.col("n") <= hot), "key", "left_semi")), keep_first))
         # the strings themselves as keys: all of a key are equal
-        whole = bounded(sizes.where((F.col("n") > hot) & (F.col("most") == 0)).select("key"))
-        equal, start = found.join(whole, "key", "left_semi"), F.col("at") - F.col("base")
+        whole, start = cut(found.join(met((F.col("n") > hot) & (F.col("most") == 0)), "key", "left_semi").drop("left", "right")), F.col("at") - F.col("base")
         if keep_first:
-            first = equal.groupBy("key").agg(F.min(F.struct("doc_id", "th", "at")).alias("one"))
-            equal = equal.join(first, "key").where(~F.struct("doc_id", "th", "at").eqNullSafe(F.col("one")))
+            first = whole.groupBy("key").agg(F.min(F.struct("doc_id", "th", "at")).alias("one"))
+            gone = whole.join(first, "key").where(~F.struct("doc_id", "th", "at").eqNullSafe(F.col("one")))
         else:
-            equal = equal.where("once")
-        out = out.unionByName(equal.select("doc_id", "th", start.alias("start"), (start + LENGTH).alias("stop")))
-        many = cut(sizes.where((F.col("n") > hot) & (F.col("most") > 0)).select("key"))
-        if many.limit(1).count() == 0:
+            gone = whole.where("once")
+        out = out.unionByName(gone.select("doc_id", "th", start.alias("start"), (start + LENGTH).alias("stop")))
+        if sizes.where((F.col("n") > hot) & (F.col("most") > 0)).limit(1).count() == 0:
             break
-        found = cut(halved(found.join(bounded(many), "key", "left_semi")))
+        found = cut(found.join(met((F.col("n") > hot) & (F.col("most") > 0)), "key", "left_semi"))
     return out
 
 
