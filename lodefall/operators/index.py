@@ -170,11 +170,17 @@ class Index:
         if not uses:
             return self.read("documents").limit(0).select(F.col("key").alias(key), F.lit(0.0).alias("bm25"))
         counted = self.frequencies(list(uses))
-        stats = counted.agg(*(F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(uses))))
-        both = counted.where(F.greatest(*(F.col(f"f{k}") for k in range(len(uses))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row
+        some = counted.where(F.greatest(*(F.col(f"f{k}") for k in range(len(uses))), F.lit(0)) > 0)
+        if all(len(p) == 1 for p in uses):  # a row for each text of a term: only terms are read
+            rows = self.postings([p[0] for p in uses]).groupBy("term").agg(F.count("*").alias("n")).collect()
+            held = {x["term"]: x["n"] for x in rows}
+            both, n_of = some, [F.lit(held.get(p[0], 0)) for p in uses]
+        else:
+            stats = counted.agg(*(F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(uses))))
+            both, n_of = some.crossJoin(F.broadcast(stats)), [F.col(f"n{k}") for k in range(len(uses))]  # one row
         score, mean = F.lit(0.0), F.lit(whole["tokens"] / max(1, whole["n"]))
         for k, times in enumerate(uses.values()):
-            f, n = F.col(f"f{k}"), F.col(f"n{k}")
+            f, n = F.col(f"f{k}"), n_of[k]
             idf = F.greatest(F.log((F.lit(whole["n"]) - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
             score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / mean)) * times
         return both.select(F.col("key").alias(key), F.round(score, 9).alias("bm25"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodefall.functions.text import boosted_terms, snippet
 from lodefall.operators.index import Index
+from lodefall.operators.paths import file_name
 from lodefall.session import ship
 
 #: Results that a lane gives per result asked for, results by default, and the vector lane's weight.
@@ -49,25 +50,64 @@ def scoped(files: DataFrame, filters: dict) -> DataFrame:
     return files
 
 
-def search(index: Index, chunks: DataFrame, files: DataFrame, question: str, filters: dict | None = None, expansions: list[str] = (), near: DataFrame | None = None, top: int = TOP, offset: int = 0) -> DataFrame:
-    """The `top` results after the first `offset`: rank, chunk_id, file_id, ref, file_path, final_score and snippet.
+def relative(path: Column, roots: list[str] = ()) -> Column:
+    """The path behind the first root that holds it, else its name."""
+    out = F.coalesce(*(F.when(path.startswith(r.rstrip("/") + "/"), F.substr(path, F.lit(len(r.rstrip("/")) + 2))) for r in roots), file_name(path)) if roots else file_name(path)
+    return F.when(path.isNotNull(), out)
+
+
+def citation(path: Column, ref: Column, roots: list[str] = ()) -> Column:
+    """path#ref with the path behind its root; of several roots, the name of the one that holds it stands before it in brackets."""
+    plain = F.concat(relative(path, roots), F.lit("#"), ref)
+    if len(roots) < 2:
+        return plain
+    label = F.coalesce(*(F.when(path.startswith(r.rstrip("/") + "/"), F.lit(f"[{r.rstrip('/').rsplit('/', 1)[-1]}] ")) for r in roots), F.lit(""))
+    return F.concat(label, plain)
+
+
+def search(
+    index: Index, chunks: DataFrame, files: DataFrame, question: str, filters: dict | None = None, expansions: list[str] = (), near: DataFrame | None = None, top: int = TOP, offset: int = 0,
+    roots: list[str] = (), present: DataFrame | None = None,
+) -> DataFrame:
+    """The `top` results after the first `offset`: rank, chunk_id, file_id, ref, file_path, rel_path, final_score, snippet and citation.
 
     chunks: chunk_id, file_id, ref, text; files: file_id, file_path and the attributes of filters. `near` (chunk_id and
     distance, from knn) is the vector lane; without it the keyword lane alone ranks. Files outside the filters don't take
-    places in either lane.
+    places in either lane. `present` (file_path) is what a scan has found: results whose file it lacks, or that have no ref, don't count
+    for `top`, but they do for `offset`.
+
+    The candidates of both lanes, LANE * (top + offset) each, are fetched here, so that texts and files are read by their ids: with
+    tables sorted by id that is a few row groups, however large they are.
     """
-    inside = scoped(files, filters or {})
-    keys = chunks.select("chunk_id", "file_id").join(inside.select("file_id"), "file_id", "left_semi").select("chunk_id")
-    word = index.bm25("chunk_id", boosted_terms(question, list(expansions))).join(keys, "chunk_id", "left_semi")
-    word = word.orderBy(F.desc("bm25"), "chunk_id").limit(LANE * (top + offset))
+    spark, most = chunks.sparkSession, LANE * (top + offset)
+    word = index.bm25("chunk_id", boosted_terms(question, list(expansions)))
+    if filters:
+        inside = scoped(files, filters).select("file_id")
+        keys = chunks.select("chunk_id", "file_id").join(inside, "file_id", "left_semi").select("chunk_id")
+        word, near = word.join(keys, "chunk_id", "left_semi"), None if near is None else near.join(keys, "chunk_id", "left_semi")
+    word = fetched(spark, word.orderBy(F.desc("bm25"), "chunk_id").limit(most))
     if near is None:
         both = normalized(word, "bm25", "bm25_score").select("chunk_id", F.round("bm25_score", 6).alias("final_score"))
     else:
-        both = hybrid(word, near.join(keys, "chunk_id", "left_semi"), "chunk_id").select("chunk_id", "final_score")
-    named = both.join(chunks, "chunk_id").join(files.select("file_id", "file_path"), "file_id")
-    ranked = named.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), "file_path", "chunk_id")))  # LANE * top rows
+        both = hybrid(word, fetched(spark, near.orderBy("distance", "chunk_id").limit(most)), "chunk_id").select("chunk_id", "final_score")
+    both = fetched(spark, both)  # 2 * `most` rows at most
+    wanted = chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in both.collect()]))
+    of_files = sorted({r["file_id"] for r in wanted.select("file_id").distinct().collect()} - {None})
+    named = both.join(wanted, "chunk_id").join(files.where(F.col("file_id").isin(of_files)).select("file_id", "file_path"), "file_id")
+    ranked = named.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), "file_path", "chunk_id")))
     part = snippet(F.col("text"), [t for p in boosted_terms(question, list(expansions)) for t in [p.lower()]])
-    return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + top)).select("rank", "chunk_id", "file_id", "ref", "file_path", "final_score", part.alias("snippet"))
+    path, ref = F.col("file_path"), F.col("ref")
+    valid = ranked.where((F.col("rank") > offset) & (F.coalesce(ref, F.lit("")) != ""))
+    if present is not None:
+        valid = valid.join(present.where(F.col("file_path").isin([r["file_path"] for r in ranked.select("file_path").collect()])).select("file_path").distinct(), "file_path", "left_semi")
+    return valid.orderBy("rank").limit(top).select(
+        "rank", "chunk_id", "file_id", "ref", "file_path", relative(path, list(roots)).alias("rel_path"), "final_score", part.alias("snippet"), citation(path, ref, list(roots)).alias("citation")
+    )
+
+
+def fetched(spark: SparkSession, few: DataFrame) -> DataFrame:
+    """The rows of a limited frame, computed once."""
+    return spark.createDataFrame(few.collect(), few.schema)
 
 
 def knn(vectors: DataFrame, key: str, vector: str, query: list[float], k: int, where: Column | None = None) -> DataFrame:
@@ -81,10 +121,10 @@ def knn(vectors: DataFrame, key: str, vector: str, query: list[float], k: int, w
 
 
 def normalized(df: DataFrame, score: str, out: str) -> DataFrame:
-    """Min-max to 0..1 over the fetched rows; a single or constant score is 1."""
-    ends = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    value = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    return df.crossJoin(F.broadcast(ends)).withColumn(out, value).drop("lo", "hi")
+    """Min-max to 0..1 over the fetched rows, which are few; a single or constant score is 1."""
+    all_rows = Window.partitionBy(F.lit(0))
+    low, high = F.min(score).over(all_rows), F.max(score).over(all_rows)
+    return df.withColumn(out, F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low)))
 
 
 def hybrid(keyword: DataFrame, near: DataFrame, key: str, alpha: float = 0.6) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,22 +12,41 @@ from pyspark.sql import functions as F
 from lodefall.functions import text as tx
 from lodefall.operators import search
 from lodefall.operators.index import Index
+from lodefall.operators.vectors import VectorIndex
 from lodefall.plans.registry import query
-from lodefall.session import scratch, table
+from lodefall.session import discard, scratch, table, version
 
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TERMS = ["lyer", "threst", "anhe", "the"]
 
-_held: dict[tuple, Index] = {}
+_held: dict[tuple, tuple[tuple, Any]] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, what: str, made: Callable[[str], Any]) -> Any:
+    """What `made` builds at a path out of a table of a folder: built when first asked for, and kept as long as the application runs and the
+    table's files are the same; what it replaces is deleted."""
+    at, now = (spark.sparkContext.applicationId, sf_dir, what), version(spark, f"{sf_dir}/{name}.parquet")
+    if at not in _held or _held[at][0] != now:
+        dropped(spark, sf_dir, what)
+        _held[at] = now, made(scratch(spark, what))
+    return _held[at][1]
+
+
+def dropped(spark: SparkSession, sf_dir: str, what: str) -> None:
+    if old := _held.pop((spark.sparkContext.applicationId, sf_dir, what), None):
+        discard(spark, old[1].path)
 
 
 def index_of(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
-    """The index over the documents of a folder; built when first asked for, then kept as long as the application runs."""
-    at = (spark.sparkContext.applicationId, sf_dir, stemmed)
-    if at not in _held:
-        made = Index(spark, scratch(spark, "index"), stemmed)
-        _held[at] = made.build_stems(index_of(spark, sf_dir)) if stemmed else made.build(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return _held[at]
+    """The index over the documents of a folder."""
+    if stemmed:
+        return kept(spark, sf_dir, "documents", "stems", lambda path: Index(spark, path, True).build_stems(index_of(spark, sf_dir)))
+    return kept(spark, sf_dir, "documents", "index", lambda path: Index(spark, path).build(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def vectors_of(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The vector index over the embeddings of a folder."""
+    return kept(spark, sf_dir, "embeddings", "vectors", lambda path: VectorIndex(spark, path).build(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", ("label",)))
 
 
 def answered(spark: SparkSession, sf_dir: str, texts: DataFrame, question: str, top: int) -> DataFrame:
@@ -52,14 +73,14 @@ def sql_bm25(source: str, terms: list[str], name: str = "b", columns: str = "")
 @query(f"WITH t AS (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1")
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Builds the index that the other queries read."""
-    _held.pop((spark.sparkContext.applicationId, sf_dir, False), None)
+    dropped(spark, sf_dir, "index")
     return index_of(spark, sf_dir).terms()
 
 
 @query()
 def index_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Builds the index by stems that bm25_stemmed reads, out of the plain one."""
-    _held.pop((spark.sparkContext.applicationId, sf_dir, True), None)
+    dropped(spark, sf_dir, "stems")
     return index_of(spark, sf_dir, stemmed=True).terms()
 
 
@@ -156,18 +177,20 @@ QUESTION, _ASKED = "What is the lyer of threst?", ["lyer", "threst"]
 top AS (SELECT b.*, file_path FROM b JOIN files ON file_id = doc_id WHERE lang = 'en' AND file_path ILIKE '/archive/src1/%' ORDER BY bm25 DESC, doc_id LIMIT 21),
 scored AS (SELECT *, round(CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 1.0 ELSE (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) END, 6) AS final_score FROM top),
 ranked AS (SELECT *, row_number() OVER (ORDER BY final_score DESC, file_path, doc_id)::INT AS rank FROM scored)
-SELECT rank, doc_id AS chunk_id, doc_id AS file_id, 'p1' AS ref, file_path, final_score::DOUBLE AS final_score, {sql_snippet("text", _ASKED)} AS snippet FROM ranked WHERE rank > 2 AND rank <= 7""")
+SELECT rank, doc_id AS chunk_id, doc_id AS file_id, 'p1' AS ref, file_path, substr(file_path, 10) AS rel_path, final_score::DOUBLE AS final_score, {sql_snippet("text", _ASKED)} AS snippet, substr(file_path, 10) || '#p1' AS citation FROM ranked WHERE rank > 2 AND rank <= 7""")
 def search_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question in words, within a folder and a typology, the second page."""
     docs = table(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("file_id"), F.lit("p1").alias("ref"), "text")
-    return search.search(index_of(spark, sf_dir), chunks, _files(spark, sf_dir), QUESTION, {"typology": "en", "root": "/archive/src1"}, top=5, offset=2)
+    return search.search(index_of(spark, sf_dir), chunks, _files(spark, sf_dir), QUESTION, {"typology": "en", "root": "/archive/src1"}, top=5, offset=2, roots=["/archive"])
 
 
 @query(f"WITH {sql_bm25('documents', _ASKED, columns=', text')} SELECT doc_id, {sql_snippet('text', _ASKED)} AS snippet FROM (SELECT * FROM b ORDER BY bm25 DESC, doc_id LIMIT 40)")
 def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = index_of(spark, sf_dir).bm25("doc_id", _ASKED).orderBy(F.desc("bm25"), "doc_id").limit(40)
-    return top.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", tx.snippet(F.col("text"), _ASKED).alias("snippet"))
+    top = search.fetched(spark, top)
+    texts = table(spark, sf_dir, "documents").where(F.col("doc_id").isin([r["doc_id"] for r in top.collect()]))
+    return top.join(texts, "doc_id").select("doc_id", tx.snippet(F.col("text"), _ASKED).alias("snippet"))
 
 
 def _hits(question: str, texts: list[str]) -> list[float]:
@@ -185,3 +208,34 @@ def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = index_of(spark, sf_dir).bm25("doc_id", _ASKED).orderBy(F.desc("bm25"), "doc_id").limit(40)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("bm25"), "doc_id"))).join(docs, "doc_id")
     return search.reranked(ranked, "rank", "lyer threst anhe", "text", 20, _hits).select("doc_id", "rank", "new_rank")
+
+
+_ASKS = "q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0)"
+_EACH = f"""{_ASKS}, d AS (SELECT query, vec_id AS key, round(1 - list_cosine_similarity(embedding::DOUBLE[], e), 4) AS distance FROM q, embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, key)::INT AS rank FROM d QUALIFY rank <= 20)"""
+
+
+@query(f"WITH {_EACH} SELECT query, key, distance, rank FROM r")
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every 50th vector, by an index of which all lists are read."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    index = vectors_of(spark, sf_dir)
+    return index.nearest_of_each(asked, "vec_id", "embedding", 20, probes=len(index.centers()[0]))
+
+
+@query(f"WITH {_ASKS} SELECT count(*) AS queries, true AS enough FROM q")
+def vector_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the lists that a question reads by default hold at least 0.9 of its true 20 nearest rows, over every 50th vector."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    found = vectors_of(spark, sf_dir).nearest_of_each(asked, "vec_id", "embedding", 20).select("query", "key")
+    true = vector_neighbours(spark, sf_dir).select("query", "key").withColumn("true", F.lit(1))
+    shared = true.join(found.withColumn("found", F.lit(1)), ["query", "key"], "left")
+    return shared.agg(F.countDistinct("query").alias("queries"), (F.sum(F.coalesce("found", F.lit(0))) >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query(f"WITH v AS (SELECT vec_id AS key, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 4) AS distance FROM embeddings WHERE label = 3) SELECT key, distance FROM v ORDER BY distance, key LIMIT 10")
+def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows of one label, which is sorted out before anything is ranked; all lists are read."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id = 7").first()
+    index = vectors_of(spark, sf_dir)
+    return index.nearest(list(asked["embedding"]) if asked else [1.0] * 64, 10, F.col("label") == 3, probes=len(index.centers()[0]))

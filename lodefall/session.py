@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -35,10 +37,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where the session has none, a temporary one stands for it if all runs on this machine, as
+    in tests; on a cluster a machine's own folder would be of no use, so that is an error."""
+    context = spark.sparkContext
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return given
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    if not hasattr(context, "_lodefall_dir"):
+        context._lodefall_dir = tempfile.mkdtemp(prefix="lodefall-")
+    return context._lodefall_dir
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share: that of spark.checkpoint.dir, else the warehouse's."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/lodefall-{what}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/lodefall-{what}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes what was written to a scratch path and isn't read any more."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def version(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """The files of a table with their sizes and times; another one tells that the table was written anew."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = there.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(there, True), []
+    while found.hasNext():
+        x = found.next()
+        out.append((x.getPath().toString(), x.getLen(), x.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def ship(spark: SparkSession) -> None:
