@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodefall.operators import dictionary
+
 #: Concepts by the mode that they speak for; their synonyms are a parameter.
 STRUCTURED_CONCEPTS = ("project_overview", "typology", "client", "project_stage", "gfa", "storeys", "units", "plot_ratio", "project_architect", "pm", "consultants", "contractor")
 SEMANTIC_CONCEPTS = ("design_concept", "facade", "sustainability", "materials", "waivers", "action_items", "authority_comments")
@@ -113,16 +115,25 @@ def _amount(q: Column, words: str) -> Column:
     return F.replace(number, F.lit(","), F.lit("")).try_cast("double").cast("string")
 
 
-def classified(df: DataFrame, question: str, synonyms: dict[str, tuple[str, ...]] = SYNONYMS, codes: tuple[str, ...] = ()) -> DataFrame:
-    """Adds tags, code, mode, confidence, secondary and filters (a map) to the questions; null is like the empty one.
-    `synonyms` has each concept's terms; `codes` are the known project codes (a dimension), longest first."""
-    q, rows = F.col("_q"), df.withColumn("_q", F.trim(F.lower(F.coalesce(F.col(question), F.lit("")))))
+def classified(df: DataFrame, question: str, synonyms: dict[str, tuple[str, ...]] | DataFrame = SYNONYMS, codes: tuple[str, ...] | DataFrame = ()) -> DataFrame:
+    """Adds tags, expanded_terms, code, mode, confidence, secondary and filters (a map) to the questions; null is like the empty one.
+    `synonyms` has each concept's terms, the canonical one first, or is a table of them (concept, concept_order, term, term_order);
+    `codes` are the known project codes, a few or a table (code); the longest that is said counts."""
+    q, rows = F.col("__lodefall_q"), df.withColumn("__lodefall_q", F.trim(F.lower(F.coalesce(F.col(question), F.lit("")))))
     plain = F.regexp_replace(F.trim(F.regexp_replace(q, r"(?U)[^\w\s]", " ")), r"\s+", " ")
-    rows = rows.withColumn("_plain", plain)
-    said = lambda terms: _any(F.col("_plain"), [t for t in (re.sub(r"[^\w\s]", " ", x.lower()).strip() for x in terms) if t])
-    rows = rows.withColumn("tags", F.array_compact(F.array(*(F.when(said(terms), c) for c, terms in synonyms.items()))))
+    rows = rows.withColumn("__lodefall_plain", plain)
+    said = lambda terms: _any(F.col("__lodefall_plain"), [t for t in (re.sub(r"[^\w\s]", " ", x.lower()).strip() for x in terms) if t])
+    if isinstance(synonyms, DataFrame):
+        rows = dictionary.tagged(rows, "__lodefall_plain", synonyms)
+    else:
+        rows = rows.withColumn("tags", F.array_compact(F.array(*(F.when(said(terms), c) for c, terms in synonyms.items()))))
+        lists = [F.when(F.array_contains("tags", c), F.array(*(F.lit(t.lower()) for t in terms))) for c, terms in synonyms.items() if terms]
+        rows = rows.withColumn("expanded_terms", F.array_distinct(F.flatten(F.array_compact(F.array(*lists)))) if lists else F.array().cast("array<string>"))
     tag = lambda c: F.array_contains("tags", c)
-    known = [F.when(q.rlike(rf"\b{re.escape(c)}\b"), c) for c in sorted(codes, key=len, reverse=True)]
+    if isinstance(codes, DataFrame):
+        rows, known = dictionary.coded(rows, "__lodefall_q", codes, "code", "__lodefall_known"), [F.col("__lodefall_known")]
+    else:
+        known = [F.when(q.rlike(rf"\b{re.escape(c)}\b"), c) for c in sorted(codes, key=len, reverse=True)]
     rows = rows.withColumn("code", F.coalesce(*known, F.nullif(F.regexp_extract(q, r"\b([1-9][0-9]{2,3})\b", 1), F.lit(""))))
     many = lambda concepts, w: reduce(Column.__add__, (F.when(tag(c), w).otherwise(0.0) for c in concepts), F.lit(0.0))
     files = reduce(Column.__or__, map(tag, FILE_CONCEPTS))
@@ -135,8 +146,8 @@ def classified(df: DataFrame, question: str, synonyms: dict[str, tuple[str, ...]
         "semantic": 0.2 + many(SEMANTIC_CONCEPTS, 0.4) + _sum(q, SEMANTIC_WORDS, quarter),
     }
     order = F.sort_array(F.array(*(F.struct((-F.round(F.least(s, F.lit(1.0)), 4)).alias("s"), F.lit(k).alias("k"), F.lit(m).alias("m")) for k, (m, s) in enumerate(scores.items()))))
-    rows = rows.withColumn("_o", order)
-    first, second = F.col("_o")[0], F.col("_o")[1]
+    rows = rows.withColumn("__lodefall_o", order)
+    first, second = F.col("__lodefall_o")[0], F.col("__lodefall_o")[1]
     cross = F.col("code").isNull() & _any(q, CROSS_WORDS)
     weak = F.col("code").isNotNull() & (first["m"] == "semantic") & (-first["s"] <= 0.25)
     rows = rows.withColumns({"mode": F.when(cross, "cross_project").when(weak, "structured").otherwise(first["m"]), "confidence": F.when(cross, 0.85).when(weak, 0.35).otherwise(-first["s"])})
@@ -168,4 +179,4 @@ def classified(df: DataFrame, question: str, synonyms: dict[str, tuple[str, ...]
         "location": mode("semantic", F.when(free, _longest(q, PLACES))),
     }
     filters = F.map_filter(F.create_map(*(x for k, v in found.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
-    return rows.select(*df.columns, "tags", "code", "mode", "confidence", "secondary", filters.alias("filters"))
+    return rows.select(*df.columns, "tags", "expanded_terms", "code", "mode", "confidence", "secondary", filters.alias("filters"))

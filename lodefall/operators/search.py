@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodefall.functions.text import boosted_terms, snippet
+from lodefall.operators import routing
 from lodefall.operators.index import Index
 from lodefall.operators.paths import file_name
 from lodefall.session import ship
@@ -105,6 +106,16 @@ def search(
     )
 
 
+def asked(index: Index, chunks: DataFrame, files: DataFrame, question: str, synonyms: DataFrame, codes: DataFrame | None = None, **more) -> DataFrame:  # noqa: ANN003
+    """`search` with the question's expansions out of a table of synonyms, and with what it says of its files as filters where `files` has
+    that attribute: content_type, folder_stage and the known project."""
+    spark = chunks.sparkSession
+    row = routing.classified(spark.createDataFrame([(question,)], "question string"), "question", synonyms, codes if codes is not None else ()).first()
+    said = {"project_id": row["filters"].get("project_code"), **{c: row["filters"].get(c) for c in ("content_type", "folder_stage")}}
+    filters = {c: v for c, v in said.items() if v is not None and c in files.columns}
+    return search(index, chunks, files, question, filters | (more.pop("filters", None) or {}), expansions=list(row["expanded_terms"]), **more)
+
+
 def fetched(spark: SparkSession, few: DataFrame) -> DataFrame:
     """The rows of a limited frame, computed once."""
     return spark.createDataFrame(few.collect(), few.schema)

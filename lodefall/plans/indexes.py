@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodefall.functions import text as tx
-from lodefall.operators import search
+from lodefall.operators import dictionary, search
 from lodefall.operators.index import Index
 from lodefall.operators.vectors import VectorIndex
 from lodefall.plans.registry import query
@@ -239,3 +239,20 @@ def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "embeddings").where("vec_id = 7").first()
     index = vectors_of(spark, sf_dir)
     return index.nearest(list(asked["embedding"]) if asked else [1.0] * 64, 10, F.col("label") == 3, probes=len(index.centers()[0]))
+
+
+_WIDER = {"wood": ("lyer", "threst", "anhe"), "none": ("qqqq", "anhe")}
+_MORE = ["lyer", "threst", "anhe"]
+
+
+@query(f"""WITH {_FILES}, {sql_bm25("documents", _MORE, columns=", text")}, top AS (SELECT b.*, file_path FROM b JOIN files ON file_id = doc_id ORDER BY bm25 DESC, doc_id LIMIT 15),
+scored AS (SELECT *, round(CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 1.0 ELSE (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) END, 6) AS final_score FROM top),
+ranked AS (SELECT *, row_number() OVER (ORDER BY final_score DESC, file_path, doc_id)::INT AS rank FROM scored)
+SELECT rank, doc_id AS chunk_id, final_score::DOUBLE AS final_score, substr(file_path, 10) || '#p1' AS citation, {sql_snippet("text", _MORE)} AS snippet FROM ranked WHERE rank <= 5""")
+def search_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question whose concept brings in two more words."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("file_id"), F.lit("p1").alias("ref"), "text")
+    synonyms = spark.createDataFrame(dictionary.table_of(_WIDER), dictionary.SYNONYM_ROW)
+    found = search.asked(index_of(spark, sf_dir), chunks, _files(spark, sf_dir), "What is lyer?", synonyms, roots=["/archive"])
+    return found.select("rank", "chunk_id", "final_score", "citation", "snippet")

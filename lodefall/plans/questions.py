@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodefall.operators import paths, routing
+from lodefall.operators import dictionary, paths, routing
 from lodefall.plans import pathsql
 from lodefall.plans.registry import query
 from lodefall.session import table
@@ -86,3 +86,24 @@ def question_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = lambda name: F.col("filters")[name]
     stage = F.when(F.col("mode") == "semantic", f("folder_stage"))
     return found.select("c_custkey", f("location").alias("location"), stage.alias("stage"), f("gfa_min").try_cast("double").alias("gfa_min"), f("date_from").alias("date_from"), f("is_latest").alias("is_latest"), f("project_code").alias("project_code"))
+
+
+#: Concepts of the words that the conversations are made of.
+CONCEPTS = {"weather": ("rain", "sun", "cold"), "food": ("the", "bread"), "work": ("an", "office"), "rare": ("zzzz",)}
+_CONCEPTS = ", ".join(f"CASE WHEN {' OR '.join(f"contains(plain, '{t}')" for t in ts)} THEN '{c}' END" for c, ts in CONCEPTS.items())
+_EXPANDED = ", ".join(f"CASE WHEN list_contains(tags, '{c}') THEN {_words(ts)} ELSE [] END" for c, ts in CONCEPTS.items())
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, trim(lower(coalesce(text, '') || ' ' || conv_id)) AS q FROM conversations),
+b AS (SELECT *, regexp_replace(trim(regexp_replace(q, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')), '\\s+', ' ', 'g') AS plain, regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+') AS ws FROM a),
+t AS (SELECT *, list_filter([{_CONCEPTS}], lambda x: x IS NOT NULL) AS tags FROM b),
+k AS (SELECT conv_id, turn, q, max_by(w, length(w) * 1000000000 - w::BIGINT) AS known FROM (SELECT conv_id, turn, q, unnest(ws) AS w FROM t) JOIN (SELECT DISTINCT c_custkey::VARCHAR AS c FROM customer) ON c = w GROUP BY ALL)
+SELECT conv_id, turn, array_to_string(tags, ',') AS tags, array_to_string(flatten([{_EXPANDED}]), ',') AS terms,
+coalesce(known, nullif(regexp_extract(q, '\\b([1-9][0-9][0-9][0-9]?)\\b', 1), '')) AS code FROM t LEFT JOIN k USING (conv_id, turn, q)""")
+def route_known_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said in conversations, with a table of synonyms and one of codes that grows with the customers."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", F.coalesce("text", F.lit("")), F.col("conv_id").cast("string")).alias("q"))
+    synonyms = spark.createDataFrame(dictionary.table_of(CONCEPTS), dictionary.SYNONYM_ROW)
+    codes = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("code"))
+    found = routing.classified(said, "q", synonyms, codes)
+    return found.select("conv_id", "turn", F.array_join("tags", ",").alias("tags"), F.array_join("expanded_terms", ",").alias("terms"), "code")

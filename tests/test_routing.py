@@ -3,6 +3,9 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from lodefall.operators import dictionary, routing
 from lodefall.operators import routing as r
 
 
@@ -34,3 +37,29 @@ def test_agrees_with_the_plain_version(spark):
     df = spark.createDataFrame(list(enumerate(asked)), "id int, q string")
     got = {x["id"]: (x["tags"], x["code"], x["mode"], x["confidence"], x["secondary"]) for x in r.classified(df, "q", codes=("a-7", "186")).collect()}
     assert [(asked[k], got[k]) for k in range(len(asked))] == [(a, plainly(a, r.SYNONYMS, ("a-7", "186"))) for a in asked]
+
+
+def test_dictionaries_as_tables_give_what_few_terms_give(spark):
+    questions = ["Latest version of the BIM for A-7", "gfa of 186?", "Curtain   wall; cladding", "floor-plan for p12", "", None, "transmittal 2024 of p1", "p123 p12", "x186y", "owner's 5,000"] * 2
+    df = spark.createDataFrame([(k, q, "clash") for k, q in enumerate(questions)], "k int, q string, _q string")
+    codes = ("p1", "p12", "186", "a-7", "12", "(9")
+    plain = {r["k"]: r for r in routing.classified(df, "q", codes=codes).collect()}
+    synonyms = spark.createDataFrame(dictionary.table_of(routing.SYNONYMS), dictionary.SYNONYM_ROW)
+    table = spark.createDataFrame([(c,) for c in codes] + [(None,), ("",)], "code string")
+    assert {k: r["code"] for k, r in plain.items() if k < 10} == {0: "a-7", 1: "186", 2: None, 3: "p12", 4: None, 5: None, 6: "p1", 7: "p12", 8: None, 9: None}
+    assert plain[2]["expanded_terms"] == ["facade", "cladding", "curtain wall"] and plain[3]["tags"] == ["cad_drawings"] and plain[0]["_q"] == "clash"
+    for most in (dictionary.TERMS, 2):
+        old, dictionary.contained.__defaults__ = dictionary.contained.__defaults__, (most,)
+        tagged, coded = dictionary.tagged.__defaults__, dictionary.coded.__defaults__
+        dictionary.tagged.__defaults__ = dictionary.coded.__defaults__ = (most,)
+        try:
+            got = {r["k"]: r for r in routing.classified(df, "q", synonyms, table).collect()}
+        finally:
+            dictionary.contained.__defaults__, dictionary.tagged.__defaults__, dictionary.coded.__defaults__ = old, tagged, coded
+        assert got == plain
+
+
+def test_the_plan_does_not_grow_with_codes(spark):
+    df = spark.createDataFrame([(1, "about 1234")], "k int, q string")
+    size = lambda n: len(routing.classified(df, "q", codes=spark.range(n).select(F.col("id").cast("string").alias("code")))._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(20_000) - size(10)) < 200
