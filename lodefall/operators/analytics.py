@@ -58,16 +58,14 @@ def percentiles(df: DataFrame, value: str, by: list[str], qs: tuple[float, ...]
     named = stats.select(*(F.col(c).alias(f"_{c}_") for c in by), "_n", "_ends")
     same = [rows[c].eqNullSafe(named[f"_{c}_"]) for c in by]
     looked = rows.where("_v is not null").join(named, reduce(Column.__and__, same))
-    # a row for each bracket that a value is in; how many lie below each bracket
-    inside = F.array_compact(F.array(*(F.when((F.col("_v") >= F.col("_ends")[2 * k]) & (F.col("_v") <= F.col("_ends")[2 * k + 1]), k) for k in range(len(qs)))))
-    below = looked.groupBy(*by).agg(*(F.count_if(F.col("_v") < F.col("_ends")[2 * k]).alias(f"_b{k}") for k in range(len(qs))))
-    counted = looked.select(*by, "_v", F.explode(inside).alias("_k")).groupBy(*by, "_k", "_v").agg(F.count("*").alias("_c"))
-    last = F.sum("_c").over(Window.partitionBy(*by, "_k").orderBy("_v"))
+    # for each bracket a value inside it as it is, and one below it as null, which comes first
+    slot = lambda k: F.when(F.col("_v") <= F.col("_ends")[2 * k + 1], F.struct(F.lit(k).alias("_k"), F.when(F.col("_v") >= F.col("_ends")[2 * k], F.col("_v")).alias("_v")))
+    counted = looked.select(*by, F.inline(F.array_compact(F.array(*map(slot, range(len(qs))))))).groupBy(*by, "_k", "_v").agg(F.count("*").alias("_c"))
+    last = F.sum("_c").over(Window.partitionBy(*by, "_k").orderBy(F.asc_nulls_first("_v")))
     placed = counted.withColumn("_to", last)
     first = placed.select(*(F.col(c).alias(f"_{c}_") for c in by), "_k", "_v", (F.col("_to") - F.col("_c")).alias("_from"), "_to")
-    both = stats.join(below, reduce(Column.__and__, (stats[c].eqNullSafe(below[c]) for c in by)), "left").select(*(stats[c] for c in by), "n", "_n", *(F.col(f"_b{k}") for k in range(len(qs))))
-    joined = both.join(first, reduce(Column.__and__, (both[c].eqNullSafe(first[f"_{c}_"]) for c in by)), "left")
-    at = lambda k, rank: F.max(F.when((F.col("_k") == k) & (F.col(f"_b{k}") + F.col("_from") <= rank) & (rank < F.col(f"_b{k}") + F.col("_to")), F.col("_v").cast("double")))
+    joined = stats.join(first, reduce(Column.__and__, (stats[c].eqNullSafe(first[f"_{c}_"]) for c in by)), "left")
+    at = lambda k, rank: F.max(F.when((F.col("_k") == k) & (F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v").cast("double")))
 
     def exact(k: int, q: float) -> Column:
         rank = F.lit(q) * (F.col("_n") - 1)

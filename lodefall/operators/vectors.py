@@ -4,7 +4,9 @@ Folders under the index's path:
 - centers: list and center (unit length), fitted by k-means on cosine over a bounded sample of the vectors;
 - vectors: list (partition), key, segment, the kept attributes, the vector, and its residual to the list's center in 8-bit steps with
   the step's size; sorted by key in each file;
-- gone: key and the segment in which the row was replaced or deleted.
+- gone: key and the segment in which the row was replaced or deleted;
+- probes: how many lists a question reads by default: as many as a bounded sample of the vectors, asked over all lists, needs for RECALL. Vectors
+  without structure need most of the lists; then the index saves little but the width of what is read.
 
 A question goes to the lists whose centers are nearest and reads their residuals alone; filters hold before anything is ranked. The best
 candidates by residual are read whole, by list and key, and ranked by their exact distance. Centers are bounded in number, so
@@ -27,8 +29,9 @@ from lodefall.session import ship
 
 #: Lists at most and vectors that each has at least on average; vectors that centers are fitted on for each list; rounds of k-means.
 LISTS, FILL, FIT, ROUNDS = 4096, 40, 64, 12
-#: Lists that a question reads, as a part of all and at least; candidates that are read whole for each result.
-PROBED, LEAST_PROBED, WHOLE = 0.15, 8, 10
+#: Questions that are asked when building (at most about), the neighbours of each that are looked for, and the part of them that the lists which a
+#: question reads by default must hold; candidates that are read whole for each result.
+ASKED, NEIGHBOURS, RECALL, WHOLE = 200, 20, 0.94, 10
 #: Vectors and queries that are compared at once.
 TILE = 1024
 
@@ -75,8 +78,23 @@ class VectorIndex:
         self.spark.createDataFrame(made, "list int, center array<double>").write.mode("overwrite").parquet(f"{self.path}/centers")
         self.write(good, 0, "overwrite")
         good.select("key", F.lit(0).alias("segment")).limit(0).write.mode("overwrite").parquet(f"{self.path}/gone")
+        self.spark.createDataFrame([(self.needed(good, n),)], "probes int").write.mode("overwrite").parquet(f"{self.path}/probes")
         return self
 
+    def needed(self, good: DataFrame, n: int) -> int:
+        """The least number of lists that hold RECALL of the neighbours of some of the vectors."""
+        lists, centers = self.centers()
+        some = good.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(1, n // ASKED))) == 0).limit(4 * ASKED)
+        asked = {r["key"]: r["vector"] for r in some.select("key", "vector").collect()}
+        if len(lists) < 2 or not asked:
+            return max(1, len(lists))
+        near = self.nearest_of_each(some.select("key", "vector"), "key", "vector", NEIGHBOURS, probes=len(lists)).select("query", "key")
+        held = self.read("vectors").select("key", "list").join(F.broadcast(near), "key").select("query", "list").collect()  # ASKED * NEIGHBOURS rows or so
+        order = {q: np.argsort(np.argsort(-(centers @ unit(np.array([v], np.float64))[0]), kind="stable")) for q, v in asked.items()}
+        at = {x: k for k, x in enumerate(lists.tolist())}
+        places = np.sort([order[r["query"]][at[r["list"]]] for r in held])
+        return int(places[min(len(places) - 1, int(np.ceil(RECALL * len(places))) - 1)]) + 1
+
     @staticmethod
     def good(rows: DataFrame, key: str, vector: str, keep: tuple[str, ...]) -> DataFrame:
         v = F.transform(vector, lambda x: x.cast("float"))
@@ -125,6 +143,7 @@ class VectorIndex:
         whole = self.live(self.read("vectors")).withColumn("segment", F.lit(0)) if len(self.centers()[0]) else self.read("gone").withColumn("list", F.lit(0)).limit(0)
         whole.hint("rebalance", "list").sortWithinPartitions("list", "key").write.mode("overwrite").partitionBy("list").parquet(f"{out.path}/vectors")
         self.read("gone").limit(0).write.mode("overwrite").parquet(f"{out.path}/gone")
+        self.read("probes").write.mode("overwrite").parquet(f"{out.path}/probes")
         return out
 
     def live(self, rows: DataFrame) -> DataFrame:
@@ -132,8 +151,7 @@ class VectorIndex:
         return rows.join(gone, (rows["key"] == gone["key"]) & (rows["segment"] < gone["last"]), "left_anti")
 
     def probes(self, n: int | None) -> int:
-        lists = len(self.centers()[0])
-        return min(lists, n or max(LEAST_PROBED, int(np.ceil(PROBED * lists))))
+        return min(len(self.centers()[0]), n or self.read("probes").first()[0])
 
     def nearest(self, query: list[float], k: int, where: Column | None = None, probes: int | None = None) -> DataFrame:
         """key and distance (cosine, 4 places) of the k nearest of the probed lists; `where` is over the kept attributes."""
