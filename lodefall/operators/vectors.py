@@ -216,7 +216,7 @@ class VectorIndex:
                 for r in range(batch.num_rows):
                     qs, ks = batch.column("queries")[r], batch.column("ids")[r]
                     score = np.frombuffer(batch.column("qv")[r].as_buffer(), np.float64).reshape(len(qs), -1) @ np.frombuffer(batch.column("vs")[r].as_buffer(), np.float64).reshape(len(ks), -1).T
-                    distance = np.round(1 - score, 4)  # rows come in order of their keys, which breaks ties
+                    distance = np.round(1 - score, 4) + 0.0  # no negative zero; rows come in order of their keys, which breaks ties
                     top = np.argsort(distance, axis=1, kind="stable")[:, :k]
                     at = np.repeat(np.arange(len(qs)), top.shape[1])
                     yield pa.RecordBatch.from_arrays([qs.values.take(pa.array(at)), ks.values.take(pa.array(top.ravel())), pa.array(distance[at, top.ravel()])], ["query", "key", "distance"])
