@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import DoubleType
 
+from lodefall.operators import facts
 from lodefall.session import ship
 
 #: Words that don't make an alias.
@@ -177,6 +178,13 @@ def nearest_override(paths: DataFrame, key: str, path: str, overrides: DataFrame
     return up.join(overrides.select(folder, value), folder).groupBy(key).agg(F.min_by(value, "_depth").alias(value))
 
 
+def typologies(paths: DataFrame, key: str, path: str, keywords: dict[str, tuple[str, ...]], overrides: DataFrame, folder: str = "folder", value: str = "typology") -> DataFrame:
+    """key and typology: what the nearest folder with an override says; where it says none, or no folder has one, by keywords."""
+    given = nearest_override(paths, key, path, overrides, folder, value).withColumnsRenamed({key: "__lodefall_key", value: "__lodefall_value"})
+    found = facts.typology(F.col(path), keywords)
+    return paths.join(given, F.col(key) == F.col("__lodefall_key"), "left").select(key, F.coalesce("__lodefall_value", found).alias("typology"))
+
+
 def title(name: Column) -> Column:
     """A readable title: without extension and a short leading prefix, separators as blanks."""
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")

@@ -90,6 +90,19 @@ def nearest_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.nearest_override(rows, "o_orderkey", "path", roots.unionByName(deep), "folder", "project")
 
 
+@query(f"""WITH p AS (SELECT o_orderkey, {_DEEP} AS path FROM orders),
+o AS (SELECT DISTINCT '/archive/' || (o_custkey % 50) AS folder, CASE WHEN o_custkey % 50 % 8 = 0 THEN 'given' END AS typology FROM orders WHERE o_custkey % 50 % 4 = 0),
+n AS (SELECT o_orderkey, arg_max_null(typology, length(folder)) AS typology FROM p JOIN o ON starts_with(path, folder || '/') WHERE len(string_split(path, '/')) - 1 - len(string_split(folder, '/')) < 12 GROUP BY 1),
+k AS (SELECT *, contains(path, '7')::INT + contains(path, '4')::INT AS a, contains(path, '2')::INT + contains(path, '3')::INT AS b FROM p)
+SELECT o_orderkey, coalesce(n.typology, CASE WHEN a = 0 AND b = 0 THEN 'Unknown' WHEN b > a THEN 'b' ELSE 'a' END) AS typology FROM k LEFT JOIN n USING (o_orderkey)""")
+def typology_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typology that the nearest folder's override gives, if it gives one, else that of the keywords."""
+    orders = table(spark, sf_dir, "orders")
+    number = F.col("o_custkey") % 50
+    given = orders.where(number % 4 == 0).select(F.concat(F.lit("/archive/"), number.cast("string")).alias("folder"), F.when(number % 8 == 0, "given").alias("typology")).distinct()
+    return resolution.typologies(orders.select("o_orderkey", F.expr(_DEEP).alias("path")), "o_orderkey", "path", {"a": ("7", "4"), "b": ("2", "3")}, given)
+
+
 _SCAN = "o_orderkey AS path, (o_totalprice / 1000)::INT AS size, (o_custkey % 7 + (o_orderkey % 5) * 0.003)::DOUBLE AS mtime"
 _KNOWN = "o_orderkey AS path, (o_totalprice / 1000)::INT + CASE WHEN o_custkey % 11 = 0 THEN 1 ELSE 0 END AS size, (o_custkey % 7)::DOUBLE AS mtime, CASE o_orderkey % 5 WHEN 0 THEN 'INDEXED' WHEN 1 THEN 'EXTRACTED' WHEN 2 THEN 'EMBEDDED' WHEN 3 THEN 'FAILED' ELSE 'INDEXED' END AS status"
 
