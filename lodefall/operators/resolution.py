@@ -98,46 +98,71 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def similar(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float = 0.8) -> DataFrame:
-    """Distinct pairs of strings with a ratio over the threshold (0.8 or more), and the ratio.
+#: The runs of characters by which similar strings meet, and what is put around a string, so that its ends count too.
+PAIR, OPEN, CLOSE = 2, "\x02", "\x03"
+#: Words of 64 bits in the sketch of a string's runs.
+WORDS = 4
 
-    With S characters in both, such a pair is at most d = (1 - threshold) S insertions and deletions apart. So of d + 1
-    segments of the shorter string one at least lies in the longer one as it is, moved by at most its insertions or
-    deletions. Pairs meet in an equi-join on such segments, are tested by the edit distance, which is at most d too, and
-    only those left are compared in Python; no true pair is lost."""
 
-    def strings(df: DataFrame, c: str) -> DataFrame:
-        return df.select(F.col(c).alias("_s")).where(F.coalesce(c, F.lit("")) != "").distinct()
+def ordered_pairs(strings: DataFrame, weights: DataFrame) -> DataFrame:
+    """_s, _n (length), _k (distinct runs), _gs, its distinct runs of two characters, those of the least weight first, and
+    _b0, _b1 ..., a bit for each of them by its hash: a row a string."""
+    cut = strings.select("_s", F.explode(grams(F.concat(F.lit(OPEN), "_s", F.lit(CLOSE)), PAIR)).alias("_gram"))
+    at = F.pmod(F.xxhash64("_gram"), F.lit(64 * WORDS))
+    bits = [F.bit_or(F.when(at >= 64 * w, F.when(at < 64 * (w + 1), F.expr("shiftleft(1L, cast(pmod(xxhash64(_gram), 64) as int))")))) for w in range(WORDS)]
+    whole = cut.join(weights, "_gram").groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_weight", "_gram"))).alias("_gs"), *(F.coalesce(b, F.lit(0)).cast("long").alias(f"_b{w}") for w, b in enumerate(bits)))
+    return whole.select("_s", F.length("_s").alias("_n"), F.size("_gs").alias("_k"), F.col("_gs._gram").alias("_gs"), *(f"_b{w}" for w in range(WORDS)))
 
-    most, slack = (2 - threshold) / threshold, 1e-9
-    bound = F.floor((1 - threshold) * (F.col("_short") + F.col("_long")) + slack).cast("int")
-    cut = lambda i: F.floor(i * F.col("_short") / (F.col("_d") + 1)).cast("int")
 
-    def parted(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_d", bound).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_d"))))
-        return rows.withColumns({"_from": cut(F.col("_i")), "_size": cut(F.col("_i") + 1) - cut(F.col("_i"))})
+def shared_runs(both: Column, threshold: float) -> Column:
+    """How many runs of two characters (each as often as it occurs, the ends' included) two strings of `both` characters
+    together have in common at least, when their ratio is over the threshold. M characters that match, and the two ends, lie
+    in at most one more stretch than there are characters that don't, which are both - 2 M."""
+    matching = F.floor(both * (threshold / 2) + 1e-9).cast("int") + 1  # the ratio is 2 M / both
+    return 3 * matching - both + 1
 
-    def shorter(df: DataFrame, c: str) -> DataFrame:
-        rows = strings(df, c).withColumn("_short", F.length("_s"))
-        rows = parted(rows.withColumn("_long", F.explode(F.sequence(F.col("_short"), F.floor(F.col("_short") * most + slack).cast("int")))))
-        return rows.select(F.col("_s").alias(c), "_short", "_long", "_d", "_i", F.substring("_s", F.col("_from") + 1, F.col("_size")).alias("_seg"))
 
-    def longer(df: DataFrame, c: str) -> DataFrame:
-        rows = strings(df, c).withColumn("_long", F.length("_s"))
-        rows = parted(rows.withColumn("_short", F.explode(F.sequence(F.ceil(F.col("_long") / most - slack).cast("int"), F.col("_long")))))
-        more = F.col("_long") - F.col("_short")
-        back, on = F.greatest(F.floor((F.col("_d") - more) / 2), F.lit(0)), F.greatest(F.floor((F.col("_d") + more) / 2), F.lit(0))
-        first, last = F.greatest(F.col("_from") - back, F.lit(0)), F.least(F.col("_from") + on, F.col("_long") - F.col("_size"))
-        at = F.transform(F.sequence(first.cast("int"), F.greatest(first, last).cast("int")), lambda k: F.substring("_s", k + 1, F.col("_size")))
-        return rows.select(F.col("_s").alias(c), "_short", "_long", "_i", F.explode(F.array_distinct(at)).alias("_seg"))
+def similar(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float = 0.8) -> DataFrame:
+    """Distinct pairs of strings with a ratio over the threshold (0.8 or more), and the ratio. Null and empty strings have none.
+
+    A string of n characters has n + 1 runs of two, its ends included; similar strings have `shared_runs` of them in
+    common. With all runs in one order, the first that two such strings share is, in each, among as many of the first
+    runs as may be missing, and one more. So strings meet in an equi-join on these prefixes, a few rows each. The order is by how
+    many pairs a run would make; runs that one side alone has come first and meet nothing. Where they meet, the
+    runs behind must suffice for what has to be shared, and no more bits of the one's sketch than runs may be missing can lack in
+    the other's; then the edit distance is tested, and only what is left is compared in Python. No true pair is lost."""
+    most, slack, sketch = (2 - threshold) / threshold, 1e-9, [f"_b{w}" for w in range(WORDS)]
+
+    def strings(df: DataFrame, c: str) -> DataFrame:
+        return df.select(F.col(c).alias("_s")).where(F.coalesce(c, F.lit("")) != "").distinct()
+
+    def counts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.explode(grams(F.concat(F.lit(OPEN), "_s", F.lit(CLOSE)), PAIR)).alias("_gram")).groupBy("_gram").agg(F.count("*").alias(name))
 
-    def met(short: DataFrame, long: DataFrame) -> DataFrame:
-        both = short.join(long, ["_short", "_long", "_i", "_seg"]).withColumns({"_x": F.col(a), "_y": F.col(b)})
-        return both.where(F.expr("levenshtein(_x, _y, _d) >= 0")).select(a, b, "_short", "_long")
+    def prefixes(rows: DataFrame) -> DataFrame:
+        shortest = F.ceil(F.col("_n") / most - slack).cast("int")
+        # what must be shared rises by 0.2 a character at least and is less than 3 above that line: none later is lower
+        least = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: shared_runs(F.col("_n") + shortest + i, threshold)))
+        runs = F.slice("_gs", F.lit(1), F.greatest(F.col("_n") + 2 - least, F.lit(1)))
+        return rows.select("_s", "_n", "_k", *sketch, F.posexplode(runs).alias("_at", "_gram"))
 
     ship(left.sparkSession)
-    pairs = met(shorter(left, a), longer(right, b)).unionByName(met(shorter(right, b), longer(left, a))).select(a, b).distinct()
-    return pairs.withColumn("ratio", similarity(F.col(a), F.col(b))).where(F.col("ratio") > threshold)
+    xs, ys = strings(left, a), strings(right, b)
+    weights = counts(xs, "_x").join(counts(ys, "_y"), "_gram", "full").select("_gram", (F.coalesce("_x", F.lit(0)) * F.coalesce("_y", F.lit(0))).alias("_weight"))
+    named = lambda rows, x: prefixes(ordered_pairs(rows, weights)).select("_gram", *(F.col(c).alias(c + x) for c in ("_s", "_n", "_k", "_at", *sketch)))
+    both = F.col("_nx") + F.col("_ny")
+    shared = shared_runs(both, threshold)
+    # runs that one has more than once count once among the distinct
+    needed = shared - F.least(F.col("_nx") + 1 - F.col("_kx"), F.col("_ny") + 1 - F.col("_ky"))
+    lacking = lambda x, y: reduce(Column.__add__, (F.bit_count(F.col(b + x).bitwiseAND(F.bitwise_not(b + y))) for b in sketch))
+    close = (F.greatest("_nx", "_ny") <= F.least("_nx", "_ny") * most + slack) & (F.least(F.col("_kx") - F.col("_atx"), F.col("_ky") - F.col("_aty")) >= needed)
+    close = close & (lacking("x", "y") <= F.col("_nx") + 1 - shared) & (lacking("y", "x") <= F.col("_ny") + 1 - shared)
+    # one condition, the dear test last
+    near = F.expr(f"levenshtein(_sx, _sy, cast(floor({1 - threshold}D * (_nx + _ny) + {slack}D) as int)) >= 0")
+    met = named(xs, "x").join(named(ys, "y"), "_gram").where(close & near)
+    pairs = met.select(F.col("_sx").alias(a), F.col("_sy").alias(b)).distinct()
+    # not to be moved before the pairs are distinct, nor computed again by the filter
+    return pairs.withColumn("ratio", similarity.asNondeterministic()(F.col(a), F.col(b))).where(F.col("ratio") > threshold)
 
 
 def by_name(paths: DataFrame, key: str, path: str, cards: DataFrame, name: str, order: str, value: str) -> DataFrame:

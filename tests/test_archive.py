@@ -73,6 +73,19 @@ def test_similar_pairs_agree_with_all_pairs(spark):
     assert got == {(x, y): ratio(x, y) for x in set(base) - {""} for y in set(other) - {""} if ratio(x, y) > 0.8}
 
 
+def test_similar_longer_and_repetitive_strings_agree_with_all_pairs(spark):
+    rnd = random.Random(5)
+    base = ["".join(rnd.choices("ab\x02é", k=rnd.randint(15, 45))) for _ in range(60)] + ["a" * n for n in (1, 2, 3, 7, 30, 44)] + ["ab" * 20, "ba" * 19]
+    other = ["".join(c for c in x if rnd.random() > 0.15) + rnd.choice(["", "ab", "zz"]) for x in base] + ["a" * n for n in (5, 36)]
+    a, b = spark.createDataFrame([(x,) for x in base], "a string"), spark.createDataFrame([(x,) for x in other], "b string")
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    for threshold in (0.8, 0.9):
+        got = {(r["a"], r["b"]) for r in resolution.similar(a, "a", b, "b", threshold).collect()}
+        want = {(x, y) for x in set(base) for y in set(other) if ratio(x, y) > threshold}
+        assert got == want and len(want) > 20
+    assert resolution.similar(a.where("false"), "a", b, "b").count() == 0
+
+
 def test_resolution_order(spark):
     cards = spark.createDataFrame([("186", "Harbour House", "/n/186 x", 1), ("270", "Garden Tower", None, 2), ("999", None, "/n", 3), (None, "Void", None, 4)], "project_code string, name string, root_path string, ordinal int")
     aliases = spark.createDataFrame([("270", "GT", 1), ("186", "harb", 2), ("270", "Harbour", 3)], "project_code string, alias string, ordinal int")
