@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodefall.plans import archive, catalog, indexes, intake, questions, records, rules, service  # noqa: F401
+from lodefall.plans import archive, catalog, indexes, intake, questions, records, rules, service, stored  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
