@@ -1,8 +1,11 @@
 """A stored inverted index: postings by bucket of the term, lengths by document, statistics, and its upkeep.
 
 Folders under the index's path, each written by Spark's commit protocol:
-- postings: bucket (partition), term, key, dl (tokens of the document), tf, places, segment; sorted by term in each file, so
-  a question reads only its terms' buckets and, in them, the row groups of its terms;
+- postings: bucket (partition), term, key, dl (tokens of the document), tf, places, segment, layer (by the share of the
+  document that the term has, 0 the largest); sorted by term and layer in each file, so a question reads only its terms' buckets and,
+  in them, the pages of its terms' layers;
+- layers: bucket (partition), term, segment, layer, n, peak (the largest part of a score in it) and mean (the mean length that the peak
+  is of). A term of few postings has one row, whose layer is -1 and stands for all;
 - documents: key, dl, segment, a row per indexed text;
 - gone: key and the segment in which the row was replaced or deleted;
 - statistics: segment, n and tokens, a row per segment.
@@ -13,6 +16,7 @@ compacting writes all that counts as one segment. Hot terms are split over files
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from functools import reduce
@@ -26,6 +30,14 @@ from lodefall.session import ship
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BUCKETS = 64
+#: Layers of a term's postings, how many a term has for which they are told apart, and rows of a page of postings.
+LAYERS, LAYERED, PAGE = 16, 64, 2048
+#: Candidates up to which their keys are pushed to the scan of the rest of their postings; beyond it they are joined.
+PUSHED = 2000
+#: Postings of all of a question's lists up to which they are scored at once, in fewer jobs.
+WHOLE = 500_000
+#: What a bound may lack by the rounding of scores.
+EPS = 1e-8
 
 
 def bucket(term: str, buckets: int) -> int:
@@ -52,12 +64,12 @@ class Index:
             return found
         # stated, since an index without a term has no file of postings
         key = found.schema["key"].dataType.simpleString()
-        schema = f"term string, key {key}, dl int, tf int, places array<int>, segment int, bucket int"
+        schema = f"term string, key {key}, dl int, tf int, places array<int>, segment int, layer int, bucket int"
         return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
 
     def written(self, part: str, rows: DataFrame, mode: str, by: str | None = None) -> None:
         self._seen, writer = None, rows.write.mode(mode)
-        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{part}")
+        (writer.partitionBy(by).option("parquet.page.row.count.limit", PAGE) if by else writer).parquet(f"{self.path}/{part}")
 
     def add(self, docs: DataFrame, key: str, text: str, segment: int, mode: str) -> None:
         """Writes the texts as a segment."""
@@ -72,6 +84,7 @@ class Index:
         self.written("documents", rows.select("key", F.size("ts").alias("dl"), F.lit(segment).alias("segment")), mode)
         counted = self.read("documents").where(F.col("segment") == segment)
         self.written("statistics", counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).select(F.lit(segment).alias("segment"), "n", "tokens"), mode)
+        self.write_layers(segment, mode)
 
     def by_stem(self, postings: DataFrame) -> DataFrame:
         """Postings of stems out of those of terms; only distinct terms go through Python."""
@@ -87,11 +100,26 @@ class Index:
         self.written("documents", plain.live(plain.read("documents")).withColumn("segment", F.lit(0)), "overwrite")
         self.written("statistics", self.read("documents").agg(F.lit(0).alias("segment"), F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")), "overwrite")
         self.written("gone", plain.read("gone").limit(0), "overwrite")
+        self.write_layers(0, "overwrite")
         return self
 
     def write_postings(self, found: DataFrame, segment: int, mode: str) -> None:
         postings = found.select(F.pmod(F.crc32("term"), F.lit(self.buckets)).alias("bucket"), "term", "key", "dl", F.size("places").alias("tf"), "places", F.lit(segment).alias("segment"))
-        self.written("postings", postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "key"), mode, "bucket")
+        layer = F.least(F.floor(F.log2(F.col("dl") / F.col("tf")) * 1.5), F.lit(LAYERS - 1)).cast("int")
+        postings = postings.withColumn("layer", layer)
+        self.written("postings", postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "layer", "key"), mode, "bucket")
+
+    def write_layers(self, segment: int, mode: str) -> None:
+        """Sums up the layers of a segment's postings."""
+        own = self.read("statistics").where(F.col("segment") == segment).first()
+        mean = own["tokens"] / max(1, own["n"]) or 1.0
+        part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+        each = self.read("postings").where(F.col("segment") == segment).groupBy("bucket", "term", "layer").agg(F.count("*").alias("n"), F.max(part).alias("peak"))
+        # at most LAYERS rows a term
+        whole = each.groupBy("bucket", "term").agg(F.sum("n").alias("n"), F.max("peak").alias("peak"), F.collect_list(F.struct("layer", "n", "peak")).alias("ls"))
+        some = F.when(F.col("n") < LAYERED, F.array(F.struct(F.lit(-1).alias("layer"), F.col("n").alias("n"), F.col("peak").alias("peak")))).otherwise(F.col("ls"))
+        rows = whole.select("bucket", "term", F.lit(segment).alias("segment"), F.inline(some), F.lit(mean).alias("mean"))
+        self.written("layers", rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), mode, "bucket")
 
     def build(self, docs: DataFrame, key: str, text: str) -> Index:
         """Indexes all texts anew."""
@@ -112,12 +140,13 @@ class Index:
     def compact(self, path: str) -> Index:
         """All that counts, as one segment at another path."""
         out = Index(self.spark, path, self.stemmed, self.buckets)
-        whole = self.live(self.read("postings")).withColumn("segment", F.lit(0))
-        out.written("postings", whole.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "key"), "overwrite", "bucket")
+        whole = self.live(self.read("postings")).select("term", "key", "dl", "places")
+        out.write_postings(whole, 0, "overwrite")
         docs = self.live(self.read("documents")).withColumn("segment", F.lit(0))
         out.written("documents", docs, "overwrite")
         out.written("statistics", out.read("documents").agg(F.lit(0).alias("segment"), F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")), "overwrite")
         out.written("gone", self.read("gone").limit(0), "overwrite")
+        out.write_layers(0, "overwrite")
         return out
 
     def live(self, rows: DataFrame) -> DataFrame:
@@ -178,12 +207,95 @@ class Index:
         else:
             stats = counted.agg(*(F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(uses))))
             both, n_of = some.crossJoin(F.broadcast(stats)), [F.col(f"n{k}") for k in range(len(uses))]  # one row
+        return self.scored(both, uses, n_of).select(F.col("key").alias(key), "bm25")
+
+    def scored(self, rows: DataFrame, uses: dict[tuple[str, ...], int], n_of: list[Column]) -> DataFrame:
+        """Rows of `frequencies` with bm25, given how many texts have each phrase."""
+        whole = self.statistics()
         score, mean = F.lit(0.0), F.lit(whole["tokens"] / max(1, whole["n"]))
         for k, times in enumerate(uses.values()):
             f, n = F.col(f"f{k}"), n_of[k]
             idf = F.greatest(F.log((F.lit(whole["n"]) - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
             score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / mean)) * times
-        return both.select(F.col("key").alias(key), F.round(score, 9).alias("bm25"))
+        return rows.withColumn("bm25", F.round(score, 9))
+
+    # --- the best texts alone
+
+    def bounds(self, uses: dict[tuple[str, ...], int]) -> tuple[dict[str, int], list[dict]]:
+        """How many texts have each of some single terms, and their layers (term, segment, layer, n) with `bound`, what a posting in
+        it can add to a score at most. A peak is of the mean length when it was written; with a longer mean a part grows by no more
+        than the mean does."""
+        whole, wanted = self.statistics(), [p[0] for p in uses]
+        now = whole["tokens"] / max(1, whole["n"])
+        buckets = sorted({bucket(t, self.buckets) for t in wanted})
+        schema = "term string, segment int, layer int, n long, peak double, mean double, bucket int"  # stated, as for postings
+        found = self.spark.read.schema(schema).parquet(f"{self.path}/layers").where(F.col("bucket").isin(buckets) & F.col("term").isin(wanted)).collect()  # LAYERS a term and segment
+        held = {t: sum(x["n"] for x in found if x["term"] == t) for t in wanted}
+        weight = {t: max(math.log((whole["n"] - n + 0.5) / (n + 0.5)), LEAST_IDF) * (K1 + 1) * uses[(t,)] for t, n in held.items()}
+        return held, [x.asDict() | {"bound": weight[x["term"]] * x["peak"] * max(1.0, now / x["mean"])} for x in found]
+
+    def within(self, layers: list[dict]) -> DataFrame:
+        """The postings of some layers."""
+        if not layers:
+            return self.read("postings").limit(0)
+        one = lambda x: (F.col("term") == x["term"]) & (F.col("segment") == x["segment"]) & (F.lit(True) if x["layer"] < 0 else F.col("layer") == x["layer"])
+        buckets = sorted({bucket(x["term"], self.buckets) for x in layers})
+        return self.read("postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(sorted({x["term"] for x in layers})) & reduce(Column.__or__, map(one, layers)))
+
+    def top(self, key: str, terms: list[str], k: int, read: dict | None = None, whole: int = WHOLE) -> DataFrame:
+        """The k rows of `bm25` that come first by score and key, without reading all of long lists (over `whole` postings together).
+
+        The layers that can add most are read first; the k-th sum over them is a threshold. Layers whose bounds together stay below it
+        can't make a result alone, so only texts in the other layers are candidates, and of them those that can still reach the
+        threshold. The rest of the candidates' postings is read by their keys. `read` is filled with the postings of all
+        lists, of the layers first read, of those that give candidates, and the number of candidates. With phrases, over 60 terms, and where texts were replaced
+        since the last compaction (frequencies aren't known then), all is scored as `bm25` does."""
+        uses = phrases(terms, self.stemmed)
+        if not uses or len(uses) > 60 or any(len(p) > 1 for p in uses) or self.seen()["gone"]:
+            return self.bm25(key, terms).orderBy(F.desc("bm25"), key).limit(k)
+        held, layers = self.bounds(uses)
+        if sum(held.values()) <= whole:
+            return self.bm25(key, terms).orderBy(F.desc("bm25"), key).limit(k)
+        layers.sort(key=lambda x: (-x["bound"], x["term"], x["segment"], x["layer"]))
+        n_of = {t: F.lit(n) for t, n in held.items()}
+
+        def summed(rows: DataFrame) -> DataFrame:
+            """key, the sum of the parts of its postings, and a bit for each term that it has among them."""
+            texts = self.statistics()
+            mean, part, bit = texts["tokens"] / max(1, texts["n"]), F.lit(0.0), F.lit(0)
+            for j, (p, times) in enumerate(uses.items()):
+                weight = max(math.log((texts["n"] - held[p[0]] + 0.5) / (held[p[0]] + 0.5)), LEAST_IDF) * (K1 + 1) * times
+                part, bit = F.when(F.col("term") == p[0], F.lit(weight)).otherwise(part), F.when(F.col("term") == p[0], F.lit(1 << j)).otherwise(bit)
+            one = part * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+            return rows.groupBy("key").agg(F.sum(one).alias("sum"), F.bit_or(bit.cast("long")).alias("terms"))
+
+        first, many = [], 0
+        for x in layers:
+            if many >= 8 * k and first:
+                break
+            first, many = [*first, x], many + x["n"]
+        best = [r["sum"] for r in summed(self.within(first)).select("sum").orderBy(F.desc("sum")).limit(k).collect()]
+        least = best[-1] - EPS if len(best) == k and k > 0 else 0.0
+        rest, closed = dict.fromkeys(held, 0.0), set()
+        for x in reversed(layers):  # from the least bound on
+            others = sum(v for t, v in rest.items() if t != x["term"])
+            if x["term"] in closed or others + x["bound"] >= least:
+                closed.add(x["term"])
+            else:
+                rest[x["term"]], x["left"] = x["bound"], True
+        giving = [x for x in layers if "left" not in x]
+        can = F.col("sum")
+        for j, p in enumerate(uses):
+            can = can + F.when(F.col("terms").bitwiseAND(F.lit(1 << j)) == 0, F.lit(rest[p[0]])).otherwise(0.0)
+        candidates = summed(self.within(giving)).where(can >= least - EPS).select("key")
+        few = [r["key"] for r in candidates.limit(PUSHED + 1).collect()]
+        rows = self.postings([p[0] for p in uses])
+        rows = rows.where(F.col("key").isin(few)) if len(few) <= PUSHED else rows.join(candidates, "key", "left_semi")
+        if read is not None:
+            read.update(lists=sum(held.values()), first=many, giving=sum(x["n"] for x in giving), candidates=len(few) if len(few) <= PUSHED else None)
+        tf = [F.coalesce(F.max(F.when(F.col("term") == p[0], F.col("tf"))), F.lit(0)).alias(f"f{j}") for j, p in enumerate(uses)]
+        exact = self.scored(rows.groupBy("key", "dl").agg(*tf), uses, [n_of[p[0]] for p in uses])
+        return exact.select(F.col("key").alias(key), "bm25").orderBy(F.desc("bm25"), key).limit(k)
 
     def terms(self) -> DataFrame:
         """term, df and tf over all texts that count."""

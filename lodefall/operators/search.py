@@ -81,7 +81,8 @@ def search(
     tables sorted by id that is a few row groups, however large they are.
     """
     spark, most = chunks.sparkSession, LANE * (top + offset)
-    word = index.bm25("chunk_id", boosted_terms(question, list(expansions)))
+    terms = boosted_terms(question, list(expansions))
+    word = index.bm25("chunk_id", terms) if filters else index.top("chunk_id", terms, most)
     if filters:
         inside = scoped(files, filters).select("file_id")
         keys = chunks.select("chunk_id", "file_id").join(inside, "file_id", "left_semi").select("chunk_id")

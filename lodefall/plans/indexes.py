@@ -98,6 +98,12 @@ def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.compact(scratch(spark, "index")).bm25("doc_id", TERMS).withColumn("bm25", F.round("bm25", 6))
 
 
+@query(f"WITH {sql_bm25('documents', TERMS + ['in', 'of'])} SELECT doc_id, round(bm25, 6) AS bm25 FROM (SELECT * FROM b ORDER BY bm25 DESC, doc_id LIMIT 50)")
+def bm25_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best texts for rare and frequent words, by the layers that can reach them, however short the lists are."""
+    return index_of(spark, sf_dir).top("doc_id", [*TERMS, "in", "of"], 50, whole=0).withColumn("bm25", F.round("bm25", 6))
+
+
 # --- scopes and the whole search -------------------------------------------------------------------------------------
 
 _FILES = "files AS (SELECT doc_id AS file_id, doc_id AS chunk_id, '/archive/' || coalesce(source, 'none') || '/d' || doc_id AS file_path, source AS project_id, lang AS typology FROM documents)"

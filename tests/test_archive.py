@@ -172,3 +172,25 @@ def test_percentiles_of_large_groups(spark):
     want = df.groupBy("g").agg(*(F.round(F.percentile("v", q), 6).alias(f"p{round(100 * q)}") for q in (0.5, 0.95)), F.count("*").alias("n"))
     got = analytics.percentiles(df, "v", ["g"])
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_best_texts_without_whole_lists(spark, tmp_path):
+    rnd = random.Random(8)
+    words = ["sky"] * 40 + ["hop"] * 8 + ["tie"] + [f"w{j}" for j in range(300)]
+    rows = [(k, " ".join(rnd.choices(words, k=rnd.choice((5, 20, 60, 200))))) for k in range(1500)] + [(k, "sky " * 30 + "hop") for k in range(1500, 1504)] + [(9000, None), (9001, "")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    index = Index(spark, str(tmp_path / "one"), buckets=4).build(df.where("k % 3 > 0"), "k", "t")
+    index.refresh(df.where("k % 3 = 0"), df.where("false"), "k", "t")  # two segments, nothing replaced
+    asked = (["sky"], ["sky", "hop"], ["tie", "sky", "sky"], ["w1", "sky", "tie"], ["none"], ["none", "hop"], [])
+    for ts in asked:
+        for k in (1, 7, 3000) if len(ts) != 1 else (7,):
+            want = [tuple(r) for r in index.bm25("k", ts).orderBy(F.desc("bm25"), "k").limit(k).collect()]
+            read = {}
+            assert [tuple(r) for r in index.top("k", ts, k, read, whole=0).collect()] == want
+            assert index.top("k", ts, k, whole=10**6).count() == len(want)
+            if ts == ["tie", "sky", "sky"] and k == 7:
+                assert read["giving"] < read["lists"] / 2 and read["candidates"] < 200
+    assert index.top("k", ["sky hop"], 5).count() == 5
+    index.refresh(df.where("k < 3"), df.where("k = 1500"), "k", "t")  # replaced texts: all is scored
+    for one in (index, index.compact(str(tmp_path / "two"))):
+        assert [tuple(r) for r in one.top("k", ["sky", "hop"], 6, whole=0).collect()] == [tuple(r) for r in one.bm25("k", ["sky", "hop"]).orderBy(F.desc("bm25"), "k").limit(6).collect()]
