@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodefall.operators import cards, classify, intake, maintenance, reports, search
+from lodefall.operators import cards, classify, elements, intake, maintenance, reports, search
 from lodefall.plans.catalog import PROBE
 from lodefall.plans.intake import _MARKED, _STATE, _state
 from lodefall.plans.registry import query
@@ -49,6 +49,18 @@ def page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.scraped(pages, "page_id", "html").withColumn("awards", F.coalesce(F.array_join("awards", "; "), F.lit("")))
 
 
+@query(f"""WITH h AS (SELECT page_id, coalesce(html, '') AS old, {_HTML} AS html FROM pages), b AS (SELECT page_id, contains(old, '</article>') AS ended, html, lower({_plain("html")}) AS body FROM h)
+SELECT page_id, nullif({_plain("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, '') AS name, CASE WHEN ended THEN CASE page_id % 5 WHEN 0 THEN 'A tower in Vietnam' WHEN 2 THEN 'Thailand' END END AS location, {_KINDS} AS typology_primary,
+try_cast(replace(regexp_extract(body, '([0-9,]*[0-9][0-9,]*)\\s*(?:sqm|m²|m2|sq\\.?\\s*m)', 1), ',', '') AS DOUBLE) AS gfa_sqm, nullif(regexp_extract(body, '\\b(20[0-9][0-9]|19[0-9][0-9])\\b', 1), '') AS completion,
+CASE WHEN ended THEN CASE page_id % 5 WHEN 1 THEN 'Winner of the city award for 1998 & more' WHEN 3 THEN 'An international prize for its garden' END END AS awards FROM b""")
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of pages by their elements."""
+    end = F.get(F.array(*map(F.lit, _ENDS)), (F.col("page_id") % 5).cast("int"))
+    html = F.replace(F.coalesce("html", F.lit("")), F.lit("</article>"), F.concat(end, F.lit("</article>")))
+    found = elements.scraped(table(spark, sf_dir, "pages").select("page_id", html.alias("html")), "page_id", "html")
+    return found.select("page_id", "name", "location", "typology_primary", "gfa_sqm", F.col("milestone_dates")["completion"].alias("completion"), F.array_join("awards", "; ").alias("awards"))
+
+
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), 'href="(/[^"]+)"', 1)) AS link, regexp_extract(url, '/([a-z][a-z])/', 1) AS kind FROM pages)
 SELECT link, arg_min(kind, page_id) AS kind FROM l GROUP BY 1""")
 def listed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
