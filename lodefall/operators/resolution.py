@@ -197,10 +197,15 @@ def resolved(paths: DataFrame, key: str, path: str, cards: DataFrame, aliases: D
 
 
 def nearest_override(paths: DataFrame, key: str, path: str, overrides: DataFrame, folder: str, value: str, depth: int = 12) -> DataFrame:
-    """key and value of the override in the nearest of the path's folders, at most `depth` levels up."""
-    ps = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
-    up = paths.select(key, ps.alias("_ps")).select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.least(F.size("_ps"), F.lit(depth)) - 1), lambda i: F.array_join(F.slice("_ps", F.lit(1), F.size("_ps") - i), "/"))).alias("_depth", folder))
-    return up.join(overrides.select(folder, value), folder).groupBy(key).agg(F.min_by(value, "_depth").alias(value))
+    """key and value of the override in the nearest of the path's folders, at most `depth` levels up. Each folder is looked up once,
+    however many paths lie in it. Its levels are more rows than their table's size tells, so they are merged, never broadcast."""
+    ps = F.split(path, "/")
+    rows = paths.select(key, F.array_join(F.slice(ps, 1, F.size(ps) - 1), "/").alias("__lodefall_folder"))
+    level = F.transform(F.sequence(F.lit(0), F.least(F.size("_ps"), F.lit(depth)) - 1), lambda i: F.array_join(F.slice("_ps", F.lit(1), F.size("_ps") - i), "/"))
+    up = rows.select("__lodefall_folder").distinct().withColumn("_ps", F.split("__lodefall_folder", "/")).select("__lodefall_folder", F.posexplode(level).alias("_depth", folder))
+    given = F.struct(F.col("_depth"), F.col(value).alias("value"))
+    nearest = up.hint("merge").join(overrides.select(folder, value), folder).groupBy("__lodefall_folder").agg(F.min_by(given, "_depth").alias("_given"))
+    return rows.hint("merge").join(nearest, "__lodefall_folder").groupBy(key).agg(F.min_by("_given.value", "_given._depth").alias(value))
 
 
 def typologies(paths: DataFrame, key: str, path: str, keywords: dict[str, tuple[str, ...]], overrides: DataFrame, folder: str = "folder", value: str = "typology") -> DataFrame:

@@ -108,6 +108,16 @@ def test_nearest_override_and_names(spark):
     assert [r[0] for r in t.select(resolution.project_aliases(F.col("c"), F.col("n"))).collect()] == [["HO", "Harbour", "Orchard", "HarbourOrchard", "186"], ["Quay"], [], []]
 
 
+def test_levels_of_folders_are_not_broadcast(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, '/a/b/c/d.txt'), (2, '/a/d.txt'), (3, '/q/d.txt'), (4, 'd.txt'), (5, NULL) AS (k, p)")
+    over = spark.sql("SELECT * FROM VALUES ('/a', 'x'), ('/a/b', NULL) AS (folder, typology)")
+    found = resolution.nearest_override(df, "k", "p", over, "folder", "typology"), resolution.typologies(df, "k", "p", {"z": ("q",)}, over)
+    assert {r["k"]: r["typology"] for r in found[0].collect()} == {1: None, 2: "x"}
+    assert {r["k"]: r["typology"] for r in found[1].collect()} == {1: "Unknown", 2: "x", 3: "z", 4: "Unknown", 5: "Unknown"}
+    plan = found[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") > 0
+
+
 def test_content_types_and_images(spark):
     rows = [(1, "MINUTES of meeting. Present : all"), (2, None), (3, ""), (4, "document number 1 issued by x, revision 3"), (5, "x " * 30 + "specification 1.2.3 the contractor shall")]
     got = {r["k"]: (r["doc_type"], r["confidence"], r["signals"]) for r in classify.content(spark.createDataFrame(rows, "k int, t string"), "t").collect()}
