@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodefall.functions.text import breadcrumb, token_estimate, word_count
 from lodefall.operators import classify, facts, maintenance, sections
+from lodefall.session import checkpointed
 
 #: Extensions of images, the confidence from which a type is written, and files that a run classifies.
 IMAGES = ("bmp", "gif", "jpeg", "jpg", "png", "tif", "tiff")
@@ -101,9 +102,10 @@ def kept_once(old: DataFrame, new: DataFrame, keys: list[str], order: list[Colum
 
 def appended(log: DataFrame, rows: DataFrame, number: str, order: list[str]) -> DataFrame:
     """The log with the rows of a run after it, numbered on in their order. The rows of a run are ranked in parts by range
-    and each part begins where the ones before it end, so no task sees all of them."""
+    and each part begins where the ones before it end, so no task sees all of them. They are checkpointed in parts, since ranges
+    drawn anew, or partitions joined otherwise, would not be those whose ends were counted."""
     last = log.agg(F.coalesce(F.max(number), F.lit(0)).cast("long").alias("_last"))
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    sorted_rows = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     placed = sorted_rows.withColumns({"_part": part, "_in": inside})
     sizes = placed.groupBy("_part").agg((F.max("_in") + 1).alias("_n"))

@@ -48,6 +48,21 @@ def test_logs_are_numbered_on(spark):
     assert [r["n"] for r in intake.appended(log.limit(0), rows.limit(1), "n", ["what"]).collect()] == [1]
 
 
+def test_long_logs_are_numbered_on(spark):
+    """Parts whose sizes and rows come from two runs of the same shuffle."""
+    held = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(held, ("false", "40"), strict=True):
+            spark.conf.set(c, v)
+        rows = spark.range(0, 60_000, 1, 8).select("id", F.col("id").alias("was"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("what"))
+        log = spark.createDataFrame([(4, 0, "x")], "n long, was long, what string")
+        found = intake.appended(log, rows, "n", ["id"]).where("n > 4")
+        assert found.count() == 60_000 and found.where("n <> was + 5").count() == 0
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+
+
 def test_index_of_odd_tables(spark, tmp_path):
     none = spark.createDataFrame([], "k int, t string")
     index = Index(spark, str(tmp_path / "a"), buckets=3).build(none, "k", "t")
