@@ -31,7 +31,8 @@ def by_prefix(paths: DataFrame, key: str, path: str, roots: DataFrame, root: str
     known = roots.where(F.col(root).isNotNull())
     lengths = known.agg(F.collect_set(F.length(root)).alias("_ls"))  # one row of small numbers
     cut = paths.select(key, path).crossJoin(F.broadcast(lengths)).select(key, F.explode(F.transform(F.filter("_ls", lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))).alias("_cut"))
-    return cut.join(known, F.col("_cut") == F.col(root)).groupBy(key).agg(F.min_by(value, order).alias(value))
+    # a row a length is more than the paths' size tells: never broadcast
+    return cut.hint("merge").join(known.select(root, order, value), F.col("_cut") == F.col(root)).groupBy(key).agg(F.min_by(value, order).alias(value))
 
 
 def by_code(paths: DataFrame, key: str, path: str, cards: DataFrame, code: str) -> DataFrame:
@@ -39,7 +40,7 @@ def by_code(paths: DataFrame, key: str, path: str, cards: DataFrame, code: str)
     number = F.regexp_extract("_part", r"\b([0-9]{3,4})\b", 1)
     cut = paths.select(key, F.posexplode(parts(F.col(path))).alias("_pos", "_part")).select(key, "_pos", number.alias("_code")).where("_code <> ''")
     known = cards.select(F.col(code).cast("string").alias("_code")).where("_code IS NOT NULL").distinct()
-    return cut.join(known, "_code").groupBy(key).agg(F.min_by("_code", "_pos").alias(code))
+    return cut.hint("merge").join(known, "_code").groupBy(key).agg(F.min_by("_code", "_pos").alias(code))
 
 
 def grams(text: Column, n: int = GRAM) -> Column:
@@ -48,8 +49,8 @@ def grams(text: Column, n: int = GRAM) -> Column:
     return F.when(size > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-#: Aliases up to which one automaton of them all goes to the workers (under 50 MB); beyond it paths and aliases are joined.
-ALIASES = 200_000
+#: Aliases up to which one automaton of them all goes to the workers (a few MB); beyond it paths and aliases are joined.
+ALIASES = 20_000
 
 
 def by_alias(paths: DataFrame, key: str, path: str, aliases: DataFrame, alias: str, order: str, value: str) -> DataFrame:
@@ -57,8 +58,9 @@ def by_alias(paths: DataFrame, key: str, path: str, aliases: DataFrame, alias: s
     a = aliases.select(F.lower(alias).alias("_alias"), F.col(order).alias("_order"), F.col(value).alias(value)).where(F.length("_alias") >= GRAM)
     a = a.groupBy("_alias").agg(F.min(F.struct("_order", value)).alias("_x")).select("_alias", F.col("_x._order").alias("_order"), F.col(f"_x.{value}").alias(value))
     p = paths.select(key, F.lower(F.replace(path, F.lit("\\"), F.lit("/"))).alias("_path"))
-    few = a.limit(ALIASES + 1).collect()  # bounded
-    return found_aliases(p, key, few, value) if len(few) <= ALIASES else joined_aliases(p, key, a, value)
+    if a.limit(ALIASES + 1).count() <= ALIASES:
+        return found_aliases(p, key, a.collect(), value)  # bounded
+    return joined_aliases(p, key, a, value)
 
 
 def found_aliases(p: DataFrame, key: str, aliases: list, value: str) -> DataFrame:
@@ -83,13 +85,26 @@ def found_aliases(p: DataFrame, key: str, aliases: list, value: str) -> DataFram
     return p.mapInArrow(run, kind)
 
 
+#: The lengths of runs by which aliases are met: an alias has runs of the greatest of them that it is as long as.
+RUNS = (GRAM, 6, 12, 24)
+
+
 def joined_aliases(p: DataFrame, key: str, a: DataFrame, value: str) -> DataFrame:
-    """The same by a join on the alias's run of three characters that fewest aliases have, then verified; so aliases that
-    begin alike don't all meet each path."""
-    runs = a.select("_alias").distinct().select("_alias", F.explode(grams(F.col("_alias"))).alias("_gram"))
-    rare = runs.join(runs.groupBy("_gram").agg(F.count("*").alias("_n")), "_gram").groupBy("_alias").agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
-    hits = p.select(key, "_path", F.explode(grams(F.col("_path"))).alias("_gram")).join(a.join(rare, "_alias"), "_gram").where(F.contains("_path", F.col("_alias")))
-    return hits.groupBy(key).agg(F.max_by(value, F.struct(F.length("_alias"), -F.col("_order"), value)).alias(value))
+    """The same by a join on the alias's run of characters that fewest aliases have, then verified; so aliases that
+    begin alike don't all meet each path. The longer an alias, the longer its runs, so that even of many aliases few share one. Paths and
+    runs meet as hashes, a path once however often it occurs: equal hashes of what differs are sorted out when verified."""
+    size = F.coalesce(*(F.when(F.length("_alias") >= n, n) for n in reversed(RUNS)))
+    of_size = lambda text: F.coalesce(*(F.when(F.length("_alias") >= n, grams(F.col(text), n)) for n in reversed(RUNS)))
+    runs = a.select("_alias", size.alias("_size"), F.explode(of_size("_alias")).alias("_gram")).select("_alias", "_size", F.xxhash64("_gram").alias("_gram"))
+    rare = runs.hint("merge").join(runs.groupBy("_gram").agg(F.count("*").alias("_n")), "_gram").groupBy("_alias").agg(F.min(F.struct("_n", "_gram", "_size")).alias("_rare"))
+    known = rare.select("_alias", "_rare._gram")
+    sizes = [r["_size"] for r in rare.select("_rare._size").distinct().collect()] or [GRAM]  # some of RUNS
+    texts = p.select("_path").where("_path IS NOT NULL").distinct().withColumn("_at", F.xxhash64("_path"))
+    cut = texts.select("_at", F.explode(F.flatten(F.array(*(F.transform(grams(F.col("_path"), n), lambda g: F.xxhash64(g)) for n in sorted(sizes))))).alias("_gram"))
+    met = cut.hint("merge").join(known, "_gram").select("_at", "_alias")
+    hits = met.hint("merge").join(texts, "_at").where(F.contains("_path", F.col("_alias"))).select("_path", "_alias")
+    best = hits.hint("merge").join(a, "_alias").groupBy("_path").agg(F.max_by(value, F.struct(F.length("_alias"), -F.col("_order"), value)).alias(value))
+    return p.hint("merge").join(best, "_path").select(key, value)
 
 
 @F.pandas_udf(DoubleType())
@@ -110,7 +125,7 @@ def ordered_pairs(strings: DataFrame, weights: DataFrame) -> DataFrame:
     cut = strings.select("_s", F.explode(grams(F.concat(F.lit(OPEN), "_s", F.lit(CLOSE)), PAIR)).alias("_gram"))
     at = F.pmod(F.xxhash64("_gram"), F.lit(64 * WORDS))
     bits = [F.bit_or(F.when(at >= 64 * w, F.when(at < 64 * (w + 1), F.expr("shiftleft(1L, cast(pmod(xxhash64(_gram), 64) as int))")))) for w in range(WORDS)]
-    whole = cut.join(weights, "_gram").groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_weight", "_gram"))).alias("_gs"), *(F.coalesce(b, F.lit(0)).cast("long").alias(f"_b{w}") for w, b in enumerate(bits)))
+    whole = cut.hint("merge").join(weights, "_gram").groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_weight", "_gram"))).alias("_gs"), *(F.coalesce(b, F.lit(0)).cast("long").alias(f"_b{w}") for w, b in enumerate(bits)))
     return whole.select("_s", F.length("_s").alias("_n"), F.size("_gs").alias("_k"), F.col("_gs._gram").alias("_gs"), *(f"_b{w}" for w in range(WORDS)))
 
 
@@ -159,7 +174,7 @@ def similar(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float
     close = close & (lacking("x", "y") <= F.col("_nx") + 1 - shared) & (lacking("y", "x") <= F.col("_ny") + 1 - shared)
     # one condition, the dear test last
     near = F.expr(f"levenshtein(_sx, _sy, cast(floor({1 - threshold}D * (_nx + _ny) + {slack}D) as int)) >= 0")
-    met = named(xs, "x").join(named(ys, "y"), "_gram").where(close & near)
+    met = named(xs, "x").hint("merge").join(named(ys, "y"), "_gram").where(close & near)
     pairs = met.select(F.col("_sx").alias(a), F.col("_sy").alias(b)).distinct()
     # not to be moved before the pairs are distinct, nor computed again by the filter
     return pairs.withColumn("ratio", similarity.asNondeterministic()(F.col(a), F.col(b))).where(F.col("ratio") > threshold)
@@ -170,7 +185,7 @@ def by_name(paths: DataFrame, key: str, path: str, cards: DataFrame, name: str,
     segments = paths.select(key, F.posexplode(parts(F.lower(path))).alias("_pos", "_segment"))
     named = cards.select(F.lower(name).alias("_name"), F.col(order).alias("_order"), F.col(value).alias(value))
     pairs = similar(segments, "_segment", named, "_name").select("_segment", "_name")
-    return segments.join(pairs, "_segment").join(named, "_name").groupBy(key).agg(F.min_by(value, F.struct("_pos", "_order")).alias(value))
+    return segments.hint("merge").join(pairs, "_segment").hint("merge").join(named, "_name").groupBy(key).agg(F.min_by(value, F.struct("_pos", "_order")).alias(value))
 
 
 def resolved(paths: DataFrame, key: str, path: str, cards: DataFrame, aliases: DataFrame, names: bool = True) -> DataFrame:

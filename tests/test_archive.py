@@ -177,6 +177,27 @@ def test_both_ways_to_find_aliases_agree(spark):
         resolution.ALIASES = 200_000
 
 
+def test_joined_aliases_of_all_lengths(spark):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("ab0", k=rnd.choice((3, 5, 6, 11, 12, 13, 23, 24, 40)))) for _ in range(200)]
+    aliases = spark.createDataFrame([(w, k % 7, f"P{k}") for k, w in enumerate(words)], "alias string, o int, v string")
+    paths = ["".join(rnd.choices(["a", "b", "0", "/", w], k=9)) for w in words] * 2 + ["", None]
+    rows = spark.createDataFrame(list(enumerate(paths)), "k int, p string")
+    once = {w: min((k % 7, f"P{k}") for k, x in enumerate(words) if x == w) for w in words}
+    best = {k: max(((len(w), -o, v) for w, (o, v) in once.items() if w in p), default=None) for k, p in enumerate(paths) if p is not None}
+    held, resolution.ALIASES = resolution.ALIASES, 10
+    try:
+        found = resolution.by_alias(rows, "k", "p", aliases, "alias", "o", "v")
+        assert {r["k"]: r["v"] for r in found.collect()} == {k: x[2] for k, x in best.items() if x}
+        # what is cut out of paths isn't broadcast, however small the paths' table
+        few = spark.sql("SELECT 1 AS k, 'ab0' AS p"), spark.sql("SELECT explode(sequence(1, 20)) AS o").selectExpr("o", "'ab' || o AS alias", "'P' AS v")
+        joined = resolution.by_alias(*few[:1], "k", "p", few[1], "alias", "o", "v"), resolution.by_prefix(few[0], "k", "p", few[1], "alias", "o", "v")
+        for x in joined:
+            assert "BroadcastHashJoin" not in x._jdf.queryExecution().executedPlan().toString()
+    finally:
+        resolution.ALIASES = held
+
+
 def test_percentiles_of_large_groups(spark):
     df = spark.range(350_000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 != 0, F.round(F.rand(3) * 5000) / 7).alias("v"))
     want = df.groupBy("g").agg(*(F.round(F.percentile("v", q), 6).alias(f"p{round(100 * q)}") for q in (0.5, 0.95)), F.count("*").alias("n"))
