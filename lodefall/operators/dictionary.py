@@ -1,7 +1,8 @@
 """Which terms of a table occur in texts: synonyms of concepts, and known codes.
 
 Below a counted number of terms one automaton, given to every task, finds them in one pass over a text. Beyond it each term meets the texts by
-its run of three characters that fewest terms have, and is then verified; shorter terms meet them as they are. Texts are matched once
+its run of three characters that fewest terms have, and is then verified; shorter terms meet them as they are. Codes of word characters
+alone meet the texts' words. Texts are matched once
 each, however often they occur, and the plan is the same for any number of terms.
 """
 
@@ -30,6 +31,8 @@ def contained(texts: DataFrame, text: str, terms: DataFrame, term: str, most: in
     t = texts.select(F.col(text).alias("text")).where("text <> ''").distinct()
     w = terms.select(F.col(term).alias("term")).where("term <> ''").distinct()
     few = w.limit(most + 1).collect()  # bounded
+    if not few:
+        return t.select(F.col("text").alias(text), F.col("text").alias(term)).limit(0)
     return (by_automaton(t, [r["term"] for r in few]) if len(few) <= most else by_runs(t, w)).select(F.col("text").alias(text), F.col("term").alias(term))
 
 
@@ -78,9 +81,23 @@ def tagged(rows: DataFrame, text: str, synonyms: DataFrame, most: int = TERMS) -
     return rows.join(found.withColumnRenamed(text, "__lodefall_text"), F.col(text) == F.col("__lodefall_text"), "left").drop("__lodefall_text").withColumns({c: F.coalesce(c, none) for c in ("tags", "expanded_terms")})
 
 
+#: A code of word characters alone.
+WORD = "[A-Za-z0-9_]+"
+
+
+def spoken(rows: DataFrame, text: str, codes: DataFrame, code: str) -> DataFrame:
+    """The distinct pairs of a text and a code of word characters alone that may stand in it between word boundaries: that is one of
+    its words. Words meet codes with the hash of their text, so that what is shuffled is small however long the texts are."""
+    t = rows.select(text).where(F.col(text) != "").distinct().withColumn("__lodefall_at", F.xxhash64(text))
+    words = t.select("__lodefall_at", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))).alias(code))
+    met = words.hint("merge").join(codes.select(code).distinct(), code)
+    return met.hint("merge").join(t, "__lodefall_at").select(text, code)
+
+
 def coded(rows: DataFrame, text: str, codes: DataFrame, code: str, out: str, most: int = TERMS) -> DataFrame:
     """Adds the longest code (then the first by name) that stands in the text between word boundaries, or null."""
-    pairs = contained(rows, text, codes, code, most)
+    plain = F.col(code).rlike(rf"\A{WORD}\z")
+    pairs = spoken(rows, text, codes.where(plain), code).unionByName(contained(rows, text, codes.where(~plain), code, most))
     bounded = F.rlike(F.col(text), F.concat(F.lit(r"\b\Q"), F.col(code), F.lit(r"\E\b")))
     best = pairs.where(bounded).groupBy(F.col(text).alias("__lodefall_text")).agg(F.min_by(code, F.struct(-F.length(code), code)).alias(out))
     return rows.join(best, F.col(text) == F.col("__lodefall_text"), "left").drop("__lodefall_text")

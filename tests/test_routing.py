@@ -63,3 +63,14 @@ def test_the_plan_does_not_grow_with_codes(spark):
     df = spark.createDataFrame([(1, "about 1234")], "k int, q string")
     size = lambda n: len(routing.classified(df, "q", codes=spark.range(n).select(F.col("id").cast("string").alias("code")))._jdf.queryExecution().optimizedPlan().toString())
     assert abs(size(20_000) - size(10)) < 2000
+
+
+def test_codes_of_word_characters_meet_words_alone(spark, monkeypatch):
+    def runs(texts, terms):
+        raise AssertionError("codes of word characters are cut into runs")
+
+    monkeypatch.setattr(dictionary, "by_runs", runs)
+    df = spark.createDataFrame([(1, "see p12, or p1"), (2, "é12 and xp12 p_1"), (3, None), (4, "12.p1"), (5, "ap1 12x")], "k int, q string")
+    codes = spark.createDataFrame([("p1",), ("p12",), ("12",), ("p_1",), (None,)], "code string")
+    got = {r["k"]: r["c"] for r in dictionary.coded(df, "q", codes, "code", "c", 2).collect()}
+    assert got == {1: "p12", 2: "p_1", 3: None, 4: "12", 5: None}
