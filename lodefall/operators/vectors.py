@@ -32,8 +32,8 @@ LISTS, FILL, FIT, ROUNDS = 4096, 40, 64, 12
 #: Questions that are asked when building (at most about), the neighbours of each that are looked for, and the part of them that the lists which a
 #: question reads by default must hold; candidates that are read whole for each result.
 ASKED, NEIGHBOURS, RECALL, WHOLE = 200, 20, 0.94, 10
-#: Vectors and queries that are compared at once.
-TILE = 1024
+#: Vectors and queries that are compared at once, and rows of queries (one for each list that they probe) that are made at once.
+TILE, PROBED = 1024, 1 << 15
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -191,12 +191,15 @@ class VectorIndex:
         def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists, centers = given.value
             for batch in batches:
-                if batch.num_rows:
-                    v = unit(rows_of(batch.column("vector")))
+                # a query has a row for each list, so a batch of them is cut
+                step = max(1, PROBED // max(1, n))
+                for c in range(0, batch.num_rows, step):
+                    part = batch.slice(c, step)
+                    v = unit(rows_of(part.column("vector")))
                     near = lists[np.argsort(-(v @ centers.T), axis=1, kind="stable")[:, :n]]
-                    at = np.repeat(np.arange(batch.num_rows), near.shape[1])
+                    at = np.repeat(np.arange(part.num_rows), near.shape[1])
                     vs = pa.array([x.tobytes() for x in v], pa.binary()).take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column("key").take(pa.array(at)), vs], ["list", "query", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), part.column("key").take(pa.array(at)), vs], ["list", "query", "v"])
 
         def blocks(id_name: str):  # noqa: ANN202
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

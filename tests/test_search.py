@@ -124,3 +124,14 @@ def test_postings_are_found_without_a_shuffle(spark, tmp_path):
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     finally:
         index_module.TOKENS = held
+
+
+def test_probing_queries_are_made_in_parts(spark, tmp_path, monkeypatch):
+    rows = np.random.default_rng(2).normal(size=(300, 4))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "k int, v array<double>").coalesce(1)
+    index = vectors.VectorIndex(spark, str(tmp_path / "v")).build(df, "k", "v")
+    asked = df.where("k < 30")
+    found = lambda: sorted(map(tuple, index.nearest_of_each(asked, "k", "v", 3, probes=5).collect()))
+    whole = found()
+    monkeypatch.setattr(vectors, "PROBED", 17)
+    assert found() == whole and len(whole) == 90
