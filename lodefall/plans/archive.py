@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodefall.functions import text as tx
 from lodefall.operators import analytics, classify, paths, resolution, search
-from lodefall.plans.indexes import BREAK, index_of
+from lodefall.plans.indexes import BREAK, index_of, words_of
 from lodefall.plans.registry import query
 from lodefall.session import table
 
@@ -150,7 +150,7 @@ st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (WHE
 SELECT doc_id, round(round({" + ".join(f"greatest(ln((n - n{k} + 0.5) / (n{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(_PHRASE)))}, 9), 6) AS bm25
 FROM f, st WHERE {" OR ".join(f"f{k} > 0" for k in range(len(_PHRASE)))}""")
 def bm25_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_of(spark, sf_dir).bm25("doc_id", list(_PHRASE)).withColumn("bm25", F.round("bm25", 6))
+    return words_of(spark, sf_dir).bm25("doc_id", list(_PHRASE)).withColumn("bm25", F.round("bm25", 6))
 
 
 # --- audits and checks -----------------------------------------------------------------------------------------------

@@ -135,3 +135,21 @@ def test_probing_queries_are_made_in_parts(spark, tmp_path, monkeypatch):
     whole = found()
     monkeypatch.setattr(vectors, "PROBED", 17)
     assert found() == whole and len(whole) == 90
+
+
+def test_texts_answer_as_an_index_does_without_building_one(spark, tmp_path, monkeypatch):
+    from lodefall.plans import catalog, indexes
+
+    rows = [(1, "The and the-AND of the"), (2, ""), (3, None), (4, "and the " * 5), (5, "é the"), (5, "the and"), (6, "of"), (None, "of the and")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    index, texts = Index(spark, str(tmp_path / "i")).build(df.where("k <> 5 OR t <> 'the and'"), "k", "t"), index_module.Texts(df.where("k <> 5 OR t <> 'the and'"), "k", "t")
+    for terms in (["the", "of", "the"], ["the_and", "of"], ["the_and", "and_the"], ["missing"], ["?"], []):
+        both = [sorted(map(tuple, x.bm25("k", terms).collect()), key=str) for x in (index, texts)]
+        assert both[0] == both[1] and texts.top("k", terms, 2).collect() == index.top("k", terms, 2).collect()
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame([(k, "anhe the " * (k % 3) + "lyer", "en", "src1") for k in range(40)], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    want = Index(spark, str(tmp_path / "j")).build(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id", "text").top("doc_id", indexes.TERMS, 30).collect()
+    monkeypatch.setattr(Index, "build", lambda *_: pytest.fail("a question built an index"))
+    got = catalog.QUERIES["bm25_topk"](spark, folder).collect()
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in want]
+    assert len(catalog.QUERIES["recall_at_k"](spark, folder).collect()) == 1
