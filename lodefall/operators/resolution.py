@@ -25,13 +25,19 @@ def parts(path: Column) -> Column:
     return F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: x != "")
 
 
+def beginnings(paths: DataFrame, key: str, path: str, roots: DataFrame, root: str) -> DataFrame:
+    """key and _cut: the path cut at each of the roots' lengths where it has the last character of a root of that length."""
+    ends = roots.agg(F.collect_set(F.struct(F.length(root).alias("n"), F.right(root, F.lit(1)).alias("last"))).alias("_ends"))  # a small row: lengths and characters
+    like = lambda x: (x["n"] <= F.length(path)) & ((x["n"] == 0) | (F.substring(path, x["n"], F.lit(1)) == x["last"]))
+    return paths.select(key, path).crossJoin(F.broadcast(ends)).select(key, F.explode(F.transform(F.filter("_ends", like), lambda x: F.substring(path, F.lit(1), x["n"]))).alias("_cut"))
+
+
 def by_prefix(paths: DataFrame, key: str, path: str, roots: DataFrame, root: str, order: str, value: str) -> DataFrame:
-    """key and value of the first root (by `order`) that begins the path. The path is cut at the roots' distinct lengths,
-    which no longer path than the longest root can exceed, and joined on equality."""
+    """key and value of the first root (by `order`) that begins the path. The path is cut where a root can end, which no
+    longer path than the longest root can exceed, and joined on equality."""
     known = roots.where(F.col(root).isNotNull())
-    lengths = known.agg(F.collect_set(F.length(root)).alias("_ls"))  # one row of small numbers
-    cut = paths.select(key, path).crossJoin(F.broadcast(lengths)).select(key, F.explode(F.transform(F.filter("_ls", lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))).alias("_cut"))
-    # a row a length is more than the paths' size tells: never broadcast
+    cut = beginnings(paths, key, path, known, root)
+    # rows a path are more than the paths' size tells: never broadcast
     return cut.hint("merge").join(known.select(root, order, value), F.col("_cut") == F.col(root)).groupBy(key).agg(F.min_by(value, order).alias(value))
 
 

@@ -74,3 +74,15 @@ def test_codes_of_word_characters_meet_words_alone(spark, monkeypatch):
     codes = spark.createDataFrame([("p1",), ("p12",), ("12",), ("p_1",), (None,)], "code string")
     got = {r["k"]: r["c"] for r in dictionary.coded(df, "q", codes, "code", "c", 2).collect()}
     assert got == {1: "p12", 2: "p_1", 3: None, 4: "12", 5: None}
+
+
+def test_paths_are_cut_only_where_a_root_can_end(spark):
+    from lodefall.operators import resolution
+
+    paths = spark.createDataFrame([(1, "/ärchive/a/x"), (2, "/ärchive/ab/x"), (3, "/z"), (4, ""), (5, None)], "k int, p string")
+    roots = spark.createDataFrame([("/ärchive/a/", 2, "A"), ("/ärchive/", 3, "all"), ("/ärchive/abc/", 1, "C"), ("/z", 4, "Z"), (None, 0, "none")], "r string, o int, v string")
+    cut = {(r["k"], r["_cut"]) for r in resolution.beginnings(paths, "k", "p", roots.where("r is not null"), "r").collect()}
+    assert cut == {(1, "/ärchive/"), (1, "/ärchive/a/"), (2, "/ärchive/"), (3, "/z")}
+    got = lambda rs: {r["k"]: r["v"] for r in resolution.by_prefix(paths, "k", "p", rs, "r", "o", "v").collect()}
+    assert got(roots) == {1: "A", 2: "all", 3: "Z"}
+    assert got(roots.unionByName(spark.createDataFrame([("", 9, "any")], roots.schema))) == {1: "A", 2: "all", 3: "Z", 4: "any"}
