@@ -37,7 +37,7 @@ from lodefall.llm.common import map_batches
 CONTROLS = regex.compile("[\x1c-\x1f]")
 MARKS = tuple(".,;:!?")
 #: Pieces, and words between white space, whose ids a worker remembers; beyond that, new ones are encoded each time.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Characters after which a block of a text ends with the next blank, and tokens of a long piece that are passed on at once.
 BLOCK, CHUNK = 1 << 18, 1 << 14
 BLANK = regex.compile("[ \t\r\n]")

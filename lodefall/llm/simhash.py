@@ -98,8 +98,8 @@ def replicas(classes: DataFrame) -> DataFrame:
 
 #: Homes above which an anchor is compared in tiles of at most about TILE fingerprints instead of by the join.
 HOT, TILE = 64, 16_384
-#: Rows of a tile whose distances to the others are computed at once.
-STRIP = 256
+#: Rows of a tile whose distances to the others are computed at once (8 MB for two tiles).
+STRIP = 32
 
 
 def spanning(fps: np.ndarray, home: np.ndarray) -> np.ndarray:
@@ -120,13 +120,15 @@ def tiled(hot_rows: DataFrame) -> DataFrame:
     """Edges between the fingerprints of hot anchors: every pair of tiles is a group of its own, of bounded size, and
     gives at most one edge per fingerprint."""
 
-    def body(key, group):  # noqa: ANN001, ANN202
-        group = group.sort_values(["fp", "home"], ascending=[True, False]).drop_duplicates("fp")
-        label = spanning(group["fp"].to_numpy(), group["home"].to_numpy())
-        moved = label != np.arange(len(label))
-        out = group[["n", "id", "fp"]]
-        left, right = out.iloc[label[moved]].reset_index(drop=True), out[moved].reset_index(drop=True)
-        return left.join(right, lsuffix="_a", rsuffix="_b")[["n_a", "id_a", "fp_a", "n_b", "id_b", "fp_b"]]
+    def body(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        fps, home = group["fp"].to_numpy(), group["home"].to_numpy()
+        order = np.lexsort((~home, fps))  # homes first
+        order = order[np.r_[True, np.diff(fps[order]) != 0]]
+        label = spanning(fps[order], home[order])
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        sides = [group.select(["n", "id", "fp"]).take(order[at]).columns for at in (label[moved], moved)]
+        return pa.Table.from_arrays([*sides[0], *sides[1]], ["n_a", "id_a", "fp_a", "n_b", "id_b", "fp_b"])
 
     tile = F.pmod(F.xxhash64("fp"), F.col("tiles"))
     pairs = (
@@ -135,7 +137,7 @@ def tiled(hot_rows: DataFrame) -> DataFrame:
         .select("block", "anchor", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "home", "node.n", "node.id", "fp")
     )
     ship(hot_rows.sparkSession)
-    edges = pairs.groupBy("block", "anchor", "i", "j").applyInPandas(body, "n_a boolean, id_a long, fp_a long, n_b boolean, id_b long, fp_b long")
+    edges = pairs.groupBy("block", "anchor", "i", "j").applyInArrow(body, "n_a boolean, id_a long, fp_a long, n_b boolean, id_b long, fp_b long")
     node = lambda k: F.struct(F.col(f"n_{k}").alias("n"), F.col(f"id_{k}").alias("id"), F.col(f"fp_{k}").alias("fp")).alias(k)
     return edges.select(node("a"), node("b"))
 

@@ -680,3 +680,20 @@ def test_pipeline_against_its_parts(spark, docs):
 def test_registry():
     names = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
+
+
+def test_tiles_keep_ids_whole_and_memory_small(spark):
+    """A null id beside one of over 53 bits, and two full tiles compared within a few megabytes."""
+    import tracemalloc
+
+    big = (1 << 60) + 1
+    rows = [(0, 5, k, k == 0, (i is None, i, k), 1) for k, i in enumerate([big, None, big + 2])]
+    df = spark.createDataFrame(rows, "block int, anchor long, fp long, home boolean, node struct<n: boolean, id: long, fp: long>, tiles long")
+    assert {(r["a"]["id"], r["b"]["id"]) for r in simhash.tiled(df).collect()} == {(big, None), (big, big + 2)}
+    fps = np.sort(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000))
+    home = np.arange(20_000) < 300
+    tracemalloc.start()
+    label = simhash.spanning(fps, home)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (label == np.arange(20_000)).all() and peak < 16e6
