@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.types import DoubleType
 
 from lodefall.operators import facts
-from lodefall.session import ship
+from lodefall.session import checkpointed, ship
 
 #: Words that don't make an alias.
 COMMON = ("the", "at", "of", "and", "&", "a", "an", "in", "on", "by", "for", "project", "building", "tower", "centre", "center", "complex")
@@ -123,6 +124,13 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 PAIR, OPEN, CLOSE = 2, "\x02", "\x03"
 #: Words of 64 bits in the sketch of a string's runs.
 WORDS = 4
+#: Lengths are told apart by bands, each this much longer than the one before; up to the band of TOP (44 to 55 characters) by themselves.
+STEP, TOP = 1.25, 17
+#: Two bands meet by what is left of their strings where that is at most LEFT rows a string and length, and as rows at most
+#: one in SHARE of the pairs, which is about what runs of characters cost.
+LEFT, SHARE = 500, 128
+#: Rows of what is left that a task makes.
+EACH = 500_000
 
 
 def ordered_pairs(strings: DataFrame, weights: DataFrame) -> DataFrame:
@@ -135,42 +143,131 @@ def ordered_pairs(strings: DataFrame, weights: DataFrame) -> DataFrame:
     return whole.select("_s", F.length("_s").alias("_n"), F.size("_gs").alias("_k"), F.col("_gs._gram").alias("_gs"), *(f"_b{w}" for w in range(WORDS)))
 
 
+def band(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(STEP)).cast("int")
+
+
+def matching(both: Column, threshold: float) -> Column:
+    """How many characters of two strings of `both` characters together match at least, when their ratio (2 M / both) is over the threshold."""
+    return F.floor(both * (threshold / 2) + 1e-9).cast("int") + 1
+
+
 def shared_runs(both: Column, threshold: float) -> Column:
     """How many runs of two characters (each as often as it occurs, the ends' included) two strings of `both` characters
     together have in common at least, when their ratio is over the threshold. M characters that match, and the two ends, lie
     in at most one more stretch than there are characters that don't, which are both - 2 M."""
-    matching = F.floor(both * (threshold / 2) + 1e-9).cast("int") + 1  # the ratio is 2 M / both
-    return 3 * matching - both + 1
-
-
-def similar(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float = 0.8) -> DataFrame:
-    """Distinct pairs of strings with a ratio over the threshold (0.8 or more), and the ratio. Null and empty strings have none.
+    return 3 * matching(both, threshold) - both + 1
+
+
+class Meeting:
+    """How the strings of two sides meet, by their bands: `lefts` has for each side and length of its strings how many characters are
+    to be left of them, `work` the rows of that, and `runs` for each side and band the bands that it meets by runs."""
+
+    def __init__(self, shapes: list, threshold: float):
+        self.lefts: tuple[dict[int, set[int]], ...] = ({}, {})
+        self.runs: tuple[dict[int, list[int]], ...] = ({}, {})
+        self.work = 0
+        sides: tuple[dict[int, list], ...] = ({}, {})
+        for r in shapes:
+            sides[r["_side"]].setdefault(r["_band"], []).append(r)
+        most = (2 - threshold) / threshold
+        apart = lambda x, y: STEP**y - 2 > (STEP ** (x + 1) + 1) * most  # noqa: E731 - all of y are too long for x
+        for x, y in ((x, y) for x in sides[0] for y in sides[1] if not (apart(x, y) or apart(y, x))):
+            pairs = sum(r["count"] for r in sides[0][x]) * sum(r["count"] for r in sides[1][y])
+            if max(x, y) <= TOP and self._by_left(sides[0][x], sides[1][y], pairs, threshold):
+                continue
+            self.runs[0].setdefault(x, []).append(y)
+            self.runs[1].setdefault(y, []).append(x)
+
+    def _by_left(self, xs: list, ys: list, pairs: int, threshold: float) -> bool:
+        wanted: tuple[dict[int, set[int]], ...] = ({}, {})
+        for n, m in {(r["_n"], q["_n"]) for r in xs for q in ys}:
+            same = math.floor((n + m) * (threshold / 2) + 1e-9) + 1  # as `matching`
+            if same <= min(n, m):
+                wanted[0].setdefault(n, set()).add(same)
+                wanted[1].setdefault(m, set()).add(same)
+        sizes = [(r["count"], math.comb(r["_k"], same)) for side, rows in zip(wanted, (xs, ys), strict=True) for r in rows for same in side.get(r["_n"], ())]
+        cost = sum(n * size for n, size in sizes)
+        if max((size for _, size in sizes), default=0) > LEFT or cost * SHARE > pairs:
+            return False
+        self.work += cost
+        for side, more in zip(self.lefts, wanted, strict=True):
+            for n, sames in more.items():
+                side.setdefault(n, set()).update(sames)
+        return True
+
+
+def shaped(xs: DataFrame, ys: DataFrame) -> tuple[DataFrame, ...]:
+    """Both sides' strings _s with their length _n, band _band, and _t, the string without the characters that the other side has nowhere."""
+    letters = lambda rows, side: rows.select(F.explode(grams(F.col("_s"), 1)).alias("_c"), F.lit(side).alias("_side")).distinct()
+    alone = letters(xs, 0).union(letters(ys, 1)).groupBy("_c").agg(F.min("_side").alias("_side"), F.count("*").alias("n")).where("n = 1").collect()  # letters: bounded
+    foreign = ["".join(r["_c"] for r in alone if r["_side"] == side) for side in (0, 1)]
+    return tuple(rows.select("_s", F.length("_s").alias("_n"), band(F.length("_s")).alias("_band"), F.translate("_s", gone, "").alias("_t")) for rows, gone in zip((xs, ys), foreign, strict=True))
+
+
+def shapes(xs: DataFrame, ys: DataFrame) -> list:
+    """How many strings there are of each length and rest, in bands over TOP of the band alone: a bounded number of rows."""
+    near = F.col("_band") <= TOP
+    rows = reduce(DataFrame.union, (df.select(F.lit(side).alias("_side"), "_band", F.when(near, F.col("_n")).alias("_n"), F.when(near, F.length("_t")).alias("_k")) for side, df in enumerate((xs, ys))))
+    return rows.groupBy("_side", "_band", "_n", "_k").count().collect()
+
+
+def by_key(known: dict, key: str, item: Callable) -> Column:
+    """The array of what a small dictionary has for the key, or null."""
+    return F.create_map(*(c for k, vs in known.items() for c in (F.lit(k), F.array(*(item(v) for v in sorted(vs))))))[F.col(key)]
+
+
+def subsequences(text: Column, size: Column) -> Column:
+    """The distinct strings of `size` characters that are left of a text of as many or more (none above the band of TOP) by leaving out the others."""
+    places = F.sequence(F.lit(1), F.lit(math.ceil(STEP ** (TOP + 1))))
+    gone = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
+    # one more left out, never before the one left out last
+    later = lambda x: F.slice(places, x["at"], F.greatest(F.length(x["s"]) - x["at"] + 1, F.lit(0)))
+    less = lambda x: F.transform(later(x), lambda i: F.struct(gone(x["s"], i).alias("s"), i.alias("at")))
+    whole = F.array(F.struct(text.alias("s"), F.lit(1).alias("at")))
+    return F.array_distinct(F.aggregate(F.slice(places, F.lit(1), F.length(text) - size), whole, lambda so_far, _: F.flatten(F.transform(so_far, less)))["s"])
+
+
+def met_by_left(xs: DataFrame, ys: DataFrame, meeting: Meeting, threshold: float) -> DataFrame:
+    """_sx and _sy, some of them often, of strings that have as many characters in common, in one order, as a ratio over the threshold
+    takes: leaving out others leaves the same string of both. Hashes of these meet, so hardly any other pairs do."""
+
+    def left(rows: DataFrame, side: int) -> DataFrame:
+        sizes = F.filter(by_key(meeting.lefts[side], "_n", F.lit), lambda m: m <= F.length("_t"))
+        each = rows.where(F.col("_n").isin(list(meeting.lefts[side]))).repartition(meeting.work // EACH + 1, "_s").select("_s", "_t", F.explode(sizes).alias("_m"))
+        return each.select(F.col("_s").alias("_s" + "xy"[side]), F.col("_m").alias("_m" + "xy"[side]), F.explode(F.transform(subsequences(F.col("_t"), F.col("_m")), lambda s: F.xxhash64(s))).alias("_left"))
+
+    met = left(xs, 0).hint("merge").join(left(ys, 1).drop("_my"), "_left")
+    return met.where(F.col("_mx") == matching(F.length("_sx") + F.length("_sy"), threshold)).select("_sx", "_sy")
+
+
+def met_by_runs(xs: DataFrame, ys: DataFrame, meeting: Meeting, threshold: float) -> DataFrame:
+    """_sx and _sy, some of them often, of strings that share the runs of two characters that a ratio over the threshold takes.
 
     A string of n characters has n + 1 runs of two, its ends included; similar strings have `shared_runs` of them in
     common. With all runs in one order, the first that two such strings share is, in each, among as many of the first
-    runs as may be missing, and one more. So strings meet in an equi-join on these prefixes, a few rows each. The order is by how
+    runs as may be missing, and one more. So strings meet in an equi-join on these prefixes, a few rows for each band of lengths. The order is by how
     many pairs a run would make; runs that one side alone has come first and meet nothing. Where they meet, the
     runs behind must suffice for what has to be shared, and no more bits of the one's sketch than runs may be missing can lack in
-    the other's; then the edit distance is tested, and only what is left is compared in Python. No true pair is lost."""
+    the other's; then the edit distance is tested."""
     most, slack, sketch = (2 - threshold) / threshold, 1e-9, [f"_b{w}" for w in range(WORDS)]
 
-    def strings(df: DataFrame, c: str) -> DataFrame:
-        return df.select(F.col(c).alias("_s")).where(F.coalesce(c, F.lit("")) != "").distinct()
-
     def counts(rows: DataFrame, name: str) -> DataFrame:
         return rows.select(F.explode(grams(F.concat(F.lit(OPEN), "_s", F.lit(CLOSE)), PAIR)).alias("_gram")).groupBy("_gram").agg(F.count("*").alias(name))
 
-    def prefixes(rows: DataFrame) -> DataFrame:
-        shortest = F.ceil(F.col("_n") / most - slack).cast("int")
+    def prefixes(rows: DataFrame, side: int) -> DataFrame:
+        other = by_key(meeting.runs[side], "_band", lambda v: F.struct(F.lit(v).alias("band"), F.lit(math.floor(STEP**v) - 1).alias("least")))
+        rows = rows.withColumn("_band", band(F.col("_n"))).withColumn("_other", F.explode(other))
+        shortest = F.greatest(F.ceil(F.col("_n") / most - slack).cast("int"), F.col("_other.least"))
         # what must be shared rises by 0.2 a character at least and is less than 3 above that line: none later is lower
         least = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: shared_runs(F.col("_n") + shortest + i, threshold)))
         runs = F.slice("_gs", F.lit(1), F.greatest(F.col("_n") + 2 - least, F.lit(1)))
-        return rows.select("_s", "_n", "_k", *sketch, F.posexplode(runs).alias("_at", "_gram"))
+        bands = (F.col("_band"), F.col("_other.band")) if side == 0 else (F.col("_other.band"), F.col("_band"))
+        return rows.select("_s", "_n", "_k", *sketch, (bands[0] * 256 + bands[1]).alias("_bands"), F.posexplode(runs).alias("_at", "_gram"))
 
-    ship(left.sparkSession)
-    xs, ys = strings(left, a), strings(right, b)
+    xs, ys = (rows.where(F.col("_band").isin(list(known))).select("_s") for rows, known in zip((xs, ys), meeting.runs, strict=True))
     weights = counts(xs, "_x").join(counts(ys, "_y"), "_gram", "full").select("_gram", (F.coalesce("_x", F.lit(0)) * F.coalesce("_y", F.lit(0))).alias("_weight"))
-    named = lambda rows, x: prefixes(ordered_pairs(rows, weights)).select("_gram", *(F.col(c).alias(c + x) for c in ("_s", "_n", "_k", "_at", *sketch)))
+    named = lambda rows, side: prefixes(ordered_pairs(rows, weights), side).select("_gram", "_bands", *(F.col(c).alias(c + "xy"[side]) for c in ("_s", "_n", "_k", "_at", *sketch)))
     both = F.col("_nx") + F.col("_ny")
     shared = shared_runs(both, threshold)
     # runs that one has more than once count once among the distinct
@@ -180,7 +277,24 @@ def similar(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float
     close = close & (lacking("x", "y") <= F.col("_nx") + 1 - shared) & (lacking("y", "x") <= F.col("_ny") + 1 - shared)
     # one condition, the dear test last
     near = F.expr(f"levenshtein(_sx, _sy, cast(floor({1 - threshold}D * (_nx + _ny) + {slack}D) as int)) >= 0")
-    met = named(xs, "x").hint("merge").join(named(ys, "y"), "_gram").where(close & near)
+    return named(xs, 0).hint("merge").join(named(ys, 1), ["_gram", "_bands"]).where(close & near).select("_sx", "_sy")
+
+
+def similar(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float = 0.8) -> DataFrame:
+    """Distinct pairs of strings with a ratio over the threshold (0.8 or more), and the ratio. Null and empty strings have none.
+
+    Runs of two characters are shared by a part of all pairs, however many there are, so many short strings meet by what is left
+    when the characters that may differ are left out, which takes more rows a string, but as many for any number of others. Which it is, is
+    counted for each two bands of lengths. Only what has met is compared in Python. No true pair is lost."""
+
+    def strings(df: DataFrame, c: str) -> DataFrame:
+        return checkpointed(df.select(F.col(c).alias("_s")).where(F.coalesce(c, F.lit("")) != "").distinct())
+
+    ship(left.sparkSession)
+    xs, ys = shaped(strings(left, a), strings(right, b))
+    meeting = Meeting(shapes(xs, ys), threshold)
+    ways = [met(xs, ys, meeting, threshold) for met, known in ((met_by_left, meeting.lefts), (met_by_runs, meeting.runs)) if known[0]]
+    met = reduce(DataFrame.union, ways or [xs.select(F.col("_s").alias("_sx"), F.col("_s").alias("_sy")).limit(0)])
     pairs = met.select(F.col("_sx").alias(a), F.col("_sy").alias(b)).distinct()
     # not to be moved before the pairs are distinct, nor computed again by the filter
     return pairs.withColumn("ratio", similarity.asNondeterministic()(F.col(a), F.col(b))).where(F.col("ratio") > threshold)
@@ -190,8 +304,13 @@ def by_name(paths: DataFrame, key: str, path: str, cards: DataFrame, name: str,
     """key and value of the card whose name is similar to the first such part of the path; then by `order`."""
     segments = paths.select(key, F.posexplode(parts(F.lower(path))).alias("_pos", "_segment"))
     named = cards.select(F.lower(name).alias("_name"), F.col(order).alias("_order"), F.col(value).alias(value))
+    # a row a name, and one a part: however many cards have the name, or names are like the part
+    first = named.groupBy("_name").agg(F.min(F.struct("_order", value)).alias("_card"))
     pairs = similar(segments, "_segment", named, "_name").select("_segment", "_name")
-    return segments.hint("merge").join(pairs, "_segment").hint("merge").join(named, "_name").groupBy(key).agg(F.min_by(value, F.struct("_pos", "_order")).alias(value))
+    best = pairs.hint("merge").join(first, "_name").groupBy("_segment").agg(F.min("_card").alias("_card"))
+    # by the hash too, so that both sides are dealt anew and adaptive execution can split parts that most paths have
+    hashed = lambda df: df.withColumn("_at", F.xxhash64("_segment"))
+    return hashed(segments).hint("merge").join(hashed(best), ["_segment", "_at"]).groupBy(key).agg(F.min_by(f"_card.{value}", F.struct("_pos", "_card._order")).alias(value))
 
 
 def resolved(paths: DataFrame, key: str, path: str, cards: DataFrame, aliases: DataFrame, names: bool = True) -> DataFrame:
@@ -207,10 +326,11 @@ def resolved(paths: DataFrame, key: str, path: str, cards: DataFrame, aliases: D
     named = lambda level, method, df: df.select(key, F.struct(F.col("project_code"), F.lit(level).alias("confidence"), F.lit(method).alias("method")).alias("_f"))
     every = reduce(DataFrame.unionByName, (named(*way) for way in ways))
     sure = every.groupBy(key).agg(F.max_by("_f", "_f.confidence").alias("_f"))
-    # the dear comparison of names is for the rest only
     known = rows.join(sure, key, "left")
     if not names:
         return known.select(key, "_f.project_code", "_f.confidence", "_f.method")
+    # the dear comparison of names is for the rest only, which is read several times, and the other ways are gone once
+    known = checkpointed(known.select(key, F.when(F.col("_f").isNull(), F.col(path)).alias(path), "_f"))
     rest = known.where("_f IS NULL").select(key, path)
     like = named(0.70, "fuzzy_name", by_name(rest, key, path, cards, "name", "ordinal", "project_code")).withColumnRenamed("_f", "_g")
     out = known.select(key, "_f").join(like, key, "left").withColumn("_f", F.coalesce("_f", "_g"))

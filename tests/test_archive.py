@@ -86,6 +86,51 @@ def test_similar_longer_and_repetitive_strings_agree_with_all_pairs(spark):
     assert resolution.similar(a.where("false"), "a", b, "b").count() == 0
 
 
+@pytest.mark.parametrize("share", [0, 1 << 60])
+def test_similar_by_either_way_agrees_with_all_pairs(spark, monkeypatch, share):
+    """Share 0: by what is left wherever that is short enough; a huge one: by runs alone."""
+    monkeypatch.setattr(resolution, "SHARE", share)
+    rnd = random.Random(7)
+    base = ["".join(rnd.choices("abc1 \U0001f600é", k=rnd.randint(1, 20))) for _ in range(200)] + ["a" * n for n in (1, 2, 5, 11, 14, 40, 60)] + ["abcab_cabc\U0001f601", "'\\%\n", "ab" * 35]
+    other = ["".join(c for c in x if rnd.random() > 0.1) + rnd.choice(["", "b", "ZY"]) for x in base] + ["a" * n for n in (4, 12, 52)] + ["abcabcabc", "ab" * 33]
+    a, b = spark.createDataFrame([(x,) for x in base], "a string"), spark.createDataFrame([(x,) for x in other], "b string")
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    for threshold in (0.8, 0.9):
+        got = [(r["a"], r["b"]) for r in resolution.similar(a, "a", b, "b", threshold).collect()]
+        want = {(x, y) for x in set(base) for y in set(other) - {""} if ratio(x, y) > threshold}
+        assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_many_random_names_meet_by_what_is_left(spark):
+    """Runs of two hexadecimal digits are shared by a part of all pairs, so that their work grew with the square of the names."""
+    a = spark.range(12_000).select(F.substring(F.md5(F.col("id").cast("string")), 1, 12).alias("a"))
+    b = spark.range(0, 24_000, 2).select(F.md5(F.col("id").cast("string")).alias("b")).select(F.concat(F.substring("b", 1, 6), F.lit("_"), F.substring("b", 7, 6)).alias("b"))
+    pairs = resolution.similar(a, "a", b, "b")
+    assert "levenshtein" not in pairs._jdf.queryExecution().toString()
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert {(x, y) for x, y in got if x == y.replace("_", "")} == {(r["a"], f"{r['a'][:6]}_{r['a'][6:]}") for r in a.collect()[::2]}
+    xs, ys = resolution.shaped(a.select(F.col("a").alias("_s")), b.select(F.col("b").alias("_s")))
+    met = resolution.met_by_left(xs, ys, resolution.Meeting(resolution.shapes(xs, ys), 0.8), 0.8).distinct().count()
+    assert len(got) <= met < len(got) + 100  # of 144 million pairs
+
+
+def test_by_name_takes_the_first_part_and_of_its_cards_the_first(spark):
+    rnd = random.Random(9)
+    names = ["harbour house", "Harbour House", "garden tower", "gardens tower", "north pier", "quay"]
+    cards = [(rnd.choice(names), n, f"c{n}") for n in range(30)] + [(None, 0, "x"), ("", 0, "y")]
+    bits = ["harbor house", "garden towers", "misc", "quays", "quay", "NORTH PIERS", "f.pdf", "a"]
+    paths = [(k, "/".join(rnd.choices(bits, k=rnd.randint(1, 4)))) for k in range(60)] + [(60, None), (61, "")]
+    got = {r["k"]: r["v"] for r in resolution.by_name(spark.createDataFrame(paths, "k int, p string"), "k", "p", spark.createDataFrame(cards, "n string, o int, v string"), "n", "o", "v").collect()}
+    want = {}
+    for k, path in paths:
+        for part in (path or "").lower().split("/"):
+            like = [(o, v) for n, o, v in cards if n and part and difflib.SequenceMatcher(None, part, n.lower()).ratio() > 0.8]
+            if like:
+                want[k] = min(like)[1]
+                break
+    assert got == want and len(want) > 30
+
+
 def test_resolution_order(spark):
     cards = spark.createDataFrame([("186", "Harbour House", "/n/186 x", 1), ("270", "Garden Tower", None, 2), ("999", None, "/n", 3), (None, "Void", None, 4)], "project_code string, name string, root_path string, ordinal int")
     aliases = spark.createDataFrame([("270", "GT", 1), ("186", "harb", 2), ("270", "Harbour", 3)], "project_code string, alias string, ordinal int")
